@@ -5,11 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.llm import bpe, packing, pii, vocab
 from graphloom.llm import exact_dedup as dedup
-from graphloom.llm import pii
 from graphloom.llm.shared import table
 
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = vocab.default_path("byte_bpe_50k.json")
+    return packing.pack_documents(table(spark, sf_dir, "documents"), lambda: vocab.json_ids(path), capacity=2048, end_id=0)
+
+
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = vocab.default_path("byte_bpe_multi_50k.tiktoken")
+    return bpe.round_trip(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -41,6 +53,8 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries():
     return {
+        "op1_packing": op1_packing,
+        "op4_bpe": op4_bpe,
         "op5_exact_dedup": op5_exact_dedup,
         "op8_pii": op8_pii,
     }
