@@ -1 +1 @@
-
+"""Operators of the graph engine."""
