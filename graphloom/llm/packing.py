@@ -137,8 +137,12 @@ def token_pieces(docs: DataFrame, encoder: Callable[[], Callable[[str], bytes]],
     return rows.mapInArrow(cut, f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long")
 
 
-def pack(pieces: DataFrame, capacity: int, id_col: str = "doc_id", buckets: int = 256) -> DataFrame:
-    """``pieces`` (with their ``length``) with ``sequence_id`` and ``offset``."""
+def pack(pieces: DataFrame, capacity: int, id_col: str = "doc_id", buckets: int | None = None) -> DataFrame:
+    """``pieces`` (with their ``length``) with ``sequence_id`` and ``offset``.
+
+    ``buckets`` (by default at least 256 and four per shuffle partition) is into
+    how many parts the pieces of one length are dealt."""
+    buckets = buckets or max(256, 4 * int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     number, bucket = PRIVATE + "number", PRIVATE + "bucket"
     pieces = pieces.withColumn(bucket, F.pmod(F.xxhash64(*(c for c in pieces.columns if c != "length")), F.lit(buckets)))
     counts = pieces.groupBy("length", bucket).agg(F.count(F.lit(1)).alias("n"))
@@ -148,7 +152,7 @@ def pack(pieces: DataFrame, capacity: int, id_col: str = "doc_id", buckets: int
     # At most one row per length from 1 to capacity.
     histogram = [(r[0], r[1]) for r in counts.groupBy("length").agg(F.sum("n")).collect()]
     runs = np.array(sorted(place_runs(histogram, capacity)), dtype=np.int64).reshape(-1, 5)
-    within = Window.partitionBy("length", bucket).orderBy(id_col, "piece")
+    within = Window.partitionBy("length", bucket).orderBy(*(c for c in pieces.columns if c not in ("length", bucket)))
     numbered = pieces.withColumn(number, F.row_number().over(within)).join(base, ["length", bucket]).withColumn(number, F.col(number) - 1 + F.col(PRIVATE + "base")).drop(bucket, PRIVATE + "base")
     span = int(sum(n for _, n in histogram)) + 1
 

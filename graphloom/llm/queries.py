@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import bpe, packing, pii, vocab
+from graphloom.llm import bpe, near_dup, packing, pii, vocab
 from graphloom.llm import exact_dedup as dedup
 from graphloom.llm.shared import table
 
@@ -15,6 +15,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), lambda: vocab.json_ids(path), capacity=2048, end_id=0)
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.jaccard_join(table(spark, sf_dir, "documents"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -54,6 +58,7 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries():
     return {
         "op1_packing": op1_packing,
+        "op3_jaccard_join": op3_jaccard_join,
         "op4_bpe": op4_bpe,
         "op5_exact_dedup": op5_exact_dedup,
         "op8_pii": op8_pii,
