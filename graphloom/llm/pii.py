@@ -178,10 +178,8 @@ def disclosing(docs: DataFrame, found: DataFrame, text_col: str = "text", suppor
     entity_df = near.select("entity", _KEY).distinct().join(rows, _KEY).groupBy("entity").agg(F.sum("rows").alias("df_e"))
     terms = pairs.select("term").distinct()
     words = F.array_distinct(F.regexp_extract_all(F.lower(filled(text_col)), F.lit(TERM), F.lit(0)))
-    term_df = (
-        docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df_t"))
-        .join(terms, "term", "left_semi")
-    )
+    # An inner join, which stays above the counting: its rows are the terms asked for.
+    term_df = docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df_t")).join(terms, "term")
     total = docs.agg(F.count(F.lit(1)).alias("total"))
     scored = near_df.join(entity_df, "entity").join(term_df, "term").crossJoin(total)
     ic = F.log2(F.col("total") / F.col("df_e"))
