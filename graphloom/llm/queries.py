@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import bpe, near_dup, packing, pii, vocab
+from graphloom.llm import bpe, near_dup, packing, pii, quality, vocab
 from graphloom.llm import exact_dedup as dedup
 from graphloom.llm.shared import table
 
@@ -55,6 +55,18 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: A text with this score or more counts as good.
+LEAST_QUALITY = 0.3
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    net = quality.train(docs, table(spark, sf_dir, "labels"))
+    return quality.scored(docs, net, ["doc_id"]).select(
+        "doc_id", quality.held_out().alias("held_out"), "score", (F.col("score") >= LEAST_QUALITY).cast("int").alias("predicted")
+    )
+
+
 def queries():
     return {
         "op1_packing": op1_packing,
@@ -62,6 +74,7 @@ def queries():
         "op4_bpe": op4_bpe,
         "op5_exact_dedup": op5_exact_dedup,
         "op8_pii": op8_pii,
+        "op10_quality": op10_quality,
     }
 
 
