@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import bpe, chat, media, near_dup, packing, pii, quality, vocab, warc
+from graphloom.llm import bpe, chat, extraction, media, near_dup, packing, pii, quality, vocab, warc
 from graphloom.llm import exact_dedup as dedup
 from graphloom.llm.shared import table
 
@@ -113,6 +113,11 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return extraction.extracted(pages, extraction.trained_on(pages), ["page_id", "url"])
+
+
 #: A text with this score or more counts as good.
 LEAST_QUALITY = 0.3
 
@@ -125,6 +130,12 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries():
     return {
         "op1_packing": op1_packing,
@@ -135,7 +146,9 @@ def queries():
         "op6_warc": op6_warc,
         "op7_chat": op7_chat,
         "op8_pii": op8_pii,
+        "op9_extraction": op9_extraction,
         "op10_quality": op10_quality,
+        "pipeline": pipeline,
     }
 
 
