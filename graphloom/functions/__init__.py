@@ -1 +1 @@
-
+"""Column functions: no Python runs per row."""

@@ -1 +1 @@
-
+"""Composed pipelines and the registered queries."""

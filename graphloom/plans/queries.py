@@ -1,13 +1,588 @@
-"""Queries of the graph engine with their SQL."""
+"""Queries of the graph engine, each with its SQL where SQL can express it."""
 
+from __future__ import annotations
 
-def entry(spark, sf_dir):
-    raise NotImplementedError
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from graphloom.functions import text as T
+from graphloom.operators import community, extract, graph, report, resolve, search
+from graphloom.operators.components import connected_components
+from graphloom.plans import rag
+from graphloom.plans.tables import GRAPH_SQL, MENTIONS_SQL, RELATIONAL_SQL, relational_edges, relational_nodes, replies
+from graphloom.sources import loaders, store
+from graphloom.sources.shared import table, written
 
-def queries():
-    return {}
+QUERIES: dict = {}
+SQL: dict[str, str] = {}
 
+#: What the search queries look for.
+QUESTION, NAME = "Anre of en src1 src7", "Theatin"
+#: One white-space character in SQL patterns, and the search normalisation.
+_W = r"[\s\x0B\p{Z}\x{FEFF}]"
+_NORM = r"trim(regexp_replace(regexp_replace(lower({}), '[^\x{{4e00}}-\x{{9fff}}A-Za-z0-9_\s]', ' ', 'g'), '\s+', ' ', 'g'))"
 
-def oracle_sql():
-    return {}
+
+def _query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def _joined(c: str, glue: str = ","):
+    return F.array_join(c, glue).alias(c)
+
+
+# -- Parsing -------------------------------------------------------------------
+
+
+@_query(rf"""
+SELECT page_id, regexp_replace(regexp_replace(regexp_replace(
+  replace(replace(replace(replace(replace(html, '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''),
+  '["\x00-\x1f\x7f-\x{{9f}}]', '', 'g'), '^{_W}+|{_W}+$', '', 'g'), '[<>]', '', 'g') AS clean
+FROM pages""")
+def clean_str(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", T.clean_str("html").alias("clean"))
+
+
+@_query(r"""
+SELECT item_id, list_aggregate(list_filter(list_transform(regexp_split_to_array(text, '\.|,'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> ''), 'string_agg', '|') AS parts
+FROM benchmark""")
+def split_markers(spark, sf_dir):
+    return table(spark, sf_dir, "benchmark").select("item_id", F.array_join(T.split_markers("text", ".", ","), "|").alias("parts"))
+
+
+@_query(f"""
+WITH {MENTIONS_SQL}, e AS (
+  SELECT doc_id, chunk_seq, 0 AS kind, k, '("entity"<|>' || tok || '<|>' || CASE (length(tok) + length(source)) % 3 WHEN 0 THEN 'person' WHEN 1 THEN 'organization' ELSE 'location' END || '<|>' || lang || ' ' || source || ')' AS record FROM names
+  UNION ALL SELECT a.doc_id, a.chunk_seq, 1, a.k, '("relationship"<|>' || a.tok || '<|>' || b.tok || '<|>' || a.lang || '<|>' || a.source || '<|>1)'
+  FROM names a JOIN names b ON a.doc_id = b.doc_id AND a.chunk_seq = b.chunk_seq AND b.k = a.k + 1)
+SELECT doc_id, CAST(chunk_seq AS INTEGER) AS chunk_seq, CAST(row_number() OVER (PARTITION BY doc_id, chunk_seq ORDER BY kind, k) - 1 AS INTEGER) AS rec_seq, record FROM e""")
+def record_split(spark, sf_dir):
+    return extract.record_rows(replies(spark, sf_dir))
+
+
+@_query(f"WITH {MENTIONS_SQL} SELECT doc_id, CAST(chunk_seq AS INTEGER) AS chunk_seq, CAST(rec_seq AS INTEGER) AS rec_seq, entity_name, entity_type, description, source_id FROM em")
+def entity_parse(spark, sf_dir):
+    return extract.entity_mentions(extract.record_rows(replies(spark, sf_dir)))
+
+
+@_query(f"WITH {MENTIONS_SQL} SELECT doc_id, CAST(chunk_seq AS INTEGER) AS chunk_seq, src_id, tgt_id, weight, description, keywords, source_id FROM rm")
+def relation_parse(spark, sf_dir):
+    return extract.relation_mentions(extract.record_rows(replies(spark, sf_dir))).drop("rec_seq")
+
+
+@_query(r"""
+SELECT o_orderkey, TRY_CAST(nullif(regexp_extract(o_orderpriority, '^\s*([+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?)', 1), '') AS DOUBLE) AS priority FROM orders""")
+def parse_float(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", T.parse_float("o_orderpriority").alias("priority"))
+
+
+@_query("""
+SELECT c_nationkey, CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS INTEGER) AS i
+FROM customer QUALIFY c_acctbal > 0""")
+def decision_parse(spark, sf_dir):
+    rows = extract.ranked(table(spark, sf_dir, "customer"), ["c_custkey"], ["c_nationkey"], start=1)
+    said = F.concat(F.lit("(For question <|>"), F.col("i").cast("string"), F.lit("<|>, <|>"), F.when(F.col("c_acctbal") > 0, "Yes").otherwise("no"), F.lit("<|>)"))
+    response = rows.groupBy("c_nationkey").agg(F.array_join(F.collect_list(said), "##").alias("response"), F.count(F.lit(1)).alias("n"))
+    return response.select("c_nationkey", F.explode(T.decisions("response", F.col("n"))).alias("i"))
+
+
+_REPORT = """SELECT p_partkey, p_name AS title, CAST(p_size % 13 AS DOUBLE) AS rating,
+  '# ' || p_name || chr(10) || chr(10) || p_brand || chr(10) || chr(10) || '## ' || p_type || chr(10) || chr(10) || p_brand AS report
+FROM part WHERE p_size % 13 <= 10"""
+
+
+@_query(_REPORT)
+def report_json_validate(spark, sf_dir):
+    reply = F.format_string('Here it is: ```json\n{"title": "%s", "summary": "%s", "rating": %d, "rating_explanation": "by size", "findings": [{"summary": "%s", "explanation": "%s",},], "other": 1}\n```', "p_name", "p_brand", F.col("p_size") % 13, "p_type", "p_brand")
+    parsed = table(spark, sf_dir, "part").withColumn("r", T.report(reply)).filter("r is not null")
+    return parsed.select("p_partkey", F.col("r.title").alias("title"), F.col("r.rating").alias("rating"), T.report_markdown("r").alias("report"))
+
+
+@_query("SELECT p_partkey, p_name AS answer, p_brand || '|' || p_type AS entities FROM part")
+def answer_split(spark, sf_dir):
+    reply = F.concat("p_name", F.lit('\n ["'), "p_brand", F.lit('", "'), "p_type", F.lit('"]'))
+    return table(spark, sf_dir, "part").select("p_partkey", T.answer_text(reply).alias("answer"), F.array_join(T.answer_entities(reply), "|").alias("entities"))
+
+
+# -- Loading -------------------------------------------------------------------
+
+
+@_query("SELECT doc_id, coalesce(nullif(text, ''), nullif(source, '')) AS content FROM documents")
+def csv_text_pick(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", loaders.picked_text(docs.select("text", "source", "lang")).alias("content"))
+
+
+@_query("SELECT doc_id, CASE WHEN length(text) > 800 THEN substr(text, 1, 800) || '...' ELSE text END AS content FROM documents")
+def truncate_text(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", loaders.truncated("text", loaders.LONGEST["slow"]).alias("content"))
+
+
+@_query(rf"""
+WITH c AS (SELECT item_id, regexp_replace(regexp_replace(text, '{_W}+', ' ', 'g'), '^{_W}+|{_W}+$', '', 'g') AS content FROM benchmark)
+SELECT item_id, content FROM c WHERE length(content) >= 10""")
+def clean_validate(spark, sf_dir):
+    return table(spark, sf_dir, "benchmark").select("item_id", loaders.validated("text").alias("content")).filter("content is not null")
+
+
+@_query(rf"""
+WITH c AS (SELECT doc_id, regexp_replace(regexp_replace(text, '{_W}+', ' ', 'g'), '^{_W}+|{_W}+$', '', 'g') AS chunk FROM documents)
+SELECT doc_id, 0 AS chunk_seq, chunk FROM c WHERE length(chunk) > 50""")
+def paragraph_chunk(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(loaders.chunked_paragraphs("text")).alias("chunk_seq", "chunk"))
+
+
+@_query()
+def markdown_pack(spark, sf_dir):
+    """Lines of a document as paragraphs, packed to 1000 characters."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(loaders.packed_paragraphs(F.replace("text", F.lit("\n"), F.lit("\n\n")))).alias("chunk_seq", "chunk"))
+
+
+@_query("SELECT conv_id, turn, CASE role WHEN 'assistant' THEN 'model' ELSE role END AS role, md5('model-1:' || text) AS key FROM conversations")
+def cache_key(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", store.chat_role("role").alias("role"), store.cache_key("model-1", "text").alias("key"))
+
+
+@_query("""
+WITH n AS (SELECT max(ts) AS now FROM events)
+SELECT event_id, CAST(floor(epoch(now - ts) / 3600) AS BIGINT) AS age_hours FROM events, n WHERE ts >= now - INTERVAL 24 HOUR""")
+def cache_ttl(spark, sf_dir):
+    events = table(spark, sf_dir, "events")
+    now = events.agg(F.max("ts").alias("now"))
+    rows = events.crossJoin(F.broadcast(now))
+    return rows.filter(store.fresh("ts", F.col("now"))).select("event_id", store.age_hours("ts", F.col("now")).alias("age_hours"))
+
+
+@_query("SELECT count(*) AS entries, CAST(sum(octet_length(encode(props))) AS BIGINT) AS bytes, round(sum(octet_length(encode(props))) / (1024 * 1024), 2) AS megabytes FROM events")
+def cache_statistics(spark, sf_dir):
+    return store.cache_stats(table(spark, sf_dir, "events"), "props")
+
+
+@_query("""
+SELECT 'C:' || c_custkey AS id, CASE WHEN c_acctbal > 0 THEN 'NEW' ELSE 'OLD' END AS entity_type FROM customer
+UNION ALL SELECT 'S:' || s_suppkey, 'NEW' FROM supplier""")
+def upsert_nodes(spark, sf_dir):
+    customers = table(spark, sf_dir, "customer")
+    key = F.concat(F.lit("C:"), F.col("c_custkey").cast("string")).alias("id")
+    new = customers.filter("c_acctbal > 0").select(key, F.lit("NEW").alias("entity_type")).unionByName(
+        table(spark, sf_dir, "supplier").select(F.concat(F.lit("S:"), F.col("s_suppkey").cast("string")).alias("id"), F.lit("NEW").alias("entity_type")))
+    return store.upserted(customers.select(key, F.lit("OLD").alias("entity_type")), new, ["id"])
+
+
+# -- Merging -------------------------------------------------------------------
+
+
+@_query(f"WITH {GRAPH_SQL} SELECT * FROM nodes")
+def node_merge(spark, sf_dir):
+    return extract.merged_nodes(extract.entity_mentions(extract.record_rows(replies(spark, sf_dir)))).select("id", "entity_type", "description", _joined("source_ids"))
+
+
+@_query(f"WITH {GRAPH_SQL} SELECT * FROM edges")
+def edge_merge(spark, sf_dir):
+    return extract.merged_edges(extract.relation_mentions(extract.record_rows(replies(spark, sf_dir)))).select("source", "target", "description", "weight", _joined("keywords"), _joined("source_ids"))
+
+
+@_query(f"WITH {GRAPH_SQL} SELECT id, CAST(len(string_split(description, ' <SEP> ')) AS INTEGER) AS parts FROM nodes WHERE len(string_split(description, ' <SEP> ')) > 12")
+def summary_flag(spark, sf_dir):
+    nodes, _ = rag.build_graph(replies(spark, sf_dir))
+    return extract.to_summarise(nodes).select("id", F.size(F.split("description", r" \<SEP> ", -1)).alias("parts"))
+
+
+@_query(f"WITH {GRAPH_SQL}, p AS (SELECT * FROM nodes WHERE entity_type <> 'PERSON') SELECT e.source, e.target, e.weight FROM edges e WHERE source IN (SELECT id FROM p) AND target IN (SELECT id FROM p)")
+def endpoint_semi_join(spark, sf_dir):
+    nodes, edges = rag.build_graph(replies(spark, sf_dir))
+    return store.linked_edges(edges, nodes.filter("entity_type != 'PERSON'")).select("source", "target", "weight")
+
+
+@_query("SELECT CAST(sum(length(text)) AS BIGINT) AS characters FROM conversations")
+def token_count(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations")
+    return extract.reply_size(turns.select(F.when(F.col("role") != "assistant", F.col("text")).otherwise("").alias("prompt"), F.when(F.col("role") == "assistant", F.col("text")).otherwise("").alias("response")))
+
+
+# -- Search --------------------------------------------------------------------
+
+
+def _items(spark, sf_dir) -> DataFrame:
+    """The stored graph's items: searches read them more than once."""
+    nodes, edges = rag.build_graph(replies(spark, sf_dir))
+    return written(search.items(nodes, edges))
+
+
+_ITEMS = f"""{GRAPH_SQL}, items AS (
+  SELECT 'node' AS type, id, {_NORM.format("id || ' ' || description")} AS t FROM nodes
+  UNION ALL SELECT 'edge', source || '|' || target, {_NORM.format("source || ' ' || target || ' ' || description")} FROM edges)"""
+
+
+def _grams_sql(n: int, text: str = "t") -> str:
+    return f"list_filter(list_transform(range(1, greatest(length({text}) - {n - 2}, 1)), lambda i: substr({text}, i, {n})), lambda g: length(trim(g)) = {n})"
+
+
+_KEYWORDS = "list_distinct(list_filter(string_split({0}, ' '), lambda w: length(w) >= 2))"
+
+
+def _postings_sql(terms: str) -> str:
+    return f"SELECT term, type, id, count(*) AS tf FROM (SELECT type, id, unnest({terms}) AS term FROM items) GROUP BY ALL"
+
+
+_SEARCH = f"""{_ITEMS},
+q AS (SELECT {_NORM.format("'" + QUESTION + "'")} AS t),
+qb AS (SELECT g AS term, count(*) AS qtf FROM (SELECT unnest({_grams_sql(2)}) AS g FROM q) GROUP BY g),
+qk AS (SELECT unnest({_KEYWORDS.format("t")}) AS term FROM q),
+pb AS ({_postings_sql(_grams_sql(2))}),
+pk AS ({_postings_sql(_KEYWORDS.format("t"))}),
+b AS (SELECT type, id, CAST(sum(qtf * tf) AS BIGINT) AS score, sum(qtf * tf) / (SELECT sum(qtf) FROM qb) AS relevance FROM pb JOIN qb USING (term) GROUP BY ALL),
+k AS (SELECT type, id, count(*) AS score, count(*) / (SELECT count(*) FROM qk) AS relevance FROM pk JOIN qk USING (term) GROUP BY ALL)"""
+
+
+@_query(f"SELECT doc_id, {_NORM.format('text')} AS normalized FROM documents")
+def normalize_text(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.normalized("text").alias("normalized"))
+
+
+@_query(f"WITH {_ITEMS} {_postings_sql(_grams_sql(2))}")
+def bigram_index(spark, sf_dir):
+    return search.postings(_items(spark, sf_dir), "bigram")
+
+
+@_query(f"WITH {_ITEMS} {_postings_sql(_grams_sql(3))}")
+def trigram_index(spark, sf_dir):
+    return search.postings(_items(spark, sf_dir), "trigram")
+
+
+@_query(f"WITH {_ITEMS} {_postings_sql(_KEYWORDS.format('t'))}")
+def keyword_index(spark, sf_dir):
+    return search.postings(_items(spark, sf_dir), "keyword")
+
+
+@_query(f"""WITH {_ITEMS}
+SELECT 'bigram' AS "index", count(DISTINCT term) AS terms FROM ({_postings_sql(_grams_sql(2))})
+UNION ALL SELECT 'trigram', count(DISTINCT term) FROM ({_postings_sql(_grams_sql(3))})
+UNION ALL SELECT 'keyword', count(DISTINCT term) FROM ({_postings_sql(_KEYWORDS.format('t'))})""")
+def index_stats(spark, sf_dir):
+    return search.index_stats(search.index(_items(spark, sf_dir)))
+
+
+@_query(f"WITH {_SEARCH} SELECT type, id, score, round(relevance, 9) AS relevance FROM b")
+def bigram_search(spark, sf_dir):
+    return search.bigram_search(_items(spark, sf_dir), QUESTION).withColumn("relevance", F.round("relevance", 9))
+
+
+@_query(f"WITH {_SEARCH} SELECT type, id, score, round(relevance, 9) AS relevance FROM k")
+def keyword_search(spark, sf_dir):
+    return search.keyword_search(_items(spark, sf_dir), QUESTION).withColumn("relevance", F.round("relevance", 9))
+
+
+@_query(f"""WITH {_ITEMS}, f AS (SELECT type, id, {_NORM.format("id")} AS n FROM items)
+SELECT type, id, round(1 - levenshtein(lower('{NAME}'), n) / greatest(length('{NAME}'), length(n)), 9) AS similarity FROM f
+WHERE 1 - levenshtein(lower('{NAME}'), n) / greatest(length('{NAME}'), length(n)) >= 0.7""")
+def fuzzy_search(spark, sf_dir):
+    return search.fuzzy_search(_items(spark, sf_dir), NAME).withColumn("similarity", F.round("similarity", 9))
+
+
+@_query(f"""WITH {_SEARCH}
+SELECT type, id, round(sum(s), 9) AS total_score, string_agg(method, '+' ORDER BY method) AS methods
+FROM (SELECT type, id, 0.4::DOUBLE * relevance AS s, 'bigram' AS method FROM b UNION ALL SELECT type, id, 0.6::DOUBLE * relevance, 'keyword' FROM k)
+GROUP BY type, id ORDER BY total_score DESC, type, id LIMIT 50""")
+def combined_search(spark, sf_dir):
+    hits = search.combined_search(_items(spark, sf_dir), QUESTION)
+    return hits.select("type", "id", F.round("total_score", 9).alias("total_score"), F.array_join("methods", "+").alias("methods"))
+
+
+@_query(f"WITH {_SEARCH} SELECT type, id, round(relevance, 9) AS total_score, 'keyword' AS method FROM k ORDER BY total_score DESC, type, id LIMIT 50")
+def sequential_search(spark, sf_dir):
+    return search.sequential_search(_items(spark, sf_dir), QUESTION).withColumn("total_score", F.round("total_score", 9))
+
+
+@_query(f"""WITH {GRAPH_SQL} SELECT 'node' AS type, id, id || ' ' || description AS text FROM nodes WHERE contains(lower(id || ' ' || description), 'anre') OR contains(lower(id || ' ' || description), 'src17')
+UNION SELECT 'edge', source || '|' || target, source || ' ' || target || ' ' || description FROM edges WHERE contains(lower(source || ' ' || target || ' ' || description), 'anre') OR contains(lower(source || ' ' || target || ' ' || description), 'src17')""")
+def substring_search(spark, sf_dir):
+    return search.substring_search(_items(spark, sf_dir), "anre of src17")
+
+
+# -- Resolution ----------------------------------------------------------------
+
+#: Names to resolve: those of parts, by brand.
+_SIMILAR = r"""
+names_ AS (SELECT DISTINCT p_brand AS t, p_name AS n FROM part),
+cs AS (SELECT t, n, list_distinct(string_split(lower(n), '')) AS c FROM names_),
+sim AS (SELECT x.t AS entity_type, x.n AS a, y.n AS b, len(list_intersect(x.c, y.c)) AS i, len(x.c) + len(y.c) AS s FROM cs x JOIN cs y ON x.t = y.t AND x.n < y.n),
+pairs AS (SELECT entity_type, a, b FROM sim
+  WHERE levenshtein(lower(a), lower(b)) <= least(length(a), length(b)) // 2
+     OR (CASE WHEN greatest(length(a), length(b)) < 4 THEN i / (s - i) > 0.6 ELSE i / (s - i) >= 0.8 END))
+"""
+
+
+def _pairs(spark, sf_dir) -> DataFrame:
+    return resolve.similar_pairs(table(spark, sf_dir, "part").select(F.col("p_name").alias("id"), F.col("p_brand").alias("entity_type")))
+
+
+@_query(f"WITH {_SIMILAR} SELECT * FROM pairs")
+def similar_pairs(spark, sf_dir):
+    return _pairs(spark, sf_dir)
+
+
+@_query(f"WITH {_SIMILAR} SELECT entity_type, a, b, round(i / (s - i), 9) AS jaccard FROM sim JOIN pairs USING (entity_type, a, b)")
+def jaccard_chars(spark, sf_dir):
+    return _pairs(spark, sf_dir).withColumn("jaccard", F.round(T.jaccard_chars("a", "b"), 9))
+
+
+@_query(f"""WITH {_SIMILAR}, n AS (SELECT *, row_number() OVER (PARTITION BY entity_type ORDER BY a, b) - 1 AS r FROM pairs)
+SELECT entity_type, a, b, CAST(r // 50 AS INTEGER) AS batch, CAST(r % 50 + 1 AS INTEGER) AS i FROM n""")
+def pair_batches(spark, sf_dir):
+    return resolve.pair_batches(_pairs(spark, sf_dir))
+
+
+#: Names that differ in their last letter only are taken to be one entity.
+_MERGE_SQL = GRAPH_SQL + """,
+same AS (SELECT id AS member, min(id) OVER (PARTITION BY entity_type, substr(id, 1, length(id) - 1)) AS target, count(*) OVER (PARTITION BY entity_type, substr(id, 1, length(id) - 1)) AS n FROM nodes),
+mapping AS (SELECT member, target FROM same WHERE n > 1)
+"""
+
+
+def _to_merge(nodes: DataFrame) -> DataFrame:
+    stem = nodes.select("id", "entity_type", F.substring("id", F.lit(1), F.length("id") - 1).alias("stem"))
+    first = stem.groupBy("entity_type", "stem").agg(F.min("id").alias("a"))
+    return stem.join(first, ["entity_type", "stem"]).filter("id != a").select("a", F.col("id").alias("b"))
+
+
+@_query(f"WITH {_MERGE_SQL} SELECT * FROM mapping")
+def merge_components(spark, sf_dir):
+    nodes, _ = rag.build_graph(replies(spark, sf_dir))
+    return resolve.canonical(_to_merge(nodes), written)
+
+
+@_query(f"""WITH {_MERGE_SQL},
+m AS (SELECT coalesce(x.target, e.source) AS s, coalesce(y.target, e.target) AS t, e.* FROM edges e LEFT JOIN mapping x ON e.source = x.member LEFT JOIN mapping y ON e.target = y.member),
+r AS (SELECT least(s, t) AS a, greatest(s, t) AS b, description, weight, row_number() OVER (PARTITION BY least(s, t), greatest(s, t) ORDER BY (source <> s OR target <> t), source, target) AS n FROM m)
+SELECT a AS source, b AS target, description, weight FROM r WHERE n = 1""")
+def merge_graph(spark, sf_dir):
+    nodes, edges = rag.build_graph(replies(spark, sf_dir))
+    nodes, edges = written(nodes), written(edges)
+    _, merged = resolve.merged_graph(nodes, edges, resolve.canonical(_to_merge(nodes), written))
+    return merged.select("source", "target", "description", "weight")
+
+
+@_query(f"""WITH {_MERGE_SQL}, p AS (SELECT coalesce(m.target, n.id) AS id, n.id AS old, n.description, n.entity_type FROM nodes n LEFT JOIN mapping m ON n.id = m.member)
+SELECT id, max(entity_type) FILTER (id = old) AS entity_type, string_agg(description, ' <SEP> ' ORDER BY (id <> old), old) AS description FROM p GROUP BY id""")
+def merge_nodes(spark, sf_dir):
+    nodes, edges = rag.build_graph(replies(spark, sf_dir))
+    nodes = written(nodes)
+    merged, _ = resolve.merged_graph(nodes, edges, resolve.canonical(_to_merge(nodes), written))
+    return merged.select("id", "entity_type", "description")
+
+
+# -- Graph ---------------------------------------------------------------------
+
+
+@_query(f"WITH {RELATIONAL_SQL} SELECT node, round(coalesce(k, 0), 6) AS k FROM rnodes LEFT JOIN rk USING (node)")
+def degree(spark, sf_dir):
+    return graph.degrees(relational_edges(spark, sf_dir), relational_nodes(spark, sf_dir)).withColumn("k", F.round("k", 6))
+
+
+@_query(f"""WITH {RELATIONAL_SQL}, l AS (SELECT a AS community, sum(weight) AS l FROM rp WHERE a = b GROUP BY a)
+SELECT round(sum(coalesce(l, 0) / m - tot * tot / (4 * m * m)), 9) AS q FROM rtot LEFT JOIN l USING (community), rm_""")
+def modularity(spark, sf_dir):
+    return graph.modularity(relational_edges(spark, sf_dir), relational_nodes(spark, sf_dir)).select(F.round("q", 9).alias("q"))
+
+
+@_query(f"""WITH {RELATIONAL_SQL},
+kin AS (SELECT node, community, sum(w) AS kin FROM (
+  SELECT src AS node, b AS community, weight AS w FROM rp UNION ALL SELECT dst, a, weight FROM rp UNION ALL SELECT node, community, 0 FROM rnodes) GROUP BY ALL)
+SELECT kin.node, kin.community, round(kin / m - k * (tot - CASE WHEN kin.community = o.community THEN k ELSE 0 END) / (2 * m * m), 12) AS gain
+FROM kin JOIN rk USING (node) JOIN rnodes o ON o.node = kin.node JOIN rtot ON rtot.community = kin.community, rm_""")
+def delta_q(spark, sf_dir):
+    return graph.gains(relational_edges(spark, sf_dir), relational_nodes(spark, sf_dir)).select("node", "community", F.round("gain", 12).alias("gain"))
+
+
+@_query(f"WITH {RELATIONAL_SQL} SELECT least(a, b) AS src, greatest(a, b) AS dst, round(sum(weight), 6) AS weight FROM rp GROUP BY ALL")
+def aggregate_graph(spark, sf_dir):
+    _, merged = graph.aggregated(relational_edges(spark, sf_dir), relational_nodes(spark, sf_dir))
+    return merged.withColumn("weight", F.round("weight", 6))
+
+
+def _rounds_sql(rounds: int) -> str:
+    """Least labels passed along the text graph's edges, round by round."""
+    parts = ["both_ AS MATERIALIZED (SELECT source AS a, target AS b FROM edges UNION SELECT target, source FROM edges)", "c0 AS MATERIALIZED (SELECT id AS node, id AS c FROM nodes)"]
+    for i in range(rounds):
+        parts.append(f"c{i + 1} AS MATERIALIZED (SELECT x.node, least(x.c, coalesce(min(y.c), x.c)) AS c FROM c{i} x LEFT JOIN both_ ON both_.a = x.node LEFT JOIN c{i} y ON y.node = both_.b GROUP BY x.node, x.c)")
+    return ", ".join(parts)
+
+
+_ROUNDS = 40
+_CC = f"{GRAPH_SQL}, {_rounds_sql(_ROUNDS)}"
+
+
+def _text_graph(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    nodes, edges = rag.build_graph(replies(spark, sf_dir))
+    return written(nodes.select(F.col("id").alias("node"), "description")), written(edges.select(F.col("source").alias("src"), F.col("target").alias("dst"), "weight", "description"))
+
+
+@_query(f"WITH {_CC} SELECT node, c AS component FROM c{_ROUNDS}")
+def components(spark, sf_dir):
+    nodes, edges = _text_graph(spark, sf_dir)
+    return connected_components(edges, written, nodes=nodes)
+
+
+@_query(f"""WITH {_CC}, big AS (SELECT c FROM c{_ROUNDS} GROUP BY c ORDER BY count(*) DESC, c LIMIT 1)
+SELECT source AS src, target AS dst, weight FROM edges JOIN c{_ROUNDS} x ON x.node = source WHERE x.c IN (SELECT c FROM big)""")
+def largest_component(spark, sf_dir):
+    nodes, edges = _text_graph(spark, sf_dir)
+    return graph.largest_component(nodes, edges, written)[1].select("src", "dst", "weight")
+
+
+def _pagerank_sql(rounds: int) -> str:
+    parts = ["o AS (SELECT src AS node, sum(weight) AS w FROM redges GROUP BY src)", "n_ AS (SELECT count(*) AS n FROM rnodes)", "r0 AS MATERIALIZED (SELECT node, 1.0::DOUBLE / n AS r FROM rnodes, n_)"]
+    for i in range(rounds):
+        parts.append(f"""i{i} AS MATERIALIZED (SELECT dst AS node, sum(r * weight / w) AS v FROM redges JOIN r{i} ON r{i}.node = src JOIN o ON o.node = src GROUP BY dst),
+d{i} AS MATERIALIZED (SELECT coalesce(sum(r), 0) AS lost FROM r{i} WHERE node NOT IN (SELECT node FROM o)),
+r{i + 1} AS MATERIALIZED (SELECT r{i}.node, 0.15 / n + 0.85 * (coalesce(v, 0) + lost / n) AS r FROM r{i} LEFT JOIN i{i} USING (node), n_, d{i})""")
+    return ", ".join(parts)
+
+
+@_query(f"WITH {RELATIONAL_SQL}, {_pagerank_sql(5)} SELECT node, round(r, 12) AS pagerank FROM r5")
+def pagerank(spark, sf_dir):
+    nodes, edges = relational_nodes(spark, sf_dir), relational_edges(spark, sf_dir)
+    return graph.pagerank(nodes, edges, written, rounds=5, tolerance=None).withColumn("pagerank", F.round("pagerank", 12))
+
+
+@_query(f"""WITH {RELATIONAL_SQL}, s AS (SELECT community, sum(k) AS s FROM rk JOIN rnodes USING (node) GROUP BY community)
+SELECT 0 AS level, community, round(s / (SELECT max(s) FROM s), 9) AS weight FROM s""")
+def community_weight(spark, sf_dir):
+    members = graph.degrees(relational_edges(spark, sf_dir)).join(relational_nodes(spark, sf_dir), "node").select(F.lit(0).alias("level"), "community", F.col("k").alias("rank"), F.lit(1.0).alias("weight"))
+    return community.community_weights(members).withColumn("weight", F.round("weight", 9))
+
+
+@_query(f"""WITH {RELATIONAL_SQL}, r AS (SELECT community, node, round(k, 6) AS k, CAST(row_number() OVER (PARTITION BY community ORDER BY k DESC, node) - 1 AS INTEGER) AS i FROM rk JOIN rnodes USING (node))
+SELECT * FROM r WHERE i < 12""")
+def community_topk(spark, sf_dir):
+    members = graph.degrees(relational_edges(spark, sf_dir)).join(relational_nodes(spark, sf_dir), "node")
+    return community.top_members(members, 12, "k").select("community", "node", F.round("k", 6).alias("k"), "i")
+
+
+@_query(f"WITH {RELATIONAL_SQL} SELECT a AS community, src, dst, round(weight, 6) AS weight FROM rp WHERE a = b")
+def community_edges(spark, sf_dir):
+    return community.community_edges(relational_edges(spark, sf_dir), relational_nodes(spark, sf_dir)).select("community", "src", "dst", F.round("weight", 6).alias("weight"))
+
+
+@_query(f"""WITH {GRAPH_SQL}, k AS (SELECT id, substr(id, 1, 1) AS c FROM nodes),
+inner_ AS MATERIALIZED (SELECT e.source AS a, e.target AS b FROM edges e JOIN k x ON x.id = e.source JOIN k y ON y.id = e.target WHERE x.c = y.c),
+{_rounds_sql(_ROUNDS).replace("SELECT source AS a, target AS b FROM edges UNION SELECT target, source FROM edges", "SELECT a, b FROM inner_ UNION SELECT b, a FROM inner_")}
+SELECT node, c AS community FROM c{_ROUNDS}""")
+def community_split(spark, sf_dir):
+    nodes, edges = _text_graph(spark, sf_dir)
+    return community.split_communities(edges, nodes.select("node", F.substring("node", 1, 1).alias("community")), written)
+
+
+@_query(f"WITH {RELATIONAL_SQL} SELECT node, 'leiden_community_' || community AS communities FROM rnodes")
+def annotate_communities(spark, sf_dir):
+    nodes = relational_nodes(spark, sf_dir)
+    return community.annotated(nodes.select("node"), nodes).select("node", _joined("communities"))
+
+
+# -- Insights and viewers ------------------------------------------------------
+
+
+@_query(f"WITH {GRAPH_SQL} SELECT entity_type, count(*) AS n FROM nodes GROUP BY entity_type")
+def type_histogram(spark, sf_dir):
+    nodes, _ = rag.build_graph(replies(spark, sf_dir))
+    return report.type_histogram(nodes, "OTHER")
+
+
+@_query(f"WITH {GRAPH_SQL} SELECT count(*) AS edges, max(weight) AS max_weight, round(avg(weight), 2) AS mean_weight FROM edges")
+def edge_insights(spark, sf_dir):
+    _, edges = rag.build_graph(replies(spark, sf_dir))
+    return report.edge_insights(edges)
+
+
+@_query(f"WITH {GRAPH_SQL} SELECT (SELECT count(*) FROM nodes) AS nodes, (SELECT count(*) FROM edges) AS edges, true AS ok")
+def graph_verification(spark, sf_dir):
+    return report.verified(*rag.build_graph(replies(spark, sf_dir)))
+
+
+@_query(f"""WITH {GRAPH_SQL} SELECT id, id AS label, description AS title, entity_type AS "group",
+CASE entity_type WHEN 'PERSON' THEN '#ff6b6b' WHEN 'ORGANIZATION' THEN '#4ecdc4' ELSE '#96ceb4' END AS color FROM nodes""")
+def viz_nodes(spark, sf_dir):
+    nodes, _ = rag.build_graph(replies(spark, sf_dir))
+    return report.viz_nodes(nodes)
+
+
+@_query(f"""WITH {GRAPH_SQL} SELECT source || '|' || target AS id, source AS "from", target AS "to", description AS title, '' AS label, greatest(1.0, least(5.0, weight * 2))::DOUBLE AS width FROM edges""")
+def viz_edges(spark, sf_dir):
+    _, edges = rag.build_graph(replies(spark, sf_dir))
+    return report.viz_edges(edges)
+
+
+@_query(f"""WITH {GRAPH_SQL},
+mem AS (SELECT substr(id, 1, 2) AS community, id AS node, description, row_number() OVER (PARTITION BY substr(id, 1, 2) ORDER BY id) - 1 AS i FROM nodes),
+ed_ AS (SELECT substr(source, 1, 2) AS community, source, target, description, row_number() OVER (PARTITION BY substr(source, 1, 2) ORDER BY source, target) - 1 AS i FROM edges WHERE substr(source, 1, 2) = substr(target, 1, 2)),
+a AS (SELECT community, 'id,entity,description' || chr(10) || string_agg(i || ',' || node || ',"' || replace(description, '"', '""') || '"', chr(10) ORDER BY i) AS entities FROM mem GROUP BY 1),
+b AS (SELECT community, 'id,source,target,description' || chr(10) || string_agg(i || ',' || source || ',' || target || ',"' || replace(description, '"', '""') || '"', chr(10) ORDER BY i) AS relationships FROM ed_ GROUP BY 1)
+SELECT community, entities, coalesce(relationships, 'id,source,target,description') AS relationships FROM a LEFT JOIN b USING (community)""")
+def report_context(spark, sf_dir):
+    nodes, edges = _text_graph(spark, sf_dir)
+    members = nodes.select("node", "description", F.substring("node", 1, 2).alias("community"))
+    inside = community.community_edges(edges, members.select("node", "community"))
+    return report.report_context(extract.ranked(members, ["node"], ["community"]), inside)
+
+
+# -- Communities and whole pipelines: no SQL ------------------------------------
+
+
+def _ids(spark, sf_dir):
+    nodes, edges = _text_graph(spark, sf_dir)
+    return nodes.select("node"), edges.select("src", "dst", "weight")
+
+
+@_query()
+def leiden(spark, sf_dir):
+    nodes, edges = _ids(spark, sf_dir)
+    return community.leiden(nodes, edges, written, levels=1, rounds=6)
+
+
+@_query()
+def hierarchical_leiden(spark, sf_dir):
+    nodes, edges = _ids(spark, sf_dir)
+    return community.leiden(nodes, edges, written, levels=3, rounds=4)
+
+
+@_query()
+def louvain(spark, sf_dir):
+    nodes, edges = _ids(spark, sf_dir)
+    return community.louvain(nodes, edges, written, levels=2, rounds=4)
+
+
+@_query()
+def context_lines(spark, sf_dir):
+    nodes, edges = rag.build_graph(replies(spark, sf_dir))
+    nodes, edges = written(nodes), written(edges)
+    return rag.context_lines(search.combined_search(search.items(nodes, edges), QUESTION, 20), nodes, edges)
+
+
+@_query()
+def community_contexts(spark, sf_dir):
+    nodes, edges = rag.build_graph(replies(spark, sf_dir))
+    nodes, edges = written(nodes), written(edges)
+    communities = nodes.select(F.col("id").alias("node"), F.substring("id", 1, 2).alias("community"))
+    plain = edges.select(F.col("source").alias("src"), F.col("target").alias("dst"), "weight")
+    ranks = graph.pagerank(communities.select("node"), plain, written, rounds=5, tolerance=None)
+    return rag.community_contexts(nodes, edges, communities, ranks)
+
+
+def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flagship: from texts to a graph and a ranked answer to a question."""
+    return combined_search(spark, sf_dir)
+
+
+def queries() -> dict:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)

@@ -1 +1 @@
-
+"""Incremental ingest with Structured Streaming."""
