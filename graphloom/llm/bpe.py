@@ -5,13 +5,13 @@ they can stand side by side: when merging their joined bytes gives the two
 tokens back. A sequence of tokens is the encoding of its bytes exactly when
 all neighbours can. So an encoder can read bytes from left to right and hold,
 for each place where a token may have ended, the one valid way to get there:
-a nondeterministic transducer whose configurations are pairs (tokens since the
-last certain one, node of the trie of tokens that the open bytes have reached).
-``Transducer`` determinises it lazily: a state is the set of live
-configurations, and a step by a byte is computed when it is first taken and
-then kept. Tokens that all live configurations share are certain and emitted at
-once; no configuration has more open bytes than the longest token, which bounds
-the lookahead.
+a nondeterministic transducer whose configurations are pairs (last token, node
+of the trie of tokens that the open bytes have reached). ``Transducer``
+determinises it lazily: a state is the set of live configurations, and a step by
+a byte is computed when it is first taken and then kept, with what it does to
+the tokens that each configuration holds back. When all live configurations
+come from one, its tokens are certain and are emitted; no configuration has more
+open bytes than the longest token, which bounds the lookahead.
 
 **Decoding.** ``Decoder`` turns ids into text piece by piece with an
 incremental UTF-8 automaton: its state is the bytes of the character that is
@@ -28,11 +28,15 @@ import hashlib
 import re
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from graphloom.llm.shared import PRIVATE, filled
-from graphloom.llm.vocab import cut_at_spaces, read_ranks
+from graphloom.llm.vocab import KEPT, cut_at_spaces, read_ranks
+
+#: Ids decoded at a time.
+STRETCH = 8192
 
 #: Texts of these characters only are split by ``NEAR``, which is faster and the
 #: same there: of the numbers and white space on which libraries differ, it
@@ -56,20 +60,22 @@ def merged(piece: bytes, ranks: dict[bytes, int], below: int = 1 << 60) -> list[
 class Transducer:
     """Bytes to tokens of a rank file, determinised as far as inputs ask for."""
 
-    def __init__(self, ranks: dict[bytes, int], most_states: int = 300_000):
+    def __init__(self, ranks: dict[bytes, int], most_states: int = 200_000):
         self.ranks, self.most_states = ranks, most_states
-        # A trie by prefix number; node 0 is the empty prefix.
-        self.child: list[dict[int, int]] = [{}]
-        self.token: list[int | None] = [None]
+        # A trie: child[node << 8 | byte]; node 0 is the empty prefix.
+        self.child: dict[int, int] = {}
+        self.inner: list[bool] = [False]
+        self.token: list[int] = [-1]
         self.bytes_of: dict[int, bytes] = {}
         for token, rank in ranks.items():
             node = 0
             for byte in token:
-                nxt = self.child[node].get(byte)
+                self.inner[node] = True
+                nxt = self.child.get(node << 8 | byte)
                 if nxt is None:
-                    nxt = self.child[node][byte] = len(self.child)
-                    self.child.append({})
-                    self.token.append(None)
+                    nxt = self.child[node << 8 | byte] = len(self.token)
+                    self.inner.append(False)
+                    self.token.append(-1)
                 node = nxt
             self.token[node] = rank
             self.bytes_of[rank] = token
@@ -78,19 +84,17 @@ class Transducer:
         self._restart()
 
     def _restart(self) -> None:
-        #: state: (moves by byte, pending tokens at the end or None, configurations)
         self.numbers: dict[tuple, int] = {}
-        self.moves: list[dict[int, tuple[int, tuple[int, ...]]]] = []
-        self.final: list[tuple[int, ...] | None] = []
         self.configurations: list[tuple] = []
-        self._number((((-1,), 0),))
+        # By state << 8 | byte: the next state; the configuration that all come
+        # from, or -1; what becomes of the tokens held back.
+        self.moves: dict[int, tuple[int, int, list | tuple | None]] = {}
+        self._number(((-1, 0),))
 
     def _number(self, state: tuple) -> int:
         found = self.numbers.get(state)
         if found is None:
-            found = self.numbers[state] = len(self.moves)
-            self.moves.append({})
-            self.final.append(state[-1][0][1:] if state[-1][1] == 0 else None)
+            found = self.numbers[state] = len(self.configurations)
             self.configurations.append(state)
         return found
 
@@ -140,59 +144,95 @@ class Transducer:
             else:
                 y, y_until = b[0], y
 
-    def _move(self, number: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        """The step from a state by a byte: next state and the tokens now certain.
+    def _move(self, number: int, byte: int) -> tuple[int, int, list | tuple | None]:
+        """The step from a state by a byte.
 
-        A configuration's pending tokens follow the last emitted one (-1 at the
-        start), against which the next token is checked. Configurations stand in
-        the order in which their open bytes begin, the one without any last.
+        Configurations stand in the order in which their open bytes begin, the
+        one without any last. A last token of -1 is the start.
         """
-        after, ended = [], None
-        for pending, node in self.configurations[number]:
-            nxt = self.child[node].get(byte)
+        before = self.configurations[number]
+        after, plan, ended = [], [], None
+        for i, (last, node) in enumerate(before):
+            nxt = self.child.get(node << 8 | byte)
             if nxt is None:
                 continue
-            if self.child[nxt]:
-                after.append((pending, nxt))
+            if self.inner[nxt]:
+                after.append((last, nxt))
+                plan.append((i, -1))
             # There is one valid way to have a token end here.
             token = self.token[nxt]
-            if token is not None and ended is None and self.may_follow(pending[-1], token):
-                ended = (*pending, token), 0
+            if token >= 0 and ended is None and self.may_follow(last, token):
+                ended = i, token
         if ended:
-            after.append(ended)
-        first, certain = after[0][0], 0
-        if len(after) == 1:
-            certain = len(first) - 1
+            after.append((ended[1], 0))
+            plan.append(ended)
+        certain = plan[0][0] if len({i for i, _ in plan}) == 1 else -1
+        if len(plan) == len(before) and all(step == (i, -1) for i, step in enumerate(plan)):
+            kept = None
+        elif certain >= 0:
+            kept = [() if token < 0 else ((), token) for _, token in plan]
         else:
-            while all(len(p) > certain + 1 and p[certain + 1] == first[certain + 1] for p, _ in after if len(first) > certain + 1) and len(first) > certain + 1:
-                certain += 1
-        emitted = first[1 : certain + 1]
-        state = tuple([(p[certain:], node) for p, node in after]) if certain else tuple(after)
-        found = self.moves[number][byte] = self._number(state), emitted
+            kept = tuple(plan)
+        found = self.moves[number << 8 | byte] = self._number(tuple(after)), certain, kept
         return found
 
     def encode(self, piece: bytes) -> list[int]:
-        if len(self.moves) > self.most_states:
+        if len(self.configurations) > self.most_states:
             self._restart()
         out: list[int] = []
+        # Tokens held back by each configuration, as (earlier ones, token).
+        held: list = [()]
         state, moves = 0, self.moves
         for byte in piece:
-            nxt = moves[state].get(byte)
-            if nxt is None:
-                nxt = self._move(state, byte)
-            state, emitted = nxt
-            if emitted:
-                out += emitted
-        out += self.final[state]
+            found = moves.get(state << 8 | byte)
+            if found is None:
+                found = self._move(state, byte)
+            state, certain, plan = found
+            if plan is None:
+                continue
+            if certain >= 0:
+                if held[certain]:
+                    out += _unwound(held[certain])
+                held = plan
+            else:
+                held = [held[i] if token < 0 else (held[i], token) for i, token in plan]
+        if held[-1]:
+            out += _unwound(held[-1])
         return out
 
 
+def _unwound(cell: tuple) -> list[int]:
+    tokens = []
+    while cell:
+        cell, token = cell
+        tokens.append(token)
+    tokens.reverse()
+    return tokens
+
+
 class Decoder:
     """Ids to text, incrementally; bytes that are no UTF-8 become U+FFFD."""
 
+    class State(dict):
+        """What has been read of an open character; by id, the next state and
+        the text that is whole with it."""
+
+        def __init__(self, decoder: Decoder, held: bytes):
+            self.decoder, self.held = decoder, held
+
+        def __missing__(self, i: int) -> tuple[Decoder.State, str]:
+            data = self.held + self.decoder.tokens[i]
+            whole = len(data) - self.decoder.open_tail(data)
+            found = self[i] = self.decoder.state(data[whole:]), data[:whole].decode("utf-8", "replace")
+            return found
+
     def __init__(self, tokens: dict[int, bytes]):
-        self.tokens = tokens
-        self.steps: dict[bytes, dict[int, tuple[bytes, str]]] = {b"": {}}
+        self.tokens, self.states = tokens, {}
+
+    def state(self, held: bytes) -> State:
+        if held not in self.states:
+            self.states[held] = self.State(self, held)
+        return self.states[held]
 
     @staticmethod
     def open_tail(held: bytes) -> int:
@@ -210,24 +250,23 @@ class Decoder:
                 return back if back == 1 or low <= held[-back + 1] <= high else 0
         return 0
 
-    def decode(self, ids: Iterable[int]) -> Iterator[str]:
-        """Pieces of text, each as soon as its characters are whole."""
-        state = b""
-        steps = self.steps[b""]
+    def feed(self, state: State, ids: Iterable[int]) -> tuple[State, str]:
+        """The next stretch of a stream: the state after it and the text of all
+        characters that are whole by then."""
+        out = []
         for i in ids:
-            found = steps.get(i)
-            if found is None:
-                held = state + self.tokens[i]
-                tail = self.open_tail(held)
-                rest = held[len(held) - tail :] if tail else b""
-                found = steps[i] = rest, held[: len(held) - tail].decode("utf-8", "replace")
-                self.steps.setdefault(rest, {})
-            state, text = found
-            steps = self.steps[state]
-            if text:
-                yield text
-        if state:
-            yield state.decode("utf-8", "replace")
+            state, text = state[i]
+            out.append(text)
+        return state, "".join(out)
+
+    def decode(self, stretches: Iterable[Iterable[int]]) -> Iterator[str]:
+        """Text of a stream of stretches of ids, as it becomes whole."""
+        state = self.state(b"")
+        for ids in stretches:
+            state, text = self.feed(state, ids)
+            yield text
+        if state.held:
+            yield state.held.decode("utf-8", "replace")
 
 
 @functools.lru_cache(maxsize=2)
@@ -243,7 +282,7 @@ def coder(path: str, pattern: str):
 
     class Pieces(dict):
         def __missing__(self, piece: str) -> bytes:
-            if len(self) >= 400_000:
+            if len(self) >= KEPT:
                 self.clear()
             found = b"".join([four[i] for i in machine.encode(piece.encode("utf-8"))])
             if len(piece) <= 40:
@@ -279,17 +318,12 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
                 number.append(len(held) // 4)
                 ids_sha.append(hashlib.sha256(held).hexdigest())
                 out = hashlib.sha256()
-                # A stretch of ids at a time, as a stream would come.
-                ids = memoryview(held).cast("I") if _LITTLE else [int.from_bytes(held[i : i + 4], "little") for i in range(0, len(held), 4)]
-                out.update("".join(decoder.decode(ids)).encode("utf-8"))
+                ids = np.frombuffer(held, "<u4")
+                for piece in decoder.decode(ids[at : at + STRETCH].tolist() for at in range(0, len(ids), STRETCH)):
+                    out.update(piece.encode("utf-8"))
                 text_sha.append(out.hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(number, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
 
     rows = docs.select(id_col, filled(text_col).alias(PRIVATE + "text"))
     kind = rows.schema[id_col].dataType.simpleString()
     return rows.mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
-
-
-import sys  # noqa: E402
-
-_LITTLE = sys.byteorder == "little"
