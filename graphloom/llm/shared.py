@@ -1,54 +1,18 @@
-"""Helpers that the training-data operators share: the cluster's shared folder
-and tables written there to cut lineage."""
+"""What the training-data operators share."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Name prefix of working columns, so that they don't clash with a table's own.
-PRIVATE = "__gl_"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where that setting is absent (tests on one machine) a temporary
-    folder is made and set for the session's context.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = getattr(spark.sparkContext, "_graphloom_shared", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="graphloom-")
-        spark.sparkContext._graphloom_shared = found
-    return found.rstrip("/")
-
+from graphloom.sources.shared import fresh_path, shared_dir, table, written
 
-def fresh_path(spark: SparkSession, name: str) -> str:
-    """A path under the shared folder that nothing has used yet."""
-    return f"{shared_dir(spark)}/graphloom/{name}-{uuid.uuid4().hex}"
+__all__ = ["PRIVATE", "filled", "fresh_path", "shared_dir", "table", "written"]
 
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back.
-
-    Later stages start from these files, so a lost executor costs at most the
-    running stage and work above this line is done once.
-    """
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Name prefix of working columns, so that they don't clash with a table's own.
+PRIVATE = "__gl_"
 
 
 def filled(text: Column | str) -> Column:
     """A text column with null read as the empty text."""
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
