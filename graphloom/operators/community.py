@@ -2,9 +2,9 @@
 
 Local moving is done by all nodes at once instead of one after another: each
 round weighs every node's neighbouring communities by their gain in modularity
-and moves those for which another one is strictly better. Nodes take turns (by
-a seeded hash, half of them a round), as two neighbours that swap gain nothing,
-and a round that doesn't raise modularity is taken back and ends the pass.
+and those for which another one is strictly better want to move. Of neighbours
+that want to, only the one of highest seeded rank moves in a round, as two that
+swap gain nothing; a round that doesn't raise modularity is taken back.
 Leiden then splits communities that aren't connected, so that every community
 is. Communities become the nodes of the next level, up to ``levels`` times.
 No group of rows is gathered anywhere; a level's tables are written once per
@@ -24,20 +24,27 @@ def local_moving(edges: DataFrame, communities: DataFrame, cut: Cut, rounds: int
     """Communities after moving nodes as long as it raises modularity."""
     q = modularity(edges, communities, gamma).first()[0]
     misses = 0
+    pairs = edges.filter("src != dst").select("src", "dst")
+    pairs = pairs.union(pairs.select("dst", "src"))
     for r in range(rounds):
         options = gains(edges, communities, gamma)
         best = options.groupBy("node").agg(
-            F.max_by("community", F.struct("gain", F.col("community") == F.col("own"), "community")).alias("to"), F.max("gain").alias("best"), F.max(F.when(F.col("community") == F.col("own"), F.col("gain"))).alias("stay"), F.first("own").alias("own")
+            F.max_by("community", F.struct("gain", F.col("community") == F.col("own"), "community")).alias("to"), F.max("gain").alias("best"), F.max(F.when(F.col("community") == F.col("own"), F.col("gain"))).alias("stay")
         )
-        turn = F.pmod(F.xxhash64(F.col("node").cast("string"), F.lit(seed + r)), F.lit(2)) == 0
-        moved = best.select("node", F.when(turn & (F.col("best") > F.col("stay") + least) & (F.col("best") > 0), F.col("to")).otherwise(F.col("own")).alias("community"))
-        after = cut(communities.select("node").join(moved, "node", "left").join(communities.withColumnRenamed("community", "was"), "node").select("node", F.coalesce("community", "was").alias("community")))
+        rank = F.struct(F.xxhash64(F.col("node").cast("string"), F.lit(seed + r)).alias("r"), F.col("node"))
+        wanting = cut(best.filter((F.col("best") > F.col("stay") + least) & (F.col("best") > 0)).select("node", "to", rank.alias("rank")))
+        if wanting.isEmpty():
+            break
+        ranks = wanting.select(F.col("node").alias("dst"), F.col("rank").alias("other"))
+        rivals = pairs.join(ranks, "dst").groupBy(F.col("src").alias("node")).agg(F.max("other").alias("rival"))
+        moved = wanting.join(rivals, "node", "left").filter(F.col("rival").isNull() | (F.col("rank") > F.col("rival"))).select("node", "to")
+        after = cut(communities.select("node", "community").join(moved, "node", "left").select("node", F.coalesce("to", "community").alias("community")))
         q_after = modularity(edges, after, gamma).first()[0]
         if q_after > q + least:
             communities, q, misses = after, q_after, 0
         else:
             misses += 1
-            if misses == 2:
+            if misses == 3:
                 break
     return communities, q
 
