@@ -228,6 +228,7 @@ def sanitised(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
     Only texts with spans are rewritten. Spans belong to a text, so rows meet
     theirs by the text's digest; a digest's spans are one row.
     """
-    spans = pii_spans(docs, text_col, **options).filter("size(spans) > 0").dropDuplicates([_KEY])
+    mine = PRIVATE + "spans"
+    spans = pii_spans(docs, text_col, **options).filter("size(spans) > 0").dropDuplicates([_KEY]).withColumnRenamed("spans", mine)
     rows = docs.withColumn(_KEY, F.sha2(filled(text_col), 256)).join(spans, _KEY, "left")
-    return rows.withColumn(text_col, F.when(F.col("spans").isNull(), F.col(text_col)).otherwise(redacted(filled(text_col), F.col("spans")))).select(*docs.columns)
+    return rows.withColumn(text_col, F.when(F.col(mine).isNull(), F.col(text_col)).otherwise(redacted(filled(text_col), F.col(mine)))).select(*docs.columns)
