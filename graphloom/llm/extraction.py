@@ -12,7 +12,9 @@ say minus what the marginals expect) on labelled pages: those whose markup
 names its main part by ``article`` or ``main``. In that part, elements outside
 navigation, forms, comments and the like are content, everything else isn't.
 Half of the time a training page is shown with such names taken away, so that
-the model also learns from text, links and place. Training takes at most
+the model also learns from text, links and place; and each is also shown with
+comments, a form or the like put into its main part, and with that part cut
+short. Training takes at most
 ``sample_pages`` pages (a parameter), chosen by a hash of their id; every page
 is extracted, from its whole html.
 
@@ -278,12 +280,55 @@ def page_labels(elements: list[Element]) -> list[int] | None:
     return [int(m and not a) for m, a in zip(main, away)]
 
 
+#: What training pages may lack: containers inside the main part that aren't content.
+INTRUDERS = ("div class='comments'", "form", "aside", "div class='share'", "section id='related'", "nav", "div class='newsletter'", "footer", "div class='sidebar'", "header", "div class='cookie notice'", "section class='comment-list'")
+_MAIN = re.compile(r"(?i)<(?:article|main)\b[^>]*>")
+_MAIN_END = re.compile(r"(?i)</(?:article|main)\s*>")
+
+
+def intruded(page: str, number: int, texts: list[str]) -> str:
+    """The page with a container of other pages' text put at the start or the
+    end of its main part."""
+    opening = INTRUDERS[number % len(INTRUDERS)]
+    some = [texts[(7 * number + k) % len(texts)] for k in range(1 + number % 3)] if texts else ["text"]
+    block = f"<{opening}>" + "".join(f"<p>{entities.escape(t)}</p>" for t in some) + f"</{opening.split()[0]}>"
+    ends = [m.start() for m in _MAIN_END.finditer(page)]
+    first = _MAIN.search(page)
+    at = ends[-1] if ends and number % 2 else first.end()
+    return page[:at] + block + page[at:]
+
+
+def shortened(page: str, number: int, texts: list[str]) -> str:
+    """The page's main part cut to a few short paragraphs, for half of the
+    numbers without what stands around it."""
+    first = _MAIN.search(page)
+    ends = [m.start() for m in _MAIN_END.finditer(page)]
+    blocks = (" ".join(texts[(3 * number + k) % len(texts)].split()[: 1 + (number + 2 * k) % 6]) for k in range(1 + number % 4)) if texts else ["text"]
+    body = "".join(f"<p>{entities.escape(b)}</p>" for b in blocks)
+    if number % 2:
+        return first[0] + body
+    return page[: first.end()] + body + (page[ends[-1] :] if ends else "")
+
+
 def train(pages: list[str], epochs: int = 6, rate: float = 0.3) -> TreeModel:
+    """Fit on the labelled ones of the pages. Each is shown as it is, without
+    its names, with something put into its main part that isn't content, and
+    with a short main part."""
     model = TreeModel()
-    known = [(e, y) for e, y in ((e, page_labels(e)) for e, _ in map(read_page, pages)) if y]
+    known = []
+    texts = [t for p in pages[:100] for _, t in read_page(p)[1]]
+    for i, page in enumerate(pages):
+        elements, _ = read_page(page)
+        if labels := page_labels(elements):
+            short = shortened(page, i, texts)
+            made = [read_page(p)[0] for p in (intruded(page, i, texts), short, intruded(short, i + 1, texts))]
+            known.append((elements, labels, [(e, page_labels(e), features(e)) for e in made]))
     for epoch in range(epochs):
-        for i, (elements, labels) in enumerate(known):
-            model.learn(elements, labels, features(elements, nameless=(i + epoch) % 2 == 1), rate / (1 + epoch))
+        for i, (elements, labels, made) in enumerate(known):
+            pace = rate / (1 + epoch)
+            model.learn(elements, labels, features(elements, nameless=(i + epoch) % 2 == 1), pace)
+            for e, y, f in made:
+                model.learn(e, y, f, pace)
     model.weights, model.pair = dict(model.weights), dict(model.pair)
     return model
 

@@ -108,14 +108,13 @@ class Archive:
     def _begin(self) -> None:
         import zstandard
 
-        trained = None
         try:
             trained = zstandard.train_dictionary(DICTIONARY_BYTES, self._waiting)
         except zstandard.ZstdError:
-            pass  # too few records: the archive has no dictionary frame
-        if trained is not None:
-            held = trained.as_bytes()
-            self._out.write(struct.pack("<II", DICTIONARY_FRAME, len(held)) + held)
+            # Too few or too equal records to train on: their beginning is the dictionary.
+            trained = zstandard.ZstdCompressionDict(b"".join(self._waiting[:64])[:DICTIONARY_BYTES], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        held = trained.as_bytes()
+        self._out.write(struct.pack("<II", DICTIONARY_FRAME, len(held)) + held)
         self._compressor = zstandard.ZstdCompressor(level=3, dict_data=trained, write_checksum=True, write_content_size=True)
         for data in self._waiting:
             self._out.write(self._compressor.compress(data))

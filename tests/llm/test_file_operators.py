@@ -124,7 +124,7 @@ def test_archive_round_trip(tmp_path):
             archive.add(warc.record(i, url, body, None, "2024-01-01T00:00:00Z"))
         archive.close()
         held = (tmp_path / f"{number}.warc.zst").read_bytes()
-        assert (held[:4] == b"\x5d\x2a\x4d\x18") is (number == 3000)
+        assert held[:4] == b"\x5d\x2a\x4d\x18"
         got = list(warc.records(f"file://{tmp_path}/{number}.warc.zst", piece=1000))
         assert [b.partition(b"\r\n\r\n")[2] for _, b in got] == [p[2] for p in pages]
         assert got[0][0]["WARC-Target-URI"] == "http://x/0%20y"
@@ -133,7 +133,7 @@ def test_archive_round_trip(tmp_path):
             list(warc.records(f"file://{tmp_path}/cut.warc.zst"))
 
 
-@pytest.mark.parametrize("change", [lambda d: d.replace(b"WARC/1.1", b"WARC/9.9"), lambda d: d.replace(b"Content-Length: 9", b"Content-Length: 8"), lambda d: d.replace(b"WARC-Date", b"X-Date"), lambda d: d[:-1]])
+@pytest.mark.parametrize("change", [lambda d: d.replace(b"WARC/1.1", b"WARC/9.9"), lambda d: d.replace(b"Content-Length: 89", b"Content-Length: 88"), lambda d: d.replace(b"WARC-Date", b"X-Date"), lambda d: d[:-1]])
 def test_bad_records_are_refused(change):
     data = warc.record(1, "u", b"x" * 10, None, "d")
     assert warc.parsed(data)[0]["WARC-Type"] == "response"
@@ -161,11 +161,11 @@ def test_escaping_is_reversible(text):
     assert not re.search(rf"[<\[](?:{chat.CONTROL})", chat.escape(text))
 
 
-pieces = st.text(st.sampled_from(["<s>", "</s>", "[INST]", " [/INST]", "<<SYS>>", "<</SYS>>", "\n", "\\", "<", "a ", "<role>", "</role>"]), max_size=6)
+pieces = st.sampled_from(["<s>", "</s>", "[INST]", " [/INST]", "<<SYS>>", "<</SYS>>", "\n", "\\", "<", "a ", "<role>", "</role>"])
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.lists(st.tuples(st.sampled_from(["user", "assistant", "system", "tool", "", "</s>"]), st.lists(pieces, max_size=4).map("".join)), max_size=6), st.integers(1, 7))
+@given(st.lists(st.tuples(st.sampled_from(["user", "assistant", "system", "tool", "", "</s>"]), st.lists(pieces, max_size=6).map("".join)), max_size=6), st.integers(1, 7))
 def test_conversations_are_read_back(turns, step):
     text, spans = chat.render(chat.HOUSE, messages=[{"role": r, "text": t} for r, t in turns])
     got = []
