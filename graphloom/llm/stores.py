@@ -33,7 +33,7 @@ class Output:
     def __init__(self, uri: str):
         system, path = opened(uri)
         system.create_dir(posixpath.dirname(path), recursive=True)
-        self.uri, self.at, self._stream = uri, 0, system.open_output_stream(path)
+        self.uri, self.at, self._stream = uri, 0, system.open_output_stream(path, compression=None)
 
     def write(self, data: bytes) -> int:
         """Append; the place where the data starts."""

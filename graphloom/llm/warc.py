@@ -131,7 +131,7 @@ def records(uri: str, piece: int = 1 << 20) -> Iterator[tuple[dict[str, str], by
     import zstandard
 
     system, path = stores.opened(uri)
-    with system.open_input_stream(path) as source:
+    with system.open_input_stream(path, compression=None) as source:
         held = source.read(8)
         given = None
         if len(held) == 8 and struct.unpack("<I", held[:4])[0] == DICTIONARY_FRAME:
