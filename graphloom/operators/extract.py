@@ -16,20 +16,26 @@ POSITION = ("doc_id", "chunk_seq", "rec_seq")
 
 
 def record_rows(replies: DataFrame, reply: str = "response") -> DataFrame:
-    """A row per record of a reply, with its place."""
-    return replies.select("doc_id", "chunk_seq", F.posexplode(T.records(reply)).alias("rec_seq", "record"))
+    """A row per record of a reply, with its place: the ``record``, its cleaned
+    fields ``f`` (null where it isn't wrapped) and the ``last`` one as it is.
 
+    The fields are worked out before rows are made, so that what reads them
+    further on doesn't parse the record again.
+    """
+    def parsed(r):
+        inner = T.unwrapped(r)
+        raw = F.when(inner != "", T.fields(inner))
+        return F.struct(r.alias("record"), F.transform(raw, T.clean_str).alias("f"), F.element_at(raw, -1).alias("last"))
 
-def _parts(rows: DataFrame) -> DataFrame:
-    inner = rows.withColumn("inner", T.unwrapped("record")).filter("inner != ''")
-    return inner.select(*POSITION, T.fields("inner").alias("f"))
+    rows = replies.select("doc_id", "chunk_seq", F.posexplode(F.transform(T.records(reply), parsed)).alias("rec_seq", "r"))
+    return rows.select("doc_id", "chunk_seq", "rec_seq", "r.record", "r.f", "r.last")
 
 
 def entity_mentions(rows: DataFrame, types: tuple[str, ...] = TYPES) -> DataFrame:
     """Records of entities: at least four fields, a name, an allowed type."""
     f = F.col("f")
-    parsed = _parts(rows).filter((F.size(f) >= 4) & (T.clean_str(f[0]) == "entity")).select(
-        *POSITION, F.upper(T.clean_str(f[1])).alias("entity_name"), F.upper(T.clean_str(f[2])).alias("entity_type"), T.clean_str(f[3]).alias("description")
+    parsed = rows.filter((F.size(f) >= 4) & (F.get(f, F.lit(0)) == "entity")).select(
+        *POSITION, F.upper(f[1]).alias("entity_name"), F.upper(f[2]).alias("entity_type"), f[3].alias("description")
     )
     return parsed.filter((F.col("entity_name") != "") & F.lower("entity_type").isin([t.lower() for t in types])).withColumn("source_id", F.col("doc_id").cast("string"))
 
@@ -38,10 +44,10 @@ def relation_mentions(rows: DataFrame) -> DataFrame:
     """Records of relationships: at least five fields; the last one is the
     weight, 1 if it doesn't start with a number; ends in order of name."""
     f = F.col("f")
-    a, b = F.upper(T.clean_str(f[1])), F.upper(T.clean_str(f[2]))
-    return _parts(rows).filter((F.size(f) >= 5) & (T.clean_str(f[0]) == "relationship")).select(
-        *POSITION, F.least(a, b).alias("src_id"), F.greatest(a, b).alias("tgt_id"), F.coalesce(T.parse_float(F.element_at(f, -1)), F.lit(1.0)).alias("weight"),
-        T.clean_str(f[3]).alias("description"), T.clean_str(f[4]).alias("keywords"), F.col("doc_id").cast("string").alias("source_id"),
+    a, b = F.upper(f[1]), F.upper(f[2])
+    return rows.filter((F.size(f) >= 5) & (F.get(f, F.lit(0)) == "relationship")).select(
+        *POSITION, F.least(a, b).alias("src_id"), F.greatest(a, b).alias("tgt_id"), F.coalesce(T.parse_float("last"), F.lit(1.0)).alias("weight"),
+        f[3].alias("description"), f[4].alias("keywords"), F.col("doc_id").cast("string").alias("source_id"),
     )
 
 

@@ -63,7 +63,7 @@ WITH {MENTIONS_SQL}, e AS (
   FROM names a JOIN names b ON a.doc_id = b.doc_id AND a.chunk_seq = b.chunk_seq AND b.k = a.k + 1)
 SELECT doc_id, CAST(chunk_seq AS INTEGER) AS chunk_seq, CAST(row_number() OVER (PARTITION BY doc_id, chunk_seq ORDER BY kind, k) - 1 AS INTEGER) AS rec_seq, record FROM e""")
 def record_split(spark, sf_dir):
-    return extract.record_rows(replies(spark, sf_dir))
+    return extract.record_rows(replies(spark, sf_dir)).drop("f", "last")
 
 
 @_query(f"WITH {MENTIONS_SQL} SELECT doc_id, CAST(chunk_seq AS INTEGER) AS chunk_seq, CAST(rec_seq AS INTEGER) AS rec_seq, entity_name, entity_type, description, source_id FROM em")

@@ -13,14 +13,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.sources.shared import table
+from graphloom.sources.shared import spread, table
 
 KIND = ("person", "organization", "location")
 
 
 def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(doc_id, chunk_seq, response)``."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", F.posexplode(F.split("text", "\n", -1)).alias("chunk_seq", "line"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text"))
+    docs = docs.select("doc_id", "lang", "source", F.posexplode(F.split("text", "\n", -1)).alias("chunk_seq", "line"))
     names = F.filter(F.transform(F.split("line", " ", -1), lambda t: F.regexp_replace(t, r"[^A-Za-z]+\z", "")), lambda t: t.rlike(r"\A[A-Z][a-z]{3,}\z"))
     chunks = docs.withColumn("names", names).filter("size(names) > 0")
     kind = F.array(*map(F.lit, KIND))
