@@ -180,23 +180,23 @@ def upsert_nodes(spark, sf_dir):
 
 @_query(f"WITH {GRAPH_SQL} SELECT * FROM nodes")
 def node_merge(spark, sf_dir):
-    return extract.merged_nodes(extract.entity_mentions(extract.record_rows(replies(spark, sf_dir)))).select("id", "entity_type", "description", _joined("source_ids"))
+    return extract.merged_nodes(extract.entity_mentions(written(extract.record_rows(replies(spark, sf_dir))))).select("id", "entity_type", "description", _joined("source_ids"))
 
 
 @_query(f"WITH {GRAPH_SQL} SELECT * FROM edges")
 def edge_merge(spark, sf_dir):
-    return extract.merged_edges(extract.relation_mentions(extract.record_rows(replies(spark, sf_dir)))).select("source", "target", "description", "weight", _joined("keywords"), _joined("source_ids"))
+    return extract.merged_edges(extract.relation_mentions(written(extract.record_rows(replies(spark, sf_dir))))).select("source", "target", "description", "weight", _joined("keywords"), _joined("source_ids"))
 
 
 @_query(f"WITH {GRAPH_SQL} SELECT id, CAST(len(string_split(description, ' <SEP> ')) AS INTEGER) AS parts FROM nodes WHERE len(string_split(description, ' <SEP> ')) > 12")
 def summary_flag(spark, sf_dir):
-    nodes, _ = rag.build_graph(replies(spark, sf_dir))
+    nodes, _ = rag.build_graph(replies(spark, sf_dir), cut=written)
     return extract.to_summarise(nodes).select("id", F.size(F.split("description", r" \<SEP> ", -1)).alias("parts"))
 
 
 @_query(f"WITH {GRAPH_SQL}, p AS (SELECT * FROM nodes WHERE entity_type <> 'PERSON') SELECT e.source, e.target, e.weight FROM edges e WHERE source IN (SELECT id FROM p) AND target IN (SELECT id FROM p)")
 def endpoint_semi_join(spark, sf_dir):
-    nodes, edges = rag.build_graph(replies(spark, sf_dir))
+    nodes, edges = rag.build_graph(replies(spark, sf_dir), cut=written)
     return store.linked_edges(edges, nodes.filter("entity_type != 'PERSON'")).select("source", "target", "weight")
 
 
@@ -211,7 +211,7 @@ def token_count(spark, sf_dir):
 
 def _items(spark, sf_dir) -> DataFrame:
     """The stored graph's items: searches read them more than once."""
-    nodes, edges = rag.build_graph(replies(spark, sf_dir))
+    nodes, edges = rag.build_graph(replies(spark, sf_dir), cut=written)
     return written(search.items(nodes, edges))
 
 
@@ -354,7 +354,7 @@ def _to_merge(nodes: DataFrame) -> DataFrame:
 
 @_query(f"WITH {_MERGE_SQL} SELECT * FROM mapping")
 def merge_components(spark, sf_dir):
-    nodes, _ = rag.build_graph(replies(spark, sf_dir))
+    nodes, _ = rag.build_graph(replies(spark, sf_dir), cut=written)
     return resolve.canonical(_to_merge(nodes), written)
 
 
@@ -363,7 +363,7 @@ m AS (SELECT coalesce(x.target, e.source) AS s, coalesce(y.target, e.target) AS
 r AS (SELECT least(s, t) AS a, greatest(s, t) AS b, description, weight, row_number() OVER (PARTITION BY least(s, t), greatest(s, t) ORDER BY (source <> s OR target <> t), source, target) AS n FROM m)
 SELECT a AS source, b AS target, description, weight FROM r WHERE n = 1""")
 def merge_graph(spark, sf_dir):
-    nodes, edges = rag.build_graph(replies(spark, sf_dir))
+    nodes, edges = rag.build_graph(replies(spark, sf_dir), cut=written)
     nodes, edges = written(nodes), written(edges)
     _, merged = resolve.merged_graph(nodes, edges, resolve.canonical(_to_merge(nodes), written))
     return merged.select("source", "target", "description", "weight")
@@ -372,7 +372,7 @@ def merge_graph(spark, sf_dir):
 @_query(f"""WITH {_MERGE_SQL}, p AS (SELECT coalesce(m.target, n.id) AS id, n.id AS old, n.description, n.entity_type FROM nodes n LEFT JOIN mapping m ON n.id = m.member)
 SELECT id, max(entity_type) FILTER (id = old) AS entity_type, string_agg(description, ' <SEP> ' ORDER BY (id <> old), old) AS description FROM p GROUP BY id""")
 def merge_nodes(spark, sf_dir):
-    nodes, edges = rag.build_graph(replies(spark, sf_dir))
+    nodes, edges = rag.build_graph(replies(spark, sf_dir), cut=written)
     nodes = written(nodes)
     merged, _ = resolve.merged_graph(nodes, edges, resolve.canonical(_to_merge(nodes), written))
     return merged.select("id", "entity_type", "description")
@@ -420,7 +420,7 @@ _CC = f"{GRAPH_SQL}, {_rounds_sql(_ROUNDS)}"
 
 
 def _text_graph(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    nodes, edges = rag.build_graph(replies(spark, sf_dir))
+    nodes, edges = rag.build_graph(replies(spark, sf_dir), cut=written)
     return written(nodes.select(F.col("id").alias("node"), "description")), written(edges.select(F.col("source").alias("src"), F.col("target").alias("dst"), "weight", "description"))
 
 
@@ -491,31 +491,31 @@ def annotate_communities(spark, sf_dir):
 
 @_query(f"WITH {GRAPH_SQL} SELECT entity_type, count(*) AS n FROM nodes GROUP BY entity_type")
 def type_histogram(spark, sf_dir):
-    nodes, _ = rag.build_graph(replies(spark, sf_dir))
+    nodes, _ = rag.build_graph(replies(spark, sf_dir), cut=written)
     return report.type_histogram(nodes, "OTHER")
 
 
 @_query(f"WITH {GRAPH_SQL} SELECT count(*) AS edges, max(weight) AS max_weight, round(avg(weight), 2) AS mean_weight FROM edges")
 def edge_insights(spark, sf_dir):
-    _, edges = rag.build_graph(replies(spark, sf_dir))
+    _, edges = rag.build_graph(replies(spark, sf_dir), cut=written)
     return report.edge_insights(edges)
 
 
 @_query(f"WITH {GRAPH_SQL} SELECT (SELECT count(*) FROM nodes) AS nodes, (SELECT count(*) FROM edges) AS edges, true AS ok")
 def graph_verification(spark, sf_dir):
-    return report.verified(*rag.build_graph(replies(spark, sf_dir)))
+    return report.verified(*rag.build_graph(replies(spark, sf_dir), cut=written))
 
 
 @_query(f"""WITH {GRAPH_SQL} SELECT id, id AS label, description AS title, entity_type AS "group",
 CASE entity_type WHEN 'PERSON' THEN '#ff6b6b' WHEN 'ORGANIZATION' THEN '#4ecdc4' ELSE '#96ceb4' END AS color FROM nodes""")
 def viz_nodes(spark, sf_dir):
-    nodes, _ = rag.build_graph(replies(spark, sf_dir))
+    nodes, _ = rag.build_graph(replies(spark, sf_dir), cut=written)
     return report.viz_nodes(nodes)
 
 
 @_query(f"""WITH {GRAPH_SQL} SELECT source || '|' || target AS id, source AS "from", target AS "to", description AS title, '' AS label, greatest(1.0, least(5.0, weight * 2))::DOUBLE AS width FROM edges""")
 def viz_edges(spark, sf_dir):
-    _, edges = rag.build_graph(replies(spark, sf_dir))
+    _, edges = rag.build_graph(replies(spark, sf_dir), cut=written)
     return report.viz_edges(edges)
 
 
@@ -560,14 +560,14 @@ def louvain(spark, sf_dir):
 
 @_query()
 def context_lines(spark, sf_dir):
-    nodes, edges = rag.build_graph(replies(spark, sf_dir))
+    nodes, edges = rag.build_graph(replies(spark, sf_dir), cut=written)
     nodes, edges = written(nodes), written(edges)
     return rag.context_lines(search.combined_search(search.items(nodes, edges), QUESTION, 20), nodes, edges)
 
 
 @_query()
 def community_contexts(spark, sf_dir):
-    nodes, edges = rag.build_graph(replies(spark, sf_dir))
+    nodes, edges = rag.build_graph(replies(spark, sf_dir), cut=written)
     nodes, edges = written(nodes), written(edges)
     communities = nodes.select(F.col("id").alias("node"), F.substring("id", 1, 2).alias("community"))
     plain = edges.select(F.col("source").alias("src"), F.col("target").alias("dst"), "weight")

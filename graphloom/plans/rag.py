@@ -23,10 +23,13 @@ Question: {question}
 """
 
 
-def build_graph(replies: DataFrame, types: tuple[str, ...] = extract.TYPES) -> tuple[DataFrame, DataFrame]:
+def build_graph(replies: DataFrame, types: tuple[str, ...] = extract.TYPES, cut: Cut | None = None) -> tuple[DataFrame, DataFrame]:
     """Replies ``(doc_id, chunk_seq, response)`` to nodes and edges; edges
-    without both ends are left out."""
+    without both ends are left out. ``cut`` writes the parsed records, which
+    merging reads several times."""
     rows = extract.record_rows(replies)
+    if cut:
+        rows = cut(rows)
     nodes = extract.merged_nodes(extract.entity_mentions(rows, types))
     return nodes, linked_edges(extract.merged_edges(extract.relation_mentions(rows)), nodes)
 
@@ -75,7 +78,7 @@ def run_pipeline(replies: DataFrame, cut: Cut) -> dict[str, DataFrame]:
     from graphloom.operators.community import leiden
     from graphloom.operators.graph import pagerank
 
-    nodes, edges = build_graph(replies)
+    nodes, edges = build_graph(replies, cut=cut)
     nodes, edges = cut(nodes), cut(edges)
     ids = nodes.select(F.col("id").alias("node"))
     plain = edges.select(F.col("source").alias("src"), F.col("target").alias("dst"), "weight")
