@@ -122,8 +122,11 @@ class ByteNet:
         return float(1 / (1 + np.exp(-np.clip(z, -60, 60))))
 
 
-def fit(texts: list[str], labels: np.ndarray, filters: int = 16, width: int = 6, epochs: int = 8, batch: int = 32, rate: float = 0.02, seed: int = 7) -> ByteNet:
-    """Logistic loss, Adam, gradients through the chunk that gave the maximum."""
+def fit(texts: list[str], labels: np.ndarray, filters: int = 16, width: int = 6, epochs: int = 8, batch: int = 32, rate: float = 0.02, seed: int = 7, steps: int = 400) -> ByteNet:
+    """Logistic loss, Adam, gradients through the chunk that gave the maximum.
+    Few rows are gone through more than ``epochs`` times, for at least ``steps``
+    gradient steps."""
+    epochs = max(epochs, -(-steps // max(1, -(-len(texts) // batch))))
     draw = np.random.default_rng(seed)
     share = float(labels.mean()) if len(labels) else 1.0
     prior = float(np.log(max(share, 1e-9) / max(1 - share, 1e-9)))
