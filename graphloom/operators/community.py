@@ -111,7 +111,8 @@ def top_members(members: DataFrame, most: int = 12, rank: str = "pagerank") -> D
     """Of each community the ``most`` members of highest rank, with their place
     ``i`` from 0."""
     order = Window.partitionBy("community").orderBy(F.desc(F.coalesce(rank, F.lit(0.0))), "node")
-    return members.withColumn("i", F.row_number().over(order) - 1).filter(F.col("i") < most)
+    # The limit is on the row number itself: Spark then cuts before the shuffle too.
+    return members.withColumn("i", F.row_number().over(order)).filter(F.col("i") <= most).withColumn("i", F.col("i") - 1)
 
 
 def community_edges(edges: DataFrame, members: DataFrame) -> DataFrame:

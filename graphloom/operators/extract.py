@@ -6,6 +6,8 @@ Order matters for ties and joined descriptions: a mention carries its place
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -92,3 +94,24 @@ def reply_size(prompts: DataFrame, prompt: str = "prompt", reply: str = "respons
 def ranked(df: DataFrame, by: list, partition: list | None = None, start: int = 0) -> DataFrame:
     """``df`` with ``i``, the place within its partition from ``start``."""
     return df.withColumn("i", F.row_number().over(Window.partitionBy(*(partition or [])).orderBy(*by)) - 1 + start)
+
+
+def numbered(df: DataFrame, by: list[str], partition: list[str], cut: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``df`` with ``i``, the place within its partition from 0 (long), where a
+    partition may hold any share of the rows, or all of them.
+
+    Rows are dealt out by ranges of the order and written, so that their range
+    is fixed; they are numbered within it, and the numbers of rows of the ranges
+    before are added.
+    """
+    part = "__range"
+    rows = cut(df.repartitionByRange(*partition, *by).withColumn(part, F.spark_partition_id()))
+    before = Window.partitionBy(*partition).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    # A row per partition and range that holds some of it.
+    base = rows.groupBy(*partition, part).agg(F.count(F.lit(1)).alias("n")).select(*partition, part, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__base"))
+    within = Window.partitionBy(*partition, part).orderBy(*by)
+    same = F.lit(True)
+    for c in (*partition, part):
+        same = same & F.col("r." + c).eqNullSafe(F.col("b." + c))
+    placed = rows.withColumn("i", F.row_number().over(within) - 1).alias("r").join(base.alias("b"), same)
+    return placed.select(*(f"r.{c}" for c in df.columns), (F.col("r.i") + F.col("b.__base")).alias("i"))

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions import text as T
-from graphloom.operators.extract import ranked
+from graphloom.operators.extract import numbered, ranked
+from graphloom.operators.graph import Cut
 
 #: Colours by entity type.
 COLOURS = {"PERSON": "#ff6b6b", "ORGANIZATION": "#4ecdc4", "COMPANY": "#45b7d1", "LOCATION": "#96ceb4", "AGREEMENT": "#feca57", "LAW": "#a29bfe", "OTHER": "#95a5a6"}
@@ -58,9 +59,9 @@ def viz_edges(edges: DataFrame) -> DataFrame:
     )
 
 
-def mention_ids(entities: DataFrame, order: list) -> DataFrame:
+def mention_ids(entities: DataFrame, order: list, cut: Cut) -> DataFrame:
     """Entities of a list with ``entity_<i>`` for those without a name."""
-    return ranked(entities, order).withColumn("entity_name", F.coalesce(F.nullif("entity_name", F.lit("")), F.concat(F.lit("entity_"), F.col("i").cast("string"))))
+    return numbered(entities, order, [], cut).withColumn("entity_name", F.coalesce(F.nullif("entity_name", F.lit("")), F.concat(F.lit("entity_"), F.col("i").cast("string"))))
 
 
 def page(nodes: DataFrame, edges: DataFrame, template: str, mark: str = "//__DATA__HERE__", most: int = 5000) -> str:

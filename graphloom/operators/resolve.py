@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import text as T
 from graphloom.operators.components import connected_components
+from graphloom.operators.extract import numbered
 from graphloom.operators.graph import Cut
 
 
@@ -22,12 +23,11 @@ def similar_pairs(nodes: DataFrame, name: str = "id", kind: str = "entity_type",
     return left.join(right, ["entity_type", "block"]).filter((F.col("a") < F.col("b")) & T.similar_names("a", "b")).select("entity_type", "a", "b")
 
 
-def pair_batches(pairs: DataFrame, size: int = 50) -> DataFrame:
+def pair_batches(pairs: DataFrame, cut: Cut, size: int = 50) -> DataFrame:
     """Pairs with their ``batch`` within the type and ``i`` in the batch (from
-    1), as they are put to a model."""
-    order = Window.partitionBy("entity_type").orderBy("a", "b")
-    n = F.row_number().over(order) - 1
-    return pairs.withColumn("batch", F.floor(n / size).cast("int")).withColumn("i", (n % size + 1).cast("int"))
+    1), as they are put to a model. One type may have most of the pairs."""
+    rows = numbered(pairs, ["a", "b"], ["entity_type"], cut)
+    return rows.withColumn("batch", F.floor(F.col("i") / size).cast("int")).withColumn("i", (F.col("i") % size + 1).cast("int"))
 
 
 def agreed(batches: DataFrame, replies: DataFrame) -> DataFrame:

@@ -82,14 +82,14 @@ def parse_float(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", T.parse_float("o_orderpriority").alias("priority"))
 
 
-@_query("""
-SELECT c_nationkey, CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS INTEGER) AS i
-FROM customer QUALIFY c_acctbal > 0""")
+@_query("SELECT CAST(c_custkey // 50 AS BIGINT) AS batch, CAST(c_custkey % 50 + 1 AS INTEGER) AS i FROM customer WHERE c_acctbal > 0")
 def decision_parse(spark, sf_dir):
-    rows = extract.ranked(table(spark, sf_dir, "customer"), ["c_custkey"], ["c_nationkey"], start=1)
+    """Replies about batches of 50 customers, yes to those not in debt."""
+    n = F.col("c_custkey")
+    rows = table(spark, sf_dir, "customer").select("c_acctbal", F.floor(n / 50).alias("batch"), (n % 50 + 1).cast("int").alias("i"))
     said = F.concat(F.lit("(For question <|>"), F.col("i").cast("string"), F.lit("<|>, <|>"), F.when(F.col("c_acctbal") > 0, "Yes").otherwise("no"), F.lit("<|>)"))
-    response = rows.groupBy("c_nationkey").agg(F.array_join(F.collect_list(said), "##").alias("response"), F.count(F.lit(1)).alias("n"))
-    return response.select("c_nationkey", F.explode(T.decisions("response", F.col("n"))).alias("i"))
+    response = rows.groupBy("batch").agg(F.array_join(F.collect_list(said), "##").alias("response"))
+    return response.select("batch", F.explode(T.decisions("response", F.lit(50))).alias("i"))
 
 
 _REPORT = """SELECT p_partkey, p_name AS title, CAST(p_size % 13 AS DOUBLE) AS rating,
@@ -144,6 +144,21 @@ def markdown_pack(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(loaders.packed_paragraphs(F.replace("text", F.lit("\n"), F.lit("\n\n")))).alias("chunk_seq", "chunk"))
 
 
+@_query(rf"""
+WITH c AS (SELECT doc_id, regexp_replace(regexp_replace(coalesce(nullif(text, ''), source), '{_W}+', ' ', 'g'), '^{_W}+|{_W}+$', '', 'g') AS t FROM documents)
+SELECT doc_id, CASE WHEN length(t) > 1000 THEN substr(t, 1, 1000) || '...' ELSE t END AS content FROM c WHERE length(t) >= 10""")
+def csv_chunks(spark, sf_dir):
+    return loaders.csv_chunks(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), "fixed", order="doc_id")
+
+
+@_query(rf"""
+WITH c AS (SELECT doc_id, regexp_replace(coalesce(nullif(text, ''), source), '^{_W}+|{_W}+$', '', 'g') AS t FROM documents)
+SELECT doc_id, CASE WHEN length(t) > 500 THEN substr(t, 1, 500) || '...' ELSE t END AS content FROM c WHERE t <> '' ORDER BY doc_id LIMIT 100""")
+def csv_row_limit(spark, sf_dir):
+    """The loaders' limit: the first 100 accepted chunks."""
+    return loaders.csv_chunks(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), "ultra-slow", order="doc_id", rows=100)
+
+
 @_query("SELECT conv_id, turn, CASE role WHEN 'assistant' THEN 'model' ELSE role END AS role, md5('model-1:' || text) AS key FROM conversations")
 def cache_key(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", store.chat_role("role").alias("role"), store.cache_key("model-1", "text").alias("key"))
@@ -159,6 +174,19 @@ def cache_ttl(spark, sf_dir):
     return rows.filter(store.fresh("ts", F.col("now"))).select("event_id", store.age_hours("ts", F.col("now")).alias("age_hours"))
 
 
+@_query("""
+WITH c AS (SELECT md5('model-1:' || text) AS key, min(conv_id % 48) AS age, min(role) AS response FROM conversations WHERE turn = 0 AND text IS NOT NULL GROUP BY ALL)
+SELECT conv_id, turn, c.response FROM conversations r LEFT JOIN c ON c.key = md5('model-1:' || r.text) AND c.age <= 24""")
+def cache_lookup(spark, sf_dir):
+    """Messages against cached replies to first ones, up to two days old; null where a model would be asked."""
+    turns = table(spark, sf_dir, "conversations")
+    now = F.lit("2024-01-03 00:00:00").cast("timestamp_ntz")
+    first = turns.filter("turn = 0 and text is not null").groupBy(store.cache_key("model-1", "text").alias("key")).agg(F.min(F.col("conv_id") % 48).cast("int").alias("age"), F.min("role").alias("response"))
+    cached = first.select("key", (now - F.make_interval(hours=F.col("age"))).alias("timestamp"), "response")
+    hits, misses = store.cache_hits(turns.select("conv_id", "turn", store.cache_key("model-1", "text").alias("key")), cached, now)
+    return hits.select("conv_id", "turn", "response").unionByName(misses.select("conv_id", "turn", F.lit(None).cast("string").alias("response")))
+
+
 @_query("SELECT count(*) AS entries, CAST(sum(octet_length(encode(props))) AS BIGINT) AS bytes, round(sum(octet_length(encode(props))) / (1024 * 1024), 2) AS megabytes FROM events")
 def cache_statistics(spark, sf_dir):
     return store.cache_stats(table(spark, sf_dir, "events"), "props")
@@ -336,7 +364,17 @@ def jaccard_chars(spark, sf_dir):
 @_query(f"""WITH {_SIMILAR}, n AS (SELECT *, row_number() OVER (PARTITION BY entity_type ORDER BY a, b) - 1 AS r FROM pairs)
 SELECT entity_type, a, b, CAST(r // 50 AS INTEGER) AS batch, CAST(r % 50 + 1 AS INTEGER) AS i FROM n""")
 def pair_batches(spark, sf_dir):
-    return resolve.pair_batches(_pairs(spark, sf_dir))
+    return resolve.pair_batches(_pairs(spark, sf_dir), written)
+
+
+@_query(f"WITH {_SIMILAR} SELECT entity_type, a, b FROM pairs WHERE length(a) = length(b)")
+def agreed_pairs(spark, sf_dir):
+    """Replies say yes to pairs of names of equal length; the decisions come back as pairs."""
+    batches = written(resolve.pair_batches(_pairs(spark, sf_dir), written))
+    word = F.when(F.length("a") == F.length("b"), "yes").otherwise("no")
+    said = F.concat(F.lit("(For question <|>"), F.col("i").cast("string"), F.lit("<|>, <|>"), word, F.lit("<|>)"))
+    replied = batches.groupBy("entity_type", "batch").agg(F.array_join(F.collect_list(said), "##").alias("response"))
+    return resolve.agreed(batches, replied)
 
 
 #: Names that differ in their last letter only are taken to be one entity.
@@ -386,6 +424,11 @@ def degree(spark, sf_dir):
     return graph.degrees(relational_edges(spark, sf_dir), relational_nodes(spark, sf_dir)).withColumn("k", F.round("k", 6))
 
 
+@_query(f"WITH {RELATIONAL_SQL} SELECT community, round(tot, 6) AS tot FROM rtot")
+def community_degree(spark, sf_dir):
+    return graph.community_degrees(relational_edges(spark, sf_dir), relational_nodes(spark, sf_dir)).withColumn("tot", F.round("tot", 6))
+
+
 @_query(f"""WITH {RELATIONAL_SQL}, l AS (SELECT a AS community, sum(weight) AS l FROM rp WHERE a = b GROUP BY a)
 SELECT round(sum(coalesce(l, 0) / m - tot * tot / (4 * m * m)), 9) AS q FROM rtot LEFT JOIN l USING (community), rm_""")
 def modularity(spark, sf_dir):
@@ -466,6 +509,14 @@ def community_topk(spark, sf_dir):
     return community.top_members(members, 12, "k").select("community", "node", F.round("k", 6).alias("k"), "i")
 
 
+@_query(f"""WITH {RELATIONAL_SQL}, r AS (SELECT community, k, row_number() OVER (PARTITION BY community ORDER BY k DESC, node) AS i FROM rk JOIN rnodes USING (node))
+SELECT community, round(sum(k), 6) AS weight FROM r WHERE i <= 12 GROUP BY community""")
+def report_weight(spark, sf_dir):
+    """A report's weight: the ranks of the members it is about."""
+    members = graph.degrees(relational_edges(spark, sf_dir)).join(relational_nodes(spark, sf_dir), "node")
+    return community.top_members(members, 12, "k").groupBy("community").agg(F.round(F.sum("k"), 6).alias("weight"))
+
+
 @_query(f"WITH {RELATIONAL_SQL} SELECT a AS community, src, dst, round(weight, 6) AS weight FROM rp WHERE a = b")
 def community_edges(spark, sf_dir):
     return community.community_edges(relational_edges(spark, sf_dir), relational_nodes(spark, sf_dir)).select("community", "src", "dst", F.round("weight", 6).alias("weight"))
@@ -519,6 +570,18 @@ def viz_edges(spark, sf_dir):
     return report.viz_edges(edges)
 
 
+@_query(r"""SELECT doc_id, regexp_replace(replace(coalesce(text, ''), '"', '""'), '\r?\n', ' ', 'g') AS field FROM documents""")
+def csv_escape(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.csv_escaped("text").alias("field"))
+
+
+@_query("""SELECT event_id, CASE WHEN event_type = 'click' THEN 'entity_' || (row_number() OVER (ORDER BY ts, event_id) - 1) ELSE event_type END AS entity_name FROM events""")
+def viz_mentions(spark, sf_dir):
+    """A list of mentions for a viewer; those without a name are numbered."""
+    events = table(spark, sf_dir, "events").select("event_id", "ts", F.when(F.col("event_type") != "click", F.col("event_type")).alias("entity_name"))
+    return report.mention_ids(events, ["ts", "event_id"], written).select("event_id", "entity_name")
+
+
 @_query(f"""WITH {GRAPH_SQL},
 mem AS (SELECT substr(id, 1, 2) AS community, id AS node, description, row_number() OVER (PARTITION BY substr(id, 1, 2) ORDER BY id) - 1 AS i FROM nodes),
 ed_ AS (SELECT substr(source, 1, 2) AS community, source, target, description, row_number() OVER (PARTITION BY substr(source, 1, 2) ORDER BY source, target) - 1 AS i FROM edges WHERE substr(source, 1, 2) = substr(target, 1, 2)),

@@ -3,8 +3,9 @@
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from graphloom.operators import community, graph, resolve
+from graphloom.operators import community, extract, graph, resolve
 from graphloom.operators.components import connected_components
 from graphloom.sources.shared import written
 
@@ -130,3 +131,21 @@ def test_merging(spark):
     assert {(r.source, r.target, r.description, r.weight) for r in e.collect()} == {("A", "C", "own", 1.0), ("A", "A", "between", 4.0)}
     n, e = resolve.merged_graph(nodes, edges, names, add_weights=True, keep_loops=False)
     assert {(r.source, r.target, r.weight) for r in e.collect()} == {("A", "C", 3.0)}
+
+
+@pytest.mark.parametrize("partition", [["kind"], []])
+def test_numbering_of_a_partition_with_nearly_all_rows(spark, partition):
+    rows = spark.range(5000).select(F.when(F.col("id") % 50 == 0, "rare").when(F.col("id") % 77 != 0, "hot").alias("kind"), ((F.col("id") * 7919) % 5003).alias("v"))
+    got = {(r["kind"], r["v"]): r["i"] for r in extract.numbered(rows, ["v"], partition, written).collect()}
+    groups: dict = {}
+    for kind, v in sorted(got, key=lambda kv: kv[1]):
+        groups.setdefault(kind if partition else "", []).append((kind, v))
+    assert len(got) == 5000
+    assert got == {kv: i for held in groups.values() for i, kv in enumerate(held)}
+
+
+def test_top_members_are_cut_before_the_shuffle(spark):
+    members = spark.range(1000).select((F.col("id") % 3).alias("community"), F.col("id").cast("string").alias("node"), (F.col("id") % 10).cast("double").alias("pagerank"))
+    top = community.top_members(members)
+    assert "WindowGroupLimit" in top._jdf.queryExecution().executedPlan().toString()
+    assert [r["i"] for r in top.orderBy("community", "i").collect()] == 3 * list(range(12))
