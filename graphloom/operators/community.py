@@ -4,15 +4,20 @@ Local moving is done by all nodes at once instead of one after another: each
 round weighs every node's neighbouring communities by their gain in modularity
 and those for which another one is strictly better want to move. Of neighbours
 that want to, only the one of highest seeded rank moves in a round, as two that
-swap gain nothing; a round that doesn't raise modularity is taken back.
+swap gain nothing; a round that doesn't raise modularity is taken back, and the
+next one keeps moves apart that touch the same community, which always raises
+it. So rounds go on until no node wants to move.
 Leiden then splits communities that aren't connected, so that every community
-is. Communities become the nodes of the next level, up to ``levels`` times.
+is. Communities become the nodes of the next level until they no longer get
+fewer, or ``levels`` times where that is given.
 No group of rows is gathered anywhere; a level's tables are written once per
 round, so a lost executor costs one round.
 """
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,33 +25,46 @@ from graphloom.operators.components import connected_components
 from graphloom.operators.graph import Cut, aggregated, gains, largest_component, modularity, undirected
 
 
-def local_moving(edges: DataFrame, communities: DataFrame, cut: Cut, rounds: int = 10, gamma: float = 1.0, seed: int = 123456, least: float = 1e-9) -> tuple[DataFrame, float]:
-    """Communities after moving nodes as long as it raises modularity."""
+def local_moving(edges: DataFrame, communities: DataFrame, cut: Cut, rounds: int = 10_000, gamma: float = 1.0, seed: int = 123456, least: float = 1e-9) -> tuple[DataFrame, float]:
+    """Communities after moving nodes until none wants to; ``rounds`` only guards
+    against going on forever."""
     q = modularity(edges, communities, gamma).first()[0]
-    misses = 0
+    apart = False
     pairs = edges.filter("src != dst").select("src", "dst")
     pairs = pairs.union(pairs.select("dst", "src"))
     for r in range(rounds):
         options = gains(edges, communities, gamma)
         best = options.groupBy("node").agg(
-            F.max_by("community", F.struct("gain", F.col("community") == F.col("own"), "community")).alias("to"), F.max("gain").alias("best"), F.max(F.when(F.col("community") == F.col("own"), F.col("gain"))).alias("stay")
+            F.max_by("community", F.struct("gain", F.col("community") == F.col("own"), "community")).alias("to"), F.max("gain").alias("best"), F.first("own").alias("from"), F.max(F.when(F.col("community") == F.col("own"), F.col("gain"))).alias("stay")
         )
         rank = F.struct(F.xxhash64(F.col("node").cast("string"), F.lit(seed + r)).alias("r"), F.col("node"))
-        wanting = cut(best.filter((F.col("best") > F.col("stay") + least) & (F.col("best") > 0)).select("node", "to", rank.alias("rank")))
+        wanting = cut(best.filter((F.col("best") > F.col("stay") + least) & (F.col("best") > 0)).select("node", "to", "from", rank.alias("rank")))
         if wanting.isEmpty():
-            break
+            return communities, q
         ranks = wanting.select(F.col("node").alias("dst"), F.col("rank").alias("other"))
         rivals = pairs.join(ranks, "dst").groupBy(F.col("src").alias("node")).agg(F.max("other").alias("rival"))
-        moved = wanting.join(rivals, "node", "left").filter(F.col("rival").isNull() | (F.col("rank") > F.col("rival"))).select("node", "to")
-        after = cut(communities.select("node", "community").join(moved, "node", "left").select("node", F.coalesce("to", "community").alias("community")))
+        moved = wanting.join(rivals, "node", "left").filter(F.col("rival").isNull() | (F.col("rank") > F.col("rival"))).select("node", "to", "from", "rank")
+        if apart:
+            moved = disjoint(moved)
+        after = cut(communities.select("node", "community").join(moved.select("node", "to"), "node", "left").select("node", F.coalesce("to", "community").alias("community")))
         q_after = modularity(edges, after, gamma).first()[0]
         if q_after > q + least:
-            communities, q, misses = after, q_after, 0
+            communities, q, apart = after, q_after, False
+        elif apart:
+            # The gains add up here, so what is left is within rounding.
+            return communities, q
         else:
-            misses += 1
-            if misses == 3:
-                break
-    return communities, q
+            apart = True
+    raise RuntimeError(f"local moving did not settle in {rounds} rounds")
+
+
+def disjoint(moved: DataFrame) -> DataFrame:
+    """Of moves that leave or enter one community, only that of highest rank: the
+    gains of what stays add up exactly."""
+    ends = moved.select("rank", F.explode(F.array("from", "to")).alias("end"))
+    tops = ends.groupBy("end").agg(F.max("rank").alias("top"))
+    at = lambda end: tops.select(F.col("end").alias(end), F.col("top").alias("top_" + end))
+    return moved.join(at("from"), "from").join(at("to"), "to").filter((F.col("rank") == F.col("top_from")) & (F.col("rank") == F.col("top_to")))
 
 
 def split_communities(edges: DataFrame, communities: DataFrame, cut: Cut) -> DataFrame:
@@ -57,7 +75,7 @@ def split_communities(edges: DataFrame, communities: DataFrame, cut: Cut) -> Dat
     return connected_components(inside, cut, nodes=communities.select("node")).select("node", F.col("component").alias("community"))
 
 
-def detect(nodes: DataFrame, edges: DataFrame, cut: Cut, levels: int = 3, refine: bool = True, use_lcc: bool = True, gamma: float = 1.0, seed: int = 123456, rounds: int = 10) -> DataFrame:
+def detect(nodes: DataFrame, edges: DataFrame, cut: Cut, levels: int | None = None, refine: bool = True, use_lcc: bool = True, gamma: float = 1.0, seed: int = 123456, rounds: int = 10_000) -> DataFrame:
     """``(level, node, community, leaf)``: at level 0 nodes are the graph's own,
     above they are the communities below; ``leaf`` is the graph's own node.
 
@@ -71,7 +89,7 @@ def detect(nodes: DataFrame, edges: DataFrame, cut: Cut, levels: int = 3, refine
     nodes, edges = cut(nodes), cut(edges)
     leaves = nodes.select("node", F.col("node").alias("leaf"))
     out = None
-    for level in range(levels):
+    for level in range(levels) if levels is not None else count():
         start = nodes.select("node", F.col("node").alias("community"))
         found, _ = local_moving(edges, start, cut, rounds, gamma, seed + level)
         if refine:

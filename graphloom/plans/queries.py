@@ -606,19 +606,19 @@ def _ids(spark, sf_dir):
 @_query()
 def leiden(spark, sf_dir):
     nodes, edges = _ids(spark, sf_dir)
-    return community.leiden(nodes, edges, written, levels=1, rounds=6)
+    return community.leiden(nodes, edges, written, levels=1)
 
 
 @_query()
 def hierarchical_leiden(spark, sf_dir):
     nodes, edges = _ids(spark, sf_dir)
-    return community.leiden(nodes, edges, written, levels=3, rounds=4)
+    return community.leiden(nodes, edges, written)
 
 
 @_query()
 def louvain(spark, sf_dir):
     nodes, edges = _ids(spark, sf_dir)
-    return community.louvain(nodes, edges, written, levels=2, rounds=4)
+    return community.louvain(nodes, edges, written)
 
 
 @_query()

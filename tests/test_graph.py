@@ -63,6 +63,24 @@ def test_leiden_finds_the_groups(spark, rows, groups):
     assert {"".join(sorted(m)) for m in top[max(top)].values()} == groups
 
 
+def test_local_moving_goes_on_until_no_node_wants_to(spark):
+    # Of a hub and its neighbours only one moves in a round.
+    rows = [("hub", f"a{i}", 1.0) for i in range(12)] + [(f"a{i}", f"a{i + 1}", 1.0) for i in range(11)] + [(f"a{i}", f"b{i}", 1.5) for i in range(12)]
+    edges = written(edges_of(spark, rows))
+    names = sorted({x for r in rows for x in r[:2]})
+    found, q = community.local_moving(edges, nodes_of(spark, names).select("node", F.col("node").alias("community")), written)
+    best = graph.gains(edges, found).groupBy("node").agg(F.max("gain").alias("best"), F.max(F.when(F.col("community") == F.col("own"), F.col("gain"))).alias("stay"))
+    assert best.filter("best > stay + 1e-9 and best > 0").count() == 0
+    assert q == pytest.approx(graph.modularity(edges, found).first().q)
+    with pytest.raises(RuntimeError):
+        community.local_moving(edges, nodes_of(spark, names).select("node", F.col("node").alias("community")), written, rounds=1)
+
+
+def test_moves_apart_share_no_community(spark):
+    moves = spark.createDataFrame([("a", "A", "B", 5), ("b", "C", "B", 4), ("c", "D", "A", 3), ("d", "E", "F", 2)], "node string, `from` string, `to` string, rank int")
+    assert {r.node for r in community.disjoint(moves).collect()} == {"a", "d"}
+
+
 def test_edge_cases(spark):
     none = edges_of(spark, [])
     assert community.leiden(nodes_of(spark, []), none, written, levels=1).count() == 0
