@@ -42,6 +42,8 @@ INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i i
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 #: Their content is no text of the page.
 SILENT = set("script style noscript template svg math iframe object textarea select option button title head canvas audio video".split())
+#: What an open head can hold; any other start tag, or text, ends it.
+HEAD = set("base basefont bgsound head html link meta noframes noscript script style template title".split())
 RAW = set("script style textarea title noscript iframe".split())
 NAMED = "article main section header footer nav aside form ul ol li dl table tr td th p h1 h2 h3 h4 h5 h6 blockquote pre figure figcaption div body html".split()
 #: An open element on the left ends where one on the right begins.
@@ -94,7 +96,13 @@ def read_page(source: str) -> tuple[list[Element], list[tuple[int, str]]]:
             silent -= tag in SILENT
             links -= tag == "a"
 
+    def end_head() -> None:
+        while stack[-1][0] == "head":
+            pop_to(len(stack) - 1)
+
     def put(text: str) -> None:
+        if silent and text.strip():
+            end_head()
         if text and not silent:
             pieces.append(text)
             if links:
@@ -118,6 +126,8 @@ def read_page(source: str) -> tuple[list[Element], list[tuple[int, str]]]:
                     flush()
                 pop_to(size)
             continue
+        if tag not in HEAD:
+            end_head()
         if tag == "br":
             put(" ")
             continue
@@ -136,6 +146,8 @@ def read_page(source: str) -> tuple[list[Element], list[tuple[int, str]]]:
         if tag in VOID:
             continue
         if tag in SILENT:
+            if tag in ("svg", "math") and m[3].endswith("/"):
+                continue
             stack.append((tag, stack[-1][1]))
             silent += 1
             if tag in RAW:

@@ -216,6 +216,15 @@ def test_main_text_of_held_out_pages(spark, data):
     assert sum(hit) >= 0.9 * len(hit)
 
 
+@pytest.mark.parametrize("head", [
+    "<html><head><title>x</title><body>", "<html><head><title>x</title>", "<head><meta charset=utf-8><script>var a</script><style>p</style>", "<head><head><title>x</title></head>",
+    "<body><svg width=1 />", "<body><math/>", "<body><svg><path d=''/><title>no</title>no</svg>", "<head><template>no <p>no</p></template><title>x</title><body>",
+])
+def test_a_head_left_open_and_an_empty_svg_keep_the_text(head):
+    for body in ("<article><p>Some text.</p></article>", "<span>Some text.</span>", "Some text."):
+        assert [text for _, text in extraction.read_page(head + body)[1]] == ["Some text."]
+
+
 def test_marginals_are_those_of_all_labellings():
     from itertools import product
     from math import exp, prod
