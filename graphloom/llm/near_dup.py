@@ -175,16 +175,16 @@ def shared_counts(sets: list[np.ndarray], often: int = 16) -> np.ndarray:
     return inter
 
 
-def linked(sets: list[np.ndarray], block: np.ndarray, threshold: float) -> np.ndarray:
-    """The 0/1 matrix of pairs at or over the threshold; of two blocks, only
-    pairs between them."""
+def linked(sets: list[np.ndarray], block: np.ndarray, threshold: float, between: bool) -> np.ndarray:
+    """The 0/1 matrix of pairs at or over the threshold; ``between`` keeps only
+    pairs of two blocks, also where one of the blocks got no text."""
     inter = shared_counts(sets).astype(np.float64)
     sizes = np.array([len(s) for s in sets], np.float64)
     # inter / (|a| + |b| - inter) >= threshold, without dividing.
     link = inter * (1 + threshold) >= threshold * (sizes[:, None] + sizes[None, :]) - 1e-9
     link &= inter > 0
     np.fill_diagonal(link, False)
-    if block.min() != block.max():
+    if between:
         link &= block[:, None] != block[None, :]
     return link
 
@@ -203,13 +203,13 @@ def forest(link: np.ndarray) -> np.ndarray:
 def verify(units: DataFrame, n: int, threshold: float) -> DataFrame:
     """Rows sorted by unit to each class's number of links and its label."""
 
-    def solve(keys: list[bytes], norms: list[str], blocks: list[int]) -> pa.RecordBatch | None:
+    def solve(unit: tuple, keys: list[bytes], norms: list[str], blocks: list[int]) -> pa.RecordBatch | None:
         known = {k: i for i, k in reversed(list(enumerate(keys)))}
         at = sorted(known.values())
         if len(at) < 2:
             return None
         sets = [np.unique(ngrams(norms[i], n)) for i in at]
-        link = linked(sets, np.array([blocks[i] for i in at]), threshold)
+        link = linked(sets, np.array([blocks[i] for i in at]), threshold, unit[1] != unit[2])
         number, label = link.sum(axis=1), forest(link)
         some = np.flatnonzero(number)
         if not len(some):
@@ -222,13 +222,13 @@ def verify(units: DataFrame, n: int, threshold: float) -> DataFrame:
             columns = [batch.column(c).to_pylist() for c in ("root", "low", "high", _KEY, _NORM, "block")]
             for root, low, high, key, norm, block in zip(*columns):
                 if (root, low, high) != unit:
-                    if unit and (found := solve(keys, norms, blocks)):
+                    if unit and (found := solve(unit, keys, norms, blocks)):
                         yield found
                     unit, keys, norms, blocks = (root, low, high), [], [], []
                 keys.append(key)
                 norms.append(norm)
                 blocks.append(block)
-        if unit and (found := solve(keys, norms, blocks)):
+        if unit and (found := solve(unit, keys, norms, blocks)):
             yield found
 
     return units.repartition("root", "low", "high").sortWithinPartitions("root", "low", "high").mapInArrow(run, f"{_KEY} binary, links long, label binary")

@@ -62,6 +62,18 @@ def test_large_groups_are_cut_into_blocks(spark, monkeypatch):
     assert got == plain.near_duplicates(rows)
 
 
+def test_few_long_texts_are_counted_once_in_empty_blocks(spark, monkeypatch):
+    draw = random.Random(6)
+    rows = []
+    for i in range(40):
+        words = [f"w{draw.randrange(10_000)}" for _ in range(100)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join([*words[:-1], "other"]))]
+    monkeypatch.setattr(near_dup, "BLOCK_WORDS", 25)
+    got = sorted((tuple(r) for r in near_dup.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()), key=repr)
+    assert got == plain.near_duplicates(rows)
+    assert {r[2] for r in got} == {1}
+
+
 def test_jaccard_join_of_odd_rows(odd, nothing):
     got = {(r.doc_id, r.class_id, r.n_links, r.n_copies) for r in near_dup.jaccard_join(odd).collect()}
     assert got == {(1, 1, 0, 4), (2, 1, 0, 4), (None, 1, 0, 4), (3, 3, 0, 4), (4, 3, 0, 4), (5, 3, 0, 4), (None, 3, 0, 4), (6, 6, 0, 1), (7, 7, 0, 1), (8, 8, 0, 1)}
