@@ -634,7 +634,7 @@ def community_contexts(spark, sf_dir):
     nodes, edges = written(nodes), written(edges)
     communities = nodes.select(F.col("id").alias("node"), F.substring("id", 1, 2).alias("community"))
     plain = edges.select(F.col("source").alias("src"), F.col("target").alias("dst"), "weight")
-    ranks = graph.pagerank(communities.select("node"), plain, written, rounds=5, tolerance=None)
+    ranks = graph.pagerank(communities.select("node"), plain, written)
     return rag.community_contexts(nodes, edges, communities, ranks)
 
 

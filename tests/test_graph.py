@@ -116,6 +116,25 @@ def test_pagerank(spark):
     assert graph.pagerank(nodes_of(spark, []), edges_of(spark, []), written).count() == 0
 
 
+def test_community_contexts_use_converged_ranks(spark, data, monkeypatch):
+    from graphloom.plans import queries, rag
+
+    seen = {}
+
+    def contexts(nodes, edges, communities, ranks):
+        seen["ranks"] = {r.node: r.pagerank for r in ranks.collect()}
+        return nodes
+
+    chain = [(f"n{i}", f"n{i + 1}", 1.0) for i in range(11)] + [("n11", "n3", 2.0), ("n11", "n7", 1.0)]
+    edges = edges_of(spark, chain).selectExpr("src source", "dst target", "weight")
+    names = sorted({x for r in chain for x in r[:2]})
+    monkeypatch.setattr(rag, "build_graph", lambda *_, **__: (nodes_of(spark, names).withColumnRenamed("node", "id"), edges))
+    monkeypatch.setattr(rag, "community_contexts", contexts)
+    queries.community_contexts(spark, data)
+    assert seen["ranks"] == pytest.approx(plain_pagerank(names, chain, 200), abs=1e-4)
+    assert plain_pagerank(names, chain, 5) != pytest.approx(plain_pagerank(names, chain, 200), abs=1e-4)
+
+
 @settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
 @given(st.lists(st.tuples(st.integers(0, 12), st.integers(0, 12)), max_size=14))
 def test_components(spark, pairs):
