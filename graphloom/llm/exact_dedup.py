@@ -10,8 +10,8 @@ by the whole normalised text and not only by its digest:
    up to ``salts`` tasks, each of which gets one row per input partition,
 3. over the salts, where a text has at most ``salts`` rows left.
 
-Defined results: a null text counts as empty; null ids never win against an id
-and a group with null ids only has ``keep_id`` null and nothing kept; of
+Defined results: a null text counts as empty; null ids never win against an id;
+a group with null ids only has ``keep_id`` null and one of its rows is kept; of
 repeated rows (same id, equal text) exactly one is kept; an empty table gives
 an empty result. Columns other than id and text are not read.
 """
@@ -77,7 +77,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         id_col,
         "keep_id",
         "group_size",
-        (F.coalesce(F.col(id_col) == F.col("keep_id"), F.lit(False)) & (F.col("n") == 1)).alias("kept"),
+        (F.col(id_col).eqNullSafe(F.col("keep_id")) & (F.col("n") == 1)).alias("kept"),
         "text_sha256",
     )
 
@@ -85,10 +85,13 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 64) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
     classes, key = copy_classes(docs, id_col, text_col, salts)
-    stay = classes.select(*key, F.col("keep_id").alias(_ID))
+    stay = classes.select(*key, F.col("keep_id").alias(_ID)).alias("s")
     rows = docs.withColumn(_ID, F.col(id_col)).withColumn(_NORM, normalised(text_col)).withColumn(_SHA, F.sha2(_NORM, 256))
     if _NORM not in key:
         rows = rows.drop(_NORM)
     both = [*key, _ID]
     first = Window.partitionBy(*both).orderBy(_SHA)
-    return rows.join(stay, both, "left_semi").withColumn(PRIVATE + "nth", F.row_number().over(first)).filter(F.col(PRIVATE + "nth") == 1).select(*docs.columns)
+    same = F.col("r." + _ID).eqNullSafe(F.col("s." + _ID))
+    for k in key:
+        same &= F.col("r." + k) == F.col("s." + k)
+    return rows.alias("r").join(stay, same, "left_semi").withColumn(PRIVATE + "nth", F.row_number().over(first)).filter(F.col(PRIVATE + "nth") == 1).select(*docs.columns)

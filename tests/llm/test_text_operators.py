@@ -33,6 +33,14 @@ def test_exact_dedup_of_odd_rows(odd, nothing):
     assert kept.columns == odd.columns and sorted(r.doc_id for r in kept.collect()) == [1, 3, 5, 6, 7, 8]
 
 
+def test_texts_with_null_ids_only_keep_one_row(spark):
+    rows = [(None, "alone"), (None, "twice"), (None, "twice "), (1, "shared"), (None, "shared")]
+    docs = spark.createDataFrame([(i, t.replace("twice ", "twice")) for i, t in rows], "doc_id long, text string")
+    assert sorted((tuple(r) for r in exact_dedup.drop_exact_copies(docs).collect()), key=repr) == [(1, "shared"), (None, "alone"), (None, "twice")]
+    got = [(r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_dedup(docs).collect()]
+    assert sorted(got, key=repr) == sorted([(None, None, 1, True), (None, None, 2, True), (None, None, 2, False), (1, 1, 2, True), (None, 1, 2, False)], key=repr)
+
+
 # -- Near duplicates
 
 
