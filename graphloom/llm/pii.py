@@ -8,17 +8,27 @@ each match's place in code points, whatever characters the text holds. The
 patterns are written with possessive repeats and start guards, which find the
 same matches as the plain forms in time linear in the text.
 
-**Added spans.** The values found are the protected entities. Words near an
+**Added spans.** The values found are the protected entities. Each also belongs
+to a pool (a mail's domain, an address's first three numbers, a card's first six
+digits, a phone number without its last four digits), which is protected like an
+entity, so that values seen once each give evidence together. Words near an
 entity (``window`` characters on the same line) are terms that may reveal it.
-Over all documents, ``df(e)`` counts those with entity e, ``df(t, e)`` those
-with term t near e and ``df(t)`` those with t anywhere. With
-``IC(e) = -log2 p(e)`` and ``PMI(t; e) = log2 p(t, e) / (p(t) p(e))``, the
-disclosure of e by t is ``PMI / IC``: the part of e's information that seeing t
-gives away, 1 where t never appears without e. Terms whose disclosure is at
-least ``disclosure`` and that were seen near e in ``support`` different
-contexts (so that copies of one text are no evidence) become spans of kind
-``term`` wherever they stand near e. Sanitising replaces base spans by their
-kind in brackets and removes terms to ``[TERM]``.
+
+Counts are of different texts, and texts that show a pair (or an entity) in the
+same context count once, so copies of a text or of its words are no evidence:
+of N texts, c hold entity e, n hold term t and x have t near e. With
+``IC(e) = log2 N/c`` and ``PMI(t; e) = log2 (x/N) / ((n+1)/N * c/N)``, smoothed
+by one more text that holds t alone, the disclosure of e by t is ``PMI / IC``:
+the part of e's information that seeing t gives away. A term discloses e where
+that is at least ``disclosure`` and chance is no explanation: were t dealt to n
+texts at random, x or more of them would hold e with a probability (Chernoff's
+bound, times the number of terms near e) of at most ``chance``. So a single
+place is enough for a term that hardly stands anywhere else, in a table large
+enough to know that, and several are asked for from terms that do.
+
+A disclosing term becomes a span of kind ``term`` where it stands near a base
+span. Sanitising replaces base spans by their kind in brackets and terms by
+``[TERM]``.
 
 Defined results: null texts count as empty; rows with null or repeated ids each
 get their row; empty texts and an empty table give no spans. No other columns
@@ -27,6 +37,8 @@ are read, so extra columns cannot clash.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,7 +68,7 @@ MAY_HOLD = {
 #: A term: a word of three letters or more.
 TERM = r"[\p{L}][\p{L}\p{N}_'-]{2,}"
 
-_KEY, _TEXT = PRIVATE + "key", PRIVATE + "text"
+_KEY, _TEXT, _TERMS, _SPANS = (PRIVATE + x for x in ("key", "text", "terms", "spans"))
 
 
 def placed(text: Column, pattern: str) -> Column:
@@ -139,70 +151,96 @@ def nearby(text: Column, span: Column, window: int) -> Column:
     return F.concat(moved(left, line_at), moved(right, rest_at))
 
 
-def found_spans(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None, window: int = 64) -> DataFrame:
-    """Per row: its kept columns, a text key, the base spans and, for each base
-    span, the terms near it. Written to the shared folder."""
-    keep = keep or []
-    rows = docs.select(*keep, filled(text_col).alias(_TEXT))
-    rows = rows.withColumn("spans", base_spans(F.col(_TEXT)))
+def found_spans(docs: DataFrame, text_col: str = "text", window: int = 64) -> DataFrame:
+    """Per row: a text key, the base spans and, for each base span, the terms
+    near it."""
+    rows = docs.select(filled(text_col).alias(_TEXT)).withColumn("spans", base_spans(F.col(_TEXT)))
     near = F.transform("spans", lambda s: nearby(F.col(_TEXT), s, window))
-    some = F.size("spans") > 0
-    return rows.select(*keep, F.sha2(_TEXT, 256).alias(_KEY), "spans", F.when(some, near).alias("near"))
+    return rows.select(F.sha2(_TEXT, 256).alias(_KEY), "spans", F.when(F.size("spans") > 0, near).alias("near"))
 
 
-def disclosing(docs: DataFrame, found: DataFrame, text_col: str = "text", support: int = 3, disclosure: float = 0.8) -> tuple[DataFrame, DataFrame]:
-    """The places of entities with terms near them, and the pairs (entity, term) in
-    which the term discloses the entity."""
-    span = F.explode(F.arrays_zip("spans", "near")).alias("s")
-    near = found.filter("size(spans) > 0").select(_KEY, span).select(
-        _KEY,
-        F.lower("s.spans.value").alias("entity"),
-        F.transform("s.near", lambda m: F.struct(F.lower(m["value"]).alias("term"), m["at"].alias("at"), (m["at"] + F.length(m["value"])).alias("stop"))).alias("near"),
-    )
-    near = near.withColumn("context", F.xxhash64(F.array_join(F.col("near.term"), " ")))
-    places = near.select(_KEY, "entity", "context", F.explode("near").alias("m")).select(_KEY, "entity", "context", "m.*")
-    # Pairs seen in enough different contexts. Grouping by context first leaves
-    # one row per context of a pair, however often it is copied.
-    pairs = (
-        places.groupBy("entity", "term", "context").agg(F.count(F.lit(1)).alias("n"))
-        .groupBy("entity", "term").agg(F.count(F.lit(1)).alias("contexts"))
-        .filter(F.col("contexts") >= support)
-    )
-    pairs = written(pairs, "pii-pairs")
-    # A key stands for as many rows as share it; counts are of rows.
-    rows = found.groupBy(_KEY).agg(F.count(F.lit(1)).alias("rows"))
-    near_df = (
-        places.select("entity", "term", _KEY).distinct().join(pairs.select("entity", "term"), ["entity", "term"], "left_semi")
-        .join(rows, _KEY).groupBy("entity", "term").agg(F.sum("rows").alias("df_te"))
+def pool(rank: Column, value: Column) -> Column:
+    """What an entity has in common with others of its owner."""
+    digits = F.regexp_replace(value, "[^0-9]", "")
+    return (
+        F.when(rank == KINDS.index("email"), F.regexp_extract(value, "@.*", 0))
+        .when(rank == KINDS.index("ip"), F.regexp_extract(value, r"^.*\.", 0))
+        .when(rank == KINDS.index("card"), F.concat(F.substring(digits, 1, 6), F.lit("*")))
+        .otherwise(F.concat(F.lit("+"), F.regexp_extract(digits, "^(.*)....$", 1), F.lit("*")))
     )
-    entity_df = near.select("entity", _KEY).distinct().join(rows, _KEY).groupBy("entity").agg(F.sum("rows").alias("df_e"))
-    terms = pairs.select("term").distinct()
-    words = F.array_distinct(F.regexp_extract_all(F.lower(filled(text_col)), F.lit(TERM), F.lit(0)))
-    # An inner join, which stays above the counting: its rows are the terms asked for.
-    term_df = docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df_t")).join(terms, "term")
-    total = docs.agg(F.count(F.lit(1)).alias("total"))
-    scored = near_df.join(entity_df, "entity").join(term_df, "term").crossJoin(total)
-    ic = F.log2(F.col("total") / F.col("df_e"))
-    pmi = F.log2(F.col("df_te") * F.col("total") / (F.col("df_t") * F.col("df_e")))
-    return places, scored.filter((ic > 0) & (pmi >= disclosure * ic)).select("entity", "term")
 
 
-def pii_spans(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None, window: int = 64, support: int = 3, disclosure: float = 0.8) -> DataFrame:
-    """Per row: its kept columns, a key of its text and ``spans``, base and added."""
-    keep = keep or []
-    found = written(found_spans(docs, text_col, keep, window), "pii-found")
-    places, pairs = disclosing(docs, found, text_col, support, disclosure)
-    pairs = written(pairs, "pii-disclosing")
-    rank = F.lit(len(KINDS) - 1)
-    added = (
-        places.join(pairs, ["entity", "term"], "left_semi")
-        .groupBy(_KEY).agg(F.collect_set(F.struct(F.col("at").alias("start"), rank.alias("rank"), F.col("stop"), F.col("term").alias("value"))).alias("added"))
+def words_of(text: Column) -> Column:
+    """A text's different terms."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)))
+
+
+def disclosing(docs: DataFrame, found: DataFrame, text_col: str = "text", disclosure: float = 0.8, chance: float = 0.01) -> DataFrame:
+    """The pairs (entity, term) in which the term discloses the entity or pool."""
+    s = F.col("s.spans")
+    near = found.filter("size(spans) > 0").select(_KEY, F.explode(F.arrays_zip("spans", "near")).alias("s")).select(
+        _KEY,
+        F.explode(F.array(F.lower(s["value"]), pool(s["rank"], F.lower(s["value"])))).alias("entity"),
+        F.array_distinct(F.transform("s.near", lambda m: F.lower(m["value"]))).alias("terms"),
+        F.xxhash64(F.array_join(F.transform("s.near", lambda m: F.lower(m["value"])), " ")).alias("context"),
+    ).distinct()
+
+    def counted(rows: DataFrame, by: list[str], texts: str, contexts: str) -> DataFrame:
+        """Different texts and, of them, those that count as evidence."""
+        # One row per text, and one per context, before they are counted.
+        n = rows.select(*by, _KEY).distinct().groupBy(*by).agg(F.count(F.lit(1)).alias(texts))
+        c = rows.select(*by, "context").distinct().groupBy(*by).agg(F.count(F.lit(1)).alias(contexts))
+        return n.join(c, by).withColumn(contexts, F.least(texts, contexts))
+
+    pairs = written(counted(near.select("entity", _KEY, "context", F.explode("terms").alias("term")), ["entity", "term"], "df_te", "x"), "pii-pairs")
+    entities = counted(near, ["entity"], "df_e", "c").join(pairs.groupBy("entity").agg(F.count(F.lit(1)).alias("tried")), "entity")
+    total = found.select(_KEY).distinct().agg(F.count(F.lit(1)).alias("total"))
+    # An inner join, which stays above the counting: its rows are the terms asked for.
+    words = docs.select(filled(text_col).alias(_TEXT)).distinct().select(F.explode(words_of(F.col(_TEXT))).alias("term"))
+    term_df = words.groupBy("term").agg(F.count(F.lit(1)).alias("df_t")).join(pairs.select("term").distinct(), "term")
+    c, x = F.col("c"), F.col("x")
+    texts = F.col("total") - (F.col("df_e") - c)
+    n = F.col("df_t") - (F.col("df_te") - x)
+    scored = pairs.join(entities, "entity").join(term_df, "term").crossJoin(F.broadcast(total)).select("entity", "term", "tried", c, x, n.alias("n"), texts.alias("texts"), (c / texts).alias("p"))
+    n, p = F.col("n"), F.col("p")
+    ic, pmi = -F.log(p), F.log(x / ((n + 1) * p))
+    missed = F.when(n > x, (n - x) * F.log((1 - p) * n / (n - x))).otherwise(0.0)
+    bound = x * F.log(p * n / x) + missed + F.log("tried")
+    return scored.filter((p < 1) & (x > n * p)).filter((pmi >= disclosure * ic) & (bound <= math.log(chance))).select("entity", "term")
+
+
+def marks(text: Column, terms: Column) -> Column:
+    """All places of some terms in a text, as ``SPANS``, in time linear in the
+    text: a string of its length has ``xyy..`` where they stand."""
+    dots = lambda t: F.regexp_replace(t, r"(?s).", ".")
+    parts = F.zip_with(
+        F.split(text, TERM, -1),
+        F.regexp_extract_all(text, F.lit(TERM), F.lit(0)),
+        lambda gap, word: F.concat(dots(gap), F.when(word.isNull(), "").when(F.array_contains(terms, F.lower(word)), F.concat(F.lit("x"), F.repeat(F.lit("y"), F.length(word) - 1))).otherwise(dots(word))),
     )
+    rank = F.lit(len(KINDS) - 1)
+    return F.transform(placed(F.array_join(parts, ""), "xy+"), lambda m: F.struct(m["at"].alias("start"), rank.alias("rank"), (m["at"] + F.length(m["value"])).alias("stop"), F.lower(F.substring(text, m["at"] + 1, F.length(m["value"]))).alias("value"))).cast(SPANS)
+
+
+def spanned(docs: DataFrame, text_col: str = "text", window: int = 64, disclosure: float = 0.8, chance: float = 0.01) -> DataFrame:
+    """``docs`` with a key of the text and the spans, base and added."""
+    found = written(found_spans(docs, text_col, window), "pii-found")
+    terms = written(disclosing(docs, found, text_col, disclosure, chance).select("term").distinct(), "pii-terms")
+    # The key is made before the words are dealt out, once for each text.
+    words = docs.select(F.sha2(filled(text_col), 256).alias(_KEY), words_of(filled(text_col)).alias(_TERMS)).select(_KEY, F.explode(_TERMS).alias("term"))
+    hits = words.join(terms, "term", "left_semi").groupBy(_KEY).agg(F.collect_set("term").alias(_TERMS))
+    text, spans = filled(text_col), base_spans(filled(text_col))
     # Words inside a base span are that span's already.
-    inside = lambda t: F.exists("spans", lambda s: (t["start"] < s["stop"]) & (s["start"] < t["stop"]))
-    both = found.drop("near").join(added, _KEY, "left").withColumn(
-        "spans", F.when(F.col("added").isNull(), F.col("spans")).otherwise(F.array_sort(F.concat("spans", F.filter("added", lambda t: ~inside(t)).cast(SPANS)))))
-    return both.select(*keep, _KEY, "spans")
+    inside = lambda t: F.exists(_SPANS, lambda s: (t["start"] < s["stop"]) & (s["start"] < t["stop"]))
+    at_hand = lambda t: F.exists(_SPANS, lambda s: (t["stop"] > s["start"] - window) & (t["start"] < s["stop"] + window))
+    rows = docs.withColumn(_KEY, F.sha2(text, 256)).join(hits, _KEY, "left").withColumn(_SPANS, spans)
+    both = F.array_sort(F.concat(_SPANS, F.filter(marks(text, F.col(_TERMS)), lambda t: ~inside(t) & at_hand(t))))
+    return rows.withColumn(_SPANS, F.when(F.col(_TERMS).isNull(), F.col(_SPANS)).otherwise(both)).select(*docs.columns, _KEY, _SPANS)
+
+
+def pii_spans(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None, **options) -> DataFrame:
+    """Per row: its kept columns, a key of its text and ``spans``, base and added."""
+    return spanned(docs, text_col, **options).select(*(keep or []), _KEY, F.col(_SPANS).alias("spans"))
 
 
 def redacted(text: Column, spans: Column) -> Column:
@@ -224,11 +262,6 @@ def redacted(text: Column, spans: Column) -> Column:
 
 def sanitised(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """``docs`` with personal data and disclosing terms removed from the text.
-
-    Only texts with spans are rewritten. Spans belong to a text, so rows meet
-    theirs by the text's digest; a digest's spans are one row.
-    """
-    mine = PRIVATE + "spans"
-    spans = pii_spans(docs, text_col, **options).filter("size(spans) > 0").dropDuplicates([_KEY]).withColumnRenamed("spans", mine)
-    rows = docs.withColumn(_KEY, F.sha2(filled(text_col), 256)).join(spans, _KEY, "left")
-    return rows.withColumn(text_col, F.when(F.col(mine).isNull(), F.col(text_col)).otherwise(redacted(filled(text_col), F.col(mine)))).select(*docs.columns)
+    Only texts with spans are rewritten."""
+    rows = spanned(docs, text_col, **options)
+    return rows.withColumn(text_col, F.when(F.size(_SPANS) == 0, F.col(text_col)).otherwise(redacted(filled(text_col), F.col(_SPANS)))).select(*docs.columns)

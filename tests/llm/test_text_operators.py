@@ -121,6 +121,22 @@ def test_copies_are_no_evidence(spark):
     assert pii.pii_spans(docs, keep=["doc_id"]).select(F.explode("spans").alias("s")).filter("s.rank = 4").count() == 0
 
 
+def term_values(docs):
+    got = pii.pii_spans(docs, keep=["doc_id"]).select("doc_id", F.transform(F.filter("spans", lambda s: s["rank"] == 4), lambda s: s["value"]).alias("terms"))
+    return {r.doc_id: r.terms for r in got.collect() if r.terms}
+
+
+def test_terms_of_entities_seen_once_are_found(spark):
+    rows = ["ask zaphod at z@corp.example.com today"] * 3 + [f"ask about the plan today {i}" for i in range(1000)]
+    assert term_values(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")) == {0: ["zaphod"], 1: ["zaphod"], 2: ["zaphod"]}
+
+
+def test_entities_of_a_domain_are_evidence_together(spark):
+    rows = [f"note {w} from magrathea p{i}@mag.example.com" for i, w in enumerate("one two three four five six seven eight".split())]
+    rows += [f"note one two three four five six seven eight from {i}" for i in range(60)]
+    assert term_values(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")) == {i: ["magrathea"] for i in range(8)}
+
+
 def test_pii_of_odd_rows(odd, nothing):
     got = pii.pii_spans(odd, keep=["doc_id"])
     assert got.count() == odd.count() and got.filter("size(spans) > 0").first().doc_id == 8
