@@ -26,8 +26,8 @@ bound, times the number of terms near e) of at most ``chance``. So a single
 place is enough for a term that hardly stands anywhere else, in a table large
 enough to know that, and several are asked for from terms that do.
 
-A disclosing term becomes a span of kind ``term`` where it stands near a base
-span. Sanitising replaces base spans by their kind in brackets and terms by
+A disclosing term becomes a span of kind ``term`` wherever it stands, in any
+text. Sanitising replaces base spans by their kind in brackets and terms by
 ``[TERM]``.
 
 Defined results: null texts count as empty; rows with null or repeated ids each
@@ -232,9 +232,8 @@ def spanned(docs: DataFrame, text_col: str = "text", window: int = 64, disclosur
     text, spans = filled(text_col), base_spans(filled(text_col))
     # Words inside a base span are that span's already.
     inside = lambda t: F.exists(_SPANS, lambda s: (t["start"] < s["stop"]) & (s["start"] < t["stop"]))
-    at_hand = lambda t: F.exists(_SPANS, lambda s: (t["stop"] > s["start"] - window) & (t["start"] < s["stop"] + window))
     rows = docs.withColumn(_KEY, F.sha2(text, 256)).join(hits, _KEY, "left").withColumn(_SPANS, spans)
-    both = F.array_sort(F.concat(_SPANS, F.filter(marks(text, F.col(_TERMS)), lambda t: ~inside(t) & at_hand(t))))
+    both = F.array_sort(F.concat(_SPANS, F.filter(marks(text, F.col(_TERMS)), lambda t: ~inside(t))))
     return rows.withColumn(_SPANS, F.when(F.col(_TERMS).isNull(), F.col(_SPANS)).otherwise(both)).select(*docs.columns, _KEY, _SPANS)
 
 

@@ -137,6 +137,17 @@ def test_entities_of_a_domain_are_evidence_together(spark):
     assert term_values(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")) == {i: ["magrathea"] for i in range(8)}
 
 
+def test_a_disclosing_term_is_marked_wherever_it_stands(spark):
+    said = ["reach {} of wolfgang", "the wolfgang desk is {}", "ask wolfgang via {}", "call {} at the desk"]
+    rows = [s.format("w@corp.example.com") for s in said] + [f"the desk is open {i}" for i in range(200)]
+    rows[0] += "\nWolfgang " + "is open " * 20 + "wolfgang's Wolfgang"
+    rows += ["no mail of 😀 Wolfgang here"]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    assert {k: v.count("wolfgang") for k, v in term_values(docs).items() if "wolfgang" in v} == {0: 3, 1: 1, 2: 1, 204: 1}
+    clean = {r.doc_id: r.text for r in pii.sanitised(docs).collect()}
+    assert "olfgang" not in clean[204] and "😀 [TERM] here" in clean[204] and clean[0].count("olfgang") == 1
+
+
 def test_pii_of_odd_rows(odd, nothing):
     got = pii.pii_spans(odd, keep=["doc_id"])
     assert got.count() == odd.count() and got.filter("size(spans) > 0").first().doc_id == 8
