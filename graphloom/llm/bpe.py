@@ -7,11 +7,15 @@ all neighbours can. So an encoder can read bytes from left to right and hold,
 for each place where a token may have ended, the one valid way to get there:
 a nondeterministic transducer whose configurations are pairs (last token, node
 of the trie of tokens that the open bytes have reached). ``Transducer``
-determinises it lazily: a state is the set of live configurations, and a step by
-a byte is computed when it is first taken and then kept, with what it does to
-the tokens that each configuration holds back. When all live configurations
-come from one, its tokens are certain and are emitted; no configuration has more
-open bytes than the longest token, which bounds the lookahead.
+determinises it lazily: a state is the sequence of nodes of the live
+configurations, and a step by a byte is computed when it is first taken and then
+kept, with what it does to the tokens that each configuration holds back. Last
+tokens are no part of a state, as there would be nearly as many states as words:
+a step that may end a token has an outcome for each token that may end there,
+and the last tokens, by a table of pairs that is filled as it is asked, choose
+the one valid outcome. When all live configurations come from one, its tokens
+are certain and are emitted; no configuration has more open bytes than the
+longest token, which bounds the lookahead.
 
 **Decoding.** ``Decoder`` turns ids into text piece by piece with an
 incremental UTF-8 automaton: its state is the bytes of the character that is
@@ -33,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from graphloom.llm.shared import PRIVATE, filled
-from graphloom.llm.vocab import KEPT, cut_at_spaces, read_ranks
+from graphloom.llm.vocab import Kept, cut_at_spaces, read_ranks
 
 #: Ids decoded at a time.
 STRETCH = 8192
@@ -60,8 +64,8 @@ def merged(piece: bytes, ranks: dict[bytes, int], below: int = 1 << 60) -> list[
 class Transducer:
     """Bytes to tokens of a rank file, determinised as far as inputs ask for."""
 
-    def __init__(self, ranks: dict[bytes, int], most_states: int = 200_000):
-        self.ranks, self.most_states = ranks, most_states
+    def __init__(self, ranks: dict[bytes, int], most_states: int = 200_000, most_borders: int = 1_000_000):
+        self.ranks, self.most_states, self.most_borders = ranks, most_states, most_borders
         # A trie: child[node << 8 | byte]; node 0 is the empty prefix.
         self.child: dict[int, int] = {}
         self.inner: list[bool] = [False]
@@ -79,23 +83,26 @@ class Transducer:
                 node = nxt
             self.token[node] = rank
             self.bytes_of[rank] = token
-        self.pairs: dict[tuple[int, int], bool] = {}
+        #: Two tokens as one number: left * size + right.
+        self.size = max(ranks.values()) + 1
+        self.joined = {ranks[t[:i]] * self.size + ranks[t[i:]]: rank for t, rank in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks}
+        self.borders: dict[int, bool] = {}
         self.parts: dict[int, tuple[int, int] | None] = {}
         self._restart()
 
     def _restart(self) -> None:
         self.numbers: dict[tuple, int] = {}
-        self.configurations: list[tuple] = []
-        # By state << 8 | byte: the next state; the configuration that all come
-        # from, or -1; what becomes of the tokens held back.
-        self.moves: dict[int, tuple[int, int, list | tuple | None]] = {}
-        self._number(((-1, 0),))
+        self.states: list[tuple[int, ...]] = []
+        # By state << 8 | byte: what happens if no token ends, and for each
+        # token that may end here its configuration, itself, what happens then.
+        self.moves: dict[int, tuple[tuple, list[tuple]]] = {}
+        self._number((0,))
 
-    def _number(self, state: tuple) -> int:
+    def _number(self, state: tuple[int, ...]) -> int:
         found = self.numbers.get(state)
         if found is None:
-            found = self.numbers[state] = len(self.configurations)
-            self.configurations.append(state)
+            found = self.numbers[state] = len(self.states)
+            self.states.append(state)
         return found
 
     def halves(self, token: int) -> tuple[int, int] | None:
@@ -118,23 +125,13 @@ class Transducer:
         the border's tokens became part of longer ones. Of equal ranks the
         left one merges first.
         """
-        if len(self.bytes_of[right]) > 1 and self.halves(right) is None:
-            return False
         if left < 0:
             return True
-        ok = self.pairs.get((left, right))
-        if ok is None:
-            if len(self.pairs) >= self.most_states:
-                self.pairs.clear()
-            ok = self.pairs[left, right] = self._border(left, right)
-        return ok
-
-    def _border(self, x: int, y: int) -> bool:
         never = 1 << 60
-        x_until = y_until = never
+        x, y, x_until, y_until = left, right, never, never
         while True:
-            rank = self.ranks.get(self.bytes_of[x] + self.bytes_of[y], never)
-            if rank < never and rank < x_until and rank <= y_until:
+            rank = self.joined.get(x * self.size + y, never)
+            if rank < x_until and rank <= y_until and rank < never:
                 return False
             a, b = self.halves(x), self.halves(y)
             if a is None and b is None:
@@ -144,66 +141,79 @@ class Transducer:
             else:
                 y, y_until = b[0], y
 
-    def _move(self, number: int, byte: int) -> tuple[int, int, list | tuple | None]:
-        """The step from a state by a byte.
+    def _border(self, key: int) -> bool:
+        if len(self.borders) >= self.most_borders:
+            self.borders.clear()
+        left = key // self.size
+        found = self.borders[key] = self.may_follow(left, key - left * self.size)
+        return found
 
-        Configurations stand in the order in which their open bytes begin, the
-        one without any last. A last token of -1 is the start.
-        """
-        before = self.configurations[number]
-        after, plan, ended = [], [], None
-        for i, (last, node) in enumerate(before):
+    def _move(self, number: int, byte: int) -> tuple[tuple, list[tuple]]:
+        """The step from a state by a byte: an outcome without a token's end,
+        and one for each token that may end here. An outcome is the next state,
+        the configurations that go on (None: all of them) and the one that all
+        come from, or -1."""
+        on, nodes, ends = [], [], []
+        before = self.states[number]
+        for i, node in enumerate(before):
             nxt = self.child.get(node << 8 | byte)
             if nxt is None:
                 continue
             if self.inner[nxt]:
-                after.append((last, nxt))
-                plan.append((i, -1))
-            # There is one valid way to have a token end here.
+                on.append(i)
+                nodes.append(nxt)
             token = self.token[nxt]
-            if token >= 0 and ended is None and self.may_follow(last, token):
-                ended = i, token
-        if ended:
-            after.append((ended[1], 0))
-            plan.append(ended)
-        certain = plan[0][0] if len({i for i, _ in plan}) == 1 else -1
-        if len(plan) == len(before) and all(step == (i, -1) for i, step in enumerate(plan)):
-            kept = None
-        elif certain >= 0:
-            kept = [() if token < 0 else ((), token) for _, token in plan]
-        else:
-            kept = tuple(plan)
-        found = self.moves[number << 8 | byte] = self._number(tuple(after)), certain, kept
+            if token >= 0 and (len(self.bytes_of[token]) == 1 or self.halves(token)):
+                ends.append((i, token))
+        all_on = len(on) == len(before)
+        go = tuple(on)
+
+        def outcome(end: tuple, sources: set[int]) -> tuple[int, tuple[int, ...] | None, int]:
+            certain = min(sources) if len(sources) == 1 and (end or len(before) > 1) else -1
+            return self._number((*nodes, *end)), None if all_on else go, certain
+
+        found = self.moves[number << 8 | byte] = outcome((), set(on)), [(i, token, outcome((0,), {*on, i})) for i, token in ends]
         return found
 
     def encode(self, piece: bytes) -> list[int]:
-        if len(self.configurations) > self.most_states:
+        if len(self.states) > self.most_states:
             self._restart()
         out: list[int] = []
-        # Tokens held back by each configuration, as (earlier ones, token).
-        held: list = [()]
-        state, moves = 0, self.moves
+        # What each configuration holds back, as (earlier, token); the innermost
+        # is the last token that is out already, -1 at the start.
+        held: list[tuple] = [(None, -1)]
+        state, moves, borders, size = 0, self.moves, self.borders, self.size
         for byte in piece:
-            found = moves.get(state << 8 | byte)
-            if found is None:
-                found = self._move(state, byte)
-            state, certain, plan = found
-            if plan is None:
-                continue
-            if certain >= 0:
-                if held[certain]:
-                    out += _unwound(held[certain])
-                held = plan
-            else:
-                held = [held[i] if token < 0 else (held[i], token) for i, token in plan]
-        if held[-1]:
-            out += _unwound(held[-1])
+            move = moves.get(state << 8 | byte)
+            if move is None:
+                move = self._move(state, byte)
+            outcome, ends = move
+            new = None
+            # There is one valid way to have a token end here.
+            for i, token, ended in ends:
+                cell = held[i]
+                key = cell[1] * size + token
+                ok = borders.get(key)
+                if ok or ok is None and self._border(key):
+                    outcome, new = ended, (cell, token)
+                    break
+            state, on, certain = outcome
+            if certain >= 0 and held[certain][0] is not None:
+                out += _unwound(held[certain])
+                held[certain] = base = None, held[certain][1]
+                if new:
+                    new = base, new[1]
+            if on is not None:
+                held = [held[i] for i in on]
+            if new:
+                held.append(new)
+        out += _unwound(held[-1])
         return out
 
 
 def _unwound(cell: tuple) -> list[int]:
     tokens = []
-    while cell:
+    while cell[0] is not None:
         cell, token = cell
         tokens.append(token)
     tokens.reverse()
@@ -280,19 +290,15 @@ def coder(path: str, pattern: str):
     same = pattern == _known_pattern()
     four = {rank: rank.to_bytes(4, "little") for rank in ranks.values()}
 
-    class Pieces(dict):
-        def __missing__(self, piece: str) -> bytes:
-            if len(self) >= KEPT:
-                self.clear()
-            found = b"".join([four[i] for i in machine.encode(piece.encode("utf-8"))])
-            if len(piece) <= 40:
-                self[piece] = found
-            return found
+    def coded(piece: str) -> bytes:
+        return b"".join([four[i] for i in machine.encode(piece.encode("utf-8"))])
 
-    pieces = Pieces()
+    kept = Kept(coded)
 
     def whole(text: str) -> bytes:
-        return b"".join([pieces[p] for p in (NEAR.findall(text) if same and PLAIN.match(text) else split(text))])
+        pieces = NEAR.findall(text) if same and PLAIN.match(text) else split(text)
+        # A word of one piece is kept as a word.
+        return coded(pieces[0]) if len(pieces) == 1 else b"".join([kept[p] for p in pieces])
 
     tokens = {rank: token for token, rank in ranks.items()}
     return (cut_at_spaces(whole) if same else whole), Decoder(tokens), tokens

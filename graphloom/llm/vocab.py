@@ -70,23 +70,34 @@ def _fast_model(held: dict, path: str):
     return tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-#: Most words that a worker keeps the ids of; then it starts anew.
-KEPT = 500_000
+#: Most words of a generation whose ids a worker keeps; it has two.
+KEPT = 250_000
 
 
-def cut_at_spaces(whole):
-    """The function ``whole`` made to work word by word where that's the same."""
+class Kept(dict):
+    """Results of ``work`` for short words. When a generation is full, it
+    becomes the old one: what is asked for again moves to the new one, the rest
+    goes with the next change."""
+
+    def __init__(self, work, most: int = KEPT, longest: int = 40):
+        self.work, self.most, self.longest, self.old = work, most, longest, {}
 
-    class Kept(dict):
-        def __missing__(self, word: str) -> bytes:
-            if len(self) >= KEPT:
-                self.clear()
-            found = whole(" " + word)
-            if len(word) <= 40:
-                self[word] = found
-            return found
+    def __missing__(self, word: str) -> bytes:
+        found = self.old.get(word)
+        if found is None:
+            found = self.work(word)
+            if len(word) > self.longest:
+                return found
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[word] = found
+        return found
 
-    kept = Kept()
+
+def cut_at_spaces(whole):
+    """The function ``whole`` made to work word by word where that's the same."""
+    kept = Kept(lambda word: whole(" " + word))
 
     def encode(text: str) -> bytes:
         if SPACE_BEFORE_SPACE.search(text):
