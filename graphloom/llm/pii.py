@@ -14,9 +14,9 @@ digits, a phone number without its last four digits), which is protected like an
 entity, so that values seen once each give evidence together. Words near an
 entity (``window`` characters on the same line) are terms that may reveal it.
 
-Counts are of different texts, and texts that show a pair (or an entity) in the
-same context count once, so copies of a text or of its words are no evidence:
-of N texts, c hold entity e, n hold term t and x have t near e. With
+Texts (rows) that show a pair or an entity in the same context count as one, so
+copies of a text or of its words are no evidence: of N texts, c hold entity e, n
+hold term t and x have t near e. With
 ``IC(e) = log2 N/c`` and ``PMI(t; e) = log2 (x/N) / ((n+1)/N * c/N)``, smoothed
 by one more text that holds t alone, the disclosure of e by t is ``PMI / IC``:
 the part of e's information that seeing t gives away. A term discloses e where
@@ -68,7 +68,7 @@ MAY_HOLD = {
 #: A term: a word of three letters or more.
 TERM = r"[\p{L}][\p{L}\p{N}_'-]{2,}"
 
-_KEY, _TEXT, _TERMS, _SPANS = (PRIVATE + x for x in ("key", "text", "terms", "spans"))
+_KEY, _ROW, _TEXT, _TERMS, _SPANS, _SALT = (PRIVATE + x for x in ("key", "row", "text", "terms", "spans", "salt"))
 
 
 def placed(text: Column, pattern: str) -> Column:
@@ -152,11 +152,11 @@ def nearby(text: Column, span: Column, window: int) -> Column:
 
 
 def found_spans(docs: DataFrame, text_col: str = "text", window: int = 64) -> DataFrame:
-    """Per row: a text key, the base spans and, for each base span, the terms
-    near it."""
+    """Per row: a number of its own, the base spans and, for each base span, the
+    terms near it. Numbers hold once the rows are written."""
     rows = docs.select(filled(text_col).alias(_TEXT)).withColumn("spans", base_spans(F.col(_TEXT)))
     near = F.transform("spans", lambda s: nearby(F.col(_TEXT), s, window))
-    return rows.select(F.sha2(_TEXT, 256).alias(_KEY), "spans", F.when(F.size("spans") > 0, near).alias("near"))
+    return rows.select(F.monotonically_increasing_id().alias(_ROW), "spans", F.when(F.size("spans") > 0, near).alias("near"))
 
 
 def pool(rank: Column, value: Column) -> Column:
@@ -178,25 +178,25 @@ def words_of(text: Column) -> Column:
 def disclosing(docs: DataFrame, found: DataFrame, text_col: str = "text", disclosure: float = 0.8, chance: float = 0.01) -> DataFrame:
     """The pairs (entity, term) in which the term discloses the entity or pool."""
     s = F.col("s.spans")
-    near = found.filter("size(spans) > 0").select(_KEY, F.explode(F.arrays_zip("spans", "near")).alias("s")).select(
-        _KEY,
+    near = found.filter("size(spans) > 0").select(_ROW, F.explode(F.arrays_zip("spans", "near")).alias("s")).select(
+        _ROW,
         F.explode(F.array(F.lower(s["value"]), pool(s["rank"], F.lower(s["value"])))).alias("entity"),
         F.array_distinct(F.transform("s.near", lambda m: F.lower(m["value"]))).alias("terms"),
         F.xxhash64(F.array_join(F.transform("s.near", lambda m: F.lower(m["value"])), " ")).alias("context"),
     ).distinct()
 
     def counted(rows: DataFrame, by: list[str], texts: str, contexts: str) -> DataFrame:
-        """Different texts and, of them, those that count as evidence."""
+        """Texts and, of them, those that count as evidence."""
         # One row per text, and one per context, before they are counted.
-        n = rows.select(*by, _KEY).distinct().groupBy(*by).agg(F.count(F.lit(1)).alias(texts))
+        n = rows.select(*by, _ROW).distinct().groupBy(*by).agg(F.count(F.lit(1)).alias(texts))
         c = rows.select(*by, "context").distinct().groupBy(*by).agg(F.count(F.lit(1)).alias(contexts))
         return n.join(c, by).withColumn(contexts, F.least(texts, contexts))
 
-    pairs = written(counted(near.select("entity", _KEY, "context", F.explode("terms").alias("term")), ["entity", "term"], "df_te", "x"), "pii-pairs")
+    pairs = written(counted(near.select("entity", _ROW, "context", F.explode("terms").alias("term")), ["entity", "term"], "df_te", "x"), "pii-pairs")
     entities = counted(near, ["entity"], "df_e", "c").join(pairs.groupBy("entity").agg(F.count(F.lit(1)).alias("tried")), "entity")
-    total = found.select(_KEY).distinct().agg(F.count(F.lit(1)).alias("total"))
+    total = found.agg(F.count(F.lit(1)).alias("total"))
     # An inner join, which stays above the counting: its rows are the terms asked for.
-    words = docs.select(filled(text_col).alias(_TEXT)).distinct().select(F.explode(words_of(F.col(_TEXT))).alias("term"))
+    words = docs.select(F.explode(words_of(filled(text_col))).alias("term"))
     term_df = words.groupBy("term").agg(F.count(F.lit(1)).alias("df_t")).join(pairs.select("term").distinct(), "term")
     c, x = F.col("c"), F.col("x")
     texts = F.col("total") - (F.col("df_e") - c)
@@ -222,17 +222,20 @@ def marks(text: Column, terms: Column) -> Column:
     return F.transform(placed(F.array_join(parts, ""), "xy+"), lambda m: F.struct(m["at"].alias("start"), rank.alias("rank"), (m["at"] + F.length(m["value"])).alias("stop"), F.lower(F.substring(text, m["at"] + 1, F.length(m["value"]))).alias("value"))).cast(SPANS)
 
 
-def spanned(docs: DataFrame, text_col: str = "text", window: int = 64, disclosure: float = 0.8, chance: float = 0.01) -> DataFrame:
+def spanned(docs: DataFrame, text_col: str = "text", window: int = 64, disclosure: float = 0.8, chance: float = 0.01, salts: int = 32) -> DataFrame:
     """``docs`` with a key of the text and the spans, base and added."""
+    text, spans = filled(text_col), base_spans(filled(text_col))
     found = written(found_spans(docs, text_col, window), "pii-found")
     terms = written(disclosing(docs, found, text_col, disclosure, chance).select("term").distinct(), "pii-terms")
-    # The key is made before the words are dealt out, once for each text.
-    words = docs.select(F.sha2(filled(text_col), 256).alias(_KEY), words_of(filled(text_col)).alias(_TERMS)).select(_KEY, F.explode(_TERMS).alias("term"))
+    # Texts that share a key share their terms: only those that a text holds are
+    # marked in it. The key is made before the words are dealt out.
+    words = docs.select(F.xxhash64(text).alias(_KEY), words_of(text).alias(_TERMS)).select(_KEY, F.explode(_TERMS).alias("term"))
     hits = words.join(terms, "term", "left_semi").groupBy(_KEY).agg(F.collect_set("term").alias(_TERMS))
-    text, spans = filled(text_col), base_spans(filled(text_col))
+    # A text with many copies goes to as many tasks as there are salts.
+    hits = hits.select(_KEY, _TERMS, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias(_SALT))
     # Words inside a base span are that span's already.
     inside = lambda t: F.exists(_SPANS, lambda s: (t["start"] < s["stop"]) & (s["start"] < t["stop"]))
-    rows = docs.withColumn(_KEY, F.sha2(text, 256)).join(hits, _KEY, "left").withColumn(_SPANS, spans)
+    rows = docs.withColumn(_KEY, F.xxhash64(text)).withColumn(_SALT, F.spark_partition_id() % salts).join(hits, [_KEY, _SALT], "left").withColumn(_SPANS, spans)
     both = F.array_sort(F.concat(_SPANS, F.filter(marks(text, F.col(_TERMS)), lambda t: ~inside(t))))
     return rows.withColumn(_SPANS, F.when(F.col(_TERMS).isNull(), F.col(_SPANS)).otherwise(both)).select(*docs.columns, _KEY, _SPANS)
 

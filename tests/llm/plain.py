@@ -1,5 +1,6 @@
 """Plain versions of operators, for comparison."""
 
+import math
 import re
 from collections import Counter, defaultdict
 
@@ -81,3 +82,56 @@ def best_fit(lengths, capacity):
         else:
             rooms.append(capacity - n)
     return sorted(rooms)
+
+
+TERM = re.compile(r"[^\W\d_][\w'-]{2,}")
+
+
+def pool(kind, value):
+    digits = re.sub("[^0-9]", "", value)
+    if kind == "email":
+        return value[value.index("@") :]
+    if kind == "ip":
+        return value[: value.rindex(".") + 1]
+    return digits[:6] + "*" if kind == "card" else "+" + digits[:-4] + "*"
+
+
+def near_terms(text, start, stop, window=64):
+    """Whole words on the span's line that lie within the window."""
+    low, high = text.rfind("\n", 0, start) + 1, text.find("\n", stop)
+    line, rest = text[low:start], text[stop : high if high >= 0 else len(text)]
+    # Words beside a span are looked for on either side of it by itself.
+    left = [m[0].lower() for m in TERM.finditer(line) if low + m.start() >= start - window]
+    return left + [m[0].lower() for m in TERM.finditer(rest) if m.end() <= window]
+
+
+def disclosing(texts, window=64, disclosure=0.8, chance=0.01):
+    """Pairs (entity, term) in which the term discloses the entity: mutual
+    information over information content, and Chernoff's bound on chance."""
+    e_rows, e_contexts, p_rows, p_contexts, df = (defaultdict(set) for _ in range(5))
+    for row, text in enumerate(texts):
+        for term in {m[0] for m in TERM.finditer(text.lower())}:
+            df[term].add(row)
+        for span in base_spans(text):
+            kind, a, b = span.split(":")
+            value, near = text[int(a) : int(b)].lower(), near_terms(text, int(a), int(b), window)
+            for entity in (value, pool(kind, value)):
+                e_rows[entity].add(row)
+                e_contexts[entity].add(tuple(near))
+                for term in near:
+                    p_rows[entity, term].add(row)
+                    p_contexts[entity, term].add(tuple(near))
+    tried = Counter(entity for entity, _ in p_rows)
+    found = set()
+    for (entity, term), rows in p_rows.items():
+        c, x = min(len(e_contexts[entity]), len(e_rows[entity])), min(len(p_contexts[entity, term]), len(rows))
+        total = len(texts) - (len(e_rows[entity]) - c)
+        n = len(df[term]) - (len(rows) - x)
+        p = c / total
+        if p >= 1 or x <= n * p:
+            continue
+        ic, pmi = -math.log(p), math.log(x / ((n + 1) * p))
+        missed = (n - x) * math.log((1 - p) * n / (n - x)) if n > x else 0
+        if pmi >= disclosure * ic and x * math.log(p * n / x) + missed + math.log(tried[entity]) <= math.log(chance):
+            found.add((entity, term))
+    return found

@@ -148,6 +148,13 @@ def test_a_disclosing_term_is_marked_wherever_it_stands(spark):
     assert "olfgang" not in clean[204] and "😀 [TERM] here" in clean[204] and clean[0].count("olfgang") == 1
 
 
+def test_disclosing_pairs_equal_the_plain_count(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = pii.disclosing(docs, pii.written(pii.found_spans(docs), "found"))
+    expected = plain.disclosing([r.text or "" for r in docs.select("text").collect()])
+    assert {tuple(r) for r in got.collect()} == expected and expected
+
+
 def test_pii_of_odd_rows(odd, nothing):
     got = pii.pii_spans(odd, keep=["doc_id"])
     assert got.count() == odd.count() and got.filter("size(spans) > 0").first().doc_id == 8
