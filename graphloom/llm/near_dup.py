@@ -2,18 +2,23 @@
 Jaccard similarity of at least ``threshold``.
 
 1. *Sketch.* Texts are lower-cased and white space becomes single spaces; equal
-   ones are one class from here on. A class's n-gram hashes give
+   ones (by SHA-256) are one class from here on. A class's n-gram hashes give
    ``bands * rows`` MinHash values; their numbers are chosen so that a pair at
    the threshold shares a band with probability ``recall`` at least.
-2. *Candidates.* Classes are shuffled on band hashes. Instead of a bucket's
-   pairs, links to its smallest class are kept; the components of these links
-   hold every pair that shares a band.
-3. *Verify.* The texts of a component meet and all pairs are compared on their
-   full sets of n-grams, by counting shared n-grams: rare ones by listing their
-   holders, frequent ones by multiplying 0/1 matrices. A component too large
-   for one task is cut into blocks by hash, and each pair of blocks is a unit
-   of work, so memory is bounded by two blocks. No pair is a row: a unit
-   returns the number of links of each class and a forest of its links.
+2. *Candidates.* Classes are shuffled on band hashes. Classes that share a band
+   are candidates; links to each bucket's smallest class give components, within
+   which all candidates lie.
+3. *Verify.* The texts of a component meet in one unit of work, and those pairs
+   that share a band are compared on their full sets of n-grams, by counting
+   shared n-grams: rare ones by listing their holders, frequent ones by
+   multiplying 0/1 matrices. A component too large for one unit is cut in one of
+   two ways, whichever sends fewer texts: into blocks by hash, of which each two
+   are a unit, or into its buckets (those with the same members count once, and
+   large ones are cut into blocks); a pair that shares several buckets is
+   compared in the first. Both compare the same pairs, so the way taken changes
+   no result. Memory is bounded by two blocks, and a text is sent at most as
+   often as it has bands, unless a bucket is larger than a block. No pair is a
+   row: a unit returns the number of links of each class and a forest of links.
 4. *Classes.* The components of the forests' links are the near-duplicate
    groups; a document's class id is the smallest document id of its group.
 
@@ -40,8 +45,8 @@ from graphloom.operators.components import connected_components
 
 _KEY, _NORM, _ID = PRIVATE + "key", PRIVATE + "norm", PRIVATE + "id"
 
-#: Most texts and words in a block of a large component.
-BLOCK_TEXTS, BLOCK_WORDS = 1024, 1_000_000
+#: Most texts and words in a block of a large component or bucket.
+BLOCK_TEXTS, BLOCK_WORDS = 256, 500_000
 
 
 def band_plan(threshold: float, recall: float, most: int = 256) -> tuple[int, int]:
@@ -120,7 +125,7 @@ def band_hashes(grams: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 def normalised(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     norm = F.trim(F.regexp_replace(F.lower(filled(text_col)), r"[\s\x0B\x1C-\x1F\x85\p{Z}]+", " "))
-    return docs.select(F.col(id_col).alias(_ID), norm.alias(_NORM)).withColumn(_KEY, F.unhex(F.md5(_NORM)))
+    return docs.select(F.col(id_col).alias(_ID), norm.alias(_NORM)).withColumn(_KEY, F.unhex(F.sha2(_NORM, 256)))
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, n: int, bands: int, rows: int) -> DataFrame:
@@ -175,14 +180,27 @@ def shared_counts(sets: list[np.ndarray], often: int = 16) -> np.ndarray:
     return inter
 
 
-def linked(sets: list[np.ndarray], block: np.ndarray, threshold: float, between: bool) -> np.ndarray:
-    """The 0/1 matrix of pairs at or over the threshold; ``between`` keeps only
-    pairs of two blocks, also where one of the blocks got no text."""
+def share_band(bands: np.ndarray, first: int) -> np.ndarray:
+    """The 0/1 matrix of pairs that share a band; with ``first`` not negative, of
+    those that share this one and none before it."""
+    count = len(bands)
+    if first < 0 and count <= 64:
+        return (bands[:, None, :] == bands[None, :, :]).any(axis=2)
+    before = np.zeros((count, count), bool)
+    for band in range(bands.shape[1] if first < 0 else first):
+        before |= bands[:, band, None] == bands[None, :, band]
+    return before if first < 0 else (bands[:, first, None] == bands[None, :, first]) & ~before
+
+
+def linked(sets: list[np.ndarray], block: np.ndarray, bands: np.ndarray, threshold: float, between: bool, first: int = -1) -> np.ndarray:
+    """The 0/1 matrix of pairs at or over the threshold that share a band (see
+    ``share_band``); ``between`` keeps only pairs of two blocks, also where one
+    of the blocks got no text."""
     inter = shared_counts(sets).astype(np.float64)
     sizes = np.array([len(s) for s in sets], np.float64)
     # inter / (|a| + |b| - inter) >= threshold, without dividing.
     link = inter * (1 + threshold) >= threshold * (sizes[:, None] + sizes[None, :]) - 1e-9
-    link &= inter > 0
+    link &= (inter > 0) & share_band(bands, first)
     np.fill_diagonal(link, False)
     if between:
         link &= block[:, None] != block[None, :]
@@ -200,16 +218,21 @@ def forest(link: np.ndarray) -> np.ndarray:
         label = best
 
 
+#: What names a unit of work: a component, a bucket in it (null: all of it), its
+#: band (-1) and two blocks (the same one: pairs within it).
+UNIT = ["root", "bucket", "first", "low", "high"]
+
+
 def verify(units: DataFrame, n: int, threshold: float) -> DataFrame:
     """Rows sorted by unit to each class's number of links and its label."""
 
-    def solve(unit: tuple, keys: list[bytes], norms: list[str], blocks: list[int]) -> pa.RecordBatch | None:
+    def solve(unit: tuple, keys: list[bytes], norms: list[str], blocks: list[int], bands: list) -> pa.RecordBatch | None:
         known = {k: i for i, k in reversed(list(enumerate(keys)))}
         at = sorted(known.values())
         if len(at) < 2:
             return None
         sets = [np.unique(ngrams(norms[i], n)) for i in at]
-        link = linked(sets, np.array([blocks[i] for i in at]), threshold, unit[1] != unit[2])
+        link = linked(sets, np.array([blocks[i] for i in at]), np.array([bands[i] for i in at]), threshold, unit[3] != unit[4], unit[2])
         number, label = link.sum(axis=1), forest(link)
         some = np.flatnonzero(number)
         if not len(some):
@@ -217,21 +240,54 @@ def verify(units: DataFrame, n: int, threshold: float) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array([keys[at[i]] for i in some], pa.binary()), pa.array(number[some], pa.int64()), pa.array([keys[at[label[i]]] for i in some], pa.binary())], names=[_KEY, "links", "label"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unit, keys, norms, blocks = None, [], [], []
+        unit, held = None, ([], [], [], [])
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("root", "low", "high", _KEY, _NORM, "block")]
-            for root, low, high, key, norm, block in zip(*columns):
-                if (root, low, high) != unit:
-                    if unit and (found := solve(unit, keys, norms, blocks)):
+            columns = [batch.column(c).to_pylist() for c in (*UNIT, _KEY, _NORM, "block", "bands")]
+            for row in zip(*columns):
+                if row[: len(UNIT)] != unit:
+                    if unit and (found := solve(unit, *held)):
                         yield found
-                    unit, keys, norms, blocks = (root, low, high), [], [], []
-                keys.append(key)
-                norms.append(norm)
-                blocks.append(block)
-        if unit and (found := solve(unit, keys, norms, blocks)):
+                    unit, held = row[: len(UNIT)], ([], [], [], [])
+                for column, value in zip(held, row[len(UNIT) :]):
+                    column.append(value)
+        if unit and (found := solve(unit, *held)):
             yield found
 
-    return units.repartition("root", "low", "high").sortWithinPartitions("root", "low", "high").mapInArrow(run, f"{_KEY} binary, links long, label binary")
+    return units.repartition(*UNIT).sortWithinPartitions(*UNIT).mapInArrow(run, f"{_KEY} binary, links long, label binary")
+
+
+def _blocks(texts: str, words: str):
+    """How many blocks so much is cut into."""
+    return F.greatest(F.ceil(F.col(texts) / BLOCK_TEXTS), F.ceil(F.col(words) / BLOCK_WORDS)).cast("int")
+
+
+def _paired(members: DataFrame) -> DataFrame:
+    """Members of components or buckets of so many ``blocks``, once for each unit."""
+    blocked = members.withColumn("block", F.pmod(F.xxhash64(_KEY), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return blocked.select("root", "bucket", "first", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), _KEY, _ID, "block", "bands")
+
+
+def work_units(members: DataFrame, cut) -> DataFrame:
+    """A row for each unit that a class takes part in. ``members`` are classes
+    ``(root, key, id, words, bands)`` of components."""
+    sizes = members.groupBy("root").agg(F.count(F.lit(1)).alias("texts"), F.sum("words").alias("all_words")).withColumn("blocks", _blocks("texts", "all_words"))
+    placed = cut(members.join(sizes, "root"))
+    whole = lambda df: df.withColumns({"bucket": F.lit(None).cast("long"), "first": F.lit(-1)})
+    small, large = placed.filter("blocks = 1"), placed.filter("blocks > 1")
+    if large.isEmpty():
+        return _paired(whole(small))
+    spots = large.select("root", _KEY, "words", F.posexplode("bands").alias("first", "bucket"))
+    found = spots.groupBy("root", "first", "bucket").agg(
+        F.count(F.lit(1)).alias("texts"), F.sum("words").alias("all_words"), F.bit_xor(F.xxhash64(_KEY)).alias("x"), F.bit_xor(F.xxhash64(F.lit(7), _KEY)).alias("y")
+    ).filter("texts > 1")
+    # Of buckets with the same members the first band's has all their pairs.
+    once = cut(found.groupBy("root", "texts", "all_words", "x", "y").agg(F.min(F.struct("first", "bucket")).alias("b")).select("root", "texts", "all_words", "b.first", "b.bucket").withColumn("blocks", _blocks("texts", "all_words")))
+    sent = once.groupBy("root").agg(F.sum(F.col("texts") * F.col("blocks")).alias("sent"))
+    ways = cut(large.select("root", "texts", "blocks").distinct().join(sent, "root").select("root", (F.col("sent") < F.col("texts") * F.col("blocks")).alias("by_bucket")))
+    by_block = large.join(ways.filter("not by_bucket"), "root", "left_semi")
+    by_bucket = large.join(ways.filter("by_bucket"), "root", "left_semi").drop("blocks").select("root", _KEY, _ID, "bands", F.posexplode("bands").alias("first", "bucket"))
+    buckets = by_bucket.join(once.select("root", "first", "bucket", "blocks"), ["root", "first", "bucket"])
+    return _paired(whole(small)).unionByName(_paired(whole(by_block))).unionByName(_paired(buckets))
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: float = 0.8, recall: float = 0.999) -> tuple[DataFrame, DataFrame]:
@@ -244,18 +300,14 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     first = placed.groupBy("band").agg(F.min(_KEY).alias("src"), F.max(_KEY).alias("last")).filter("src != last").select("band", "src")
     stars = placed.join(first, "band").filter(F.col(_KEY) != F.col("src")).select("src", F.col(_KEY).alias("dst")).distinct()
     groups = connected_components(stars, cut).select(F.col("node").alias(_KEY), F.col("component").alias("root"))
-    classes = sketched.groupBy(_KEY).agg(F.min(_ID).alias(_ID), F.min("words").alias("words"))
-    members = groups.join(classes, _KEY)
-    sizes = members.groupBy("root").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_TEXTS), F.ceil(F.sum("words") / BLOCK_WORDS)).cast("int").alias("blocks"))
-    blocked = members.join(sizes, "root").withColumn("block", F.pmod(F.xxhash64(_KEY), F.col("blocks")).cast("int"))
-    texts = normalised(docs, id_col, text_col).alias("t").join(blocked.alias("m"), (F.col("t." + _KEY) == F.col("m." + _KEY)) & F.col("t." + _ID).eqNullSafe(F.col("m." + _ID)))
-    units = texts.select("root", F.col("m." + _KEY).alias(_KEY), _NORM, "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
-        "root", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), _KEY, _NORM, "block"
-    )
-    links = cut(verify(units, n, threshold))
+    classes = sketched.groupBy(_KEY).agg(F.min(_ID).alias(_ID))
+    first_sketch = sketched.filter("bands is not null").join(groups, _KEY).groupBy("root", _KEY).agg(F.min("words").alias("words"), F.first("bands").alias("bands"))
+    units = work_units(first_sketch.join(classes, _KEY), cut).alias("m")
+    texts = normalised(docs, id_col, text_col).alias("t").join(units, (F.col("t." + _KEY) == F.col("m." + _KEY)) & F.col("t." + _ID).eqNullSafe(F.col("m." + _ID)))
+    links = cut(verify(texts.select(*UNIT, F.col("m." + _KEY).alias(_KEY), _NORM, "block", "bands"), n, threshold))
     near = connected_components(links.filter(F.col(_KEY) != F.col("label")).select(F.col(_KEY).alias("src"), F.col("label").alias("dst")), cut)
     counts = links.groupBy(_KEY).agg(F.sum("links").alias("n_links"))
-    found = near.select(F.col("node").alias(_KEY), F.col("component").alias("group")).join(counts, _KEY, "left").join(classes.select(_KEY, _ID), _KEY)
+    found = near.select(F.col("node").alias(_KEY), F.col("component").alias("group")).join(counts, _KEY, "left").join(classes, _KEY)
     return sketched.select(_ID, _KEY), found
 
 
@@ -278,7 +330,7 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     alone = rows.groupBy(_KEY).agg(F.min(_ID).alias(_ID)).join(found.select(_KEY), _KEY, "left_anti")
     stay = written(alone.select(_ID, _KEY).union(first.select(f"w.{_ID}", f"w.{_KEY}")), "near-dup-kept").select(F.col(_ID).alias(PRIVATE + "stay"), F.col(_KEY).alias(PRIVATE + "stay_key"))
     norm = F.trim(F.regexp_replace(F.lower(filled(text_col)), r"[\s\x0B\x1C-\x1F\x85\p{Z}]+", " "))
-    keyed = docs.withColumn(_ID, F.col(id_col)).withColumn(_KEY, F.unhex(F.md5(norm)))
+    keyed = docs.withColumn(_ID, F.col(id_col)).withColumn(_KEY, F.unhex(F.sha2(norm, 256)))
     kept = keyed.join(stay, (F.col(_KEY) == F.col(PRIVATE + "stay_key")) & F.col(_ID).eqNullSafe(F.col(PRIVATE + "stay")), "left_semi")
     once = Window.partitionBy(_KEY, _ID).orderBy(_KEY)
     return kept.withColumn(PRIVATE + "nth", F.row_number().over(once)).filter(F.col(PRIVATE + "nth") == 1).select(*docs.columns)

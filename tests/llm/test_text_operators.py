@@ -82,6 +82,33 @@ def test_few_long_texts_are_counted_once_in_empty_blocks(spark, monkeypatch):
     assert {r[2] for r in got} == {1}
 
 
+def test_chained_components_are_cut_into_their_buckets(spark, monkeypatch):
+    draw = random.Random(8)
+    words, rows = [f"w{draw.randrange(10_000)}" for _ in range(60)], []
+    for i in range(300):
+        at = draw.randrange(60)
+        words = words[:at] + [f"v{i}"] + words[at + 1 :]
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    ways = []
+    paired = near_dup._paired
+    monkeypatch.setattr(near_dup, "_paired", lambda members: ways.append(members) or paired(members))
+    found = {}
+    for most in (1024, 8):
+        monkeypatch.setattr(near_dup, "BLOCK_TEXTS", most)
+        found[most] = sorted((tuple(r) for r in near_dup.jaccard_join(docs).collect()), key=repr)
+    assert found[8] == found[1024] == plain.near_duplicates(rows)
+    assert len(ways) == 4 and ways[-1].count() > 300
+
+
+def test_recall_against_all_pairs(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    expected = plain.near_duplicates([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()])
+    got = [tuple(r) for r in near_dup.jaccard_join(docs).collect()]
+    assert sum(r[2] for r in expected) > 10 and sum(r[2] for r in got) >= 0.9 * sum(r[2] for r in expected)
+    assert len(got) == len(expected) and len(set(got) - set(expected)) <= 2
+
+
 def test_jaccard_join_of_odd_rows(odd, nothing):
     got = {(r.doc_id, r.class_id, r.n_links, r.n_copies) for r in near_dup.jaccard_join(odd).collect()}
     assert got == {(1, 1, 0, 4), (2, 1, 0, 4), (None, 1, 0, 4), (3, 3, 0, 4), (4, 3, 0, 4), (5, 3, 0, 4), (None, 3, 0, 4), (6, 6, 0, 1), (7, 7, 0, 1), (8, 8, 0, 1)}
