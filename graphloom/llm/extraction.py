@@ -13,10 +13,11 @@ names its main part by ``article`` or ``main``. In that part, elements outside
 navigation, forms, comments and the like are content, everything else isn't.
 Half of the time a training page is shown with such names taken away, so that
 the model also learns from text, links and place; and each is also shown with
-comments, a form or the like put into its main part, and with that part cut
-short. Training takes at most
-``sample_pages`` pages (a parameter), chosen by a hash of their id; every page
-is extracted, from its whole html.
+comments, a form or the like put into its main part, with that part cut short,
+with it written as lists, tables, sections, preformatted text and the like, and
+as a page of nothing else, without any name. Training takes at most
+``sample_pages`` pages (a parameter), chosen by hashes of their ids and html
+before any html is gathered; every page is extracted, from its whole html.
 
 Defined results: null or empty html and pages without text give the empty text;
 repeated rows and null ids get a row each; without labelled pages the weights
@@ -322,23 +323,57 @@ def shortened(page: str, number: int, texts: list[str]) -> str:
     return page[: first.end()] + body + (page[ends[-1] :] if ends else "")
 
 
+#: How a text may stand in a main part.
+SHAPES = (
+    "<p>{0}</p>", "<h2>{1}</h2><p>{0}</p>", "<ul><li>{0}</li><li>{1}</li></ul>", "<table><tr><th>{1}</th><td>{2}</td></tr><tr><td>{2}</td><td>{0}</td></tr></table>",
+    "<pre>{0}</pre>", "<blockquote><p>{0}</p></blockquote>", "<section id='{2}'><h3>{1}</h3><p>{0}</p></section>", "<div>{0}</div>", "<p>{0}</p>",
+    "<dl><dt>{1}</dt><dd>{0}</dd></dl>", "<figure><figcaption>{1}</figcaption></figure><p>{0}</p>", "<ol><li><p>{0}</p></li></ol>", "<div><div><p>{0}</p></div></div>",
+)
+
+
+def reshaped(number: int, blocks: list[str]) -> str:
+    """Markup of a main part with these texts in various shapes."""
+    out = ["<h1>" + entities.escape(blocks[0]) + "</h1>"] if number % 2 and blocks else []
+    for k, text in enumerate(blocks):
+        words = text.split()
+        shape = SHAPES[(number + k * (1 + number % 5)) % len(SHAPES)]
+        out.append(shape.format(*map(entities.escape, (text, " ".join(words[: 1 + (number + k) % 7]), words[-1].strip("'\"") if words else "x"))))
+    return "".join(out)
+
+
+def variants(page: str, number: int, blocks: list[str], texts: list[str]) -> Iterator[tuple[list[Element], list[int], bool]]:
+    """Further pages made from a labelled one: elements, labels, and whether
+    their names are to be seen."""
+    short = shortened(page, number, texts)
+    for made in (intruded(page, number, texts), short, intruded(short, number + 1, texts)):
+        elements = read_page(made)[0]
+        yield elements, page_labels(elements), True
+    first, ends = _MAIN.search(page), [m.start() for m in _MAIN_END.finditer(page)]
+    body = reshaped(number, blocks[: 1 + number % 12])
+    elements = read_page(page[: first.end()] + body + (page[ends[-1] :] if ends else ""))[0]
+    yield elements, page_labels(elements), number % 2 == 0
+    elements = read_page(f"<html><body>{body}</body></html>" if number % 3 else f"<div id='content'>{body}</div>")[0]
+    yield elements, [1] * len(elements), True
+
+
 def train(pages: list[str], epochs: int = 6, rate: float = 0.3) -> TreeModel:
     """Fit on the labelled ones of the pages. Each is shown as it is, without
-    its names, with something put into its main part that isn't content, and
-    with a short main part."""
+    its names, and in its variants."""
     model = TreeModel()
     known = []
-    texts = [t for p in pages[:100] for _, t in read_page(p)[1]]
-    for i, page in enumerate(pages):
-        elements, _ = read_page(page)
+    for page in pages:
+        elements, blocks = read_page(page)
         if labels := page_labels(elements):
-            short = shortened(page, i, texts)
-            made = [read_page(p)[0] for p in (intruded(page, i, texts), short, intruded(short, i + 1, texts))]
-            known.append((elements, labels, [(e, page_labels(e), features(e)) for e in made]))
+            known.append((page, elements, labels, [t for at, t in blocks if labels[at]], [t for _, t in blocks]))
+    texts = [t for *_, every in known for t in every]
+    shown = []
+    for i, (page, elements, labels, blocks, _) in enumerate(known):
+        made = [(e, y, features(e, nameless=not named)) for e, y, named in variants(page, i, blocks, texts)]
+        shown.append((elements, labels, [features(elements), features(elements, nameless=True)], made))
     for epoch in range(epochs):
-        for i, (elements, labels, made) in enumerate(known):
+        for i, (elements, labels, seen, made) in enumerate(shown):
             pace = rate / (1 + epoch)
-            model.learn(elements, labels, features(elements, nameless=(i + epoch) % 2 == 1), pace)
+            model.learn(elements, labels, seen[(i + epoch) % 2], pace)
             for e, y, f in made:
                 model.learn(e, y, f, pace)
     model.weights, model.pair = dict(model.weights), dict(model.pair)
@@ -346,9 +381,13 @@ def train(pages: list[str], epochs: int = 6, rate: float = 0.3) -> TreeModel:
 
 
 def trained_on(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sample_pages: int = 400) -> TreeModel:
-    """A model of at most ``sample_pages`` labelled pages of the table."""
-    labelled = pages.filter(F.col(html_col).rlike(r"(?i)<(?:article|main)[\s>]")).select(F.col(html_col).alias("h"), F.xxhash64(id_col).alias("k"))
-    return train([r[0] for r in labelled.orderBy("k", F.xxhash64("h")).limit(sample_pages).collect()])
+    """A model of at most ``sample_pages`` labelled pages of the table. Pages are
+    chosen by two hashes, so no more html than theirs comes to the driver."""
+    keyed = pages.filter(F.col(html_col).rlike(r"(?i)<(?:article|main)[\s>]")).select(F.xxhash64(id_col).alias("k"), F.xxhash64(html_col).alias("x"), F.col(html_col).alias("h"))
+    chosen = keyed.select("k", "x").distinct().orderBy("k", "x").limit(sample_pages)
+    # At most ``sample_pages`` rows of two numbers.
+    rows = keyed.join(F.broadcast(chosen), ["k", "x"]).groupBy("k", "x").agg(F.first("h").alias("h")).collect()
+    return train([r["h"] for r in sorted(rows, key=lambda r: (r["k"], r["x"]))])
 
 
 def extracted(pages: DataFrame, model: TreeModel, keep: list[str], html_col: str = "html") -> DataFrame:

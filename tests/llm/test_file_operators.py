@@ -255,6 +255,29 @@ def test_page_details(spark, data, page, text):
     assert extraction.extracted(pages.limit(0), model, ["page_id"]).count() == 0
 
 
+WORDS = " ".join(f"lorem{i % 37} ipsum," if i % 9 == 0 else f"dolor{i % 53}" for i in range(200)) + "."
+NAV = "<nav><a href=/>Home</a> <a href=/b>Blog</a></nav>"
+PROBES = {
+    f"<body><p>{WORDS}</p></body>": [WORDS],
+    f"<div id=nav><a href=/>Home</a> <a href=/b>Blog</a></div><div id=content><h1>Title here</h1><p>{WORDS}</p><ul><li>first item</li><li>second item</li></ul><pre>x = 1\ny = 2</pre></div>": ["Title here", WORDS, "first item", "second item", "x = 1 y = 2"],
+    f"{NAV}<article><h1>T</h1><p>{WORDS}</p><table><tr><td>cell one</td><td>cell two</td></tr></table><p>{WORDS}</p></article><footer>c 2020</footer>": ["T", WORDS, "cell one", "cell two", WORDS],
+    f"{NAV}<article><h1>T</h1><p>{WORDS}</p><section id='shared-memory'><h2>Shared memory</h2><p>{WORDS}</p></section></article><footer>c 2020</footer>": ["T", WORDS, "Shared memory", WORDS],
+    f"{NAV}<article><h1>T</h1><p>{WORDS}</p><div class='comments'><p>nice post!</p></div></article>": ["T", WORDS],
+    "<p>Hello there.</p>": ["Hello there."],
+    "just text": ["just text"],
+}
+
+
+@pytest.fixture(scope="module")
+def page_model(spark):
+    return extraction.trained_on(spark.read.parquet("/root/testdata/sf0.01/pages.parquet"))
+
+
+@pytest.mark.parametrize("page", list(PROBES))
+def test_pages_of_other_shapes(page_model, page):
+    assert page_model.main_text(page) == "\n".join(PROBES[page])
+
+
 # -- Quality
 
 
