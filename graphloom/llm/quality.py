@@ -3,11 +3,12 @@
 A document's UTF-8 bytes go through ``filters`` learned filters of ``width``
 bytes, one step every ``stride`` bytes. Their rectified outputs are averaged
 over each of the overlapping chunks (``chunk`` steps, half of them shared with
-the next) that cover the whole document; each filter's largest chunk average is
-its feature. One more filter compares bytes with those up to ``lags`` before
-and shows text that repeats itself, which filters with fixed weights can't. A logistic unit combines the
-features into one probability. A filter's weights are a number per place and
-byte value, so running it is adding up table rows.
+the next) that cover the whole document. A second learned layer combines a
+chunk's averages into ``hidden`` rectified units, which also show a chunk that
+is unlike any text (a few words again and again), and each unit's largest value
+over the chunks is a feature. A logistic unit combines the features into one
+probability. A filter's weights are a number per place and byte value, so
+running it is adding up table rows.
 
 The model is fitted by gradient descent on the driver on at most
 ``sample_rows`` labelled rows (the bound is a parameter; rows are chosen by a
@@ -16,7 +17,7 @@ text enters a score.
 
 Defined results: null and empty texts are scored as one step over padding;
 labels that are null are not used, of several labels for one id the mean
-counts; without any labelled row of both classes every score is the share of
+counts, of several texts for one id the first in order is learned from; without any labelled row of both classes every score is the share of
 label 1 (1 if there are no labels); an empty table gives no rows.
 """
 
@@ -35,19 +36,20 @@ from graphloom.llm.shared import PRIVATE, filled
 
 @dataclass
 class ByteNet:
-    """Weights: ``table[place, byte, filter]``, ``bias[filter]``; ``out`` and
-    ``out_bias`` of the logistic unit."""
+    """Weights: ``table[place, byte, filter]`` and ``bias[filter]``;
+    ``mix[filter, unit]`` and ``mix_bias[unit]`` of the second layer;
+    ``out[unit]`` and ``out_bias`` of the logistic unit."""
 
     table: np.ndarray
     bias: np.ndarray
+    mix: np.ndarray
+    mix_bias: np.ndarray
     out: np.ndarray
     out_bias: float
     stride: int = 2
-    chunk: int = 256
-    #: How far back the repeat filter looks, in bytes.
-    lags: int = 24
-    #: Steps run at once, so that a long text needs no more memory.
-    window: int = 1 << 15
+    chunk: int = 32
+    #: Chunks run at once, so that a long text needs no more memory.
+    window: int = 1 << 11
 
     def steps(self, data: np.ndarray) -> np.ndarray:
         """Rectified filter outputs, a row per step. ``data`` is padded."""
@@ -72,49 +74,21 @@ class ByteNet:
         found = np.arange(0, number - self.chunk + 1, self.chunk // 2)
         return found if found[-1] + self.chunk == number else np.append(found, number - self.chunk)
 
-    def repeats(self, text: str) -> float:
-        """How much the text repeats itself: in each stretch of 32 bytes, the
-        most bytes equal to the one a lag before, over lags; averaged over a
-        chunk, the largest of all chunks; scaled to about -1 to 2."""
-        data = np.frombuffer(text.encode("utf-8"), np.uint8)
-        number = -(-len(data) // 32)
-        if not number:
-            return -1.0
-        # A byte value that UTF-8 never has stands before the text.
-        wide = np.full(self.lags + 32 * number, 0xFF, np.uint8)
-        wide[self.lags : self.lags + len(data)] = data
-        here, most = wide[self.lags :], np.zeros(number, np.uint64)
-        for lag in range(1, self.lags + 1):
-            same = here == wide[self.lags - lag : len(wide) - lag]
-            same[len(data) :] = False
-            eight = same.view(np.uint64).reshape(number, 4)
-            # Sums of four bytes of 0 or 1, then of their eight places.
-            four = (eight[:, 0] + eight[:, 1]) + (eight[:, 2] + eight[:, 3])
-            np.maximum(most, (four * np.uint64(0x0101010101010101)) >> np.uint64(56), out=most)
-        per = max(1, self.chunk * self.stride // 32)
-        if number <= per:
-            return 3 * float(most.sum()) / max(len(data), 32) - 1
-        sums = np.concatenate([[0], np.cumsum(most, dtype=np.int64)])
-        starts = np.append(np.arange(0, number - per, max(1, per // 2)), number - per)
-        return 3 * float((sums[starts + per] - sums[starts]).max()) / (32 * per) - 1
+    def means(self, held: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """The averages of rows of ``held`` over the chunks that start there."""
+        size = min(self.chunk, len(held))
+        sums = np.concatenate([np.zeros((1, held.shape[1])), np.cumsum(held, axis=0, dtype=np.float64)])
+        return (sums[starts + size] - sums[starts]) / size
 
     def features(self, text: str) -> np.ndarray:
-        """Each filter's largest chunk average, and the repeat filter's."""
-        return np.append(self.averages(text), self.repeats(text))
-
-    def averages(self, text: str) -> np.ndarray:
+        """Each unit's largest value over the chunks."""
         data = self.padded(text)
-        number = (len(data) - len(self.table)) // self.stride + 1
-        if number <= self.chunk:
-            return self.steps(data).mean(axis=0)
-        starts, best = self.starts(number), np.zeros(self.table.shape[2], np.float32)
-        per = self.window
-        for at in range(0, len(starts), max(1, 2 * per // self.chunk)):
-            some = starts[at : at + max(1, 2 * per // self.chunk)]
-            low, high = some[0], some[-1] + self.chunk
-            held = self.steps(data[low * self.stride : (high - 1) * self.stride + len(self.table)])
-            sums = np.concatenate([np.zeros((1, held.shape[1])), np.cumsum(held, axis=0, dtype=np.float64)])
-            np.maximum(best, ((sums[some - low + self.chunk] - sums[some - low]) / self.chunk).max(axis=0), out=best, casting="unsafe")
+        starts = self.starts((len(data) - len(self.table)) // self.stride + 1)
+        best = np.zeros(len(self.out))
+        for at in range(0, len(starts), self.window):
+            some = starts[at : at + self.window]
+            low, high = some[0] * self.stride, (some[-1] + self.chunk - 1) * self.stride + len(self.table)
+            np.maximum(best, (self.means(self.steps(data[low:high]), some - some[0]) @ self.mix + self.mix_bias).max(axis=0), out=best)
         return best
 
     def score(self, text: str) -> float:
@@ -122,63 +96,76 @@ class ByteNet:
         return float(1 / (1 + np.exp(-np.clip(z, -60, 60))))
 
 
-def fit(texts: list[str], labels: np.ndarray, filters: int = 16, width: int = 6, epochs: int = 8, batch: int = 32, rate: float = 0.02, seed: int = 7, steps: int = 400) -> ByteNet:
-    """Logistic loss, Adam, gradients through the chunk that gave the maximum.
-    Few rows are gone through more than ``epochs`` times, for at least ``steps``
-    gradient steps."""
+#: The weights that are learned.
+LEARNED = ("table", "bias", "mix", "mix_bias", "out", "out_bias")
+
+
+def gradients(net: ByteNet, data: list[np.ndarray], labels: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+    """The mean logistic loss over padded texts, and its gradients; of a maximum
+    over chunks, through the chunk that gave it."""
+    width, _, filters = net.table.shape
+    total, columns, units = 0.0, np.arange(filters), np.arange(len(net.out))
+    found = {name: np.zeros(np.shape(getattr(net, name))) for name in LEARNED}
+    table = found["table"].reshape(width, -1)
+    for bytes_, label in zip(data, labels):
+        held = net.steps(bytes_)
+        starts, size = net.starts(len(held)), min(net.chunk, len(held))
+        means = net.means(held, starts)
+        mixed = means @ net.mix + net.mix_bias
+        top = mixed.argmax(axis=0)
+        best = np.maximum(mixed[top, units], 0)
+        z = np.clip(best @ net.out + net.out_bias, -60, 60)
+        total += np.logaddexp(0, -z if label else z)
+        error = (1 / (1 + np.exp(-z)) - label) / len(data)
+        found["out"] += error * best
+        found["out_bias"] += error
+        d_mixed = np.where(best > 0, error * net.out, 0.0)
+        found["mix_bias"] += d_mixed
+        found["mix"] += means[top].T * d_mixed
+        # The steps of each unit's best chunk, where the filter is active.
+        rows = (starts[top][:, None] + np.arange(size)).ravel()
+        grad = np.repeat((net.mix * d_mixed).T / size, size, axis=0) * (held[rows] > 0)
+        found["bias"] += grad.sum(axis=0)
+        for place in range(width):
+            spot = bytes_[rows * net.stride + place].astype(np.int64)[:, None] * filters + columns
+            table[place] += np.bincount(spot.ravel(), grad.ravel(), table.shape[1])
+    return total / len(data), found
+
+
+def fit(texts: list[str], labels: np.ndarray, filters: int = 16, width: int = 6, hidden: int = 16, epochs: int = 4, batch: int = 32, rate: float = 0.02, seed: int = 7, steps: int = 400) -> ByteNet:
+    """Logistic loss, Adam. Few rows are gone through more than ``epochs`` times,
+    for at least ``steps`` gradient steps."""
     epochs = max(epochs, -(-steps // max(1, -(-len(texts) // batch))))
     draw = np.random.default_rng(seed)
     share = float(labels.mean()) if len(labels) else 1.0
     prior = float(np.log(max(share, 1e-9) / max(1 - share, 1e-9)))
     net = ByteNet(
         (draw.normal(0, 0.3, (width, 256, filters))).astype(np.float32), np.full(filters, 0.1, np.float32),
-        np.append(draw.normal(0, 0.5, filters), -1).astype(np.float32), np.clip(prior, -20, 20),
+        draw.normal(0, filters**-0.5, (filters, hidden)).astype(np.float32), np.zeros(hidden, np.float32),
+        draw.normal(0, 0.3, hidden).astype(np.float32), np.clip(prior, -20, 20),
     )
     if not 0 < share < 1:
         net.out[:] = 0
         return net
-    data, repeats = [net.padded(t) for t in texts], [net.repeats(t) for t in texts]
-    moments: dict[str, list] = {}
+    data = [net.padded(t) for t in texts]
+    #: How much of a weight is added to its gradient.
+    decay = {"table": 1e-5, "mix": 1e-4, "out": 1e-4}
+    moments = {name: (0.0, 0.0) for name in LEARNED}
     step = 0
-
-    def adam(name: str, gradient, value, pace: float):
-        m, v = moments.setdefault(name, [0.0, 0.0])
-        moments[name] = m, v = 0.9 * m + 0.1 * gradient, 0.99 * v + 0.01 * np.square(gradient)
-        return value - pace * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-
-    columns = np.arange(filters)
     for epoch in range(epochs):
         pace = rate * (1 - epoch / epochs)
         order = draw.permutation(len(data))
         for at in range(0, len(order), batch):
             some = order[at : at + batch]
             step += 1
-            d_table, d_bias = np.zeros(net.table.size), np.zeros(filters)
-            d_out, d_out_bias = np.zeros(filters + 1), 0.0
-            for i in some:
-                held = net.steps(data[i])
-                starts = net.starts(len(held))
-                size = min(net.chunk, len(held))
-                sums = np.concatenate([np.zeros((1, filters)), np.cumsum(held, axis=0, dtype=np.float64)])
-                means = (sums[starts + size] - sums[starts]) / size
-                top = means.argmax(axis=0)
-                z = np.append(means[top, columns], repeats[i])
-                p = 1 / (1 + np.exp(-np.clip(z @ net.out + net.out_bias, -60, 60)))
-                error = (p - labels[i]) / len(some)
-                d_out += error * z
-                d_out_bias += error
-                # The steps of each filter's best chunk, where the filter is active.
-                rows = starts[top][None, :] + np.arange(size)[:, None]
-                active = held[rows, columns] > 0
-                grad = np.where(active, error * net.out[:filters] / size, 0.0)
-                d_bias += grad.sum(axis=0)
-                for place in range(width):
-                    spot = (place * 256 + data[i][rows * net.stride + place].astype(np.int64)) * filters + columns
-                    d_table += np.bincount(spot.ravel(), grad.ravel(), net.table.size)
-            net.table = adam("table", d_table.reshape(net.table.shape) + 1e-5 * net.table, net.table, pace).astype(np.float32)
-            net.bias = adam("bias", d_bias, net.bias, pace).astype(np.float32)
-            net.out = adam("out", d_out + 1e-4 * net.out, net.out, pace).astype(np.float32)
-            net.out_bias = float(adam("out_bias", d_out_bias, net.out_bias, pace))
+            _, found = gradients(net, [data[i] for i in some], labels[some])
+            for name, gradient in found.items():
+                value = getattr(net, name)
+                gradient = gradient + decay.get(name, 0) * value
+                m, v = moments[name]
+                moments[name] = m, v = 0.9 * m + 0.1 * gradient, 0.99 * v + 0.01 * np.square(gradient)
+                new = value - pace * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+                setattr(net, name, float(new) if name == "out_bias" else new.astype(np.float32))
     return net
 
 
@@ -193,7 +180,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     known = known.groupBy(id_col).agg(F.avg(label_col).alias(PRIVATE + "label"))
     chosen = known.orderBy(F.xxhash64(id_col), id_col).limit(sample_rows)
     # At most ``sample_rows`` rows of two numbers.
-    rows = docs.select(id_col, filled(text_col).alias(PRIVATE + "text")).join(F.broadcast(chosen), id_col).dropDuplicates([id_col]).orderBy(id_col).collect()
+    rows = docs.select(id_col, filled(text_col).alias(PRIVATE + "text")).join(F.broadcast(chosen), id_col)
+    rows = rows.groupBy(id_col).agg(F.min(PRIVATE + "text"), F.first(PRIVATE + "label")).orderBy(id_col).collect()
     return fit([r[1] for r in rows], np.array([float(r[2] >= 0.5) for r in rows]), **options)
 
 

@@ -1,5 +1,6 @@
 """Packing, media shards, archives, chat, pages, quality and the pipeline."""
 
+import dataclasses
 import hashlib
 import io
 import re
@@ -295,10 +296,57 @@ def test_long_texts_are_read_whole():
     net = quality.fit(["good text, and more of it. " * 20] * 20 + ["BAD!! TEXT!! " * 40] * 20, np.array([1.0] * 20 + [0.0] * 20), epochs=6)
     text = "good text, and more of it. " * 9000
     assert net.score(text) > 0.8 and net.score(text + "BAD!! TEXT!! " * 60) < 0.5 > net.score("BAD!! TEXT!! " * 60 + text)
-    small = quality.ByteNet(net.table, net.bias, net.out, net.out_bias, window=512)
+    small = dataclasses.replace(net, window=8)
     assert small.score(text[:9999]) == pytest.approx(net.score(text[:9999]), abs=1e-5)
 
 
+def plain_score(net, text):
+    """The network as loops over chunks, steps and places."""
+    data, width = text.encode(), len(net.table)
+    number = max(1, -(-len(data) // net.stride))
+    data = data.ljust((number - 1) * net.stride + width, b"\0")
+    held = [np.maximum(net.bias + sum(net.table[p, data[s * net.stride + p]] for p in range(width)), 0) for s in range(number)]
+    firsts = [0] if number <= net.chunk else sorted({*range(0, number - net.chunk + 1, net.chunk // 2), number - net.chunk})
+    units = [np.maximum(np.mean(held[a : a + net.chunk], axis=0) @ net.mix + net.mix_bias, 0) for a in firsts]
+    return 1 / (1 + np.exp(-(np.max(units, axis=0) @ net.out + net.out_bias)))
+
+
+def small_net():
+    net = quality.fit(["good text, and more. " * 9] * 8 + ["BAD!! " * 30] * 8, np.array([1.0] * 8 + [0.0] * 8), filters=3, width=4, hidden=5, steps=3)
+    return dataclasses.replace(net, chunk=8, table=net.table.astype(float), bias=net.bias + 0.2, mix=net.mix.astype(float), mix_bias=net.mix_bias + 0.05, out=net.out.astype(float))
+
+
+def test_scores_equal_the_plain_network():
+    net = small_net()
+    for text in ("", "a", "good text", "é" * 50, "BAD!! text " * 40, "x y " * 7):
+        assert net.score(text) == pytest.approx(plain_score(net, text), abs=1e-9)
+        assert dataclasses.replace(net, window=1).score(text) == pytest.approx(plain_score(net, text), abs=1e-9)
+
+
+def test_gradients_equal_differences():
+    net, labels = small_net(), np.array([1.0, 0.0, 1.0])
+    data = [net.padded(t) for t in ("good text, and more", "BAD!! BAD!! " * 5, "of it é")]
+    loss = lambda n: quality.gradients(n, data, labels)[0]
+    found, draw, step = quality.gradients(net, data, labels)[1], np.random.default_rng(1), 1e-6
+    for name in quality.LEARNED:
+        value = np.asarray(getattr(net, name), float)
+        live = [i for i in np.ndindex(value.shape) if found[name][i] != 0] or [()]
+        for at in [live[k] for k in draw.integers(0, len(live), 12)]:
+            ends = []
+            for sign in (1, -1):
+                moved = value.copy()
+                moved[at] += sign * step
+                ends.append(loss(dataclasses.replace(net, **{name: float(moved) if name == "out_bias" else moved})))
+            assert found[name][at] == pytest.approx((ends[0] - ends[1]) / (2 * step), abs=1e-6)
+
+
+def test_repeated_ids_give_one_model(spark):
+    rows = [(i, f"{w} text {i} " * 20) for i in range(20) for w in ("some", "other")]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, quality int")
+    nets = [quality.train(spark.createDataFrame(r, "doc_id long, text string").repartition(3), labels, steps=2) for r in (rows, rows[::-1])]
+    assert (nets[0].table == nets[1].table).all() and nets[0].out_bias == nets[1].out_bias
+
+
 def test_quality_of_odd_rows(spark, odd, nothing):
     labels = spark.createDataFrame([(1, 1), (6, 0), (None, 1), (7, None)], "doc_id long, quality int")
     net = quality.train(odd, labels, epochs=1)
