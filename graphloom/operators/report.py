@@ -9,8 +9,15 @@ from graphloom.functions import text as T
 from graphloom.operators.extract import numbered, ranked
 from graphloom.operators.graph import Cut
 
-#: Colours by entity type.
-COLOURS = {"PERSON": "#ff6b6b", "ORGANIZATION": "#4ecdc4", "COMPANY": "#45b7d1", "LOCATION": "#96ceb4", "AGREEMENT": "#feca57", "LAW": "#a29bfe", "OTHER": "#95a5a6"}
+#: Colours of nodes by entity type.
+COLOURS = {
+    "PERSON": "#FF6B6B",
+    "LOCATION": "#4ECDC4",
+    "ORGANIZATION": "#45B7D1",
+    "EVENT": "#96CEB4",
+    "CONCEPT": "#FECA57",
+    "OTHER": "#DDA0DD",
+}
 
 
 def _lines(rows: DataFrame, header: str, line, out: str) -> DataFrame:
@@ -22,7 +29,7 @@ def report_context(members: DataFrame, edges: DataFrame) -> DataFrame:
     """``(community, entities, relationships)`` as CSV text. ``members`` have
     ``community, node, description, i``; ``edges`` lie inside communities."""
     quoted = lambda c: F.concat(F.lit('"'), T.csv_escaped(c), F.lit('"'))
-    entities = _lines(members, "id,entity,description", F.concat_ws(",", F.col("i").cast("string"), "node", quoted("description")), "entities")
+    entities = _lines(members, "id,entity,description", F.concat_ws(",", F.col("i").cast("string"), T.csv_escaped("node"), quoted("description")), "entities")
     numbered = ranked(edges, ["src", "dst"], ["community"])
     links = _lines(numbered, "id,source,target,description", F.concat_ws(",", F.col("i").cast("string"), "src", "dst", quoted("description")), "relationships")
     return entities.join(links, "community", "left").select("community", "entities", F.coalesce("relationships", F.lit("id,source,target,description")).alias("relationships"))
@@ -47,7 +54,7 @@ def verified(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def viz_nodes(nodes: DataFrame) -> DataFrame:
     kind = F.coalesce("entity_type", F.lit("OTHER"))
-    colour = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in COLOURS.items() for x in kv)), F.upper(kind)), F.lit(COLOURS["OTHER"]))
+    colour = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in COLOURS.items() for x in kv)), kind), F.lit(COLOURS["OTHER"]))
     return nodes.select("id", F.col("id").alias("label"), F.coalesce("description", F.lit("")).alias("title"), kind.alias("group"), colour.alias("color"))
 
 

@@ -17,53 +17,70 @@ def items(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return n.unionByName(e)
 
 
-def postings(found: DataFrame, index: str) -> DataFrame:
-    """``(term, type, id, tf)`` for the bigram, trigram or keyword index."""
+def postings(found: DataFrame, index: str, terms: list[str] | None = None) -> DataFrame:
+    """``(term, type, id, tf)`` for the bigram, trigram or keyword index; of
+    some ``terms`` only, the rest isn't even shuffled."""
     text = T.normalized("text")
-    terms = {"bigram": lambda: T.grams(text, 2), "trigram": lambda: T.grams(text, 3), "keyword": lambda: T.keywords(text)}[index]()
-    return found.select("type", "id", F.explode(terms).alias("term")).groupBy("term", "type", "id").agg(F.count(F.lit(1)).alias("tf"))
+    every = {"bigram": lambda: T.grams(text, 2), "trigram": lambda: T.grams(text, 3), "keyword": lambda: T.keywords(text)}[index]()
+    rows = found.select("type", "id", F.explode(every).alias("term"))
+    if terms is not None:
+        rows = rows.filter(F.col("term").isin(terms))
+    return rows.groupBy("term", "type", "id").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def index(found: DataFrame) -> DataFrame:
-    """All three indexes, with their name: written partitioned by ``index`` and
-    bucketed or sorted by term, a lookup reads little of it."""
+    """All three indexes, with their name."""
     parts = [postings(found, name).select(F.lit(name).alias("index"), "term", "type", "id", "tf") for name in ("bigram", "trigram", "keyword")]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+def write_index(found: DataFrame, path: str) -> DataFrame:
+    """The indexes as a table in which a lookup reads little: partitioned by
+    index, dealt out by ranges of terms and sorted, so that files and row groups
+    without a term are skipped."""
+    index(found).repartitionByRange("index", "term").sortWithinPartitions("index", "term").write.partitionBy("index").parquet(path)
+    return found.sparkSession.read.parquet(path)
+
+
 def index_stats(idx: DataFrame) -> DataFrame:
     return idx.groupBy("index").agg(F.countDistinct("term").alias("terms"))
 
 
-def _query(spark: SparkSession, query: str, terms) -> DataFrame:
+def _looked_up(found: DataFrame, query: str, terms, name: str, idx: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """The query's terms with ``qtf``, and their postings: from the stored index,
+    which the terms are pushed down to, or else from one pass over the texts."""
+    spark = found.sparkSession
     one = spark.createDataFrame([(query,)], "q string")
-    return one.select(F.explode(terms(T.normalized("q"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("qtf"))
+    # As many as the query has words or characters.
+    asked = one.select(F.explode(terms(T.normalized("q"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("qtf")).collect()
+    q = spark.createDataFrame(asked, "term string, qtf long")
+    known = [r["term"] for r in asked]
+    if idx is None:
+        return q, postings(found, name, known)
+    return q, idx.filter((F.col("index") == name) & F.col("term").isin(known)).select("term", "type", "id", "tf")
 
 
 def bigram_search(found: DataFrame, query: str, idx: DataFrame | None = None) -> DataFrame:
     """``(type, id, score, relevance)``: matched bigrams, counted on both sides;
     relevance is per bigram of the query."""
-    q = _query(found.sparkSession, query, lambda t: T.grams(t, 2))
+    q, held = _looked_up(found, query, lambda t: T.grams(t, 2), "bigram", idx)
+    scored = held.join(F.broadcast(q), "term").groupBy("type", "id").agg(F.sum(F.col("qtf") * F.col("tf")).alias("score"))
     n = q.agg(F.sum("qtf").alias("n"))
-    # As many terms as the query has.
-    hits = (idx if idx is not None else postings(found, "bigram")).join(F.broadcast(q), "term")
-    scored = hits.groupBy("type", "id").agg(F.sum(F.col("qtf") * F.col("tf")).alias("score"))
     return scored.crossJoin(F.broadcast(n)).select("type", "id", "score", (F.col("score") / F.col("n")).alias("relevance"))
 
 
 def keyword_search(found: DataFrame, query: str, idx: DataFrame | None = None) -> DataFrame:
     """``(type, id, score, relevance)``: distinct keywords in common."""
-    q = _query(found.sparkSession, query, T.keywords)
+    q, held = _looked_up(found, query, T.keywords, "keyword", idx)
+    scored = held.join(F.broadcast(q), "term").groupBy("type", "id").agg(F.count(F.lit(1)).alias("score"))
     n = q.agg(F.count(F.lit(1)).alias("n"))
-    hits = (idx if idx is not None else postings(found, "keyword")).join(F.broadcast(q), "term")
-    scored = hits.groupBy("type", "id").agg(F.count(F.lit(1)).alias("score"))
     return scored.crossJoin(F.broadcast(n)).select("type", "id", "score", (F.col("score") / F.col("n")).alias("relevance"))
 
 
-def fuzzy_search(found: DataFrame, query: str, threshold: float = 0.7, by: str = "id") -> DataFrame:
-    """``(type, id, similarity)`` of items whose column ``by``, normalised, has
-    few edits from the query. One pass over the items; lengths rule most out
-    before edits are counted."""
+def fuzzy_search(found: DataFrame, query: str, threshold: float = 0.7, by: str = "text") -> DataFrame:
+    """``(type, id, similarity)`` of items whose text (or another column),
+    normalised, has few edits from the query. One pass over the items; lengths
+    rule most out before edits are counted."""
     q = T.normalized(F.lit(query))
     item = T.normalized(by)
     longest = F.greatest(F.length(q), F.length(item))
@@ -71,32 +88,44 @@ def fuzzy_search(found: DataFrame, query: str, threshold: float = 0.7, by: str =
     return found.filter(near & (longest > 0)).select("type", "id", T.fuzzy_similarity(q, item).alias("similarity")).filter(F.col("similarity") >= threshold)
 
 
-def combined_search(found: DataFrame, query: str, most: int = 50, threshold: float = 0.7, few: int = 10) -> DataFrame:
+def combined_search(found: DataFrame, query: str, most: int = 50, threshold: float = 0.7, few: int = 10, idx: DataFrame | None = None, use_bigram: bool = True, use_keywords: bool = True, use_fuzzy: bool = True) -> DataFrame:
     """``(type, id, total_score, methods)``: 0.4 bigram and 0.6 keyword
     relevance; only with fewer than ``few`` hits, 0.3 fuzzy similarity too (for
-    each bigram of the item, as its postings are)."""
-    b = bigram_search(found, query).select("type", "id", (0.4 * F.col("relevance")).alias("s"), F.lit("bigram").alias("method"))
-    k = keyword_search(found, query).select("type", "id", (0.6 * F.col("relevance")).alias("s"), F.lit("keyword").alias("method"))
-    exact = b.unionByName(k)
-    hits = exact.select("type", "id").distinct().agg(F.count(F.lit(1)).alias("hits"))
-    times = F.size(T.grams(T.normalized("text"), 2))
-    f = fuzzy_search(found, query, threshold).join(found.select("type", "id", times.alias("times")), ["type", "id"]).crossJoin(F.broadcast(hits)).filter(F.col("hits") < few)
-    f = f.select("type", "id", (0.3 * F.col("similarity") * F.col("times")).alias("s"), F.lit("fuzzy").alias("method"))
-    fused = exact.unionByName(f).groupBy("type", "id").agg(F.sum("s").alias("total_score"), F.array_sort(F.collect_set("method")).alias("methods"))
+    each bigram of the item, as its postings are). Texts are gone through only
+    then, if there is a stored index."""
+    parts = []
+    if use_bigram:
+        parts.append(bigram_search(found, query, idx).select("type", "id", (0.4 * F.col("relevance")).alias("s"), F.lit("bigram").alias("method")))
+    if use_keywords:
+        parts.append(keyword_search(found, query, idx).select("type", "id", (0.6 * F.col("relevance")).alias("s"), F.lit("keyword").alias("method")))
+    hits = parts[0] if parts else None
+    for part in parts[1:]:
+        hits = hits.unionByName(part)
+    if use_fuzzy and (hits is None or hits.select("type", "id").distinct().limit(few).count() < few):
+        times = F.size(T.grams(T.normalized("text"), 2))
+        near = fuzzy_search(found.withColumn("times", times).filter("times > 0"), query, threshold).join(found.select("type", "id", times.alias("times")), ["type", "id"])
+        near = near.select("type", "id", (0.3 * F.col("similarity") * F.col("times")).alias("s"), F.lit("fuzzy").alias("method"))
+        hits = near if hits is None else hits.unionByName(near)
+    if hits is None:
+        return found.select("type", "id", F.lit(0.0).alias("total_score"), F.array().cast("array<string>").alias("methods")).limit(0)
+    fused = hits.groupBy("type", "id").agg(F.sum("s").alias("total_score"), F.array_sort(F.collect_set("method")).alias("methods"))
     return fused.orderBy(F.desc(F.round("total_score", 9)), "type", "id").limit(most)
 
 
-def sequential_search(found: DataFrame, query: str, most: int = 50, threshold: float = 0.7) -> DataFrame:
+def sequential_search(found: DataFrame, query: str, most: int = 50, threshold: float = 0.7, idx: DataFrame | None = None, use_keywords: bool = True, use_bigram: bool = True, use_fuzzy: bool = True) -> DataFrame:
     """``(type, id, total_score, method)`` of the first of keyword, bigram and
-    fuzzy search that finds anything."""
-    tiers = (
-        keyword_search(found, query).select("type", "id", F.col("relevance").alias("total_score"), F.lit(0).alias("tier"), F.lit("keyword").alias("method")),
-        bigram_search(found, query).select("type", "id", F.col("relevance").alias("total_score"), F.lit(1).alias("tier"), F.lit("bigram").alias("method")),
-        fuzzy_search(found, query, threshold).select("type", "id", F.col("similarity").alias("total_score"), F.lit(2).alias("tier"), F.lit("fuzzy").alias("method")),
-    )
-    every = tiers[0].unionByName(tiers[1]).unionByName(tiers[2])
-    first = every.agg(F.min("tier").alias("tier"))
-    return every.join(F.broadcast(first), "tier").select("type", "id", "total_score", "method").orderBy(F.desc(F.round("total_score", 9)), "type", "id").limit(most)
+    fuzzy search that finds anything; later ones aren't run."""
+    tiers = [
+        (use_keywords, "keyword", lambda: keyword_search(found, query, idx).withColumnRenamed("relevance", "total_score")),
+        (use_bigram, "bigram", lambda: bigram_search(found, query, idx).withColumnRenamed("relevance", "total_score")),
+        (use_fuzzy, "fuzzy", lambda: fuzzy_search(found.filter(F.size(T.grams(T.normalized("text"), 2)) > 0), query, threshold).withColumnRenamed("similarity", "total_score")),
+    ]
+    asked = [(name, search) for used, name, search in tiers if used]
+    for at, (name, search) in enumerate(asked):
+        hits = search().select("type", "id", "total_score", F.lit(name).alias("method"))
+        if at + 1 == len(asked) or not hits.isEmpty():
+            return hits.orderBy(F.desc(F.round("total_score", 9)), "type", "id").limit(most)
+    return found.select("type", "id", F.lit(0.0).alias("total_score"), F.lit("").alias("method")).limit(0)
 
 
 def substring_search(found: DataFrame, query: str) -> DataFrame:

@@ -11,13 +11,15 @@ from graphloom.operators.components import connected_components
 from graphloom.plans import rag
 from graphloom.plans.tables import GRAPH_SQL, MENTIONS_SQL, RELATIONAL_SQL, relational_edges, relational_nodes, replies
 from graphloom.sources import loaders, store
-from graphloom.sources.shared import table, written
+from graphloom.sources.shared import fresh_path, table, written
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
 #: What the search queries look for.
-QUESTION, NAME = "Anre of en src1 src7", "Theatin"
+QUESTION, NAME, LINE = "Anre of en src1 src7", "Theatin", "Theain en src17"
+#: One word of few items, with others like an item's text; a word that only shares bigrams.
+FEW, UNKNOWN = "Theain enn srcc17", "Theainqq"
 #: One white-space character in SQL patterns, and the search normalisation.
 _W = r"[\s\x0B\p{Z}\x{FEFF}]"
 _NORM = r"trim(regexp_replace(regexp_replace(lower({}), '[^\x{{4e00}}-\x{{9fff}}A-Za-z0-9_\s]', ' ', 'g'), '\s+', ' ', 'g'))"
@@ -259,14 +261,19 @@ def _postings_sql(terms: str) -> str:
     return f"SELECT term, type, id, count(*) AS tf FROM (SELECT type, id, unnest({terms}) AS term FROM items) GROUP BY ALL"
 
 
-_SEARCH = f"""{_ITEMS},
-q AS (SELECT {_NORM.format("'" + QUESTION + "'")} AS t),
+def _search_sql(question: str) -> str:
+    return f"""{_ITEMS},
+q AS (SELECT {_NORM.format("'" + question + "'")} AS t),
 qb AS (SELECT g AS term, count(*) AS qtf FROM (SELECT unnest({_grams_sql(2)}) AS g FROM q) GROUP BY g),
 qk AS (SELECT unnest({_KEYWORDS.format("t")}) AS term FROM q),
 pb AS ({_postings_sql(_grams_sql(2))}),
 pk AS ({_postings_sql(_KEYWORDS.format("t"))}),
 b AS (SELECT type, id, CAST(sum(qtf * tf) AS BIGINT) AS score, sum(qtf * tf) / (SELECT sum(qtf) FROM qb) AS relevance FROM pb JOIN qb USING (term) GROUP BY ALL),
-k AS (SELECT type, id, count(*) AS score, count(*) / (SELECT count(*) FROM qk) AS relevance FROM pk JOIN qk USING (term) GROUP BY ALL)"""
+k AS (SELECT type, id, count(*) AS score, count(*) / (SELECT count(*) FROM qk) AS relevance FROM pk JOIN qk USING (term) GROUP BY ALL),
+f AS (SELECT type, id, len({_grams_sql(2, "items.t")}) AS times, 1 - levenshtein(q.t, items.t) / greatest(length(q.t), length(items.t)) AS similarity FROM items, q WHERE length(items.t) + length(q.t) > 0)"""
+
+
+_SEARCH = _search_sql(QUESTION)
 
 
 @_query(f"SELECT doc_id, {_NORM.format('text')} AS normalized FROM documents")
@@ -307,25 +314,74 @@ def keyword_search(spark, sf_dir):
     return search.keyword_search(_items(spark, sf_dir), QUESTION).withColumn("relevance", F.round("relevance", 9))
 
 
+@_query(f"WITH {_search_sql(LINE)} SELECT type, id, round(similarity, 9) AS similarity FROM f WHERE similarity >= 0.7")
+def fuzzy_search(spark, sf_dir):
+    return search.fuzzy_search(_items(spark, sf_dir), LINE).withColumn("similarity", F.round("similarity", 9))
+
+
 @_query(f"""WITH {_ITEMS}, f AS (SELECT type, id, {_NORM.format("id")} AS n FROM items)
 SELECT type, id, round(1 - levenshtein(lower('{NAME}'), n) / greatest(length('{NAME}'), length(n)), 9) AS similarity FROM f
 WHERE 1 - levenshtein(lower('{NAME}'), n) / greatest(length('{NAME}'), length(n)) >= 0.7""")
-def fuzzy_search(spark, sf_dir):
-    return search.fuzzy_search(_items(spark, sf_dir), NAME).withColumn("similarity", F.round("similarity", 9))
+def fuzzy_names(spark, sf_dir):
+    """Names in place of texts."""
+    return search.fuzzy_search(_items(spark, sf_dir), NAME, by="id").withColumn("similarity", F.round("similarity", 9))
 
 
-@_query(f"""WITH {_SEARCH}
+_COMBINED = f"""WITH {_SEARCH}
 SELECT type, id, round(sum(s), 9) AS total_score, string_agg(method, '+' ORDER BY method) AS methods
 FROM (SELECT type, id, 0.4::DOUBLE * relevance AS s, 'bigram' AS method FROM b UNION ALL SELECT type, id, 0.6::DOUBLE * relevance, 'keyword' FROM k)
-GROUP BY type, id ORDER BY total_score DESC, type, id LIMIT 50""")
-def combined_search(spark, sf_dir):
-    hits = search.combined_search(_items(spark, sf_dir), QUESTION)
+GROUP BY type, id ORDER BY total_score DESC, type, id LIMIT 50"""
+
+
+def _shown(hits: DataFrame) -> DataFrame:
     return hits.select("type", "id", F.round("total_score", 9).alias("total_score"), F.array_join("methods", "+").alias("methods"))
 
 
-@_query(f"WITH {_SEARCH} SELECT type, id, round(relevance, 9) AS total_score, 'keyword' AS method FROM k ORDER BY total_score DESC, type, id LIMIT 50")
+@_query(_COMBINED)
+def combined_search(spark, sf_dir):
+    return _shown(search.combined_search(_items(spark, sf_dir), QUESTION))
+
+
+@_query(_COMBINED)
+def indexed_search(spark, sf_dir):
+    """The same from the stored index: only the question's terms are read."""
+    items = _items(spark, sf_dir)
+    return _shown(search.combined_search(items, QUESTION, idx=search.write_index(items, fresh_path(spark, "index"))))
+
+
+@_query(f"""WITH {_search_sql(FEW)}, n AS (SELECT count(*) AS n FROM k)
+SELECT type, id, round(sum(s), 9) AS total_score, string_agg(method, '+' ORDER BY method) AS methods
+FROM (SELECT type, id, 0.6::DOUBLE * relevance AS s, 'keyword' AS method FROM k
+  UNION ALL SELECT type, id, 0.3::DOUBLE * similarity * times, 'fuzzy' FROM f, n WHERE similarity >= 0.7 AND times > 0 AND n < 10)
+GROUP BY type, id ORDER BY total_score DESC, type, id LIMIT 50""")
+def combined_search_few(spark, sf_dir):
+    """So few hits that fuzzy search is asked too."""
+    return _shown(search.combined_search(_items(spark, sf_dir), FEW, use_bigram=False))
+
+
+def _tier_sql(question: str, name: str, table_: str, score: str) -> str:
+    return f"WITH {_search_sql(question)} SELECT type, id, round({score}, 9) AS total_score, '{name}' AS method FROM {table_} ORDER BY total_score DESC, type, id LIMIT 50"
+
+
+def _first_tier(spark, sf_dir, question: str, **options) -> DataFrame:
+    return search.sequential_search(_items(spark, sf_dir), question, **options).withColumn("total_score", F.round("total_score", 9))
+
+
+@_query(_tier_sql(QUESTION, "keyword", "k", "relevance"))
 def sequential_search(spark, sf_dir):
-    return search.sequential_search(_items(spark, sf_dir), QUESTION).withColumn("total_score", F.round("total_score", 9))
+    return _first_tier(spark, sf_dir, QUESTION)
+
+
+@_query(_tier_sql(UNKNOWN, "bigram", "b", "relevance"))
+def sequential_bigram(spark, sf_dir):
+    """No keyword is known."""
+    return _first_tier(spark, sf_dir, UNKNOWN)
+
+
+@_query(_tier_sql(LINE, "fuzzy", "f WHERE similarity >= 0.7 AND times > 0", "similarity"))
+def sequential_fuzzy(spark, sf_dir):
+    """Only the last tier is left."""
+    return _first_tier(spark, sf_dir, LINE, use_keywords=False, use_bigram=False)
 
 
 @_query(f"""WITH {GRAPH_SQL} SELECT 'node' AS type, id, id || ' ' || description AS text FROM nodes WHERE contains(lower(id || ' ' || description), 'anre') OR contains(lower(id || ' ' || description), 'src17')
@@ -558,7 +614,7 @@ def graph_verification(spark, sf_dir):
 
 
 @_query(f"""WITH {GRAPH_SQL} SELECT id, id AS label, description AS title, entity_type AS "group",
-CASE entity_type WHEN 'PERSON' THEN '#ff6b6b' WHEN 'ORGANIZATION' THEN '#4ecdc4' ELSE '#96ceb4' END AS color FROM nodes""")
+CASE entity_type WHEN 'PERSON' THEN '#FF6B6B' WHEN 'LOCATION' THEN '#4ECDC4' WHEN 'ORGANIZATION' THEN '#45B7D1' ELSE '#DDA0DD' END AS color FROM nodes""")
 def viz_nodes(spark, sf_dir):
     nodes, _ = rag.build_graph(replies(spark, sf_dir), cut=written)
     return report.viz_nodes(nodes)
@@ -621,11 +677,16 @@ def louvain(spark, sf_dir):
     return community.louvain(nodes, edges, written)
 
 
-@_query()
+@_query(f"""WITH {_SEARCH}, h AS (
+  SELECT type, id, sum(s) AS total_score, string_agg(method, '+' ORDER BY method) AS methods
+  FROM (SELECT type, id, 0.4::DOUBLE * relevance AS s, 'bigram' AS method FROM b UNION ALL SELECT type, id, 0.6::DOUBLE * relevance, 'keyword' FROM k)
+  GROUP BY type, id ORDER BY round(total_score, 9) DESC, type, id LIMIT 20),
+d AS (SELECT 'node' AS type, id, entity_type, description FROM nodes UNION ALL SELECT 'edge', source || '|' || target, '-', description FROM edges)
+SELECT type, id, round(total_score, 9) AS total_score, '[' || type || '] ' || id || ' (' || entity_type || ') ' || description || ' score ' || format('{{:.1f}}', total_score * 100) || '% by ' || methods AS line FROM h JOIN d USING (type, id)""")
 def context_lines(spark, sf_dir):
     nodes, edges = rag.build_graph(replies(spark, sf_dir), cut=written)
     nodes, edges = written(nodes), written(edges)
-    return rag.context_lines(search.combined_search(search.items(nodes, edges), QUESTION, 20), nodes, edges)
+    return rag.context_lines(search.combined_search(search.items(nodes, edges), QUESTION, 20), nodes, edges).withColumn("total_score", F.round("total_score", 9))
 
 
 @_query()

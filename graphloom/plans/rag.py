@@ -45,12 +45,15 @@ def context_lines(hits: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFr
     return hits.join(known, ["type", "id"], "left").select("type", "id", "total_score", line.alias("line"))
 
 
-def answer(question: str, nodes: DataFrame, edges: DataFrame, provider: Provider, sequential: bool = False, most: int = 20) -> dict:
-    """``{answer, context, entities}``. The driver sees at most ``most`` hits."""
+def answer(question: str, nodes: DataFrame, edges: DataFrame, provider: Provider, sequential: bool = False, most: int = 20, idx: DataFrame | None = None, **options) -> dict:
+    """``{answer, context, entities}``. The driver sees at most ``most`` hits.
+    ``idx`` is a stored index (``search.write_index``) of these nodes and edges;
+    other options are the search's: ``threshold``, ``use_bigram``,
+    ``use_keywords``, ``use_fuzzy``."""
     if nodes.isEmpty():
         raise ValueError(EMPTY_GRAPH)
     found = search.items(nodes, edges)
-    hits = search.sequential_search(found, question, most) if sequential else search.combined_search(found, question, most)
+    hits = (search.sequential_search if sequential else search.combined_search)(found, question, most, idx=idx, **options)
     lines = list(dict.fromkeys(r["line"] for r in context_lines(hits, nodes, edges).orderBy(F.desc("total_score"), "type", "id").collect()))
     if not lines:
         return {"answer": NOTHING_FOUND, "context": "", "entities": []}

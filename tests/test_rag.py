@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from graphloom.operators import report, search
 from graphloom.plans import chat_model, rag
-from graphloom.sources.shared import written
+from graphloom.sources.shared import fresh_path, written
 from graphloom.sources.store import GraphStore, cache_key
 from graphloom.streaming.ingest import REPLIES, ingest
 
@@ -27,13 +27,18 @@ def test_question_to_answer(spark):
 
 
 def test_search_strategies(spark):
-    items = spark.createDataFrame([("node", "aaa", "aaa"), ("node", "bbb", "bbb aaa"), ("node", "theatre", "theatre x")], "type string, id string, text string")
+    items = spark.createDataFrame([("node", "aaa", "aaa"), ("node", "bbb", "bbb aaa"), ("node", "theatre", "theatre")], "type string, id string, text string")
     got = {r.id: (r.score, r.relevance) for r in search.bigram_search(items, "aa").collect()}
     assert got == {"aaa": (2, 2.0), "bbb": (2, 2.0)}
     assert [r.id for r in search.fuzzy_search(items, "theatra").collect()] == ["theatre"]
     assert {r.method for r in search.sequential_search(items, "theatra").collect()} == {"bigram"}
     assert search.bigram_search(items, "").count() == 0
     assert "fuzzy" in search.combined_search(items, "theatra").first().methods
+    idx = search.write_index(items, fresh_path(spark, "index"))
+    for question in ("aa", "bbb theatre", "theatra", ""):
+        for find in (search.combined_search, search.sequential_search):
+            assert find(items, question, idx=idx).collect() == find(items, question).collect()
+    assert search.combined_search(items, "theatre", use_bigram=False, use_keywords=False, use_fuzzy=False).count() == 0
     assert [r.id for r in search.substring_search(items, "a bbb").collect()] == ["bbb"]
 
 
