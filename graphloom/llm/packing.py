@@ -10,7 +10,7 @@ the tightest open sequences in logarithmic time. What it sends out is a table
 of runs: pieces number a to b of a length go to sequences from s on, k in each.
 
 Piece numbers are given without gathering a length in one task: pieces are
-numbered within (length, bucket of ids) and the buckets' counts are added up.
+numbered within (length, bucket of rows) and the buckets' counts are added up.
 
 Defined results: null and empty texts have one piece with id 0 only; documents
 with equal ids (repeated rows, null ids) are packed one by one; an empty table
@@ -30,6 +30,9 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.shared import PRIVATE, filled, written
 
+#: A number of its own for each piece.
+_ROW = PRIVATE + "row"
+
 
 class RoomTree:
     """A segment tree over room left (0 to capacity): which rooms some open
@@ -144,7 +147,8 @@ def pack(pieces: DataFrame, capacity: int, id_col: str = "doc_id", buckets: int
     how many parts the pieces of one length are dealt."""
     buckets = buckets or max(256, 4 * int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     number, bucket = PRIVATE + "number", PRIVATE + "bucket"
-    pieces = pieces.withColumn(bucket, F.pmod(F.xxhash64(*(c for c in pieces.columns if c != "length")), F.lit(buckets)))
+    told = [_ROW] if _ROW in pieces.columns else [c for c in pieces.columns if c != "length"]
+    pieces = pieces.withColumn(bucket, F.pmod(F.xxhash64(*told), F.lit(buckets)))
     counts = pieces.groupBy("length", bucket).agg(F.count(F.lit(1)).alias("n"))
     counts = written(counts, "pack-counts")
     before = Window.partitionBy("length").orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
@@ -152,7 +156,7 @@ def pack(pieces: DataFrame, capacity: int, id_col: str = "doc_id", buckets: int
     # At most one row per length from 1 to capacity.
     histogram = [(r[0], r[1]) for r in counts.groupBy("length").agg(F.sum("n")).collect()]
     runs = np.array(sorted(place_runs(histogram, capacity)), dtype=np.int64).reshape(-1, 5)
-    within = Window.partitionBy("length", bucket).orderBy(*(c for c in pieces.columns if c not in ("length", bucket)))
+    within = Window.partitionBy("length", bucket).orderBy(*told)
     numbered = pieces.withColumn(number, F.row_number().over(within)).join(base, ["length", bucket]).withColumn(number, F.col(number) - 1 + F.col(PRIVATE + "base")).drop(bucket, PRIVATE + "base")
     span = int(sum(n for _, n in histogram)) + 1
 
@@ -168,7 +172,7 @@ def pack(pieces: DataFrame, capacity: int, id_col: str = "doc_id", buckets: int
             kept = [batch.column(c) for c in out_columns]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(sequence, pa.int64()), pa.array(offset, pa.int64())], names=[*out_columns, "sequence_id", "offset"])
 
-    out_columns = [c for c in numbered.columns if c != number]
+    out_columns = [c for c in numbered.columns if c not in (number, _ROW)]
     schema = ", ".join(f"`{c}` {numbered.schema[c].dataType.simpleString()}" for c in out_columns)
     return numbered.mapInArrow(look_up, f"{schema}, sequence_id long, offset long")
 
@@ -176,5 +180,7 @@ def pack(pieces: DataFrame, capacity: int, id_col: str = "doc_id", buckets: int
 def pack_documents(docs: DataFrame, encoder: Callable[[], Callable[[str], bytes]], capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0) -> DataFrame:
     """Tokenise, cut and pack. The pieces are written first, so that the costly
     tokenising is done once and survives lost executors."""
-    pieces = written(token_pieces(docs, encoder, capacity, id_col, text_col, end_id), "pack-pieces")
+    pieces = token_pieces(docs, encoder, capacity, id_col, text_col, end_id)
+    # A number for each row, fixed once written, so that equal rows are dealt out too.
+    pieces = written(pieces.withColumn(_ROW, F.monotonically_increasing_id()), "pack-pieces")
     return pack(pieces, capacity, id_col)
