@@ -10,6 +10,9 @@ by the whole normalised text and not only by its digest:
    up to ``salts`` tasks, each of which gets one row per input partition,
 3. over the salts, where a text has at most ``salts`` rows left.
 
+Rows find their class by its digest; those of a class with many rows are dealt
+out by a salt.
+
 Defined results: a null text counts as empty; null ids never win against an id;
 a group with null ids only has ``keep_id`` null and one of its rows is kept; of
 repeated rows (same id, equal text) exactly one is kept; an empty table gives
@@ -21,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.shared import PRIVATE, filled, written
+from graphloom.llm.shared import PRIVATE, filled, with_classes, written
 
 #: One run of these becomes one space.
 SPACES = r"[\x20\x09-\x0D]+"
@@ -67,7 +70,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     classes, key = copy_classes(docs, id_col, text_col, salts)
     # Rows that repeat both id and text travel as one, with their number.
     rows = _keyed(docs, id_col, text_col).groupBy(*key, _ID).agg(F.count(F.lit(1)).cast("int").alias("n"))
-    return rows.join(classes, key).select(
+    return with_classes(rows, classes, key, "group_size").select(
         F.col(_ID).alias(id_col),
         "keep_id",
         "group_size",

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.shared import PRIVATE, filled, written
+from graphloom.llm.shared import PRIVATE, filled, with_classes, written
 from graphloom.operators.components import connected_components
 
 _KEY, _NORM, _ID = PRIVATE + "key", PRIVATE + "norm", PRIVATE + "id"
@@ -320,7 +320,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     linked_classes = found.join(ids, "group").select(_KEY, "class_id", "n_links")
     copies = rows.groupBy(_KEY).agg(F.min(_ID).alias("first_id"), F.count(F.lit(1)).alias("n_copies"))
     classes = copies.join(linked_classes, _KEY, "left").select(_KEY, F.coalesce("class_id", "first_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "n_copies")
-    return rows.join(classes, _KEY).select(F.col(_ID).alias(id_col), "class_id", "n_links", "n_copies")
+    return with_classes(rows, written(classes, "near-dup-classes"), [_KEY], "n_copies").select(F.col(_ID).alias(id_col), "class_id", "n_links", "n_copies")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: float = 0.8, recall: float = 0.999) -> DataFrame:
