@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm import stores
-from graphloom.llm.shared import PRIVATE, filled, fresh_path, written
+from graphloom.llm.shared import PRIVATE, filled, fresh_path, with_classes, written
 
 #: Fixed values of the formats.
 DICTIONARY_FRAME = 0x184D2A5D
@@ -164,9 +164,14 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     folder = folder or fresh_path(pages.sparkSession, "warc")
     key, first, html = PRIVATE + "key", PRIVATE + "first", PRIVATE + "html"
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), filled(html_col).alias(html)).withColumn(key, F.sha2(html, 256))
-    firsts = rows.select(key, "id").groupBy(key).agg(F.min("id").alias(first), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    revisits = F.col(first).isNotNull() & ~F.col("id").eqNullSafe(F.col(first)) & (F.octet_length(html) >= least_bytes)
-    rows = rows.join(firsts, key, "left").select("id", "url", html, F.when(revisits, F.col(first)).alias("refers_to"))
+    # Only ids and digests meet by digest; html travels by digest and id, so
+    # pages with equal payloads aren't sent to one task.
+    ids = written(rows.filter(F.octet_length(html) >= least_bytes).groupBy(key, "id").agg(F.count(F.lit(1)).alias("rows")), "warc-ids")
+    firsts = written(ids.groupBy(key).agg(F.min("id").alias(first), F.sum("rows").alias("n")).filter("n > 1"), "warc-firsts")
+    later = with_classes(ids.drop("rows"), firsts, [key], "n").filter(F.col(first).isNotNull() & ~F.col("id").eqNullSafe(F.col(first)))
+    later = later.select(F.col(key).alias(PRIVATE + "k"), F.col("id").alias(PRIVATE + "id"), first)
+    same = (F.col(key) == F.col(PRIVATE + "k")) & F.col("id").eqNullSafe(F.col(PRIVATE + "id"))
+    rows = rows.join(later, same, "left").select("id", "url", html, F.col(first).alias("refers_to"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done, archive = [], None
@@ -188,8 +193,13 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
 
 
 def page_number(uri: str | None) -> int | None:
-    found = re.fullmatch(r"<urn:page:(-?\d+|None)>", uri or "")
-    return None if found is None or found[1] == "None" else int(found[1])
+    """The whole number that a record's id was made from; None for null."""
+    if uri is None:
+        return None
+    found = re.fullmatch(r"<urn:page:(-?\d+|None)>", uri)
+    if found is None:
+        raise ValueError(f"{uri} does not name a page by a whole number")
+    return None if found[1] == "None" else int(found[1])
 
 
 def read_archives(archives: DataFrame) -> DataFrame:
@@ -228,5 +238,5 @@ def read_archives(archives: DataFrame) -> DataFrame:
                 if rows:
                     yield batch_of(rows)
 
-    spread = archives.repartition(max(1, archives.count()), "path")
+    spread = archives.repartitionByRange(max(1, archives.count()), "path")
     return spread.mapInArrow(run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long")
