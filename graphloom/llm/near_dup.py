@@ -271,7 +271,7 @@ def work_units(members: DataFrame, cut) -> DataFrame:
     """A row for each unit that a class takes part in. ``members`` are classes
     ``(root, key, id, words, bands)`` of components."""
     sizes = members.groupBy("root").agg(F.count(F.lit(1)).alias("texts"), F.sum("words").alias("all_words")).withColumn("blocks", _blocks("texts", "all_words"))
-    placed = cut(members.join(sizes, "root"))
+    placed = cut(with_classes(members, cut(sizes), ["root"], "texts"))
     whole = lambda df: df.withColumns({"bucket": F.lit(None).cast("long"), "first": F.lit(-1)})
     small, large = placed.filter("blocks = 1"), placed.filter("blocks > 1")
     if large.isEmpty():
