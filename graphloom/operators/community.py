@@ -2,14 +2,20 @@
 
 Local moving is done by all nodes at once instead of one after another: each
 round weighs every node's neighbouring communities by their gain in modularity
-and those for which another one is strictly better want to move. Of neighbours
-that want to, only the one of highest seeded rank moves in a round, as two that
-swap gain nothing; a round that doesn't raise modularity is taken back, and the
-next one keeps moves apart that touch the same community, which always raises
-it. So rounds go on until no node wants to move.
-Leiden then splits communities that aren't connected, so that every community
-is. Communities become the nodes of the next level until they no longer get
-fewer, or ``levels`` times where that is given.
+and those for which another one is strictly better want to move. A node's move
+is put off where a neighbour of higher seeded rank wants to leave the community
+it goes to, or to enter the one it comes from. Where such a round doesn't raise
+modularity it is taken back, and only moves that touch different communities and
+nodes are made, which always raises it. So rounds go on until no node wants to
+move. A round goes through the edges twice; modularity comes from the weights
+between nodes and communities, which the next round needs anyway.
+
+Leiden then refines: communities that aren't connected are split, nodes for
+which it is better move to communities next to them (one node a round for each
+community, so that what it enters stays connected), and what a leaving node has
+cut is split again. Communities become the nodes of the next level until they no
+longer get fewer, or ``levels`` times where that is given.
+
 No group of rows is gathered anywhere; a level's tables are written once per
 round, so a lost executor costs one round.
 """
@@ -22,42 +28,95 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.operators.components import connected_components
-from graphloom.operators.graph import Cut, aggregated, gains, largest_component, modularity, undirected
+from graphloom.operators.graph import Cut, aggregated, degrees, gains, largest_component, undirected
+
+
+class Moving:
+    """A graph's edges as local moving reads them."""
+
+    def __init__(self, edges: DataFrame, cut: Cut, gamma: float = 1.0, least: float = 1e-9):
+        w = F.coalesce(F.col("weight"), F.lit(1.0)).alias("w")
+        apart = edges.filter("src != dst")
+        self.cut, self.gamma, self.least = cut, gamma, least
+        self.both = cut(apart.select(F.col("src").alias("node"), F.col("dst").alias("other"), w).unionAll(apart.select(F.col("dst").alias("node"), F.col("src").alias("other"), w)))
+        self.degrees = cut(degrees(edges))
+        total = edges.agg(F.sum(w).alias("m"), F.sum(F.when(F.col("src") == F.col("dst"), w)).alias("loops")).first()
+        self.m, self.loops = total["m"] or 0.0, total["loops"] or 0.0
+
+    def state(self, communities: DataFrame) -> tuple[DataFrame, DataFrame, float]:
+        """Nodes with their community and degree, the weights between nodes and
+        communities, and modularity."""
+        nodes = communities.select("node", "community").join(self.degrees, "node", "left").select("node", "community", F.coalesce("k", F.lit(0.0)).alias("k"))
+        return self.weighed(self.cut(nodes))
+
+    def weighed(self, nodes: DataFrame) -> tuple[DataFrame, DataFrame, float]:
+        if not self.m:
+            return nodes, self.both.select("node", F.lit(None).alias("community"), F.col("w").alias("kin"), F.lit(False).alias("own")), 0.0
+        near = self.both.join(nodes.select(F.col("node").alias("other"), "community"), "other").groupBy("node", "community").agg(F.sum("w").alias("kin"))
+        own = nodes.select("node", "community", F.lit(True).alias("own"))
+        kin = self.cut(near.join(own, ["node", "community"], "left").withColumn("own", F.coalesce("own", F.lit(False))))
+        inner = kin.filter("own").agg(F.coalesce(F.sum("kin"), F.lit(0.0)).alias("inner"))
+        square = nodes.groupBy("community").agg(F.sum("k").alias("tot")).agg(F.sum(F.col("tot") ** 2).alias("square"))
+        found = inner.crossJoin(square).first()
+        return nodes, kin, (found["inner"] / 2 + self.loops) / self.m - self.gamma * (found["square"] or 0.0) / (4 * self.m**2)
+
+    def wanting(self, nodes: DataFrame, kin: DataFrame, seed: int) -> DataFrame:
+        """Nodes that want to move: ``node, to, from, rank, gain``."""
+        if not self.m:
+            return nodes.select("node", F.col("community").alias("to"), F.col("community").alias("from"), F.struct(F.lit(0).alias("r"), "node").alias("rank"), F.lit(0.0).alias("gain")).limit(0)
+        tot = nodes.groupBy("community").agg(F.sum("k").alias("tot"))
+        placed = nodes.join(tot, "community").select("node", F.col("community").alias("from"), "k", (F.col("tot") - F.col("k")).alias("rest"))
+        share = self.gamma / (2 * self.m**2)
+        options = kin.join(tot, "community").join(placed, "node").select(
+            "node", "community", "own", "from", "k", "rest", "kin",
+            (F.col("kin") / self.m - share * F.col("k") * F.when(F.col("own"), F.col("rest")).otherwise(F.col("tot"))).alias("gain"),
+        )
+        best = options.groupBy("node").agg(
+            F.max_by("community", F.when(~F.col("own"), F.struct("gain", "community"))).alias("to"), F.max(F.when(~F.col("own"), F.col("gain"))).alias("gain"),
+            F.first("from").alias("from"), F.coalesce(F.max(F.when(F.col("own"), F.col("gain"))), F.first(-share * F.col("k") * F.col("rest"))).alias("stay"),
+        )
+        rank = F.struct(F.xxhash64(F.col("node").cast("string"), F.lit(seed)).alias("r"), F.col("node"))
+        return self.cut(best.filter((F.col("gain") > F.col("stay") + self.least) & (F.col("gain") > 0)).select("node", "to", "from", rank.alias("rank"), "gain"))
+
+    def moves(self, wanting: DataFrame, alone: bool) -> DataFrame:
+        """Those that move in one round; ``alone``: their gains add up exactly."""
+        mine = wanting.select("node", F.col("to").alias("mine_to"), F.col("from").alias("mine_from"))
+        other = wanting.select(F.col("node").alias("other"), "to", "from", F.col("rank").alias("rival"))
+        pairs = self.both.select("node", "other").join(other, "other").join(mine, "node")
+        if not alone:
+            pairs = pairs.filter("`from` = mine_to OR `to` = mine_from")
+        rivals = pairs.groupBy("node").agg(F.max("rival").alias("rival"))
+        moved = wanting.join(rivals, "node", "left").filter(F.col("rival").isNull() | (F.col("rank") > F.col("rival"))).select("node", "to", "from", "rank")
+        return disjoint(moved) if alone else moved
 
+    def after(self, nodes: DataFrame, moved: DataFrame) -> DataFrame:
+        return self.cut(nodes.join(moved.select("node", "to"), "node", "left").select("node", F.coalesce("to", "community").alias("community"), "k"))
 
-def local_moving(edges: DataFrame, communities: DataFrame, cut: Cut, rounds: int = 10_000, gamma: float = 1.0, seed: int = 123456, least: float = 1e-9) -> tuple[DataFrame, float]:
-    """Communities after moving nodes until none wants to; ``rounds`` only guards
-    against going on forever."""
-    q = modularity(edges, communities, gamma).first()[0]
-    apart = False
-    pairs = edges.filter("src != dst").select("src", "dst")
-    pairs = pairs.union(pairs.select("dst", "src"))
+
+def settled(graph: Moving, communities: DataFrame, rounds: int, seed: int, alone: bool = False) -> tuple[DataFrame, float]:
+    """Communities after moving nodes until none wants to."""
+    nodes, kin, q = graph.state(communities)
     for r in range(rounds):
-        options = gains(edges, communities, gamma)
-        best = options.groupBy("node").agg(
-            F.max_by("community", F.struct("gain", F.col("community") == F.col("own"), "community")).alias("to"), F.max("gain").alias("best"), F.first("own").alias("from"), F.max(F.when(F.col("community") == F.col("own"), F.col("gain"))).alias("stay")
-        )
-        rank = F.struct(F.xxhash64(F.col("node").cast("string"), F.lit(seed + r)).alias("r"), F.col("node"))
-        wanting = cut(best.filter((F.col("best") > F.col("stay") + least) & (F.col("best") > 0)).select("node", "to", "from", rank.alias("rank")))
+        wanting = graph.wanting(nodes, kin, seed + r)
         if wanting.isEmpty():
-            return communities, q
-        ranks = wanting.select(F.col("node").alias("dst"), F.col("rank").alias("other"))
-        rivals = pairs.join(ranks, "dst").groupBy(F.col("src").alias("node")).agg(F.max("other").alias("rival"))
-        moved = wanting.join(rivals, "node", "left").filter(F.col("rival").isNull() | (F.col("rank") > F.col("rival"))).select("node", "to", "from", "rank")
-        if apart:
-            moved = disjoint(moved)
-        after = cut(communities.select("node", "community").join(moved.select("node", "to"), "node", "left").select("node", F.coalesce("to", "community").alias("community")))
-        q_after = modularity(edges, after, gamma).first()[0]
-        if q_after > q + least:
-            communities, q, apart = after, q_after, False
-        elif apart:
-            # The gains add up here, so what is left is within rounding.
-            return communities, q
+            return nodes.select("node", "community"), q
+        for way in (True,) if alone else (False, True):
+            next_nodes, next_kin, next_q = graph.weighed(graph.after(nodes, graph.moves(wanting, way)))
+            if next_q > q + graph.least:
+                break
         else:
-            apart = True
+            # The gains add up here, so what is left is within rounding.
+            return nodes.select("node", "community"), q
+        nodes, kin, q = next_nodes, next_kin, next_q
     raise RuntimeError(f"local moving did not settle in {rounds} rounds")
 
 
+def local_moving(edges: DataFrame, communities: DataFrame, cut: Cut, rounds: int = 10_000, gamma: float = 1.0, seed: int = 123456, least: float = 1e-9) -> tuple[DataFrame, float]:
+    """Communities after moving nodes until none wants to, and their modularity;
+    ``rounds`` only guards against going on forever."""
+    return settled(Moving(edges, cut, gamma, least), communities, rounds, seed)
+
+
 def disjoint(moved: DataFrame) -> DataFrame:
     """Of moves that leave or enter one community, only that of highest rank: the
     gains of what stays add up exactly."""
@@ -75,6 +134,33 @@ def split_communities(edges: DataFrame, communities: DataFrame, cut: Cut) -> Dat
     return connected_components(inside, cut, nodes=communities.select("node")).select("node", F.col("component").alias("community"))
 
 
+def refine_candidates(edges: DataFrame, communities: DataFrame, cut: Cut, gamma: float = 1.0, least: float = 1e-9) -> DataFrame:
+    """``(node, community, own, gain, connected)``: the communities next to each
+    node, other than its own, that it would gain by joining, and whether they
+    would be connected with it: it has an edge into them, so whether they are by
+    themselves."""
+    parts = split_communities(edges, communities, cut).select("node", F.col("community").alias("part"))
+    whole = communities.join(parts, "node").groupBy("community").agg((F.min("part") == F.max("part")).alias("connected"))
+    options = gains(edges, communities, gamma).filter((F.col("community") != F.col("own")) & (F.col("gain") > least))
+    near = edges.filter("src != dst").select(F.col("src").alias("node"), F.col("dst").alias("other"))
+    near = near.union(near.select("other", "node")).join(communities.select(F.col("node").alias("other"), "community"), "other").select("node", "community").distinct()
+    return options.join(near, ["node", "community"], "left_semi").join(whole, "community").select("node", "community", "own", "gain", "connected")
+
+
+def refined(edges: DataFrame, communities: DataFrame, cut: Cut, graph: Moving | None = None, rounds: int = 10_000, seed: int = 123456) -> DataFrame:
+    """Communities split into their connected parts, then nodes moved to
+    communities next to them where that raises modularity, all of them
+    connected in the end."""
+    graph = graph or Moving(edges, cut)
+    parts = cut(split_communities(edges, communities, cut))
+    before = communities.select("community").distinct().count()
+    if parts.select("community").distinct().count() == before:
+        # Nothing was split, so what no node wanted to leave before it doesn't now.
+        return parts
+    moved, _ = settled(graph, parts, rounds, seed, alone=True)
+    return cut(split_communities(edges, moved, cut))
+
+
 def detect(nodes: DataFrame, edges: DataFrame, cut: Cut, levels: int | None = None, refine: bool = True, use_lcc: bool = True, gamma: float = 1.0, seed: int = 123456, rounds: int = 10_000) -> DataFrame:
     """``(level, node, community, leaf)``: at level 0 nodes are the graph's own,
     above they are the communities below; ``leaf`` is the graph's own node.
@@ -91,9 +177,10 @@ def detect(nodes: DataFrame, edges: DataFrame, cut: Cut, levels: int | None = No
     out = None
     for level in range(levels) if levels is not None else count():
         start = nodes.select("node", F.col("node").alias("community"))
-        found, _ = local_moving(edges, start, cut, rounds, gamma, seed + level)
+        graph = Moving(edges, cut, gamma)
+        found, _ = settled(graph, start, rounds, seed + level)
         if refine:
-            found = split_communities(edges, found, cut)
+            found = refined(edges, found, cut, graph, rounds, seed + level)
         found = cut(found)
         rows = leaves.join(found, "node").select(F.lit(level).alias("level"), "node", "community", "leaf")
         out = rows if out is None else out.unionByName(rows)

@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -37,9 +37,10 @@ def connected_components(edges: DataFrame, cut: Callable[[DataFrame], DataFrame]
         jumped = lower.alias("l").join(lower.select(F.col("node").alias("at"), F.col("component").alias("next")), F.col("component") == F.col("at"), "left").select(
             "node", F.least("component", "next").alias("component"), "old"
         )
-        jumped = cut(jumped)
-        labels = jumped.select("node", "component")
-        if jumped.filter("component != old").isEmpty():
+        # What has changed is counted as the labels are written.
+        seen = Observation()
+        labels = cut(jumped.observe(seen, F.count_if(F.col("component") != F.col("old")).alias("changed")).select("node", "component"))
+        if not seen.get["changed"]:
             return labels
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 

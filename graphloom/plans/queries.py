@@ -587,6 +587,18 @@ def community_split(spark, sf_dir):
     return community.split_communities(edges, nodes.select("node", F.substring("node", 1, 1).alias("community")), written)
 
 
+@_query(f"""WITH {RELATIONAL_SQL}, inner_ AS MATERIALIZED (SELECT src AS a, dst AS b FROM rp WHERE rp.a = rp.b),
+{_rounds_sql(_ROUNDS).replace("SELECT source AS a, target AS b FROM edges UNION SELECT target, source FROM edges", "SELECT a, b FROM inner_ UNION SELECT b, a FROM inner_").replace("SELECT id AS node, id AS c FROM nodes", "SELECT node, node AS c FROM rnodes")},
+whole AS (SELECT community, min(c) = max(c) AS connected FROM c{_ROUNDS} JOIN rnodes USING (node) GROUP BY community),
+kin AS (SELECT node, community, sum(w) AS kin FROM (SELECT src AS node, b AS community, weight AS w FROM rp UNION ALL SELECT dst, a, weight FROM rp) GROUP BY ALL),
+g AS (SELECT kin.node, kin.community, o.community AS own, kin / m - k * tot / (2 * m * m) AS gain FROM kin JOIN rk USING (node) JOIN rnodes o ON o.node = kin.node JOIN rtot ON rtot.community = kin.community, rm_)
+SELECT node, community, own, round(gain, 12) AS gain, connected FROM g JOIN whole USING (community) WHERE community <> own AND gain > 1e-9""")
+def refine_moves(spark, sf_dir):
+    """What refinement may do: moves that gain, and whether what they enter is connected."""
+    nodes = relational_nodes(spark, sf_dir).select("node", "community")
+    return community.refine_candidates(written(relational_edges(spark, sf_dir)), nodes, written).withColumn("gain", F.round("gain", 12))
+
+
 @_query(f"WITH {RELATIONAL_SQL} SELECT node, 'leiden_community_' || community AS communities FROM rnodes")
 def annotate_communities(spark, sf_dir):
     nodes = relational_nodes(spark, sf_dir)

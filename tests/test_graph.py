@@ -95,6 +95,27 @@ def test_communities_are_connected(spark):
     assert {(r.node, r.community) for r in split.collect()} == {("A", "A"), ("B", "A"), ("F", "F"), ("C", "C"), ("D", "C"), ("E", "C")}
 
 
+MONOTONE = [("A", "B", 2.0), ("B", "C", 2.0), ("C", "D", 2.0), ("A", "D", 1.0), ("E", "F", 2.0), ("F", "G", 2.0), ("G", "H", 2.0), ("E", "H", 1.0), ("D", "E", 1.0)]
+
+
+def test_refinement_splits_and_moves_back(spark):
+    for rows, groups in ((BASIC, {"x": "ABF", "y": "CDE"}), (GROUPS, {"x": "ABJ", "y": "CDEFGHI"}), (MONOTONE, {"x": "ABCH", "y": "DEFG"})):
+        edges, before = written(edges_of(spark, rows)), placed(spark, groups)
+        after = community.refined(edges, before, written)
+        q = lambda c: graph.modularity(edges, c).first().q
+        assert q(after) >= q(community.split_communities(edges, before, written)) - 1e-9 and q(after) > q(before)
+        assert community.split_communities(edges, after, written).select("community").distinct().count() == after.select("community").distinct().count()
+        # Refined once more, nothing changes.
+        assert q(community.refined(edges, after, written)) == pytest.approx(q(after))
+
+
+def test_levels_never_lose_modularity(spark):
+    edges = edges_of(spark, MONOTONE)
+    found = community.leiden(nodes_of(spark, "ABCDEFGH"), edges, written)
+    q = [graph.modularity(edges, found.filter(F.col("level") == i).select(F.col("leaf").alias("node"), "community")).first().q for i in range(found.agg(F.max("level")).first()[0] + 1)]
+    assert all(b >= a - 1e-4 for a, b in zip(q, q[1:])) and q[-1] > 0.3
+
+
 def plain_pagerank(nodes, rows, rounds):
     n, out = len(nodes), {}
     for s, _, w in rows:
