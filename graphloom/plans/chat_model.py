@@ -1,34 +1,48 @@
 """Calls of a chat model from Spark: an injected provider, the reply cache,
-bounded retries, and statuses in place of error texts."""
+bounded retries with a time limit, and statuses in place of error texts.
+
+A step's prompts are rows; each distinct one is asked once, and only if the
+cache has no valid reply. Replies are written before anything reads them, so no
+later action asks again, and go back into the cache. (A task that is lost while
+it asks is run again, with the calls it had made.)
+"""
 
 from __future__ import annotations
 
+import functools
 import random
+import threading
 import time
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.sources.store import cache_hits, cache_key
+from graphloom.sources.shared import written
+from graphloom.sources.store import ReplyCache, cache_key
 
 #: Failures worth another attempt.
 PASSING = ("UNAVAILABLE", "DEADLINE_EXCEEDED", "ECONNRESET", "ETIMEDOUT")
 
+#: A conversation, as the provider gets it.
+CONTENTS = "array<struct<role:string,parts:array<struct<text:string>>>>"
+
 
 class Provider(Protocol):
-    def chat(self, prompt: str) -> str: ...
+    """``prompt`` is a text, or a conversation as ``[{role, parts: [{text}]}]``."""
+
+    def chat(self, prompt: str | list) -> str: ...
 
 
 class Template:
     """A provider that fills a text: for tests and dry runs."""
 
-    def __init__(self, reply: Callable[[str], str]):
+    def __init__(self, reply: Callable[[str | list], str]):
         self.reply = reply
 
-    def chat(self, prompt: str) -> str:
+    def chat(self, prompt: str | list) -> str:
         return self.reply(prompt)
 
 
@@ -44,13 +58,61 @@ def contents(messages) -> list[dict]:
     return out
 
 
-def call(provider: Provider, prompt: str, attempts: int = 4, base_ms: int = 400, sleep: Callable[[float], None] = time.sleep) -> tuple[str, str | None]:
+def filled(template: str, **values: Column | str) -> Column:
+    """A template with each ``{name}`` replaced by a column, wherever it stands;
+    braces in the values stay as they are."""
+    parts, rest = [], template
+    while rest:
+        spots = sorted((at, name) for name in values if (at := rest.find("{" + name + "}")) >= 0)
+        if not spots:
+            parts.append(F.lit(rest))
+            break
+        at, name = spots[0]
+        value = values[name]
+        parts += [F.lit(rest[:at]), F.coalesce(F.col(value) if isinstance(value, str) else value, F.lit(""))]
+        rest = rest[at + len(name) + 2 :]
+    return F.concat(*parts) if parts else F.lit("")
+
+
+def said(role: str, text: Column) -> Column:
+    """A conversation of one message."""
+    return F.array(F.struct(F.lit(role).alias("role"), F.array(F.struct(text.alias("text"))).alias("parts")))
+
+
+class TimedOut(Exception):
+    pass
+
+
+def limited(provider: Provider, prompt: str | list, seconds: float) -> str:
+    """The provider's reply, if it comes in time."""
+    found: list = []
+
+    def ask() -> None:
+        try:
+            found.append((True, provider.chat(prompt)))
+        except Exception as error:  # noqa: BLE001  a provider may raise anything
+            found.append((False, error))
+
+    worker = threading.Thread(target=ask, daemon=True)
+    worker.start()
+    worker.join(seconds)
+    if not found:
+        raise TimedOut(f"no reply in {seconds} s")
+    ok, value = found[0]
+    if not ok:
+        raise value
+    return value
+
+
+def call(provider: Provider, prompt: str | list, attempts: int = 4, base_ms: int = 400, sleep: Callable[[float], None] = time.sleep, seconds: float = 30.0) -> tuple[str, str | None]:
     """``(status, text)``; only passing failures are tried again, with growing
-    waits."""
+    waits. A call that takes too long isn't."""
     for attempt in range(attempts):
         try:
-            return "ok", provider.chat(prompt)
-        except Exception as error:  # noqa: BLE001  a provider may raise anything
+            return "ok", limited(provider, prompt, seconds)
+        except TimedOut as error:
+            return f"error: {error}", None
+        except Exception as error:  # noqa: BLE001
             text = str(error)
             if attempt + 1 == attempts or not any(p in text for p in PASSING):
                 return "error: " + text, None
@@ -58,34 +120,86 @@ def call(provider: Provider, prompt: str, attempts: int = 4, base_ms: int = 400,
     return "error", None
 
 
-def replies(prompts: DataFrame, provider: Provider, model: str, cache: DataFrame | None = None, pause: float = 0.0) -> DataFrame:
-    """``prompts`` with a ``prompt`` column to ``key, status, response``: each
-    distinct prompt is asked once, and only if the cache has no valid reply.
-    ``pause`` seconds between a task's calls keep to a rate."""
-    asked = prompts.select(cache_key(model, "prompt").alias("key"), "prompt").dropDuplicates(["key"])
+def replies(prompts: DataFrame, provider: Provider, model: str, cache: ReplyCache | DataFrame | None = None, per_second: float | None = None, tasks: int = 8, seconds: float = 30.0) -> DataFrame:
+    """``key, status, response`` for the distinct ones of ``prompts``, which have
+    a column ``prompt`` (texts) or ``contents`` (conversations).
+
+    With ``per_second`` at most so many calls a second are begun in the whole
+    job: ``tasks`` tasks ask, each after its share of the time.
+    """
+    one = "contents" if "contents" in prompts.columns else "prompt"
+    asked = prompts.select(content_key(model, one).alias("key"), one).dropDuplicates(["key"])
     known = None
     if cache is not None:
-        known, asked = cache_hits(asked, cache, F.current_timestamp())
+        known, asked = (cache if isinstance(cache, ReplyCache) else ReplyCache.of(cache)).hits(asked)
+    if per_second:
+        asked = asked.repartition(tasks)
+
+    def plain(prompt):
+        return prompt if isinstance(prompt, str) else [{"role": m["role"], "parts": [{"text": p["text"]} for p in m["parts"]]} for m in prompt]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
-            for prompt in frame["prompt"]:
-                rows.append(call(provider, prompt))
-                if pause:
-                    time.sleep(pause)
+            for prompt in frame[one]:
+                begun = time.monotonic()
+                rows.append(call(provider, plain(prompt), seconds=seconds))
+                if per_second:
+                    time.sleep(max(0.0, tasks / per_second - (time.monotonic() - begun)))
             yield pd.DataFrame({"key": frame["key"], "status": [r[0] for r in rows], "response": [r[1] for r in rows]})
 
-    fresh = asked.mapInPandas(run, "key string, status string, response string")
-    return fresh if known is None else known.select("key", F.lit("cached").alias("status"), "response").unionByName(fresh)
+    fresh = written(asked.mapInPandas(run, "key string, status string, response string"), "replies")
+    if isinstance(cache, ReplyCache):
+        cache.put(fresh.filter("status = 'ok'"))
+    return fresh if known is None else written(known.select("key", F.lit("cached").alias("status"), "response").unionByName(fresh), "replies")
+
+
+def content_key(model: str, column: str = "prompt") -> Column:
+    """The cache's key of a prompt or of a conversation."""
+    return cache_key(model, column if column == "prompt" else F.to_json(column))
+
+
+def answered(rows: DataFrame, provider: Provider, model: str, column: str = "prompt", **options) -> DataFrame:
+    """``rows`` with ``status`` and ``response`` to their prompt or conversation."""
+    key = "__key"
+    keyed = written(rows.withColumn(key, content_key(model, column)), "prompts")
+    found = replies(keyed.select(column), provider, model, **options).withColumnRenamed("key", key)
+    return keyed.join(found, key, "left").drop(key)
+
+
+def retried(run: Callable[[], object], attempts: int = 3, wait: float = 2.0, sleep: Callable[[float], None] = time.sleep):
+    """A whole pipeline's result; a failed run is begun anew, after a wait that
+    grows with the number of attempts."""
+    for attempt in range(1, attempts + 1):
+        try:
+            return run()
+        except Exception:
+            if attempt == attempts:
+                raise
+            sleep(attempt * wait)
 
 
 def glean(provider: Provider, prompt: str, more: str, ask: str, times: int = 2, record: str = "##") -> str:
     """A first reply and up to ``times`` further ones, joined as records; after
-    each but the last the model is asked whether there is more."""
-    out = [provider.chat(prompt)]
+    each but the last the model is asked whether there is more. The model gets
+    the whole conversation each time."""
+    talk = contents(prompt)
+    chat = functools.partial(_turn, provider, talk)
+    out = [chat(None)]
     for i in range(times):
-        out.append(provider.chat(more))
-        if i + 1 < times and provider.chat(ask).strip().lower()[:1] == "n":
+        out.append(chat(more))
+        if i + 1 < times and no_more(chat(ask)):
             break
     return record.join(out)
+
+
+def _turn(provider: Provider, talk: list[dict], text: str | None) -> str:
+    if text is not None:
+        talk += contents(text)
+    reply = provider.chat(list(talk))
+    talk += contents({"role": "model", "content": reply})
+    return reply
+
+
+def no_more(reply: str) -> bool:
+    return reply.strip().lower()[:1] == "n"

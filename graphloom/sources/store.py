@@ -32,34 +32,72 @@ def linked_edges(edges: DataFrame, nodes: DataFrame, source: str = "source", tar
     return edges
 
 
-class GraphStore:
-    """Nodes and edges under a folder, in numbered versions; a version is
-    written beside the last one, so readers never see half a graph."""
+class Versions:
+    """A folder of numbered versions; one is written beside the last one, so
+    readers never see half of it. ``done`` is a file that a whole version has.
+    A number is taken by making its folder, which only one writer can."""
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    #: Whole versions that stay, for readers who have begun on them.
+    KEPT = 3
+
+    def __init__(self, spark: SparkSession, path: str, done: str):
+        self.spark, self.path, self.done = spark, path.rstrip("/"), done
+
+    def _hadoop(self, name: str = ""):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
 
-    def _versions(self) -> list[int]:
-        hadoop = self.spark._jvm.org.apache.hadoop.fs
-        folder = hadoop.Path(self.path)
-        system = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
+    def _numbers(self) -> list[int]:
+        system, folder = self._hadoop()
         if not system.exists(folder):
             return []
         names = [s.getPath().getName() for s in system.listStatus(folder)]
-        return sorted(int(n[1:]) for n in names if n[0] == "v" and n[1:].isdigit() and system.exists(hadoop.Path(f"{self.path}/{n}/edges/_SUCCESS")))
+        return sorted(int(n[1:]) for n in names if n[0] == "v" and n[1:].isdigit())
+
+    def whole(self) -> list[int]:
+        return [n for n in self._numbers() if self._hadoop(f"v{n}/{self.done}")[0].exists(self._hadoop(f"v{n}/{self.done}")[1])]
+
+    def last(self) -> str | None:
+        found = self.whole()
+        return f"{self.path}/v{found[-1]}" if found else None
+
+    def new(self) -> str:
+        """The path of a version that no other writer has."""
+        system, folder = self._hadoop()
+        system.mkdirs(folder)
+        number = (self._numbers() or [0])[-1] + 1
+        while True:
+            # Making a file that must not exist fails for all writers but one.
+            mark = self._hadoop(f".v{number}")[1]
+            if system.createNewFile(mark):
+                return f"{self.path}/v{number}"
+            number += 1
+
+    def tidy(self) -> None:
+        """Remove whole versions older than the last few."""
+        for n in self.whole()[: -self.KEPT]:
+            system, folder = self._hadoop(f"v{n}")
+            system.delete(folder, True)
+
+
+class GraphStore:
+    """Nodes and edges under a folder, in numbered versions."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.versions = spark, Versions(spark, path, "edges/_SUCCESS")
 
     def read(self) -> tuple[DataFrame, DataFrame]:
         """Nodes and edges; edges without both ends are left out."""
-        if not (found := self._versions()):
+        if (at := self.versions.last()) is None:
             return self.spark.createDataFrame([], NODES), self.spark.createDataFrame([], EDGES)
-        at = f"{self.path}/v{found[-1]}"
         nodes, edges = self.spark.read.schema(NODES).parquet(f"{at}/nodes"), self.spark.read.schema(EDGES).parquet(f"{at}/edges")
         return nodes, linked_edges(edges, nodes)
 
     def write(self, nodes: DataFrame, edges: DataFrame) -> None:
-        at = f"{self.path}/v{(self._versions() or [0])[-1] + 1}"
+        at = self.versions.new()
         nodes.select(*NODES.names).write.parquet(f"{at}/nodes")
         edges.select(*EDGES.names).write.parquet(f"{at}/edges")
+        self.versions.tidy()
 
     def upsert(self, nodes: DataFrame, edges: DataFrame) -> None:
         old_nodes, old_edges = self.read()
@@ -103,3 +141,60 @@ def cache_hits(requests: DataFrame, cache: DataFrame, now: Column, hours: int =
     """Requests with a valid reply, and those without."""
     valid = cache.filter(fresh("timestamp", now, hours)).select("key", "response")
     return requests.join(valid, "key"), requests.join(valid, "key", "left_anti")
+
+
+def latest(cache: DataFrame) -> DataFrame:
+    """Of several entries of a key the one stored last."""
+    return cache.groupBy("key").agg(F.max_by(F.struct("timestamp", "response"), F.struct("timestamp", "response")).alias("e")).select("key", "e.timestamp", "e.response")
+
+
+def cache_list(cache: DataFrame, now: Column) -> DataFrame:
+    """``(key, age_hours, bytes)`` of the entries."""
+    return latest(cache).select("key", age_hours("timestamp", now).alias("age_hours"), F.octet_length("response").cast("long").alias("bytes"))
+
+
+class ReplyCache:
+    """Model replies under a folder. New ones are appended as files of the
+    current version; cleaning and clearing begin a new one."""
+
+    def __init__(self, spark: SparkSession, path: str, hours: int = 24):
+        self.spark, self.hours, self.versions, self._table = spark, hours, Versions(spark, path, "_SUCCESS"), None
+
+    @classmethod
+    def of(cls, table: DataFrame, hours: int = 24) -> ReplyCache:
+        """A table of entries as a cache that is only read."""
+        found = cls.__new__(cls)
+        found.spark, found.hours, found.versions, found._table = table.sparkSession, hours, None, table
+        return found
+
+    def entries(self) -> DataFrame:
+        if self._table is not None:
+            return self._table
+        at = self.versions.last()
+        return self.spark.read.schema(CACHE).parquet(at) if at else self.spark.createDataFrame([], CACHE)
+
+    def hits(self, requests: DataFrame, now: Column | None = None) -> tuple[DataFrame, DataFrame]:
+        """Requests with a valid reply, and those without."""
+        return cache_hits(requests, latest(self.entries()), F.current_timestamp() if now is None else now, self.hours)
+
+    def put(self, replies: DataFrame, now: Column | None = None) -> None:
+        """Store ``(key, response)`` rows."""
+        at = self.versions.last() or self.versions.new()
+        replies.select("key", (F.current_timestamp() if now is None else now).alias("timestamp"), "response").write.mode("append").parquet(at)
+
+    def _replace(self, entries: DataFrame) -> None:
+        entries.select(*CACHE.names).write.parquet(self.versions.new())
+        self.versions.tidy()
+
+    def clean(self, now: Column | None = None) -> None:
+        """Only valid entries stay, one for each key."""
+        self._replace(latest(self.entries()).filter(fresh("timestamp", F.current_timestamp() if now is None else now, self.hours)))
+
+    def clear(self) -> None:
+        self._replace(self.spark.createDataFrame([], CACHE))
+
+    def stats(self) -> DataFrame:
+        return cache_stats(latest(self.entries()))
+
+    def listed(self, now: Column | None = None) -> DataFrame:
+        return cache_list(self.entries(), F.current_timestamp() if now is None else now)
