@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions import text as T
 from graphloom.operators import community, extract, graph, report, resolve, search
 from graphloom.operators.components import connected_components
-from graphloom.plans import rag
+from graphloom.plans import build, chat_model, rag
 from graphloom.plans.tables import GRAPH_SQL, MENTIONS_SQL, RELATIONAL_SQL, relational_edges, relational_nodes, replies
 from graphloom.sources import loaders, store
 from graphloom.sources.shared import fresh_path, table, written
@@ -663,6 +666,118 @@ def report_context(spark, sf_dir):
     return report.report_context(extract.ranked(members, ["node"], ["community"]), inside)
 
 
+# -- Model calls, answered by a fixed rule ---------------------------------------
+
+
+class Rule:
+    """A provider whose replies follow from the digest of all texts it is given:
+    an entity record; to a prompt that asks for Y or N, one of them."""
+
+    def chat(self, prompt):
+        texts = [prompt] if isinstance(prompt, str) else [p["text"] for m in prompt for p in m["parts"]]
+        digest = hashlib.md5("".join(texts).encode()).hexdigest()
+        if texts[-1] == build.ASK_PROMPT:
+            return "Yes" if digest[0] < "8" else " no."
+        return f'("entity"<|>turn {len(texts)}<|>person<|>{digest})'
+
+
+class ReportRule:
+    """A provider whose reports have the prompt's digest as their title."""
+
+    def chat(self, prompt):
+        digest = hashlib.md5(prompt.encode()).hexdigest()
+        rating = 11 if digest[0] == "f" else int(digest[0], 16) % 11
+        return '```json\n{"title": "%s", "summary": "s", "rating": %d, "rating_explanation": "e", "findings": [{"summary": "f", "explanation": "g"}]}\n```' % (digest, rating)
+
+
+def _quoted(template: str, **values: str) -> str:
+    """A prompt as SQL: the template with expressions in its places."""
+    out = "'" + template.replace("'", "''") + "'"
+    for name, value in values.items():
+        out = out.replace("{" + name + "}", f"' || {value} || '")
+    return out
+
+
+_FIRST = _quoted(build.EXTRACT_PROMPT, entity_types="'" + ",".join(extract.TYPES) + "'", language="'English'", input_text="content")
+_TURNS = f"""c AS (SELECT doc_id, coalesce(text, '') AS content FROM documents),
+t1 AS (SELECT doc_id, p AS talk, '("entity"<|>turn 1<|>person<|>' || md5(p) || ')' AS r1 FROM (SELECT doc_id, {_FIRST} AS p FROM c)),
+t2 AS (SELECT *, '("entity"<|>turn 3<|>person<|>' || md5(talk || r1 || {_quoted(build.MORE_PROMPT)}) || ')' AS r2 FROM t1),
+t3 AS (SELECT *, CASE WHEN md5(talk || r1 || {_quoted(build.MORE_PROMPT)} || r2 || {_quoted(build.ASK_PROMPT)}) < '8' THEN 'Yes' ELSE ' no.' END AS r3 FROM t2),
+t4 AS (SELECT *, '("entity"<|>turn 7<|>person<|>' || md5(talk || r1 || {_quoted(build.MORE_PROMPT)} || r2 || {_quoted(build.ASK_PROMPT)} || r3 || {_quoted(build.MORE_PROMPT)}) || ')' AS r4 FROM t3)"""
+
+
+def _chunks(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.lit(0).alias("chunk_seq"), F.coalesce("text", F.lit("")).alias("content"))
+
+
+@_query(f"""WITH {_TURNS}
+SELECT doc_id, 0 AS chunk_seq, r1 || '##' || r2 || CASE WHEN r3 = 'Yes' THEN '##' || r4 ELSE '' END AS response,
+  length(talk) + length(r1) + length(r2) + length(r3) + CASE WHEN r3 = 'Yes' THEN length(r4) ELSE 0 END AS characters FROM t4""")
+def extract_replies(spark, sf_dir):
+    """Extraction with gleaning: every call gets the whole conversation."""
+    return build.extracted(_chunks(spark, sf_dir), Rule(), "model-1")
+
+
+@_query(f"""WITH {GRAPH_SQL} SELECT id, entity_type, CASE WHEN len(string_split(description, ' <SEP> ')) > 12
+  THEN '("entity"<|>turn 1<|>person<|>' || md5({_quoted(build.SUMMARY_PROMPT, entity_name="id", language="'English'", description_list="description")}) || ')' ELSE description END AS description FROM nodes""")
+def summarised_nodes(spark, sf_dir):
+    nodes, _ = rag.build_graph(replies(spark, sf_dir), cut=written)
+    return build.summarised(written(nodes), "id", Rule(), "model-1").select("id", "entity_type", "description")
+
+
+class PairRule:
+    """A provider that says yes to pairs of names of equal length."""
+
+    def chat(self, prompt):
+        asked = re.findall(r"^Question (\d+): name of .*? A is (.*), name of .*? B is (.*)$", prompt, re.M)
+        return "##".join(f"(For question <|>{i}<|>, <|>{'yes' if len(a) == len(b) else 'no'}<|>)" for i, a, b in asked)
+
+
+@_query(f"WITH {_SIMILAR} SELECT entity_type, a, b FROM pairs WHERE length(a) = length(b)")
+def adjudicated_pairs(spark, sf_dir):
+    """Pairs put to a model in batches, and its decisions."""
+    return build.adjudicated(written(resolve.pair_batches(_pairs(spark, sf_dir), written)), PairRule(), "model-1")
+
+
+@_query(f"""WITH {GRAPH_SQL},
+al AS (SELECT substr(id, 1, 2) AS community, id AS node, description, 1 / length(id) AS pagerank FROM nodes),
+mem AS (SELECT *, row_number() OVER (PARTITION BY community ORDER BY pagerank DESC, node) - 1 AS i, count(*) OVER (PARTITION BY community) AS n FROM al),
+top AS (SELECT * FROM mem WHERE i < 12 AND n >= 2),
+ed_ AS (SELECT x.community, source, target, edges.description, row_number() OVER (PARTITION BY x.community ORDER BY source, target) - 1 AS i FROM edges JOIN top x ON x.node = source JOIN top y ON y.node = target AND y.community = x.community),
+a AS (SELECT community, 'id,entity,description' || chr(10) || string_agg(i || ',' || node || ',"' || replace(description, '"', '""') || '"', chr(10) ORDER BY i) AS entities, sum(pagerank) AS weight, string_agg(node, ',' ORDER BY i) AS members FROM top GROUP BY 1),
+b AS (SELECT community, 'id,source,target,description' || chr(10) || string_agg(i || ',' || source || ',' || target || ',"' || replace(description, '"', '""') || '"', chr(10) ORDER BY i) AS relationships FROM ed_ GROUP BY 1),
+p AS (SELECT community, weight, members, md5({_quoted(build.REPORT_PROMPT, entity_df="entities", relation_df="coalesce(relationships, 'id,source,target,description')")}) AS d FROM a LEFT JOIN b USING (community))
+SELECT community, d AS title, CAST(instr('0123456789abcde', d[1]) - 1 AS INTEGER) % 11 + 0.0::DOUBLE AS rating, round(weight, 9) AS weight, members AS entities,
+  '# ' || d || chr(10) || chr(10) || 's' || chr(10) || chr(10) || '## f' || chr(10) || chr(10) || 'g' AS report FROM p WHERE d[1] <> 'f'""")
+def community_reports(spark, sf_dir):
+    """Reports on communities of at least two members; those that are no valid report are left out."""
+    nodes, edges = rag.build_graph(replies(spark, sf_dir), cut=written)
+    nodes, edges = written(nodes), written(edges)
+    communities = nodes.select(F.col("id").alias("node"), F.substring("id", 1, 2).alias("community"))
+    ranks = nodes.select(F.col("id").alias("node"), (1 / F.length("id")).alias("pagerank"))
+    found = build.community_reports(rag.community_contexts(nodes, edges, communities, ranks), ReportRule(), "model-1")
+    return found.select("community", "title", "rating", F.round("weight", 9).alias("weight"), _joined("entities"), "report")
+
+
+@_query("""WITH m AS (SELECT DISTINCT text FROM conversations WHERE text IS NOT NULL AND role <> 'assistant')
+SELECT md5('model-1:' || text) AS key, '("entity"<|>turn 1<|>person<|>' || md5(text) || ')' AS response, 'cached' AS status FROM m""")
+def cache_store(spark, sf_dir):
+    """Replies go to the cache, and the second time all come from there."""
+    turns = table(spark, sf_dir, "conversations").filter("text is not null and role != 'assistant'").select(F.col("text").alias("prompt"))
+    cache = store.ReplyCache(spark, fresh_path(spark, "cache"))
+    chat_model.replies(turns, Rule(), "model-1", cache)
+    return chat_model.replies(turns, Rule(), "model-1", cache).select("key", "response", "status")
+
+
+@_query("""WITH n AS (SELECT max(ts) AS now FROM events), c AS (SELECT event_type AS key, max(ts) AS ts, max_by(props, ts) AS response FROM events GROUP BY event_type)
+SELECT key, CAST(floor(epoch(now - ts) / 3600) AS BIGINT) AS age_hours, CAST(octet_length(encode(response)) AS BIGINT) AS bytes FROM c, n""")
+def cache_listing(spark, sf_dir):
+    """Of several entries of a key the last one counts."""
+    events = table(spark, sf_dir, "events")
+    now = events.agg(F.max("ts")).first()[0]
+    return store.cache_list(events.select(F.col("event_type").alias("key"), F.col("ts").alias("timestamp"), F.col("props").alias("response")), F.lit(now).cast("timestamp_ntz"))
+
+
 # -- Communities and whole pipelines: no SQL ------------------------------------
 
 
