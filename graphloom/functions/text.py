@@ -119,6 +119,38 @@ def similar_names(a: Column | str, b: Column | str) -> Column:
     return edits | F.when(F.greatest(la, lb) < 4, j > 0.6).otherwise(j >= 0.8)
 
 
+def character_mask(c: Column | str) -> Column:
+    """The set of a text's characters as bits of a number; characters may share
+    a bit."""
+    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.hash(x), F.lit(64)).cast("int"))
+    return F.aggregate(characters(c), F.lit(0).cast("long"), lambda mask, x: mask.bitwiseOR(bit(x)))
+
+
+def may_be_similar(a: dict[str, Column], b: dict[str, Column]) -> Column:
+    """A cheap test that holds for all pairs that ``similar_names`` holds for.
+    Both names come with their ``length``, number of different characters
+    ``size`` and ``mask``: a bit that only one mask has stands for a character
+    that only that name has, which costs an edit and lowers the similarity."""
+    count = lambda x: F.bit_count(x).cast("int")
+    only_a, only_b = count(a["mask"].bitwiseAND(F.bitwise_not(b["mask"]))), count(b["mask"].bitwiseAND(F.bitwise_not(a["mask"])))
+    most = F.floor(F.least(a["length"], b["length"]) / 2)
+    edits = (F.greatest(only_a, only_b) <= most) & (F.abs(a["length"] - b["length"]) <= most)
+    both, apart = a["size"] + b["size"], only_a + only_b
+    # (both - apart) / (both + apart) is at least as large as the similarity.
+    return edits | F.when(F.greatest(a["length"], b["length"]) < 4, 4 * apart < both).otherwise(9 * apart <= both)
+
+
+def xorshift32(state: Column | str) -> Column:
+    """The next state of the generator with shifts 13, 17 and 5, from 0 to
+    2**32 - 1; over 2**32 it is a number from 0 to less than 1."""
+    x = _col(state).cast("long")
+    low = lambda c: c.bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))
+    x = low(x)
+    x = low(x.bitwiseXOR(F.shiftleft(x, 13)))
+    x = x.bitwiseXOR(F.shiftright(x, 17))
+    return low(x.bitwiseXOR(F.shiftleft(x, 5)))
+
+
 def fuzzy_similarity(a: Column | str, b: Column | str) -> Column:
     """One minus edits over the longer length; null for two empty texts."""
     a, b = _col(a), _col(b)
@@ -153,10 +185,9 @@ REPORT = "struct<title:string,summary:string,rating:double,rating_explanation:st
 
 
 def json_of_reply(c: Column | str) -> Column:
-    """The JSON object in a reply: fences stripped, cut from the first brace to
-    the last, commas before a closing bracket removed."""
-    out = F.regexp_replace(_col(c), r"```(?:json|markdown|text)?", "")
-    out = F.regexp_extract(out, r"(?s)(\{.*\})", 1)
+    """The JSON object in a reply: cut from the first brace to the last, which
+    leaves out fences around it, commas before a closing bracket removed."""
+    out = F.regexp_extract(_col(c), r"(?s)(\{.*\})", 1)
     return F.regexp_replace(out, r",(\s*[}\]])", "$1")
 
 

@@ -11,16 +11,22 @@ from graphloom.operators.extract import numbered
 from graphloom.operators.graph import Cut
 
 
-def similar_pairs(nodes: DataFrame, name: str = "id", kind: str = "entity_type", blocks: int = 8) -> DataFrame:
+def similar_pairs(nodes: DataFrame, name: str = "id", kind: str = "entity_type", block_names: int = 2000) -> DataFrame:
     """``(entity_type, a, b)`` with a < b: pairs of one type that may be the
-    same. Every pair of a type is compared; a type is dealt out as blocks
-    against blocks, so that a common one isn't compared by a single task. A
-    missing type is ``-``."""
+    same. Every pair of a type is compared, first by lengths and character sets
+    as numbers; a type is cut into blocks of about ``block_names`` names by its
+    size, and each block meets all names of the type, so a common type isn't
+    compared by few tasks. A missing type is ``-``."""
     rows = nodes.select(F.coalesce(kind, F.lit("-")).alias("entity_type"), F.col(name).alias("n")).filter("n is not null").distinct()
-    block = F.pmod(F.xxhash64("n"), F.lit(blocks)).cast("int")
-    left = rows.select("entity_type", F.col("n").alias("a"), block.alias("block"))
-    right = rows.select("entity_type", F.col("n").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    return left.join(right, ["entity_type", "block"]).filter((F.col("a") < F.col("b")) & T.similar_names("a", "b")).select("entity_type", "a", "b")
+    blocks = rows.groupBy("entity_type").agg(F.ceil(F.count(F.lit(1)) / block_names).cast("int").alias("blocks"))
+    told = {"length": F.length("n"), "size": F.size(T.characters("n")), "mask": T.character_mask("n")}
+    rows = rows.join(blocks, "entity_type").withColumns({k: c.cast("long") for k, c in told.items()})
+    side = lambda at: [F.col("n").alias(at), *(F.col(k).alias(f"{at}_{k}") for k in told)]
+    left = rows.select("entity_type", F.pmod(F.xxhash64("n"), F.col("blocks")).cast("int").alias("block"), *side("a"))
+    right = rows.select("entity_type", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), *side("b"))
+    a, b = ({k: F.col(f"{at}_{k}") for k in told} for at in "ab")
+    near = left.join(right, ["entity_type", "block"]).filter((F.col("a") < F.col("b")) & T.may_be_similar(a, b))
+    return near.filter(T.similar_names("a", "b")).select("entity_type", "a", "b")
 
 
 def pair_batches(pairs: DataFrame, cut: Cut, size: int = 50) -> DataFrame:

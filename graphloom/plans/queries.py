@@ -143,12 +143,61 @@ def paragraph_chunk(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(loaders.chunked_paragraphs("text")).alias("chunk_seq", "chunk"))
 
 
-@_query()
+def _packed_sql(parts: str, most: int, glue: str) -> str:
+    """Neighbouring parts ``(doc_id, k, part)``, k from 1, joined to chunks."""
+    return f"""parts AS MATERIALIZED ({parts}),
+pack AS (
+  SELECT doc_id, k, part AS now, NULL::VARCHAR AS done FROM parts WHERE k = 1
+  UNION ALL
+  SELECT p.doc_id, p.k, CASE WHEN length(regexp_replace(now, '^{_W}+|{_W}+$', '', 'g')) > 0 AND length(now) + length(part) > {most} THEN part ELSE now || {glue} || part END,
+    CASE WHEN length(regexp_replace(now, '^{_W}+|{_W}+$', '', 'g')) > 0 AND length(now) + length(part) > {most} THEN now END
+  FROM pack JOIN parts p ON p.doc_id = pack.doc_id AND p.k = pack.k + 1),
+ends AS (SELECT doc_id, k, done AS chunk FROM pack WHERE done IS NOT NULL UNION ALL SELECT doc_id, k + 1, now FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY k DESC) AS r FROM pack) WHERE r = 1),
+kept AS (SELECT doc_id, k, regexp_replace(chunk, '^{_W}+|{_W}+$', '', 'g') AS chunk FROM ends)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS INTEGER) AS chunk_seq, chunk FROM kept WHERE chunk <> ''"""
+
+
+@_query(f"""WITH RECURSIVE {_packed_sql("""SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY j) AS k, part FROM (
+  SELECT doc_id, regexp_replace(raw, '^"""+_W+"""+|"""+_W+"""+$', '', 'g') AS part, j FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, unnest(range(0, len(string_split(text, chr(10))))) AS j FROM documents)) WHERE part <> ''""", 1000, "chr(10) || chr(10)")}""")
 def markdown_pack(spark, sf_dir):
     """Lines of a document as paragraphs, packed to 1000 characters."""
     return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(loaders.packed_paragraphs(F.replace("text", F.lit("\n"), F.lit("\n\n")))).alias("chunk_seq", "chunk"))
 
 
+@_query(f"""WITH RECURSIVE {_packed_sql("""SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY j) AS k, part FROM (
+  SELECT doc_id, CASE WHEN j < n THEN raw || '。' ELSE raw END AS part, j FROM (SELECT doc_id, unnest(string_split(replace(text, '.', '。'), '。')) AS raw, unnest(range(1, 1 + len(string_split(replace(text, '.', '。'), '。')))) AS j, len(string_split(replace(text, '.', '。'), '。')) AS n FROM documents)) WHERE part <> ''""", 300, "''")}""")
+def sentence_chunk(spark, sf_dir):
+    """Sentences, their stops put as CJK ones, packed to 300 characters."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(loaders.packed_sentences(F.replace("text", F.lit("."), F.lit("。")))).alias("chunk_seq", "chunk"))
+
+
+@_query(rf"""
+WITH p AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, unnest(range(0, len(string_split(text, chr(10))))) AS j FROM documents),
+c AS (SELECT doc_id, j, regexp_replace(regexp_replace(raw, '{_W}+', ' ', 'g'), '^{_W}+|{_W}+$', '', 'g') AS chunk FROM p)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY j) - 1 AS INTEGER) AS chunk_seq, chunk FROM c WHERE length(chunk) > 50""")
+def paragraph_chunks(spark, sf_dir):
+    """Lines as paragraphs: several chunks of a document."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(loaders.chunked_paragraphs(F.replace("text", F.lit("\n"), F.lit("\n\n")))).alias("chunk_seq", "chunk"))
+
+
+@_query(rf"""
+WITH c AS (SELECT item_id, regexp_replace(regexp_replace(replace(text, 'whi', '中'), '{_W}+', ' ', 'g'), '^{_W}+|{_W}+$', '', 'g') AS content FROM benchmark)
+SELECT item_id, content FROM c WHERE length(content) >= 10 AND contains(content, '中')""")
+def cjk_validate(spark, sf_dir):
+    """Texts that must have a CJK character; some are given one."""
+    text = F.replace("text", F.lit("whi"), F.lit("中"))
+    return table(spark, sf_dir, "benchmark").select("item_id", loaders.validated(text, cjk=True).alias("content")).filter("content is not null")
+
+
+@_query("""
+WITH a AS (SELECT o_orderkey, o_orderkey & 4294967295 AS x FROM orders), b AS (SELECT o_orderkey, xor(x, (x << 13) & 4294967295) AS x FROM a),
+c AS (SELECT o_orderkey, xor(x, x >> 17) AS x FROM b)
+SELECT o_orderkey, CAST(xor(x, (x << 5) & 4294967295) AS BIGINT) AS state FROM c""")
+def xorshift32(spark, sf_dir):
+    """A step of the seeded generator."""
+    return table(spark, sf_dir, "orders").select("o_orderkey", T.xorshift32("o_orderkey").alias("state"))
+
+
 @_query(rf"""
 WITH c AS (SELECT doc_id, regexp_replace(regexp_replace(coalesce(nullif(text, ''), source), '{_W}+', ' ', 'g'), '^{_W}+|{_W}+$', '', 'g') AS t FROM documents)
 SELECT doc_id, CASE WHEN length(t) > 1000 THEN substr(t, 1, 1000) || '...' ELSE t END AS content FROM c WHERE length(t) >= 10""")
@@ -641,6 +690,28 @@ def viz_edges(spark, sf_dir):
     return report.viz_edges(edges)
 
 
+@_query(f"""WITH {GRAPH_SQL} SELECT id, id AS label, description AS title, CASE WHEN entity_type = 'PERSON' THEN 'unknown' ELSE entity_type END AS "group" FROM nodes""")
+def plain_viz_nodes(spark, sf_dir):
+    """The plain viewer, with persons as if they had no type."""
+    nodes, _ = rag.build_graph(replies(spark, sf_dir), cut=written)
+    return report.plain_nodes(nodes.withColumn("entity_type", F.nullif("entity_type", F.lit("PERSON"))))
+
+
+@_query(f"""WITH {GRAPH_SQL} SELECT source AS "from", target AS "to", CASE WHEN weight = 2 THEN 1.0 ELSE weight END AS weight, description AS title FROM edges""")
+def plain_viz_edges(spark, sf_dir):
+    """The plain viewer, with no weight where it would be 2."""
+    _, edges = rag.build_graph(replies(spark, sf_dir), cut=written)
+    return report.plain_edges(edges.withColumn("weight", F.nullif("weight", F.lit(2.0))))
+
+
+@_query("""WITH o AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS i, nullif(o_orderstatus, 'O') AS s, nullif(o_orderpriority, '5-LOW') AS t FROM orders)
+SELECT o_orderkey, coalesce(s, 'src_' || i) AS src_id, coalesce(t, 'tgt_' || i) AS tgt_id FROM o""")
+def viz_relations(spark, sf_dir):
+    """A list of relationships for a viewer; ends without a name are numbered."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", F.nullif("o_orderstatus", F.lit("O")).alias("src_id"), F.nullif("o_orderpriority", F.lit("5-LOW")).alias("tgt_id"))
+    return report.relation_ends(orders, ["o_orderdate", "o_orderkey"], written).select("o_orderkey", "src_id", "tgt_id")
+
+
 @_query(r"""SELECT doc_id, regexp_replace(replace(coalesce(text, ''), '"', '""'), '\r?\n', ' ', 'g') AS field FROM documents""")
 def csv_escape(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.csv_escaped("text").alias("field"))
@@ -654,16 +725,17 @@ def viz_mentions(spark, sf_dir):
 
 
 @_query(f"""WITH {GRAPH_SQL},
-mem AS (SELECT substr(id, 1, 2) AS community, id AS node, description, row_number() OVER (PARTITION BY substr(id, 1, 2) ORDER BY id) - 1 AS i FROM nodes),
-ed_ AS (SELECT substr(source, 1, 2) AS community, source, target, description, row_number() OVER (PARTITION BY substr(source, 1, 2) ORDER BY source, target) - 1 AS i FROM edges WHERE substr(source, 1, 2) = substr(target, 1, 2)),
+mem AS (SELECT * FROM (SELECT substr(id, 1, 2) AS community, id AS node, description, row_number() OVER (PARTITION BY substr(id, 1, 2) ORDER BY id) - 1 AS i FROM nodes) WHERE i < 12),
+ed_ AS (SELECT x.community, source, target, edges.description, row_number() OVER (PARTITION BY x.community ORDER BY source, target) - 1 AS i FROM edges JOIN mem x ON x.node = source JOIN mem y ON y.node = target AND y.community = x.community),
 a AS (SELECT community, 'id,entity,description' || chr(10) || string_agg(i || ',' || node || ',"' || replace(description, '"', '""') || '"', chr(10) ORDER BY i) AS entities FROM mem GROUP BY 1),
 b AS (SELECT community, 'id,source,target,description' || chr(10) || string_agg(i || ',' || source || ',' || target || ',"' || replace(description, '"', '""') || '"', chr(10) ORDER BY i) AS relationships FROM ed_ GROUP BY 1)
 SELECT community, entities, coalesce(relationships, 'id,source,target,description') AS relationships FROM a LEFT JOIN b USING (community)""")
 def report_context(spark, sf_dir):
     nodes, edges = _text_graph(spark, sf_dir)
-    members = nodes.select("node", "description", F.substring("node", 1, 2).alias("community"))
-    inside = community.community_edges(edges, members.select("node", "community"))
-    return report.report_context(extract.ranked(members, ["node"], ["community"]), inside)
+    """Of each community the first members by name, as many as a report takes."""
+    members = nodes.select("node", "description", F.substring("node", 1, 2).alias("community"), F.lit(0.0).alias("pagerank"))
+    top = written(community.top_members(members))
+    return report.report_context(top, community.community_edges(edges, top.select("node", "community")))
 
 
 # -- Model calls, answered by a fixed rule ---------------------------------------

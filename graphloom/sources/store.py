@@ -81,27 +81,68 @@ class Versions:
 
 
 class GraphStore:
-    """Nodes and edges under a folder, in numbered versions."""
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.versions = spark, Versions(spark, path, "edges/_SUCCESS")
+    """Nodes and edges under a folder, in numbered versions. A version holds the
+    whole graph, or only the rows that an upsert brought; of several rows with
+    one key that of the last version counts. After so many upserts the next one
+    writes a whole graph again."""
+
+    def __init__(self, spark: SparkSession, path: str, upserts: int = 16):
+        self.spark, self.upserts = spark, upserts
+        self.versions, self.parts = Versions(spark, path, "edges/_SUCCESS"), Versions(spark, f"{path.rstrip('/')}/parts", "edges/_SUCCESS")
+
+    def _after(self) -> list[str]:
+        """Paths of the upserts since the last whole graph. Upserts are numbered
+        by themselves; a whole graph says up to which it holds them."""
+        at, system = self.versions.last(), self.versions._hadoop()[0]
+        held = 0
+        if at:
+            names = [s.getPath().getName() for s in system.listStatus(self.versions._hadoop(at.rsplit("/", 1)[1])[1])]
+            held = max((int(n[6:]) for n in names if n.startswith("parts-")), default=0)
+        return [f"{self.parts.path}/v{n}" for n in self.parts.whole() if n > held]
 
     def read(self) -> tuple[DataFrame, DataFrame]:
         """Nodes and edges; edges without both ends are left out."""
-        if (at := self.versions.last()) is None:
-            return self.spark.createDataFrame([], NODES), self.spark.createDataFrame([], EDGES)
-        nodes, edges = self.spark.read.schema(NODES).parquet(f"{at}/nodes"), self.spark.read.schema(EDGES).parquet(f"{at}/edges")
+        nodes, edges = self._rows("nodes", NODES, ["id"]), self._rows("edges", EDGES, ["source", "target"])
         return nodes, linked_edges(edges, nodes)
 
+    def _rows(self, name: str, schema: S.StructType, key: list[str]) -> DataFrame:
+        paths = [p for p in (self.versions.last(), *self._after()) if p]
+        if not paths:
+            return self.spark.createDataFrame([], schema)
+        tables = [self.spark.read.schema(schema).parquet(f"{p}/{name}") for p in paths]
+        if len(tables) == 1:
+            return tables[0]
+        every = tables[0].withColumn("__at", F.lit(0))
+        for n, part in enumerate(tables[1:], 1):
+            every = every.unionByName(part.withColumn("__at", F.lit(n)))
+        rest = [c for c in schema.names if c not in key]
+        return every.groupBy(*key).agg(F.max_by(F.struct(*rest), "__at").alias("__r")).select(*(F.col(c) if c in key else F.col(f"__r.{c}").alias(c) for c in schema.names))
+
     def write(self, nodes: DataFrame, edges: DataFrame) -> None:
+        """Put a whole graph in place of what is there."""
+        self._whole(nodes, edges, (self.parts.whole() or [0])[-1])
+
+    def _whole(self, nodes: DataFrame, edges: DataFrame, parts: int) -> None:
         at = self.versions.new()
         nodes.select(*NODES.names).write.parquet(f"{at}/nodes")
+        system, mark = self.versions._hadoop(f"{at.rsplit('/', 1)[1]}/parts-{parts}")
+        system.createNewFile(mark)
         edges.select(*EDGES.names).write.parquet(f"{at}/edges")
         self.versions.tidy()
 
     def upsert(self, nodes: DataFrame, edges: DataFrame) -> None:
-        old_nodes, old_edges = self.read()
-        self.write(upserted(old_nodes, nodes.select(*NODES.names), ["id"]), upserted(old_edges, edges.select(*EDGES.names), ["source", "target"]))
+        """Put in rows, each in place of the one with its key. Only they are
+        written; their keys must be unique among them."""
+        at = self.parts.new()
+        nodes.select(*NODES.names).write.parquet(f"{at}/nodes")
+        edges.select(*EDGES.names).write.parquet(f"{at}/edges")
+        if len(self._after()) > self.upserts:
+            self.compact()
+
+    def compact(self) -> None:
+        """Write the graph whole."""
+        parts = (self.parts.whole() or [0])[-1]
+        self._whole(self._rows("nodes", NODES, ["id"]), self._rows("edges", EDGES, ["source", "target"]), parts)
 
     def clear(self) -> None:
         self.write(self.spark.createDataFrame([], NODES), self.spark.createDataFrame([], EDGES))

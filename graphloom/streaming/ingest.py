@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from graphloom.plans.rag import build_graph
+from graphloom.sources.shared import written
 from graphloom.sources.store import GraphStore
 
 REPLIES = "doc_id long, chunk_seq int, response string"
@@ -20,7 +21,8 @@ def ingest(replies: DataFrame, store: GraphStore, checkpoint: str, once: bool =
     there now is taken and the query ends."""
 
     def put(batch: DataFrame, number: int) -> None:
-        nodes, edges = build_graph(batch)
+        # Parsed once, and put in by its keys only.
+        nodes, edges = build_graph(batch, cut=written)
         store.upsert(nodes, edges)
 
     writer = replies.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)

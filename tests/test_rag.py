@@ -185,3 +185,27 @@ def test_stream_into_the_store(spark, tmp_path):
 def test_page(spark):
     nodes, edges = rag.build_graph(replies(spark, SAID))
     assert '"id":"ALICE"' in report.page(nodes, edges, "<script>//__DATA__HERE__</script>")
+
+
+def test_page_of_the_central_nodes(spark):
+    nodes, edges = rag.build_graph(replies(spark, SAID, SAID.replace("Alice", "Bob")))
+    first, among = report.central(nodes, edges, 2)
+    assert {r.id for r in first.collect()} == {"ACME", "ALICE"} and among.count() == 1
+    page = report.page(nodes, edges, "//__DATA__HERE__", most=2)
+    assert "BOB" not in page and "ALICE" in page and "BOB" in report.page(nodes, edges, "//__DATA__HERE__")
+
+
+def test_upserts_are_put_together_and_made_whole(spark, tmp_path):
+    store = GraphStore(spark, str(tmp_path / "g"), upserts=2)
+    said = lambda name, text: rag.build_graph(replies(spark, SAID.replace("Alice", name).replace("an engineer", text)))
+    for n, (name, text) in enumerate([("Alice", "first"), ("Bob", "second"), ("Alice", "third"), ("Carl", "fourth"), ("Bob", "fifth")]):
+        store.upsert(*said(name, text))
+        if n == 2:
+            assert store.versions.last() is not None and not store._after()
+    nodes, _ = store.read()
+    assert {(r.id, r.description) for r in nodes.collect()} == {("ALICE", "third"), ("BOB", "fifth"), ("CARL", "fourth"), ("ACME", "a maker")}
+    assert store.counts() == {"nodes": 4, "edges": 3}
+    store.clear()
+    assert store.counts() == {"nodes": 0, "edges": 0}
+    store.upsert(*said("Dora", "sixth"))
+    assert store.counts() == {"nodes": 2, "edges": 1}

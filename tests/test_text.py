@@ -1,5 +1,7 @@
 """Parsers and text functions against values worked out by hand."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -107,3 +109,13 @@ def test_answer(spark):
     assert one(spark, said, T.answer_entities) == ["A", "B"]
     assert one(spark, 'x ["A", ]', T.answer_entities) == []
     assert one(spark, "no list", T.answer_text) == "no list"
+
+
+def test_no_similar_names_are_ruled_out(spark):
+    draw = random.Random(4)
+    names = [("".join(draw.choice("abcdeABÄß 中") for _ in range(draw.randrange(9))), "".join(draw.choice("abcdeABÄß 中") for _ in range(draw.randrange(9)))) for _ in range(3000)]
+    rows = spark.createDataFrame(names, "a string, b string")
+    told = lambda c: {"length": F.length(c), "size": F.size(T.characters(c)), "mask": T.character_mask(c)}
+    got = rows.select(T.similar_names("a", "b").alias("s"), T.may_be_similar(told("a"), told("b")).alias("m")).groupBy("s", "m").count().collect()
+    found = {(r.s, r.m): r["count"] for r in got}
+    assert (True, False) not in found and found[True, True] > 50 and found[False, False] > 100
