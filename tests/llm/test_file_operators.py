@@ -3,6 +3,7 @@
 import dataclasses
 import hashlib
 import io
+import math
 import re
 import tarfile
 import zlib
@@ -94,6 +95,33 @@ def test_media_query(spark, data, documents):
         assert (m.width, m.height * m.width) == (192, len(payload)) and m.media_sha256 == hashlib.sha256(media.to_png(payload)).hexdigest()
 
 
+def test_media_read_back_equal_plain_versions(spark, data, documents, tmp_path):
+    folder = f"file://{tmp_path}/m"
+    manifest = media.store(documents.select("doc_id", "text"), ["doc_id"], folder=folder)
+    rows = {r.doc_id: r for r in media.with_features(media.in_shard_order(manifest)).collect()}
+    source = stores.Input()
+    for r in documents.select("doc_id", "text").collect():
+        m = rows[r.doc_id]
+        png = source.read(m.shard, m.offset, m.length)
+        assert (hashlib.sha256(png).hexdigest(), len(png)) == (m.media_sha256, m.media_bytes) and png[:8] == b"\x89PNG\r\n\x1a\n"
+        # Chunks as the format has them: length, kind, data, checksum; lines with a filter byte before them.
+        at, chunks = 8, {}
+        while at < len(png):
+            size, kind = int.from_bytes(png[at : at + 4], "big"), png[at + 4 : at + 8]
+            chunks[kind] = png[at + 8 : at + 8 + size]
+            assert zlib.crc32(png[at + 4 : at + 8 + size]) == int.from_bytes(png[at + 8 + size : at + 12 + size], "big")
+            at += 12 + size
+        lines = zlib.decompress(chunks[b"IDAT"])
+        assert chunks[b"IHDR"] == (192).to_bytes(4, "big") + (len(lines) // 193).to_bytes(4, "big") + bytes([8, 0, 0, 0, 0]) and set(lines[::193]) == {0}
+        samples = [x for i, x in enumerate(lines) if i % 193]
+        counts, n = Counter(samples), len(samples)
+        mean = sum(samples) / n
+        spread = (sum((x - mean) ** 2 for x in samples) / n) ** 0.5
+        entropy = -sum(c / n * math.log2(c / n) for c in counts.values())
+        eighths = [sum(c for x, c in counts.items() if x // 32 == k) / n for k in range(8)]
+        assert [float(x) for x in m.feature.split(",")] == pytest.approx([mean, spread, entropy, *eighths], abs=6e-5)
+
+
 def test_shards_are_tar_files_and_copies_are_stored_once(odd, nothing, tmp_path):
     manifest = media.store(odd.coalesce(1), ["doc_id"], folder=f"file://{tmp_path}/m")
     rows = manifest.collect()
@@ -387,3 +415,16 @@ def test_pipeline_stage_by_stage(spark, data, documents):
         assert (after[i] == t) or spans
         assert all(t[int(a) : int(b)] not in after[i] for kind, a, b in (s.split(":") for s in spans) if kind == "email")
     check_packing(docs.collect(), after)
+
+
+def test_pipeline_of_odd_rows(spark, odd, nothing, tmp_path):
+    import corpus_pipeline as p
+
+    spark.createDataFrame([(1, 1), (6, 0), (None, 1)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    for docs in (odd, nothing, odd.select("doc_id", "text")):
+        for name, stage in p.STAGES[:-1]:
+            after = p.written(stage(spark, docs, str(tmp_path)), "test")
+            assert after.columns == docs.columns and after.count() <= docs.count()
+            docs = after
+        packed = p.STAGES[-1][1](spark, docs, str(tmp_path))
+        assert packed.filter("piece = 0").count() == docs.count()
