@@ -175,6 +175,20 @@ def words_of(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)))
 
 
+def of_these(words: DataFrame, terms: DataFrame, bits: int = 24) -> DataFrame:
+    """``words`` without most of those that aren't among ``terms``, before any
+    shuffle: a term's hash marks one of 2**bits places, a table of fixed size
+    (2 MB) that every task has; a word whose place isn't marked is none of them.
+    What passes is still to be joined."""
+    place = F.pmod(F.xxhash64("term"), F.lit(1 << bits))
+    at, bit = F.floor(place / 64), F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int"))
+    marked = terms.select(at.alias("at"), bit.alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bit"))
+    # A row for each 64 places, marked or not: always as many.
+    every = words.sparkSession.range(1 << (bits - 6)).select(F.col("id").alias("at")).join(marked, "at", "left")
+    table = every.agg(F.transform(F.array_sort(F.collect_list(F.struct("at", F.coalesce("bit", F.lit(0)).alias("bit")))), lambda x: x["bit"]).alias("t"))
+    return words.filter(F.get(table.scalar(), at.cast("int")).bitwiseAND(bit) != 0)
+
+
 def disclosing(docs: DataFrame, found: DataFrame, text_col: str = "text", disclosure: float = 0.8, chance: float = 0.01) -> DataFrame:
     """The pairs (entity, term) in which the term discloses the entity or pool."""
     s = F.col("s.spans")
@@ -195,9 +209,10 @@ def disclosing(docs: DataFrame, found: DataFrame, text_col: str = "text", disclo
     pairs = written(counted(near.select("entity", _ROW, "context", F.explode("terms").alias("term")), ["entity", "term"], "df_te", "x"), "pii-pairs")
     entities = counted(near, ["entity"], "df_e", "c").join(pairs.groupBy("entity").agg(F.count(F.lit(1)).alias("tried")), "entity")
     total = found.agg(F.count(F.lit(1)).alias("total"))
+    asked = written(pairs.select("term").distinct(), "pii-asked")
     # An inner join, which stays above the counting: its rows are the terms asked for.
-    words = docs.select(F.explode(words_of(filled(text_col))).alias("term"))
-    term_df = words.groupBy("term").agg(F.count(F.lit(1)).alias("df_t")).join(pairs.select("term").distinct(), "term")
+    words = of_these(docs.select(F.explode(words_of(filled(text_col))).alias("term")), asked)
+    term_df = words.groupBy("term").agg(F.count(F.lit(1)).alias("df_t")).join(asked, "term")
     c, x = F.col("c"), F.col("x")
     texts = F.col("total") - (F.col("df_e") - c)
     n = F.col("df_t") - (F.col("df_te") - x)
@@ -230,7 +245,7 @@ def spanned(docs: DataFrame, text_col: str = "text", window: int = 64, disclosur
     # Texts that share a key share their terms: only those that a text holds are
     # marked in it. The key is made before the words are dealt out.
     words = docs.select(F.xxhash64(text).alias(_KEY), words_of(text).alias(_TERMS)).select(_KEY, F.explode(_TERMS).alias("term"))
-    hits = words.join(terms, "term", "left_semi").groupBy(_KEY).agg(F.collect_set("term").alias(_TERMS))
+    hits = of_these(words, terms).join(terms, "term", "left_semi").groupBy(_KEY).agg(F.collect_set("term").alias(_TERMS))
     # A text with many copies goes to as many tasks as there are salts.
     hits = hits.select(_KEY, _TERMS, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias(_SALT))
     # Words inside a base span are that span's already.
