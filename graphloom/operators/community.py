@@ -24,15 +24,17 @@ from __future__ import annotations
 
 from itertools import count
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from graphloom.operators.components import connected_components
 from graphloom.operators.graph import Cut, aggregated, degrees, gains, largest_component, undirected
+from graphloom.sources.shared import dropped
 
 
 class Moving:
-    """A graph's edges as local moving reads them."""
+    """A graph's edges as local moving reads them. ``cut`` must write what it is
+    given, as sums are taken along the way."""
 
     def __init__(self, edges: DataFrame, cut: Cut, gamma: float = 1.0, least: float = 1e-9):
         w = F.coalesce(F.col("weight"), F.lit(1.0)).alias("w")
@@ -54,16 +56,18 @@ class Moving:
             return nodes, self.both.select("node", F.lit(None).alias("community"), F.col("w").alias("kin"), F.lit(False).alias("own")), 0.0
         near = self.both.join(nodes.select(F.col("node").alias("other"), "community"), "other").groupBy("node", "community").agg(F.sum("w").alias("kin"))
         own = nodes.select("node", "community", F.lit(True).alias("own"))
-        kin = self.cut(near.join(own, ["node", "community"], "left").withColumn("own", F.coalesce("own", F.lit(False))))
-        inner = kin.filter("own").agg(F.coalesce(F.sum("kin"), F.lit(0.0)).alias("inner"))
-        square = nodes.groupBy("community").agg(F.sum("k").alias("tot")).agg(F.sum(F.col("tot") ** 2).alias("square"))
-        found = inner.crossJoin(square).first()
-        return nodes, kin, (found["inner"] / 2 + self.loops) / self.m - self.gamma * (found["square"] or 0.0) / (4 * self.m**2)
-
-    def wanting(self, nodes: DataFrame, kin: DataFrame, seed: int) -> DataFrame:
-        """Nodes that want to move: ``node, to, from, rank, gain``."""
+        # What lies inside communities is added up as the weights are written.
+        seen = Observation()
+        kin = near.join(own, ["node", "community"], "left").withColumn("own", F.coalesce("own", F.lit(False)))
+        kin = self.cut(kin.observe(seen, F.sum(F.when(F.col("own"), F.col("kin"))).alias("inner")))
+        square = nodes.groupBy("community").agg(F.sum("k").alias("tot")).agg(F.sum(F.col("tot") ** 2).alias("square")).first()["square"]
+        return nodes, kin, ((seen.get["inner"] or 0.0) / 2 + self.loops) / self.m - self.gamma * (square or 0.0) / (4 * self.m**2)
+
+    def wanting(self, nodes: DataFrame, kin: DataFrame, seed: int) -> DataFrame | None:
+        """Nodes that want to move: ``node, to, from, rank, gain``; None if there
+        are none."""
         if not self.m:
-            return nodes.select("node", F.col("community").alias("to"), F.col("community").alias("from"), F.struct(F.lit(0).alias("r"), "node").alias("rank"), F.lit(0.0).alias("gain")).limit(0)
+            return None
         tot = nodes.groupBy("community").agg(F.sum("k").alias("tot"))
         placed = nodes.join(tot, "community").select("node", F.col("community").alias("from"), "k", (F.col("tot") - F.col("k")).alias("rest"))
         share = self.gamma / (2 * self.m**2)
@@ -76,7 +80,10 @@ class Moving:
             F.first("from").alias("from"), F.coalesce(F.max(F.when(F.col("own"), F.col("gain"))), F.first(-share * F.col("k") * F.col("rest"))).alias("stay"),
         )
         rank = F.struct(F.xxhash64(F.col("node").cast("string"), F.lit(seed)).alias("r"), F.col("node"))
-        return self.cut(best.filter((F.col("gain") > F.col("stay") + self.least) & (F.col("gain") > 0)).select("node", "to", "from", rank.alias("rank"), "gain"))
+        better = best.filter((F.col("gain") > F.col("stay") + self.least) & (F.col("gain") > 0)).select("node", "to", "from", rank.alias("rank"), "gain")
+        seen = Observation()
+        better = self.cut(better.observe(seen, F.count(F.lit(1)).alias("number")))
+        return better if seen.get["number"] else None
 
     def moves(self, wanting: DataFrame, alone: bool) -> DataFrame:
         """Those that move in one round; ``alone``: their gains add up exactly."""
@@ -98,15 +105,17 @@ def settled(graph: Moving, communities: DataFrame, rounds: int, seed: int, alone
     nodes, kin, q = graph.state(communities)
     for r in range(rounds):
         wanting = graph.wanting(nodes, kin, seed + r)
-        if wanting.isEmpty():
+        if wanting is None:
             return nodes.select("node", "community"), q
         for way in (True,) if alone else (False, True):
             next_nodes, next_kin, next_q = graph.weighed(graph.after(nodes, graph.moves(wanting, way)))
             if next_q > q + graph.least:
                 break
+            dropped(next_nodes, next_kin)
         else:
             # The gains add up here, so what is left is within rounding.
             return nodes.select("node", "community"), q
+        dropped(nodes, kin, wanting)
         nodes, kin, q = next_nodes, next_kin, next_q
     raise RuntimeError(f"local moving did not settle in {rounds} rounds")
 

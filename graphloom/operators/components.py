@@ -4,7 +4,7 @@ Each round every node takes the smallest label among its neighbours and itself,
 then the label of its label (pointer jumping), so that the number of rounds
 grows with the logarithm of the longest path. Labels are node values, so a
 component's label ends as its smallest node. A round's labels are handed to
-``cut``, which writes them to reliable storage: lineage stays short and a lost
+``cut``, which must write them, to reliable storage: lineage stays short and a lost
 executor costs one round at most. Hubs don't gather in one task: messages are
 reduced by ``min`` before the shuffle, and the joins can be split where a key
 is hot.
@@ -17,6 +17,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from graphloom.sources.shared import dropped
+
 
 def connected_components(edges: DataFrame, cut: Callable[[DataFrame], DataFrame], src: str = "src", dst: str = "dst", nodes: DataFrame | None = None, rounds: int = 100) -> DataFrame:
     """``(node, component)`` for every node of ``edges`` (and of ``nodes``, whose
@@ -39,8 +41,10 @@ def connected_components(edges: DataFrame, cut: Callable[[DataFrame], DataFrame]
         )
         # What has changed is counted as the labels are written.
         seen = Observation()
-        labels = cut(jumped.observe(seen, F.count_if(F.col("component") != F.col("old")).alias("changed")).select("node", "component"))
+        before, labels = labels, cut(jumped.observe(seen, F.count_if(F.col("component") != F.col("old")).alias("changed")).select("node", "component"))
+        dropped(before, lower)
         if not seen.get["changed"]:
+            dropped(both)
             return labels
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.operators.components import connected_components
+from graphloom.sources.shared import dropped
 
 Cut = Callable[[DataFrame], DataFrame]
 
@@ -102,6 +103,7 @@ def pagerank(nodes: DataFrame, edges: DataFrame, cut: Cut | None = None, alpha:
     if not n:
         return base.select("node", F.lit(0.0).alias("pagerank"))
     ranks = base.select("node", "stuck", F.lit(1.0 / n).alias("r"))
+    held = None
     for i in range(rounds):
         given = share.join(ranks.select(F.col("node").alias("src"), "r"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("r") * F.col("share")).alias("in"))
         stuck = ranks.agg(F.coalesce(F.sum(F.when(F.col("stuck"), F.col("r"))), F.lit(0.0)).alias("lost"))
@@ -109,7 +111,10 @@ def pagerank(nodes: DataFrame, edges: DataFrame, cut: Cut | None = None, alpha:
         new = (1 - alpha) / n + alpha * (F.coalesce("in", F.lit(0.0)) + F.col("lost") / n)
         ranks = step.select("node", "stuck", new.alias("r"), F.col("r").alias("old"))
         if cut and (tolerance is not None or i % every == every - 1):
-            ranks = cut(ranks)
+            before, held = held, cut(ranks)
+            ranks = held
+            if before is not None:
+                dropped(before)
         if tolerance is not None and cut:
             if (ranks.agg(F.sum(F.abs(F.col("r") - F.col("old")))).first()[0] or 0.0) < n * tolerance:
                 break

@@ -858,6 +858,13 @@ def _ids(spark, sf_dir):
     return nodes.select("node"), edges.select("src", "dst", "weight")
 
 
+@_query()
+def pagerank_converged(spark, sf_dir):
+    """Until ranks stay as they are: more rounds than SQL can be written out for."""
+    nodes, edges = relational_nodes(spark, sf_dir), relational_edges(spark, sf_dir)
+    return graph.pagerank(nodes, edges, written).withColumn("pagerank", F.round("pagerank", 9))
+
+
 @_query()
 def leiden(spark, sf_dir):
     nodes, edges = _ids(spark, sf_dir)

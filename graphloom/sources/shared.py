@@ -37,7 +37,19 @@ def written(df: DataFrame, name: str = "cut") -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found._written_to = path
+    return found
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Remove tables that ``written`` made and nothing reads any more: those of
+    the rounds before the last. Others are left alone."""
+    for table_ in tables:
+        if path := getattr(table_, "_written_to", None):
+            spark = table_.sparkSession
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def spread(df: DataFrame) -> DataFrame:
