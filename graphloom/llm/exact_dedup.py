@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.shared import PRIVATE, filled, with_classes, written
+from graphloom.llm.shared import PRIVATE, filled, tie_order, with_classes, written
 
 #: One run of these becomes one space.
 SPACES = r"[\x20\x09-\x0D]+"
@@ -86,14 +86,16 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 64) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
+    """The rows of ``docs`` that stay, with all their columns; of rows with one
+    id and equal texts the first in order of their other columns, then of their
+    texts as they are."""
     classes, key = copy_classes(docs, id_col, text_col, salts)
     stay = classes.select(*key, F.col("keep_id").alias(_ID)).alias("s")
     rows = docs.withColumn(_ID, F.col(id_col)).withColumn(_NORM, normalised(text_col)).withColumn(_SHA, F.sha2(_NORM, 256))
     if _NORM not in key:
         rows = rows.drop(_NORM)
     both = [*key, _ID]
-    first = Window.partitionBy(*both).orderBy(_SHA)
+    first = Window.partitionBy(*both).orderBy(*tie_order(docs, id_col, text_col))
     same = F.col("r." + _ID).eqNullSafe(F.col("s." + _ID))
     for k in key:
         same &= F.col("r." + k) == F.col("s." + k)

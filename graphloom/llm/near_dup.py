@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.shared import PRIVATE, filled, with_classes, written
+from graphloom.llm.shared import PRIVATE, filled, tie_order, with_classes, written
 from graphloom.operators.components import connected_components
 
 _KEY, _NORM, _ID = PRIVATE + "key", PRIVATE + "norm", PRIVATE + "id"
@@ -324,7 +324,9 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: float = 0.8, recall: float = 0.999) -> DataFrame:
-    """``docs`` with one row of each near-duplicate group: that of its smallest id."""
+    """``docs`` with one row of each near-duplicate group: that of its smallest
+    id; of several such the first in order of their other columns, then of their
+    texts as they are."""
     rows, found = near_classes(docs, id_col, text_col, n, threshold, recall)
     first = found.groupBy("group").agg(F.min(F.struct(F.col(_ID), F.col(_KEY))).alias("w"))
     alone = rows.groupBy(_KEY).agg(F.min(_ID).alias(_ID)).join(found.select(_KEY), _KEY, "left_anti")
@@ -332,5 +334,5 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     norm = F.trim(F.regexp_replace(F.lower(filled(text_col)), r"[\s\x0B\x1C-\x1F\x85\p{Z}]+", " "))
     keyed = docs.withColumn(_ID, F.col(id_col)).withColumn(_KEY, F.unhex(F.sha2(norm, 256)))
     kept = keyed.join(stay, (F.col(_KEY) == F.col(PRIVATE + "stay_key")) & F.col(_ID).eqNullSafe(F.col(PRIVATE + "stay")), "left_semi")
-    once = Window.partitionBy(_KEY, _ID).orderBy(_KEY)
+    once = Window.partitionBy(_KEY, _ID).orderBy(*tie_order(docs, id_col, text_col))
     return kept.withColumn(PRIVATE + "nth", F.row_number().over(once)).filter(F.col(PRIVATE + "nth") == 1).select(*docs.columns)

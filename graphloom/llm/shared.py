@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from graphloom.sources.shared import fresh_path, shared_dir, table, written
 
-__all__ = ["PRIVATE", "filled", "fresh_path", "shared_dir", "table", "with_classes", "written"]
+__all__ = ["PRIVATE", "filled", "fresh_path", "shared_dir", "table", "tie_order", "with_classes", "written"]
 
 #: Name prefix of working columns, so that they don't clash with a table's own.
 PRIVATE = "__gl_"
@@ -18,6 +18,14 @@ def filled(text: Column | str) -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 
 
+def tie_order(df: DataFrame, *last: str) -> list[Column]:
+    """All columns as an order among rows that are equal otherwise, those of
+    ``last`` at the end; columns without an order by their JSON."""
+    names = [c for c in df.columns if c not in last] + list(last)
+    plain = lambda c: not any(kind in df.schema[c].dataType.simpleString() for kind in ("map<", "variant", "interval"))
+    return [F.col(f"`{c}`") if plain(c) else F.to_json(F.struct(F.col(f"`{c}`"))) for c in names]
+
+
 def with_classes(rows: DataFrame, classes: DataFrame, key: list[str], size: str, often: int = 1024, salts: int = 64) -> DataFrame:
     """``rows`` with the columns of their class, joined on ``key``; a class of
     more than ``often`` rows (its column ``size``) is dealt out to as many tasks

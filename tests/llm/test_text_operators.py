@@ -41,6 +41,14 @@ def test_texts_with_null_ids_only_keep_one_row(spark):
     assert sorted(got, key=repr) == sorted([(None, None, 1, True), (None, None, 2, True), (None, None, 2, False), (1, 1, 2, True), (None, 1, 2, False)], key=repr)
 
 
+@pytest.mark.parametrize("drop", [exact_dedup.drop_exact_copies, near_dup.drop_near_copies])
+def test_ties_are_settled_by_further_columns(spark, drop):
+    rows = [(1, "a b", s, {"k": m}) for s in "zyx" for m in (2, 1)] + [(1, "a  b", "x", {"k": 1}), (2, "c", "w", None)]
+    for given in (rows, rows[::-1]):
+        docs = spark.createDataFrame(given, "doc_id long, text string, source string, more map<string,int>").repartition(3)
+        assert sorted((r.doc_id, r.text, r.source, (r.more or {}).get("k")) for r in drop(docs).collect()) == [(1, "a  b", "x", 1), (2, "c", "w", None)]
+
+
 # -- Near duplicates
 
 
