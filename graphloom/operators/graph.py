@@ -20,6 +20,13 @@ def undirected(edges: DataFrame) -> DataFrame:
     return edges.groupBy(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg(F.sum(w).alias("weight"))
 
 
+def edge_weights(pairs: DataFrame, edges: DataFrame) -> DataFrame:
+    """``pairs`` ``(src, dst)`` with the ``weight`` of the edge between them,
+    either way round: 1 where it has none, 0 where there is no edge."""
+    held = undirected(edges).select(F.col("src").alias("__a"), F.col("dst").alias("__b"), F.col("weight").alias("__w"))
+    return pairs.select("*", F.least("src", "dst").alias("__a"), F.greatest("src", "dst").alias("__b")).join(held, ["__a", "__b"], "left").select(*pairs.columns, F.coalesce("__w", F.lit(0.0)).alias("weight"))
+
+
 def degrees(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """``(node, k)``: the sum of weights at each node, 0 without edges."""
     w = F.coalesce(F.col("weight"), F.lit(1.0)).alias("w")

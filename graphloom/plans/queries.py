@@ -532,6 +532,16 @@ def degree(spark, sf_dir):
     return graph.degrees(relational_edges(spark, sf_dir), relational_nodes(spark, sf_dir)).withColumn("k", F.round("k", 6))
 
 
+@_query(f"""WITH {RELATIONAL_SQL}, p AS (SELECT 'S:' || (1 + p_partkey % (SELECT count(*) FROM supplier)) AS src, 'P:' || p_partkey AS dst FROM part)
+SELECT p.src, p.dst, round(coalesce(weight, 0), 6) AS weight FROM p LEFT JOIN redges e ON e.src = p.dst AND e.dst = p.src""")
+def edge_weight(spark, sf_dir):
+    """Each part with one of the suppliers, which may not supply it."""
+    n = table(spark, sf_dir, "supplier").agg(F.count(F.lit(1)).alias("n"))
+    named = lambda p, c: F.concat(F.lit(p + ":"), c.cast("string"))
+    pairs = table(spark, sf_dir, "part").crossJoin(F.broadcast(n)).select(named("S", 1 + F.col("p_partkey") % F.col("n")).alias("src"), named("P", F.col("p_partkey")).alias("dst"))
+    return graph.edge_weights(pairs, relational_edges(spark, sf_dir)).withColumn("weight", F.round("weight", 6))
+
+
 @_query(f"WITH {RELATIONAL_SQL} SELECT community, round(tot, 6) AS tot FROM rtot")
 def community_degree(spark, sf_dir):
     return graph.community_degrees(relational_edges(spark, sf_dir), relational_nodes(spark, sf_dir)).withColumn("tot", F.round("tot", 6))
