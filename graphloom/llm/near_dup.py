@@ -49,6 +49,10 @@ _KEY, _NORM, _ID = PRIVATE + "key", PRIVATE + "norm", PRIVATE + "id"
 BLOCK_TEXTS, BLOCK_WORDS = 256, 500_000
 
 
+#: Most words whose hashes a worker keeps; then it starts anew.
+KNOWN_WORDS = 100_000
+
+
 def band_plan(threshold: float, recall: float, most: int = 256) -> tuple[int, int]:
     """Bands and rows: the most selective plan of at most ``most`` hashes that
     finds a pair at the threshold with probability ``recall``."""
@@ -79,7 +83,7 @@ def _word_hashes():
 
     class Known(dict):
         def __missing__(self, word: str) -> int:
-            if len(self) >= 500_000:
+            if len(self) >= KNOWN_WORDS:
                 self.clear()
             found = self[word] = xxhash.xxh64_intdigest(word)
             return found

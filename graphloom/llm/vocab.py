@@ -49,7 +49,8 @@ def json_ids(path: str):
         ids = model.encode_ordinary(text) if model else tokenizer.encode(text, add_special_tokens=False).ids
         return b"".join([four[i] for i in ids])
 
-    return cut_at_spaces(whole) if splits else whole
+    # Words cost little here, and their memory stays with the worker.
+    return cut_at_spaces(whole, 100_000) if splits else whole
 
 
 def _fast_model(held: dict, path: str):
@@ -95,9 +96,9 @@ class Kept(dict):
         return found
 
 
-def cut_at_spaces(whole):
+def cut_at_spaces(whole, most: int = KEPT):
     """The function ``whole`` made to work word by word where that's the same."""
-    kept = Kept(lambda word: whole(" " + word))
+    kept = Kept(lambda word: whole(" " + word), most)
 
     def encode(text: str) -> bytes:
         if SPACE_BEFORE_SPACE.search(text):
