@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions import text as T
+from graphloom.sources.shared import written
 
 
 def items(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -101,6 +102,9 @@ def combined_search(found: DataFrame, query: str, most: int = 50, threshold: flo
     hits = parts[0] if parts else None
     for part in parts[1:]:
         hits = hits.unionByName(part)
+    if use_fuzzy and hits is not None:
+        # Counted first, then read again.
+        hits = written(hits, "hits")
     if use_fuzzy and (hits is None or hits.select("type", "id").distinct().limit(few).count() < few):
         times = F.size(T.grams(T.normalized("text"), 2))
         near = fuzzy_search(found.withColumn("times", times).filter("times > 0"), query, threshold).join(found.select("type", "id", times.alias("times")), ["type", "id"])
