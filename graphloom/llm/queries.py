@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import bpe, chat, extraction, media, near_dup, packing, pii, quality, vocab, warc
+from graphloom.llm import bpe, chat, extraction, media, near_dup, negatives, packing, pii, quality, top_k, trie, vocab, warc
 from graphloom.llm import exact_dedup as dedup
 from graphloom.llm.shared import table
 
@@ -130,6 +130,103 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.col("label").cast("long")
+    label = F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label)
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, label, positives=5, negatives=3, low=50, high=95)
+
+
+#: Vectors that take part, as integers in doubles.
+VECTORS_SQL = r"""
+vectors AS (
+  SELECT vec_id, CAST(label AS BIGINT) AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+)"""
+
+OP11_SQL = f"""
+WITH {VECTORS_SQL}, w AS (
+  SELECT vec_id, v, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label FROM vectors WHERE label IS NOT NULL
+), s AS (
+  SELECT a.vec_id AS anchor_id, a.label AS anchor_label, b.vec_id, b.label, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+  FROM w a JOIN w b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0
+), p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE label = anchor_label
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) AS rank,
+       s.vec_id AS negative_id, positive_score, s.score AS negative_score
+FROM p JOIN s USING (anchor_id)
+WHERE s.label <> s.anchor_label AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score
+QUALIFY rank <= 3
+"""
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversation = F.col("conv_id")
+    head = F.crc32(conversation.cast("string")) % 9
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"), conversation - conversation % 5, head)
+
+
+#: The trie from the rebuilt sequences themselves. Turns count by the digest of
+#: role and text; crc32 is worked out bit by bit.
+OP12_SQL = r"""
+WITH RECURSIVE t AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), unhex(d)) AS i, d, b
+  FROM (SELECT *, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS b,
+               sha256(octet_length(encode(coalesce(role, ''))) || ':' || coalesce(role, '') || coalesce(text, '')) AS d
+        FROM conversations WHERE conv_id IS NOT NULL)
+), crc AS (
+  SELECT conv_id, CAST(conv_id AS VARCHAR) AS c, 0 AS k, CAST(4294967295 AS BIGINT) AS x FROM (SELECT DISTINCT conv_id FROM t)
+  UNION ALL
+  SELECT conv_id, c, k + 1, list_reduce(list_prepend(xor(x, CAST(ascii(substr(c, k + 1, 1)) AS BIGINT)), CAST(range(8) AS BIGINT[])),
+         lambda y, z: CASE WHEN y & 1 = 1 THEN xor(y >> 1, CAST(3988292384 AS BIGINT)) ELSE y >> 1 END)
+  FROM crc WHERE k < length(c)
+), h AS (
+  SELECT conv_id, xor(x, CAST(4294967295 AS BIGINT)) % 9 AS h FROM crc WHERE k = length(c)
+), r AS (
+  SELECT h.conv_id, 0 AS part, i, d, b FROM h JOIN t ON t.conv_id = h.conv_id - h.conv_id % 5 AND t.i <= h.h
+  UNION ALL
+  SELECT h.conv_id, 1 AS part, i, d, b FROM h JOIN t ON t.conv_id = h.conv_id AND t.i > h.h
+), path AS (
+  SELECT conv_id, row_number() OVER w AS depth, b, string_agg(d, '') OVER w AS key FROM r
+  WINDOW w AS (PARTITION BY conv_id ORDER BY part, i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+), m AS (
+  SELECT conv_id, depth, b, key FROM path UNION ALL SELECT conv_id, 0, 0, '' FROM h
+), ended AS (
+  SELECT conv_id, max(depth) AS n FROM m GROUP BY conv_id
+), node AS (
+  SELECT key, any_value(depth) AS depth, min(m.conv_id) AS conv_id, count(*) AS n_convs, any_value(b) AS b,
+         sha256(coalesce(string_agg(CAST(m.conv_id AS VARCHAR), ',' ORDER BY m.conv_id) FILTER (depth = n), '')) AS ends_sha256
+  FROM m JOIN ended USING (conv_id) GROUP BY key
+), child AS (
+  SELECT key[:len(key) - 64] AS key, count(*) AS n FROM node WHERE depth > 0 GROUP BY 1
+), counted AS (
+  SELECT node.*, coalesce(child.n, 0) AS n_children FROM node LEFT JOIN child USING (key)
+), below AS (
+  SELECT key[:64 * up] AS key, sum((n_convs - 1) * b) AS saved, count(*) FILTER (n_children = 0) AS leaves
+  FROM (SELECT *, unnest(range(depth + 1)) AS up FROM counted) GROUP BY 1
+)
+SELECT c.conv_id, CAST(c.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, c.n_convs, CAST(c.n_children AS BIGINT) AS n_children,
+       leaves AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, c.ends_sha256
+FROM counted c JOIN below ON below.key = c.key LEFT JOIN counted p ON c.depth > 0 AND p.key = c.key[:len(c.key) - 64]
+"""
+
+
+def op13_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
+
+
+OP13_SQL = f"""
+WITH {VECTORS_SQL}
+SELECT a.vec_id AS query_id, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_inner_product(a.v, b.v) DESC, b.vec_id) AS rank,
+       b.vec_id, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+FROM vectors a JOIN vectors b ON a.vec_id <> b.vec_id
+WHERE a.vec_id % 50 = 0
+QUALIFY rank <= 5
+"""
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -148,9 +245,12 @@ def queries():
         "op8_pii": op8_pii,
         "op9_extraction": op9_extraction,
         "op10_quality": op10_quality,
+        "op11_hard_negatives": op11_hard_negatives,
+        "op12_prefix_trie": op12_prefix_trie,
+        "op13_top_k": op13_top_k,
         "pipeline": pipeline,
     }
 
 
 def oracle_sql():
-    return {"op5_exact_dedup": OP5_SQL, "op6_warc": OP6_SQL, "op7_chat": OP7_SQL}
+    return {"op5_exact_dedup": OP5_SQL, "op6_warc": OP6_SQL, "op7_chat": OP7_SQL, "op11_hard_negatives": OP11_SQL, "op12_prefix_trie": OP12_SQL, "op13_top_k": OP13_SQL}
