@@ -126,18 +126,49 @@ def character_mask(c: Column | str) -> Column:
     return F.aggregate(characters(c), F.lit(0).cast("long"), lambda mask, x: mask.bitwiseOR(bit(x)))
 
 
+def bag_masks(c: Column | str) -> tuple[Column, Column]:
+    """A text's characters with their counts as bits of two numbers: a bit for a
+    character's first occurrence, one for its second, and so on. Letters that
+    stand together in an alphabet get bits of their own for the first three."""
+    every = F.filter(F.split(F.lower(_col(c)), "", -1), lambda x: x != "")
+    nth = lambda x: F.transform(F.sequence(F.lit(1), F.size(F.filter(every, lambda y: y == x))), lambda n: F.pmod(F.ascii(x) - 97 + 37 * (n - 1), F.lit(128)).cast("int"))
+    places = F.flatten(F.transform(F.array_distinct(every), nth))
+    bit = lambda p: F.call_function("shiftleft", F.lit(1).cast("long"), p)
+    word = lambda low: F.aggregate(places, F.lit(0).cast("long"), lambda mask, p: F.when((p >= low) & (p < low + 64), mask.bitwiseOR(bit(p - low))).otherwise(mask))
+    return word(0), word(64)
+
+
+def _only(a: Column, b: Column) -> Column:
+    return F.bit_count(a.bitwiseAND(F.bitwise_not(b))).cast("int")
+
+
+def may_have_few_edits(a: dict[str, Column], b: dict[str, Column]) -> Column:
+    """A cheap test that holds wherever edits are few enough for
+    ``similar_names``. Both names come with their ``length``, ``bag_a`` and
+    ``bag_b``: a bit that only one has is a character that the other lacks at
+    least once, which costs an edit."""
+    most = F.floor(F.least(a["length"], b["length"]) / 2)
+    lacks = lambda x, y: _only(x["bag_a"], y["bag_a"]) + _only(x["bag_b"], y["bag_b"])
+    return (F.abs(a["length"] - b["length"]) <= most) & (F.greatest(lacks(a, b), lacks(b, a)) <= most)
+
+
+def may_share_characters(a: dict[str, Column], b: dict[str, Column]) -> Column:
+    """A cheap test that holds wherever sets of characters are as alike as
+    ``similar_names`` asks for. Both names come with their ``length``, number of
+    different characters ``size`` and ``mask``."""
+    both, apart = a["size"] + b["size"], _only(a["mask"], b["mask"]) + _only(b["mask"], a["mask"])
+    # (both - apart) / (both + apart) is at least as large as the similarity.
+    return F.when(F.greatest(a["length"], b["length"]) < 4, 4 * apart < both).otherwise(9 * apart <= both)
+
+
 def may_be_similar(a: dict[str, Column], b: dict[str, Column]) -> Column:
     """A cheap test that holds for all pairs that ``similar_names`` holds for.
     Both names come with their ``length``, number of different characters
     ``size`` and ``mask``: a bit that only one mask has stands for a character
     that only that name has, which costs an edit and lowers the similarity."""
-    count = lambda x: F.bit_count(x).cast("int")
-    only_a, only_b = count(a["mask"].bitwiseAND(F.bitwise_not(b["mask"]))), count(b["mask"].bitwiseAND(F.bitwise_not(a["mask"])))
     most = F.floor(F.least(a["length"], b["length"]) / 2)
-    edits = (F.greatest(only_a, only_b) <= most) & (F.abs(a["length"] - b["length"]) <= most)
-    both, apart = a["size"] + b["size"], only_a + only_b
-    # (both - apart) / (both + apart) is at least as large as the similarity.
-    return edits | F.when(F.greatest(a["length"], b["length"]) < 4, 4 * apart < both).otherwise(9 * apart <= both)
+    edits = (F.greatest(_only(a["mask"], b["mask"]), _only(b["mask"], a["mask"])) <= most) & (F.abs(a["length"] - b["length"]) <= most)
+    return edits | may_share_characters(a, b)
 
 
 def xorshift32(state: Column | str) -> Column:

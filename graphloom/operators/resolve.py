@@ -9,24 +9,105 @@ from graphloom.functions import text as T
 from graphloom.operators.components import connected_components
 from graphloom.operators.extract import numbered
 from graphloom.operators.graph import Cut
+from graphloom.sources.shared import written
 
 
-def similar_pairs(nodes: DataFrame, name: str = "id", kind: str = "entity_type", block_names: int = 2000) -> DataFrame:
-    """``(entity_type, a, b)`` with a < b: pairs of one type that may be the
-    same. Every pair of a type is compared, first by lengths and character sets
-    as numbers; a type is cut into blocks of about ``block_names`` names by its
-    size, and each block meets all names of the type, so a common type isn't
-    compared by few tasks. A missing type is ``-``."""
+#: Names of up to so many characters meet by segments; each has a number of keys
+#: that grows with the cube of its length.
+SEGMENTED = 32
+
+
+def described(nodes: DataFrame, name: str = "id", kind: str = "entity_type") -> DataFrame:
+    """Each type's distinct names with what signatures and cheap tests read:
+    ``entity_type, n, low, length, size, mask, bag_a, bag_b, plain`` and the
+    name's characters, those first that the fewest names have (``rare``)."""
     rows = nodes.select(F.coalesce(kind, F.lit("-")).alias("entity_type"), F.col(name).alias("n")).filter("n is not null").distinct()
-    blocks = rows.groupBy("entity_type").agg(F.ceil(F.count(F.lit(1)) / block_names).cast("int").alias("blocks"))
-    told = {"length": F.length("n"), "size": F.size(T.characters("n")), "mask": T.character_mask("n")}
-    rows = rows.join(blocks, "entity_type").withColumns({k: c.cast("long") for k, c in told.items()})
-    side = lambda at: [F.col("n").alias(at), *(F.col(k).alias(f"{at}_{k}") for k in told)]
-    left = rows.select("entity_type", F.pmod(F.xxhash64("n"), F.col("blocks")).cast("int").alias("block"), *side("a"))
-    right = rows.select("entity_type", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), *side("b"))
-    a, b = ({k: F.col(f"{at}_{k}") for k in told} for at in "ab")
-    near = left.join(right, ["entity_type", "block"]).filter((F.col("a") < F.col("b")) & T.may_be_similar(a, b))
-    return near.filter(T.similar_names("a", "b")).select("entity_type", "a", "b")
+    bag_a, bag_b = T.bag_masks("n")
+    told = rows.withColumns({
+        "low": F.lower("n"), "length": F.length("n").cast("long"), "chars": T.characters("n"), "mask": T.character_mask("n"), "bag_a": bag_a, "bag_b": bag_b,
+    }).withColumns({"size": F.size("chars").cast("long"), "plain": (F.length("low") == F.col("length")) & F.col("length").between(1, SEGMENTED)})
+    apart = told.select("entity_type", "n", F.explode("chars").alias("c"))
+    common = apart.groupBy("c").agg(F.count(F.lit(1)).alias("often"))
+    # As many rows for a name as it has characters.
+    rare = apart.join(common, "c").groupBy("entity_type", "n").agg(F.array_sort(F.collect_list(F.struct("often", "c"))).alias("rare"))
+    return told.drop("chars").join(rare, ["entity_type", "n"], "left").withColumn("rare", F.transform("rare", lambda x: x["c"]))
+
+
+def edit_keys(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Keys of which two names with few edits share one: of the shorter name,
+    cut into one segment more than edits are allowed, and of the longer one, its
+    substrings at each place where such a segment can stand uncut."""
+    text = lambda at, long: F.substring("low", at + 1, long)
+    key = lambda la, i, seg: F.xxhash64("entity_type", la, i, seg)
+    # A single character, then pairs; an even length leaves one more single.
+    start = lambda i: F.greatest(2 * i - 1, F.lit(0))
+    long = lambda i: F.when(i == 0, 1).otherwise(2)
+    plain = rows.filter("plain").withColumn("l", F.col("length").cast("int"))
+    half = lambda la: F.floor(la / 2).cast("int")
+    cut = F.transform(F.sequence(F.lit(0), half(F.col("l"))), lambda i: key(F.col("l"), i, text(start(i), long(i))))
+    held = plain.withColumn("key", F.explode(cut))
+    probe = plain.withColumn("la", F.explode(F.sequence(F.ceil(2 * F.col("l") / 3).cast("int"), F.col("l"))))
+    probe = probe.withColumn("i", F.explode(F.sequence(F.lit(0), half(F.col("la")))))
+    i, la, lb, k, p = F.col("i"), F.col("la"), F.col("l"), half(F.col("la")), start(F.col("i"))
+    size = F.least(long(i), la - p)
+    low, high = F.greatest(F.lit(0), p - i, p + lb - la - (k - i)), F.least(lb - size, p + i, p + lb - la + (k - i))
+    places = F.when(low <= high, F.transform(F.sequence(low, F.greatest(low, high)), lambda q: key(la, i, text(q, size))))
+    probe = probe.withColumn("key", F.explode(F.array_distinct(places)))
+    return held.drop("l"), probe.drop("l", "la", "i")
+
+
+def character_keys(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Keys of which two names with about the same characters share one: two of
+    their rarest characters, by the number of characters."""
+    least = F.when(F.col("length") < 4, 0.6).otherwise(0.8)
+    shared = F.ceil(least * F.col("size") - 1e-9)
+    some = rows.filter("size > 0").withColumn("first", F.slice("rare", F.lit(1), (F.col("size") - shared + F.when(F.col("size") > 1, 2).otherwise(1)).cast("int")))
+    two = F.flatten(F.transform("first", lambda x, i: F.transform(F.slice("first", i + 2, F.size("first")), lambda y: F.concat(x, y))))
+    signed = some.withColumn("sign", F.explode(F.when(F.col("size") > 1, two).otherwise(F.col("first")))).drop("first")
+    key = lambda size: F.xxhash64("entity_type", size.cast("long"), "sign")
+    held = signed.withColumn("key", key(F.col("size")))
+    sizes = F.sequence(F.ceil(least * F.col("size") - 1e-9), F.floor(F.col("size") / least + 1e-9))
+    probe = signed.withColumn("s", F.explode(F.when(F.col("size") > 1, sizes).otherwise(F.array(F.lit(1).cast("long"))))).withColumn("key", key(F.col("s")))
+    return held.drop("sign"), probe.drop("sign", "s")
+
+
+_TOLD = ("length", "size", "mask", "bag_a", "bag_b")
+
+
+def _met(held: DataFrame, probe: DataFrame, key: list[str], often: int) -> DataFrame:
+    """Both sides joined on their key, as ``a_*`` and ``b_*``. What more than
+    ``often`` names hold is cut into blocks, each of which meets all that ask."""
+    cut = held.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / often).cast("int").alias("blocks")).filter("blocks > 1")
+    side = lambda df, at: df.select(*key, F.col("entity_type").alias("type" if at == "a" else "b_type"), F.col("n").alias(at), *(F.col(c).alias(f"{at}_{c}") for c in _TOLD), "block")
+    blocks = F.coalesce("blocks", F.lit(1))
+    a = side(held.join(cut, key, "left").withColumn("block", F.pmod(F.xxhash64("n"), blocks).cast("int")), "a")
+    b = side(probe.join(cut, key, "left").withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))), "b")
+    return a.join(b, [*key, "block"]).filter(F.col("type") == F.col("b_type"))
+
+
+def similar_candidates(rows: DataFrame, often: int = 2000) -> DataFrame:
+    """``(entity_type, a, b)``, a pair in either order and maybe more than once:
+    all pairs that may be similar, found by shared keys and then tested by
+    lengths and by characters as bits. Names too long for segments, or that
+    change their length in lower case, meet all names of fitting length."""
+    a, b = ({k: F.col(f"{at}_{k}") for k in _TOLD} for at in "ab")
+    some = lambda met, test: met.filter((F.col("a") != F.col("b")) & test).select(F.col("type").alias("entity_type"), "a", "b")
+    by_edits = some(_met(*edit_keys(rows), ["key"], often), T.may_have_few_edits(a, b))
+    by_characters = some(_met(*character_keys(rows), ["key"], often), T.may_share_characters(a, b))
+    kind = F.xxhash64("entity_type")
+    others = some(_met(rows.withColumn("key", kind), rows.filter("not plain").withColumn("key", kind), ["key"], often), T.may_be_similar(a, b))
+    return by_edits.unionByName(by_characters).unionByName(others)
+
+
+def similar_pairs(nodes: DataFrame, name: str = "id", kind: str = "entity_type", often: int = 2000) -> DataFrame:
+    """``(entity_type, a, b)`` with a < b: pairs of one type that may be the
+    same. Names meet by signatures that similar names have to share, so not
+    every pair of a type is made; few are left for the predicate after cheap
+    tests. A missing type is ``-``."""
+    # A name is described once, and read by each kind of key.
+    found = similar_candidates(written(described(nodes, name, kind), "names"), often)
+    pairs = found.select("entity_type", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return pairs.filter(T.similar_names("a", "b"))
 
 
 def pair_batches(pairs: DataFrame, cut: Cut, size: int = 50) -> DataFrame:
