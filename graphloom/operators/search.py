@@ -3,11 +3,10 @@ strategies that look it up. Scores keep how often a term occurs on both sides.""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions import text as T
-from graphloom.sources.shared import written
 
 
 def items(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -38,8 +37,10 @@ def index(found: DataFrame) -> DataFrame:
 def write_index(found: DataFrame, path: str) -> DataFrame:
     """The indexes as a table in which a lookup reads little: partitioned by
     index, dealt out by ranges of terms and sorted, so that files and row groups
-    without a term are skipped."""
-    index(found).repartitionByRange("index", "term").sortWithinPartitions("index", "term").write.partitionBy("index").parquet(path)
+    without a term are skipped; a term that many items hold lies in many ranges.
+    ``sources.search_index`` keeps one that is ranked and follows a graph."""
+    order = ["index", "term", "type", "id"]
+    index(found).repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy("index").parquet(path)
     return found.sparkSession.read.parquet(path)
 
 
@@ -102,18 +103,23 @@ def combined_search(found: DataFrame, query: str, most: int = 50, threshold: flo
     hits = parts[0] if parts else None
     for part in parts[1:]:
         hits = hits.unionByName(part)
+    fused = lambda hits: hits.groupBy("type", "id").agg(F.sum("s").alias("total_score"), F.array_sort(F.collect_set("method")).alias("methods"))
+    order = [F.desc(F.round("total_score", 9)), "type", "id"]
     if use_fuzzy and hits is not None:
-        # Counted first, then read again.
-        hits = written(hits, "hits")
-    if use_fuzzy and (hits is None or hits.select("type", "id").distinct().limit(few).count() < few):
+        # The best rows, as many as are asked for, tell whether there are few.
+        top = fused(hits).orderBy(*order).limit(max(most, few)).collect()
+        if len(top) >= few:
+            return found.sparkSession.createDataFrame(top[:most], "type string, id string, total_score double, methods array<string>").orderBy(*order)
+        rows = [(r["type"], r["id"], r["total_score"] if i == 0 else 0.0, m) for r in top for i, m in enumerate(r["methods"])]
+        hits = found.sparkSession.createDataFrame(rows, "type string, id string, s double, method string")
+    if use_fuzzy:
         times = F.size(T.grams(T.normalized("text"), 2))
         near = fuzzy_search(found.withColumn("times", times).filter("times > 0"), query, threshold).join(found.select("type", "id", times.alias("times")), ["type", "id"])
         near = near.select("type", "id", (0.3 * F.col("similarity") * F.col("times")).alias("s"), F.lit("fuzzy").alias("method"))
         hits = near if hits is None else hits.unionByName(near)
     if hits is None:
         return found.select("type", "id", F.lit(0.0).alias("total_score"), F.array().cast("array<string>").alias("methods")).limit(0)
-    fused = hits.groupBy("type", "id").agg(F.sum("s").alias("total_score"), F.array_sort(F.collect_set("method")).alias("methods"))
-    return fused.orderBy(F.desc(F.round("total_score", 9)), "type", "id").limit(most)
+    return fused(hits).orderBy(*order).limit(most)
 
 
 def sequential_search(found: DataFrame, query: str, most: int = 50, threshold: float = 0.7, idx: DataFrame | None = None, use_keywords: bool = True, use_bigram: bool = True, use_fuzzy: bool = True) -> DataFrame:

@@ -14,6 +14,7 @@ from graphloom.operators.components import connected_components
 from graphloom.plans import build, chat_model, rag
 from graphloom.plans.tables import GRAPH_SQL, MENTIONS_SQL, RELATIONAL_SQL, relational_edges, relational_nodes, replies
 from graphloom.sources import loaders, store
+from graphloom.sources.search_index import SearchIndex
 from graphloom.sources.shared import fresh_path, table, written
 
 QUERIES: dict = {}
@@ -401,6 +402,23 @@ def indexed_search(spark, sf_dir):
     return _shown(search.combined_search(items, QUESTION, idx=search.write_index(items, fresh_path(spark, "index"))))
 
 
+@_query(_COMBINED)
+def ranked_search(spark, sf_dir):
+    """From impact-ordered blocks of postings, a third of the items added later
+    in place of others, read no deeper than the best hits need."""
+    items = written(_items(spark, sf_dir), "items")
+    late = F.pmod(F.xxhash64("type", "id"), F.lit(3)) == 0
+    idx = SearchIndex(spark, fresh_path(spark, "index")).write(items.withColumn("text", F.when(late, F.reverse("text")).otherwise(F.col("text"))))
+    return _shown(idx.add(items.filter(late)).search(QUESTION))
+
+
+@_query(f"WITH {_search_sql(LINE)} SELECT type, id, round(similarity, 9) AS similarity FROM f WHERE similarity >= 0.7")
+def indexed_fuzzy(spark, sf_dir):
+    """Items with few edits, by the bigrams that they have to share."""
+    idx = SearchIndex(spark, fresh_path(spark, "index")).write(_items(spark, sf_dir))
+    return idx.fuzzy(LINE).select("type", "id", F.round("similarity", 9).alias("similarity"))
+
+
 @_query(f"""WITH {_search_sql(FEW)}, n AS (SELECT count(*) AS n FROM k)
 SELECT type, id, round(sum(s), 9) AS total_score, string_agg(method, '+' ORDER BY method) AS methods
 FROM (SELECT type, id, 0.6::DOUBLE * relevance AS s, 'keyword' AS method FROM k

@@ -82,31 +82,56 @@ class Versions:
 
 class GraphStore:
     """Nodes and edges under a folder, in numbered versions. A version holds the
-    whole graph, or only the rows that an upsert brought; of several rows with
-    one key that of the last version counts. After so many upserts the next one
-    writes a whole graph again."""
+    whole graph; upserts are parts, numbered by themselves, that hold only the
+    rows they brought. A version names the parts that it holds, so an upsert that
+    is still being written while others are merged counts from when it is done.
+    Of several rows with one key that of the last part counts. After so many
+    upserts the next one writes a whole graph again; merged parts go when no kept
+    version needs them."""
 
     def __init__(self, spark: SparkSession, path: str, upserts: int = 16):
         self.spark, self.upserts = spark, upserts
         self.versions, self.parts = Versions(spark, path, "edges/_SUCCESS"), Versions(spark, f"{path.rstrip('/')}/parts", "edges/_SUCCESS")
 
-    def _after(self) -> list[str]:
-        """Paths of the upserts since the last whole graph. Upserts are numbered
-        by themselves; a whole graph says up to which it holds them."""
-        at, system = self.versions.last(), self.versions._hadoop()[0]
-        held = 0
-        if at:
-            names = [s.getPath().getName() for s in system.listStatus(self.versions._hadoop(at.rsplit("/", 1)[1])[1])]
-            held = max((int(n[6:]) for n in names if n.startswith("parts-")), default=0)
-        return [f"{self.parts.path}/v{n}" for n in self.parts.whole() if n > held]
-
-    def read(self) -> tuple[DataFrame, DataFrame]:
-        """Nodes and edges; edges without both ends are left out."""
-        nodes, edges = self._rows("nodes", NODES, ["id"]), self._rows("edges", EDGES, ["source", "target"])
-        return nodes, linked_edges(edges, nodes)
-
-    def _rows(self, name: str, schema: S.StructType, key: list[str]) -> DataFrame:
-        paths = [p for p in (self.versions.last(), *self._after()) if p]
+    def _marks(self, version: int, kind: str) -> set[int]:
+        """Numbers that a version names as ``kind``: ``merged`` parts that it holds,
+        ``root`` (the version that last replaced the graph), ``since`` (the last
+        part before that)."""
+        system, folder = self.versions._hadoop(f"v{version}")
+        names = [s.getPath().getName() for s in system.listStatus(folder)]
+        return {int(n[len(kind) + 1 :]) for n in names if n.startswith(kind + "-")}
+
+    def _last(self) -> int | None:
+        return (self.versions.whole() or [None])[-1]
+
+    def _after(self, version: int | None = None) -> list[int]:
+        """Numbers of the upserts that are done and not in the (last) version."""
+        version = version or self._last()
+        held = self._marks(version, "merged") if version else set()
+        return [n for n in self.parts.whole() if n not in held]
+
+    def read(self, linked: bool = True) -> tuple[DataFrame, DataFrame]:
+        """Nodes and edges; edges without both ends are left out (``linked``)."""
+        version = self._last()
+        after = self._after(version)
+        nodes, edges = self._rows(version, after, "nodes", NODES, ["id"]), self._rows(version, after, "edges", EDGES, ["source", "target"])
+        return nodes, linked_edges(edges, nodes) if linked else edges
+
+    def part(self, numbers: list[int]) -> tuple[DataFrame, DataFrame]:
+        """The rows that some upserts brought."""
+        return self._rows(None, numbers, "nodes", NODES, ["id"]), self._rows(None, numbers, "edges", EDGES, ["source", "target"])
+
+    def state(self) -> tuple[int, list[int], list[int]]:
+        """What has to be known to follow the graph: the version that last
+        replaced it, the parts that are done and still there, and the numbers of
+        parts that aren't there any more."""
+        version = self._last()
+        root, since = ((max(self._marks(version, kind), default=0) for kind in ("root", "since")) if version else (0, 0))
+        there = self.parts._numbers()
+        return root, self.parts.whole(), sorted(set(range(since + 1, max(there, default=0))) - set(there))
+
+    def _rows(self, version: int | None, after: list[int], name: str, schema: S.StructType, key: list[str]) -> DataFrame:
+        paths = ([f"{self.versions.path}/v{version}"] if version else []) + [f"{self.parts.path}/v{n}" for n in after]
         if not paths:
             return self.spark.createDataFrame([], schema)
         tables = [self.spark.read.schema(schema).parquet(f"{p}/{name}") for p in paths]
@@ -119,16 +144,38 @@ class GraphStore:
         return every.groupBy(*key).agg(F.max_by(F.struct(*rest), "__at").alias("__r")).select(*(F.col(c) if c in key else F.col(f"__r.{c}").alias(c) for c in schema.names))
 
     def write(self, nodes: DataFrame, edges: DataFrame) -> None:
-        """Put a whole graph in place of what is there."""
-        self._whole(nodes, edges, (self.parts.whole() or [0])[-1])
+        """Put a whole graph in place of what is there: of the upserts that are
+        done, that is."""
+        self._whole(nodes, edges, self.parts.whole(), None)
 
-    def _whole(self, nodes: DataFrame, edges: DataFrame, parts: int) -> None:
+    def _whole(self, nodes: DataFrame, edges: DataFrame, merged: list[int], before: int | None) -> None:
+        """A whole version that holds parts, beside those that the version
+        ``before`` holds; without that one it replaces the graph."""
         at = self.versions.new()
+        number = int(at.rsplit("v", 1)[1])
         nodes.select(*NODES.names).write.parquet(f"{at}/nodes")
-        system, mark = self.versions._hadoop(f"{at.rsplit('/', 1)[1]}/parts-{parts}")
-        system.createNewFile(mark)
+        there = set(self.parts._numbers())
+        held = {n for n in self._marks(before, "merged") if n in there} | set(merged) if before else set(merged)
+        root = max(self._marks(before, "root"), default=number) if before else number
+        since = max(self._marks(before, "since"), default=0) if before else max(there, default=0)
+        for mark in (*(f"merged-{n}" for n in held), f"root-{root}", f"since-{since}"):
+            system, place = self.versions._hadoop(f"v{number}/{mark}")
+            system.createNewFile(place)
         edges.select(*EDGES.names).write.parquet(f"{at}/edges")
         self.versions.tidy()
+        self._drop_parts()
+
+    def _drop_parts(self) -> None:
+        """Remove the parts that every kept version holds; the last one's folder
+        stays, so that no number is given twice."""
+        kept = [n for n in self.versions.whole() if self._marks(n, "root")]
+        if len(kept) < Versions.KEPT:
+            return
+        there = self.parts._numbers()
+        for n in set.intersection(*(self._marks(v, "merged") for v in kept)) - set(there[-1:]):
+            for name in (f"v{n}", f".v{n}"):
+                system, place = self.parts._hadoop(name)
+                system.delete(place, True)
 
     def upsert(self, nodes: DataFrame, edges: DataFrame) -> None:
         """Put in rows, each in place of the one with its key. Only they are
@@ -136,13 +183,14 @@ class GraphStore:
         at = self.parts.new()
         nodes.select(*NODES.names).write.parquet(f"{at}/nodes")
         edges.select(*EDGES.names).write.parquet(f"{at}/edges")
-        if len(self._after()) > self.upserts:
+        if len(self._after(self._last())) > self.upserts:
             self.compact()
 
     def compact(self) -> None:
         """Write the graph whole."""
-        parts = (self.parts.whole() or [0])[-1]
-        self._whole(self._rows("nodes", NODES, ["id"]), self._rows("edges", EDGES, ["source", "target"]), parts)
+        version = self._last()
+        after = self._after(version)
+        self._whole(self._rows(version, after, "nodes", NODES, ["id"]), self._rows(version, after, "edges", EDGES, ["source", "target"]), after, version)
 
     def clear(self) -> None:
         self.write(self.spark.createDataFrame([], NODES), self.spark.createDataFrame([], EDGES))
