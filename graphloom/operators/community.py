@@ -7,8 +7,10 @@ is put off where a neighbour of higher seeded rank wants to leave the community
 it goes to, or to enter the one it comes from. Where such a round doesn't raise
 modularity it is taken back, and only moves that touch different communities and
 nodes are made, which always raises it. So rounds go on until no node wants to
-move. A round goes through the edges twice; modularity comes from the weights
-between nodes and communities, which the next round needs anyway.
+move. Where few want to move they move one after another on the driver, from
+their own edges alone, and wake their neighbours; that frontier is bounded, and
+what outgrows it is left to the rounds. Degrees of communities and modularity are
+kept by what the moves change.
 
 Leiden then refines: communities that aren't connected are split, nodes for
 which it is better move to communities next to them (one node a round for each
@@ -26,6 +28,7 @@ from itertools import count
 
 from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as S
 
 from graphloom.operators.components import connected_components
 from graphloom.operators.graph import Cut, aggregated, degrees, gains, largest_component, undirected
@@ -44,46 +47,48 @@ class Moving:
         self.degrees = cut(degrees(edges))
         total = edges.agg(F.sum(w).alias("m"), F.sum(F.when(F.col("src") == F.col("dst"), w)).alias("loops")).first()
         self.m, self.loops = total["m"] or 0.0, total["loops"] or 0.0
+        #: For each round how many nodes wanted to move and did; for moves one after
+        #: another how many there were, in how many steps.
+        self.told: list[tuple[int, int]] = []
 
-    def state(self, communities: DataFrame) -> tuple[DataFrame, DataFrame, float]:
-        """Nodes with their community and degree, the weights between nodes and
-        communities, and modularity."""
-        nodes = communities.select("node", "community").join(self.degrees, "node", "left").select("node", "community", F.coalesce("k", F.lit(0.0)).alias("k"))
-        return self.weighed(self.cut(nodes))
+    def counted(self, df: DataFrame) -> tuple[DataFrame, int]:
+        """A table written, and how many rows it has."""
+        seen = Observation()
+        out = self.cut(df.observe(seen, F.count(F.lit(1)).alias("number")))
+        return out, seen.get["number"] or 0
 
-    def weighed(self, nodes: DataFrame) -> tuple[DataFrame, DataFrame, float]:
+    def state(self, communities: DataFrame) -> tuple[DataFrame, DataFrame, float]:
+        """Nodes with their community and degree, the degrees of communities, and
+        modularity: one pass over all edges."""
+        nodes = self.cut(communities.select("node", "community").join(self.degrees, "node", "left").select("node", "community", F.coalesce("k", F.lit(0.0)).alias("k")))
+        totals = self.cut(nodes.groupBy("community").agg(F.sum("k").alias("tot")))
         if not self.m:
-            return nodes, self.both.select("node", F.lit(None).alias("community"), F.col("w").alias("kin"), F.lit(False).alias("own")), 0.0
-        near = self.both.join(nodes.select(F.col("node").alias("other"), "community"), "other").groupBy("node", "community").agg(F.sum("w").alias("kin"))
-        own = nodes.select("node", "community", F.lit(True).alias("own"))
-        # What lies inside communities is added up as the weights are written.
-        seen = Observation()
-        kin = near.join(own, ["node", "community"], "left").withColumn("own", F.coalesce("own", F.lit(False)))
-        kin = self.cut(kin.observe(seen, F.sum(F.when(F.col("own"), F.col("kin"))).alias("inner")))
-        square = nodes.groupBy("community").agg(F.sum("k").alias("tot")).agg(F.sum(F.col("tot") ** 2).alias("square")).first()["square"]
-        return nodes, kin, ((seen.get["inner"] or 0.0) / 2 + self.loops) / self.m - self.gamma * (square or 0.0) / (4 * self.m**2)
-
-    def wanting(self, nodes: DataFrame, kin: DataFrame, seed: int) -> DataFrame | None:
-        """Nodes that want to move: ``node, to, from, rank, gain``; None if there
-        are none."""
+            return nodes, totals, 0.0
+        a, b = nodes.select("node", F.col("community").alias("ca")), nodes.select(F.col("node").alias("other"), F.col("community").alias("cb"))
+        inner = self.both.join(a, "node").join(b, "other").filter("ca = cb").agg(F.sum("w")).first()[0] or 0.0
+        square = totals.agg(F.sum(F.col("tot") ** 2)).first()[0] or 0.0
+        return nodes, totals, (inner / 2 + self.loops) / self.m - self.gamma * square / (4 * self.m**2)
+
+    def wanting(self, nodes: DataFrame, totals: DataFrame, seed: int) -> tuple[DataFrame | None, int]:
+        """The nodes that want to move: ``node, to, from, rank, gain, k``, and how
+        many."""
         if not self.m:
-            return None
-        tot = nodes.groupBy("community").agg(F.sum("k").alias("tot"))
-        placed = nodes.join(tot, "community").select("node", F.col("community").alias("from"), "k", (F.col("tot") - F.col("k")).alias("rest"))
+            return None, 0
+        kin = self.both.join(nodes.select(F.col("node").alias("other"), "community"), "other").groupBy("node", "community").agg(F.sum("w").alias("kin"))
+        placed = nodes.join(totals, "community").select("node", F.col("community").alias("from"), "k", (F.col("tot") - F.col("k")).alias("rest"))
         share = self.gamma / (2 * self.m**2)
-        options = kin.join(tot, "community").join(placed, "node").select(
-            "node", "community", "own", "from", "k", "rest", "kin",
-            (F.col("kin") / self.m - share * F.col("k") * F.when(F.col("own"), F.col("rest")).otherwise(F.col("tot"))).alias("gain"),
+        own = F.col("community") == F.col("from")
+        options = kin.join(totals, "community").join(placed, "node").select(
+            "node", "community", own.alias("own"), "from", "k", "rest",
+            (F.col("kin") / self.m - share * F.col("k") * F.when(own, F.col("rest")).otherwise(F.col("tot"))).alias("gain"),
         )
         best = options.groupBy("node").agg(
             F.max_by("community", F.when(~F.col("own"), F.struct("gain", "community"))).alias("to"), F.max(F.when(~F.col("own"), F.col("gain"))).alias("gain"),
-            F.first("from").alias("from"), F.coalesce(F.max(F.when(F.col("own"), F.col("gain"))), F.first(-share * F.col("k") * F.col("rest"))).alias("stay"),
+            F.first("from").alias("from"), F.first("k").alias("k"), F.coalesce(F.max(F.when(F.col("own"), F.col("gain"))), F.first(-share * F.col("k") * F.col("rest"))).alias("stay"),
         )
         rank = F.struct(F.xxhash64(F.col("node").cast("string"), F.lit(seed)).alias("r"), F.col("node"))
-        better = best.filter((F.col("gain") > F.col("stay") + self.least) & (F.col("gain") > 0)).select("node", "to", "from", rank.alias("rank"), "gain")
-        seen = Observation()
-        better = self.cut(better.observe(seen, F.count(F.lit(1)).alias("number")))
-        return better if seen.get["number"] else None
+        better, n = self.counted(best.filter((F.col("gain") > F.col("stay") + self.least) & (F.col("gain") > 0)).select("node", "to", "from", rank.alias("rank"), "gain", "k"))
+        return (better, n) if n else (None, 0)
 
     def moves(self, wanting: DataFrame, alone: bool) -> DataFrame:
         """Those that move in one round; ``alone``: their gains add up exactly."""
@@ -93,30 +98,127 @@ class Moving:
         if not alone:
             pairs = pairs.filter("`from` = mine_to OR `to` = mine_from")
         rivals = pairs.groupBy("node").agg(F.max("rival").alias("rival"))
-        moved = wanting.join(rivals, "node", "left").filter(F.col("rival").isNull() | (F.col("rank") > F.col("rival"))).select("node", "to", "from", "rank")
+        moved = wanting.join(rivals, "node", "left").filter(F.col("rival").isNull() | (F.col("rank") > F.col("rival"))).select("node", "to", "from", "rank", "k")
         return disjoint(moved) if alone else moved
 
-    def after(self, nodes: DataFrame, moved: DataFrame) -> DataFrame:
-        return self.cut(nodes.join(moved.select("node", "to"), "node", "left").select("node", F.coalesce("to", "community").alias("community"), "k"))
+    def change(self, nodes: DataFrame, totals: DataFrame, moved: DataFrame) -> float:
+        """What moves change of modularity, from the edges of the moved nodes and
+        the communities they leave and enter."""
+        to = moved.select(F.col("node").alias("other"), F.col("to").alias("other_to"))
+        held = nodes.select(F.col("node").alias("other"), F.col("community").alias("held"))
+        near = self.both.join(moved.select("node", "to", "from"), "node").join(held, "other").join(to, "other", "left")
+        inside = (F.col("to") == F.coalesce("other_to", "held")).cast("int") - (F.col("from") == F.col("held")).cast("int")
+        # An edge between two that move is there from both ends.
+        inner = near.agg(F.sum(F.when(F.col("other_to").isNull(), 1.0).otherwise(0.5) * F.col("w") * inside).alias("inner"))
+        square = self.deltas(moved).join(totals, "community", "left").agg(F.sum(2 * F.coalesce("tot", F.lit(0.0)) * F.col("delta") + F.col("delta") ** 2).alias("square"))
+        row = inner.crossJoin(F.broadcast(square)).first()
+        return (row["inner"] or 0.0) / self.m - self.gamma * (row["square"] or 0.0) / (4 * self.m**2)
+
+    def deltas(self, moved: DataFrame) -> DataFrame:
+        ends = moved.select(F.explode(F.array(F.struct(F.col("to").alias("community"), F.col("k").alias("d")), F.struct(F.col("from").alias("community"), (-F.col("k")).alias("d")))).alias("e"))
+        return ends.groupBy("e.community").agg(F.sum("e.d").alias("delta"))
+
+    def after(self, nodes: DataFrame, totals: DataFrame, moved: DataFrame) -> tuple[DataFrame, DataFrame]:
+        next_nodes = nodes.join(moved.select("node", "to"), "node", "left").select("node", F.coalesce("to", "community").alias("community"), "k")
+        next_totals = totals.join(self.deltas(moved), "community", "left").select("community", (F.col("tot") + F.coalesce("delta", F.lit(0.0))).alias("tot"))
+        return self.cut(next_nodes), self.cut(next_totals)
+
+    def overlaid(self, nodes: DataFrame, totals: DataFrame, moved: dict, delta: dict) -> tuple[DataFrame, DataFrame]:
+        """Nodes and totals after moves that the driver holds, few of them."""
+        spark = nodes.sparkSession
+        to = spark.createDataFrame([(n, c) for n, c in moved.items()], S.StructType([S.StructField("node", nodes.schema["node"].dataType), S.StructField("to", nodes.schema["community"].dataType)]))
+        by = spark.createDataFrame(list(delta.items()), S.StructType([S.StructField("community", nodes.schema["community"].dataType), S.StructField("d", S.DoubleType())]))
+        next_nodes = nodes.join(F.broadcast(to), "node", "left").select("node", F.coalesce("to", "community").alias("community"), "k")
+        next_totals = totals.join(F.broadcast(by), "community", "left").select("community", (F.col("tot") + F.coalesce("d", F.lit(0.0))).alias("tot"))
+        return self.cut(next_nodes), self.cut(next_totals)
+
+    def frontier(self, nodes: DataFrame, totals: DataFrame, wanting: DataFrame) -> tuple[dict, dict, float]:
+        """Moves of few nodes one after another, then of their neighbours, and so
+        on while there are few: ``{node: community}``, what communities' degrees
+        change by, and the gain in modularity, which is exact. A step reads the
+        edges of the active nodes only; it ends where those are more than FEW
+        nodes or FEW_EDGES edges, for the rounds to go on."""
+        spark, share = nodes.sparkSession, self.gamma / (2 * self.m**2)
+        held: dict = {}
+        tot: dict = {}
+        delta: dict = {}
+        gained, steps = 0.0, 0
+        active = [r["node"] for r in wanting.orderBy(F.desc("rank")).select("node").limit(FEW).collect()]
+        kind = S.StructType([S.StructField("node", nodes.schema["node"].dataType)])
+        while active and len(active) <= FEW:
+            act = F.broadcast(spark.createDataFrame([(x,) for x in active], kind))
+            where = nodes.select(F.col("node").alias("other"), "community")
+            rows = self.both.join(act, "node").join(where, "other").select("node", "other", "w", "community")
+            own = nodes.join(act, "node").select("node", F.lit(None).cast(kind["node"].dataType).alias("other"), F.col("k").alias("w"), "community")
+            found = rows.unionAll(own).join(totals, "community").limit(FEW_EDGES + 1).collect()
+            if len(found) > FEW_EDGES:
+                break
+            near: dict = {}
+            home: dict = {}
+            for r in found:
+                tot.setdefault(r["community"], r["tot"])
+                if r["other"] is None:
+                    home[r["node"]] = (r["w"], r["community"])
+                else:
+                    near.setdefault(r["node"], []).append((r["other"], r["w"], r["community"]))
+            woken: dict = {}
+            for node in active:
+                k, at = home[node]
+                at = held.get(node, at)
+                kin: dict = {}
+                for other, w, c in near.get(node, ()):
+                    c = held.get(other, c)
+                    kin[c] = kin.get(c, 0.0) + w
+                now = lambda c: tot[c] + delta.get(c, 0.0)
+                stay = kin.get(at, 0.0) / self.m - share * k * (now(at) - k)
+                options = [(w / self.m - share * k * now(c), c) for c, w in kin.items() if c != at]
+                gain, to = max(options, default=(0.0, None))
+                if to is None or gain <= max(stay + self.least, 0.0):
+                    continue
+                gained += gain - stay
+                held[node] = to
+                delta[at] = delta.get(at, 0.0) - k
+                delta[to] = delta.get(to, 0.0) + k
+                woken.update((other, None) for other, _, _ in near[node])
+            active, steps = list(woken), steps + 1
+        self.told.append((len(held), steps))
+        return held, delta, gained
+
+
+#: Most nodes and edges that the driver takes for moves one after another.
+FEW, FEW_EDGES = 2_048, 100_000
 
 
 def settled(graph: Moving, communities: DataFrame, rounds: int, seed: int, alone: bool = False) -> tuple[DataFrame, float]:
-    """Communities after moving nodes until none wants to."""
-    nodes, kin, q = graph.state(communities)
+    """Communities after moving nodes until none wants to. A round weighs all
+    nodes; once few want to move, those move one after another, then the
+    neighbours that they have woken, before all are weighed again."""
+    nodes, totals, q = graph.state(communities)
     for r in range(rounds):
-        wanting = graph.wanting(nodes, kin, seed + r)
+        wanting, want = graph.wanting(nodes, totals, seed + r)
         if wanting is None:
             return nodes.select("node", "community"), q
+        before = nodes, totals, wanting
+        if want <= FEW and not alone:
+            held, delta, gained = graph.frontier(nodes, totals, wanting)
+            if gained > graph.least:
+                nodes, totals = graph.overlaid(nodes, totals, held, delta)
+                q += gained
+                dropped(*before)
+                continue
         for way in (True,) if alone else (False, True):
-            next_nodes, next_kin, next_q = graph.weighed(graph.after(nodes, graph.moves(wanting, way)))
-            if next_q > q + graph.least:
+            moved, count_ = graph.counted(graph.moves(wanting, way))
+            change = graph.change(nodes, totals, moved) if count_ else 0.0
+            if change > graph.least:
                 break
-            dropped(next_nodes, next_kin)
+            dropped(moved)
         else:
             # The gains add up here, so what is left is within rounding.
             return nodes.select("node", "community"), q
-        dropped(nodes, kin, wanting)
-        nodes, kin, q = next_nodes, next_kin, next_q
+        graph.told.append((want, count_))
+        nodes, totals = graph.after(nodes, totals, moved)
+        q += change
+        dropped(*before, moved)
     raise RuntimeError(f"local moving did not settle in {rounds} rounds")
 
 

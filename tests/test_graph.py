@@ -1,5 +1,7 @@
 """Graph measures and communities on small graphs."""
 
+import random
+
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -207,3 +209,23 @@ def test_top_members_are_cut_before_the_shuffle(spark):
     top = community.top_members(members)
     assert "WindowGroupLimit" in top._jdf.queryExecution().executedPlan().toString()
     assert [r["i"] for r in top.orderBy("community", "i").collect()] == 3 * list(range(12))
+
+
+def sparse(n=90, seed=5):
+    draw = random.Random(seed)
+    rows = {(min(p), max(p)) for p in ((f"n{i:03}", f"n{(i + draw.choice([1, 2, 3, 7, 30])) % n:03}") for i in range(n) for _ in range(2)) if p[0] != p[1]}
+    return [(a, b, float(draw.randrange(1, 4))) for a, b in sorted(rows)]
+
+
+@pytest.mark.parametrize("few", [0, 8, 2048])
+def test_local_moving_ends_where_no_node_wants_to_move(spark, monkeypatch, few):
+    """In rounds alone, by a frontier that outgrows its bound, and by the frontier alone."""
+    monkeypatch.setattr(community, "FEW", few)
+    edges = written(edges_of(spark, sparse()))
+    start = nodes_of(spark, sorted({x for r in sparse() for x in r[:2]})).select("node", F.col("node").alias("community"))
+    moving = community.Moving(edges, written)
+    found, q = community.settled(moving, start, 200, 7)
+    assert q == pytest.approx(graph.modularity(edges, found).first()["q"], abs=1e-9) and q > 0.3
+    best = graph.gains(edges, found).groupBy("node").agg(F.max(F.when(F.col("community") != F.col("own"), F.col("gain"))).alias("to"), F.max(F.when(F.col("community") == F.col("own"), F.col("gain"))).alias("stay"))
+    assert best.filter("to > stay + 1e-8 AND to > 0").count() == 0
+    assert moving.told and (few or all(moved <= wanted for wanted, moved in moving.told))
