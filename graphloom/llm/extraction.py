@@ -20,7 +20,8 @@ as a page of nothing else, without any name. Training takes at most
 before any html is gathered; every page is extracted, from its whole html.
 
 Defined results: null or empty html and pages without text give the empty text;
-repeated rows and null ids get a row each; without labelled pages the weights
+repeated rows and null ids get a row each; a page is read in time linear in its
+length, broken or deep markup included; without labelled pages the weights
 that stand below are used alone; an empty table gives no rows.
 """
 
@@ -54,10 +55,49 @@ WALLS = set("ul ol dl table article section div nav aside footer header main for
 AWAY = set("nav header footer aside form menu dialog fieldset".split())
 HINT = re.compile(r"(?i)(?:^|[\s_-])(?:ad|ads|advert\w*|banner|breadcrumb\w*|comment\w*|cookie\w*|footer|header|masthead|menu|modal|nav\w*|newsletter|notice|popup|promo\w*|related|share|sharing|sidebar|social|sponsor\w*|subscribe|toolbar|widget)(?:$|[\s_-])")
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|</?[A-Za-z][^<>]*\Z", re.S)
 _HINTED = re.compile(r"(?i)\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
 
 
+_NAME = re.compile(r"(/?)([A-Za-z][^\s/><]*)")
+_STOP = re.compile(r"[<>\"']")
+
+
+def tags(source: str) -> Iterator[tuple[int, int, bool, str, str]]:
+    """The markup of a page in order: ``(start, end, closing, tag, attributes)``;
+    comments and declarations have no tag. A ``<`` that begins neither is text,
+    and so is a tag that another ``<`` outside quotes, or the end, cuts off
+    (but an unfinished one at the end of the page). In time linear in the page:
+    what can't be found any more isn't looked for again."""
+    last, quotes = source.rfind(">"), {q: source.rfind(q) for q in "\"'"}
+    at = source.find("<")
+    while at >= 0:
+        following = at + 1
+        if source.startswith("!--", at + 1):
+            end = source.find("-->", at + 4)
+            following = len(source) if end < 0 else end + 3
+            yield at, following, False, "", ""
+        elif source.startswith(("!", "?"), at + 1):
+            if at < last:
+                following = source.index(">", at) + 1
+                yield at, following, False, "", ""
+        elif name := _NAME.match(source, at + 1):
+            place = name.end()
+            while place >= 0:
+                stop = _STOP.search(source, place) if place <= last else None
+                if stop is None or stop[0] == "<":
+                    place = -1
+                elif stop[0] == ">":
+                    following = stop.end()
+                    yield at, following, bool(name[1]), name[2].lower(), source[name.end() : stop.start()]
+                    break
+                else:
+                    place = source.index(stop[0], stop.end()) + 1 if quotes[stop[0]] >= stop.end() else -1
+            if place < 0 and at > last and source.find("<", at + 1) < 0:
+                following = len(source)
+                yield at, following, False, "", ""
+        at = source.find("<", following)
+
+
 class Element:
     """A block element: what the model sees of it, and its text."""
 
@@ -77,6 +117,9 @@ def read_page(source: str) -> tuple[list[Element], list[tuple[int, str]]]:
     pieces: list[str] = []
     silent = links = 0
     seen = 0
+    #: Where in the stack each tag is open, where walls are, and where what isn't inline.
+    places: dict[str, list[int]] = defaultdict(list)
+    walls, standing, begun = [0], [0], set()
 
     def flush() -> None:
         nonlocal seen
@@ -94,9 +137,21 @@ def read_page(source: str) -> tuple[list[Element], list[tuple[int, str]]]:
         nonlocal silent, links
         while len(stack) > size:
             tag, _ = stack.pop()
+            places[tag].pop()
+            for held in (walls, standing):
+                if held and held[-1] == len(stack):
+                    held.pop()
             silent -= tag in SILENT
             links -= tag == "a"
 
+    def push(tag: str, number: int) -> None:
+        places[tag].append(len(stack))
+        if tag in WALLS:
+            walls.append(len(stack))
+        if tag not in INLINE:
+            standing.append(len(stack))
+        stack.append((tag, number))
+
     def end_head() -> None:
         while stack[-1][0] == "head":
             pop_to(len(stack) - 1)
@@ -109,21 +164,20 @@ def read_page(source: str) -> tuple[list[Element], list[tuple[int, str]]]:
             if links:
                 elements[stack[-1][1]].linked += len(text.strip())
 
-    at, raw = 0, None
-    for m in _TOKEN.finditer(source):
-        if m.start() < at:
+    at = 0
+    for start, end, closing, tag, attributes in tags(source):
+        if start < at:
             continue
-        if m.start() > at:
-            put(source[at : m.start()])
-        at = m.end()
-        tag = (m[2] or "").lower()
+        if start > at:
+            put(source[at:start])
+        at = end
         if not tag:
             continue
-        if m[1]:
-            size = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag), 0)
+        if closing:
+            size = places[tag][-1] if places[tag] else 0
             # An end inside a section doesn't end what stands around the section.
-            if size and not (tag not in WALLS and any(stack[i][0] in WALLS for i in range(size + 1, len(stack)))):
-                if any(stack[i][0] not in INLINE for i in range(size, len(stack))):
+            if size and not (tag not in WALLS and walls[-1] > size):
+                if standing[-1] >= size:
                     flush()
                 pop_to(size)
             continue
@@ -133,38 +187,36 @@ def read_page(source: str) -> tuple[list[Element], list[tuple[int, str]]]:
             put(" ")
             continue
         if tag in INLINE:
-            if tag not in VOID and not m[3].endswith("/"):
-                stack.append((tag, stack[-1][1]))
+            if tag not in VOID and not attributes.endswith("/"):
+                push(tag, stack[-1][1])
                 links += tag == "a"
             continue
         flush()
-        for i in range(len(stack) - 1, 0, -1):
-            if tag in ENDS.get(stack[i][0], ()):
-                pop_to(i)
-                break
-            if stack[i][0] in WALLS:
-                break
+        ended = max((places[x][-1] for x in ENDS if places[x] and tag in ENDS[x]), default=0)
+        if ended > walls[-1]:
+            pop_to(ended)
         if tag in VOID:
             continue
         if tag in SILENT:
-            if tag in ("svg", "math") and m[3].endswith("/"):
+            if tag in ("svg", "math") and attributes.endswith("/"):
                 continue
-            stack.append((tag, stack[-1][1]))
+            push(tag, stack[-1][1])
             silent += 1
             if tag in RAW:
-                end = re.compile(rf"(?i)</{re.escape(tag)}\s*>").search(source, at)
-                at = end.end() if end else len(source)
+                close = re.compile(rf"(?i)</{re.escape(tag)}\s*>").search(source, at)
+                at = close.end() if close else len(source)
                 pop_to(len(stack) - 1)
             continue
-        if tag in ("html", "body") and len(elements) > 1 and any(e.tag == tag for e in elements):
+        if tag == "body" and tag in begun:
             continue
         parent = stack[-1][1]
         if tag == "html":
             continue
-        hinted = bool(m[3]) and any(HINT.search(next(filter(None, h.groups()), "")) for h in _HINTED.finditer(m[3]))
+        hinted = bool(attributes) and any(HINT.search(next(filter(None, h.groups()), "")) for h in _HINTED.finditer(attributes))
         elements[parent].children += 1
         elements.append(Element(tag, parent, hinted, elements[parent].depth + 1, seen))
-        stack.append((tag, len(elements) - 1))
+        begun.add(tag)
+        push(tag, len(elements) - 1)
     if at < len(source):
         put(source[at:])
     flush()
