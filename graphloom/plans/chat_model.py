@@ -2,9 +2,14 @@
 bounded retries with a time limit, and statuses in place of error texts.
 
 A step's prompts are rows; each distinct one is asked once, and only if the
-cache has no valid reply. Replies are written before anything reads them, so no
-later action asks again, and go back into the cache. (A task that is lost while
-it asks is run again, with the calls it had made.)
+cache has no valid reply. Prompts are put into a queue, a table in batches of
+bounded size; each batch's replies are written, and stored in the cache, before
+the next is asked. So a run that is stopped goes on from there, no later action
+asks again, and a lost task repeats its calls of one batch only.
+
+The rate of calls is one for the whole job. Tasks begin calls at their share of
+it, and wait for replies in threads. What a provider refuses during a batch
+lowers the rate of the next one; without refusals it rises slowly.
 """
 
 from __future__ import annotations
@@ -14,13 +19,15 @@ import random
 import threading
 import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from graphloom.sources.shared import written
+from graphloom.sources.shared import fresh_path, written
 from graphloom.sources.store import ReplyCache, cache_key
 
 #: Failures worth another attempt.
@@ -104,9 +111,34 @@ def limited(provider: Provider, prompt: str | list, seconds: float) -> str:
     return value
 
 
-def call(provider: Provider, prompt: str | list, attempts: int = 4, base_ms: int = 400, sleep: Callable[[float], None] = time.sleep, seconds: float = 30.0) -> tuple[str, str | None]:
+@dataclass
+class Pace:
+    """Calls a second for a whole job. ``adapt`` takes what a batch was told: the
+    rate falls where more than ``borne`` of the calls were refused, to what got
+    through and a little less; else it rises, quickly until the first refusal and
+    slowly from then on, up to ``most``."""
+
+    rate: float
+    most: float = float("inf")
+    rise: float = 1.03
+    start: float = 1.5
+    fall: float = 0.92
+    borne: float = 0.01
+    met: bool = False
+
+    def adapt(self, calls: int, refused: int) -> float:
+        if calls and refused > self.borne * calls:
+            through = max(calls - refused, 1) / calls
+            self.rate, self.met = self.rate * max(min(through, 1.0), 0.1) * self.fall, True
+        elif calls:
+            self.rate = min(self.most, self.rate * (self.rise if self.met else self.start))
+        return self.rate
+
+
+def call(provider: Provider, prompt: str | list, attempts: int = 4, base_ms: int = 400, sleep: Callable[[float], None] = time.sleep, seconds: float = 30.0, refused: Callable[[], None] | None = None) -> tuple[str, str | None]:
     """``(status, text)``; only passing failures are tried again, with growing
-    waits. A call that takes too long isn't."""
+    waits. A call that takes too long isn't. ``refused`` is told of each passing
+    failure."""
     for attempt in range(attempts):
         try:
             return "ok", limited(provider, prompt, seconds)
@@ -114,44 +146,92 @@ def call(provider: Provider, prompt: str | list, attempts: int = 4, base_ms: int
             return f"error: {error}", None
         except Exception as error:  # noqa: BLE001
             text = str(error)
-            if attempt + 1 == attempts or not any(p in text for p in PASSING):
+            passing = any(p in text for p in PASSING)
+            if passing and refused:
+                refused()
+            if attempt + 1 == attempts or not passing:
                 return "error: " + text, None
             sleep((base_ms * 2**attempt + random.random() * 200) / 1000)
     return "error", None
 
 
-def replies(prompts: DataFrame, provider: Provider, model: str, cache: ReplyCache | DataFrame | None = None, per_second: float | None = None, tasks: int = 8, seconds: float = 30.0) -> DataFrame:
+#: Most calls of a task that wait for their reply at one time.
+IN_FLIGHT = 16
+
+
+def asking(provider: Provider, column: str, share: float | None, seconds: float) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """A task's work: prompts to ``key, status, response, refused``. With
+    ``share`` at most so many calls a second are begun, whatever their replies
+    take; else one is made after another."""
+
+    def plain(prompt):
+        return prompt if isinstance(prompt, str) else [{"role": m["role"], "parts": [{"text": p["text"]} for p in m["parts"]]} for m in prompt]
+
+    def one(prompt) -> tuple[str, str | None, int]:
+        refusals: list = []
+        found = call(provider, plain(prompt), seconds=seconds, refused=lambda: refusals.append(1))
+        return (*found, len(refusals))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        with ThreadPoolExecutor(IN_FLIGHT) as pool:
+            due = time.monotonic()
+            for frame in frames:
+                rows = []
+                for prompt in frame[column]:
+                    if share:
+                        time.sleep(max(0.0, due - time.monotonic()))
+                        due = max(due, time.monotonic() - 1 / share) + 1 / share
+                    rows.append(pool.submit(one, prompt) if share else one(prompt))
+                rows = [r.result() if share else r for r in rows]
+                yield pd.DataFrame({"key": frame["key"], "status": [r[0] for r in rows], "response": [r[1] for r in rows], "refused": [r[2] for r in rows]})
+
+    return run
+
+
+def replies(
+    prompts: DataFrame, provider: Provider, model: str, cache: ReplyCache | DataFrame | None = None, per_second: float | None = None,
+    tasks: int = 8, seconds: float = 30.0, batch: int = 2_000, pace: Pace | None = None,
+) -> DataFrame:
     """``key, status, response`` for the distinct ones of ``prompts``, which have
     a column ``prompt`` (texts) or ``contents`` (conversations).
 
     With ``per_second`` at most so many calls a second are begun in the whole
-    job: ``tasks`` tasks ask, each after its share of the time.
+    job, by ``tasks`` tasks; with ``pace`` their number follows what the provider
+    bears. A batch of about ``batch`` prompts (with ``pace``: of a few seconds) is
+    stored in the cache as soon as it is answered.
     """
-    one = "contents" if "contents" in prompts.columns else "prompt"
-    asked = prompts.select(content_key(model, one).alias("key"), one).dropDuplicates(["key"])
+    column = "contents" if "contents" in prompts.columns else "prompt"
+    asked = prompts.select(content_key(model, column).alias("key"), column).dropDuplicates(["key"])
     known = None
     if cache is not None:
         known, asked = (cache if isinstance(cache, ReplyCache) else ReplyCache.of(cache)).hits(asked)
-    if per_second:
-        asked = asked.repartition(tasks)
-
-    def plain(prompt):
-        return prompt if isinstance(prompt, str) else [{"role": m["role"], "parts": [{"text": p["text"]} for p in m["parts"]]} for m in prompt]
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for prompt in frame[one]:
-                begun = time.monotonic()
-                rows.append(call(provider, plain(prompt), seconds=seconds))
-                if per_second:
-                    time.sleep(max(0.0, tasks / per_second - (time.monotonic() - begun)))
-            yield pd.DataFrame({"key": frame["key"], "status": [r[0] for r in rows], "response": [r[1] for r in rows]})
-
-    fresh = written(asked.mapInPandas(run, "key string, status string, response string"), "replies")
-    if isinstance(cache, ReplyCache):
-        cache.put(fresh.filter("status = 'ok'"))
-    return fresh if known is None else written(known.select("key", F.lit("cached").alias("status"), "response").unionByName(fresh), "replies")
+        known = written(known.select("key", F.lit("cached").alias("status"), "response"), "replies")
+    queue = written(asked.withColumn("at", F.pmod(F.xxhash64("key"), F.lit(1 << 20))), "queue")
+    spark, left, out, begin = prompts.sparkSession, queue.count(), fresh_path(prompts.sparkSession, "replies"), 0
+    total = left
+    while left > 0:
+        rate = pace.rate if pace else per_second
+        number = max(tasks, int(3 * rate)) if pace else batch
+        # Places are hashes, so a share of them holds about that share of the prompts.
+        end = (1 << 20) if number >= left else min(1 << 20, begin + max(1, (1 << 20) * number // total))
+        part = queue.filter((F.col("at") >= begin) & (F.col("at") < end)).drop("at")
+        part = part.repartition(tasks) if rate else part
+        seen = Observation()
+        answers = part.mapInPandas(asking(provider, column, rate / tasks if rate else None, seconds), "key string, status string, response string, refused long")
+        answers = answers.observe(seen, F.count(F.lit(1)).alias("n"), F.sum("refused").alias("refused"))
+        at = f"{out}/at={begin}"
+        answers.select("key", "status", "response").write.parquet(at)
+        done, refused = seen.get["n"] or 0, seen.get["refused"] or 0
+        if isinstance(cache, ReplyCache) and done:
+            cache.put(spark.read.parquet(at).filter("status = 'ok'"))
+        if pace:
+            pace.adapt(done + refused, refused)
+        left, begin = left - done, end
+        if end >= 1 << 20:
+            break
+    shape = "key string, status string, response string"
+    fresh = spark.read.schema(shape + ", at int").parquet(out).drop("at") if total else spark.createDataFrame([], shape)
+    return fresh if known is None else known.unionByName(fresh)
 
 
 def content_key(model: str, column: str = "prompt") -> Column:

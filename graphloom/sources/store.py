@@ -73,6 +73,31 @@ class Versions:
                 return f"{self.path}/v{number}"
             number += 1
 
+    def mark(self, number: int, names) -> None:
+        """Put empty files into a version's folder."""
+        for name in names:
+            system, place = self._hadoop(f"v{number}/{name}")
+            system.createNewFile(place)
+
+    def marks(self, number: int, kind: str) -> set[int]:
+        """The numbers of a version's marks of a kind."""
+        system, folder = self._hadoop(f"v{number}")
+        names = [s.getPath().getName() for s in system.listStatus(folder)]
+        return {int(n[len(kind) + 1 :]) for n in names if n.startswith(kind + "-")}
+
+    def everywhere(self, kind: str) -> set[int]:
+        """Marks that all kept versions have; none while there are fewer."""
+        kept = self.whole()
+        return set.intersection(*(self.marks(n, kind) for n in kept)) if len(kept) >= self.KEPT else set()
+
+    def drop(self, numbers) -> None:
+        """Remove versions for good. The last one's folder must stay, so that no
+        number is given twice."""
+        for n in numbers:
+            for name in (f"v{n}", f".v{n}"):
+                system, place = self._hadoop(name)
+                system.delete(place, True)
+
     def tidy(self) -> None:
         """Remove whole versions older than the last few."""
         for n in self.whole()[: -self.KEPT]:
@@ -93,21 +118,13 @@ class GraphStore:
         self.spark, self.upserts = spark, upserts
         self.versions, self.parts = Versions(spark, path, "edges/_SUCCESS"), Versions(spark, f"{path.rstrip('/')}/parts", "edges/_SUCCESS")
 
-    def _marks(self, version: int, kind: str) -> set[int]:
-        """Numbers that a version names as ``kind``: ``merged`` parts that it holds,
-        ``root`` (the version that last replaced the graph), ``since`` (the last
-        part before that)."""
-        system, folder = self.versions._hadoop(f"v{version}")
-        names = [s.getPath().getName() for s in system.listStatus(folder)]
-        return {int(n[len(kind) + 1 :]) for n in names if n.startswith(kind + "-")}
-
     def _last(self) -> int | None:
         return (self.versions.whole() or [None])[-1]
 
     def _after(self, version: int | None = None) -> list[int]:
         """Numbers of the upserts that are done and not in the (last) version."""
         version = version or self._last()
-        held = self._marks(version, "merged") if version else set()
+        held = self.versions.marks(version, "merged") if version else set()
         return [n for n in self.parts.whole() if n not in held]
 
     def read(self, linked: bool = True) -> tuple[DataFrame, DataFrame]:
@@ -126,7 +143,7 @@ class GraphStore:
         replaced it, the parts that are done and still there, and the numbers of
         parts that aren't there any more."""
         version = self._last()
-        root, since = ((max(self._marks(version, kind), default=0) for kind in ("root", "since")) if version else (0, 0))
+        root, since = ((max(self.versions.marks(version, kind), default=0) for kind in ("root", "since")) if version else (0, 0))
         there = self.parts._numbers()
         return root, self.parts.whole(), sorted(set(range(since + 1, max(there, default=0))) - set(there))
 
@@ -155,27 +172,15 @@ class GraphStore:
         number = int(at.rsplit("v", 1)[1])
         nodes.select(*NODES.names).write.parquet(f"{at}/nodes")
         there = set(self.parts._numbers())
-        held = {n for n in self._marks(before, "merged") if n in there} | set(merged) if before else set(merged)
-        root = max(self._marks(before, "root"), default=number) if before else number
-        since = max(self._marks(before, "since"), default=0) if before else max(there, default=0)
-        for mark in (*(f"merged-{n}" for n in held), f"root-{root}", f"since-{since}"):
-            system, place = self.versions._hadoop(f"v{number}/{mark}")
-            system.createNewFile(place)
+        held = {n for n in self.versions.marks(before, "merged") if n in there} | set(merged) if before else set(merged)
+        root = max(self.versions.marks(before, "root"), default=number) if before else number
+        since = max(self.versions.marks(before, "since"), default=0) if before else max(there, default=0)
+        # ``root``: the version that last replaced the graph; ``since``: the last part before that.
+        self.versions.mark(number, (*(f"merged-{n}" for n in held), f"root-{root}", f"since-{since}"))
         edges.select(*EDGES.names).write.parquet(f"{at}/edges")
         self.versions.tidy()
-        self._drop_parts()
-
-    def _drop_parts(self) -> None:
-        """Remove the parts that every kept version holds; the last one's folder
-        stays, so that no number is given twice."""
-        kept = [n for n in self.versions.whole() if self._marks(n, "root")]
-        if len(kept) < Versions.KEPT:
-            return
-        there = self.parts._numbers()
-        for n in set.intersection(*(self._marks(v, "merged") for v in kept)) - set(there[-1:]):
-            for name in (f"v{n}", f".v{n}"):
-                system, place = self.parts._hadoop(name)
-                system.delete(place, True)
+        # Parts that every kept version holds.
+        self.parts.drop(self.versions.everywhere("merged") - set(self.parts._numbers()[-1:]))
 
     def upsert(self, nodes: DataFrame, edges: DataFrame) -> None:
         """Put in rows, each in place of the one with its key. Only they are
@@ -243,11 +248,13 @@ def cache_list(cache: DataFrame, now: Column) -> DataFrame:
 
 
 class ReplyCache:
-    """Model replies under a folder. New ones are appended as files of the
-    current version; cleaning and clearing begin a new one."""
+    """Model replies under a folder. New ones are parts of their own; cleaning
+    and clearing write a version that names the parts it stands for, so what is
+    stored meanwhile stays."""
 
     def __init__(self, spark: SparkSession, path: str, hours: int = 24):
-        self.spark, self.hours, self.versions, self._table = spark, hours, Versions(spark, path, "_SUCCESS"), None
+        self.spark, self.hours, self._table = spark, hours, None
+        self.versions, self.parts = Versions(spark, path, "entries/_SUCCESS"), Versions(spark, f"{path.rstrip('/')}/parts", "_SUCCESS")
 
     @classmethod
     def of(cls, table: DataFrame, hours: int = 24) -> ReplyCache:
@@ -256,11 +263,18 @@ class ReplyCache:
         found.spark, found.hours, found.versions, found._table = table.sparkSession, hours, None, table
         return found
 
+    def _paths(self) -> tuple[list[str], list[int]]:
+        """Folders of the entries, and the parts among them."""
+        last = (self.versions.whole() or [None])[-1]
+        held = self.versions.marks(last, "merged") if last else set()
+        after = [n for n in self.parts.whole() if n not in held]
+        return ([f"{self.versions.path}/v{last}/entries"] if last else []) + [f"{self.parts.path}/v{n}" for n in after], after
+
     def entries(self) -> DataFrame:
         if self._table is not None:
             return self._table
-        at = self.versions.last()
-        return self.spark.read.schema(CACHE).parquet(at) if at else self.spark.createDataFrame([], CACHE)
+        paths, _ = self._paths()
+        return self.spark.read.schema(CACHE).parquet(*paths) if paths else self.spark.createDataFrame([], CACHE)
 
     def hits(self, requests: DataFrame, now: Column | None = None) -> tuple[DataFrame, DataFrame]:
         """Requests with a valid reply, and those without."""
@@ -268,19 +282,25 @@ class ReplyCache:
 
     def put(self, replies: DataFrame, now: Column | None = None) -> None:
         """Store ``(key, response)`` rows."""
-        at = self.versions.last() or self.versions.new()
-        replies.select("key", (F.current_timestamp() if now is None else now).alias("timestamp"), "response").write.mode("append").parquet(at)
+        replies.select("key", (F.current_timestamp() if now is None else now).alias("timestamp"), "response").write.parquet(self.parts.new())
 
-    def _replace(self, entries: DataFrame) -> None:
-        entries.select(*CACHE.names).write.parquet(self.versions.new())
+    def _replace(self, entries: DataFrame, merged: list[int]) -> None:
+        at = self.versions.new()
+        number, there = int(at.rsplit("v", 1)[1]), self.parts._numbers()
+        last = (self.versions.whole() or [None])[-1]
+        held = {n for n in self.versions.marks(last, "merged") if n in there} if last else set()
+        self.versions.mark(number, (f"merged-{n}" for n in held | set(merged)))
+        entries.select(*CACHE.names).write.parquet(f"{at}/entries")
         self.versions.tidy()
+        self.parts.drop(self.versions.everywhere("merged") - set(there[-1:]))
 
     def clean(self, now: Column | None = None) -> None:
         """Only valid entries stay, one for each key."""
-        self._replace(latest(self.entries()).filter(fresh("timestamp", F.current_timestamp() if now is None else now, self.hours)))
+        merged = self._paths()[1]
+        self._replace(latest(self.entries()).filter(fresh("timestamp", F.current_timestamp() if now is None else now, self.hours)), merged)
 
     def clear(self) -> None:
-        self._replace(self.spark.createDataFrame([], CACHE))
+        self._replace(self.spark.createDataFrame([], CACHE), self._paths()[1])
 
     def stats(self) -> DataFrame:
         return cache_stats(latest(self.entries()))
