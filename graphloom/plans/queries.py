@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions import text as T
-from graphloom.operators import community, extract, graph, report, resolve, search
+from graphloom.operators import community, extract, graph, order, report, resolve, search
 from graphloom.operators.components import connected_components
 from graphloom.plans import build, chat_model, rag
 from graphloom.plans.tables import GRAPH_SQL, MENTIONS_SQL, RELATIONAL_SQL, relational_edges, relational_nodes, replies
@@ -199,6 +199,22 @@ def xorshift32(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", T.xorshift32("o_orderkey").alias("state"))
 
 
+@_query("""
+WITH RECURSIVE a AS (SELECT list(c_custkey ORDER BY c_custkey) AS a, count(*) AS n FROM customer),
+s AS (
+  SELECT n - 1 AS i, CAST(20240914 AS BIGINT) AS x, a FROM a
+  UNION ALL
+  SELECT i - 1, y, list_transform(a, lambda v, p: CASE p WHEN i + 1 THEN a[j] WHEN j THEN a[i + 1] ELSE v END)
+  FROM (SELECT i, a, y, CAST(floor(y / 4294967296.0::DOUBLE * (i + 1)) AS BIGINT) + 1 AS j FROM (
+    SELECT i, a, xor(x2, (x2 << 5) & 4294967295) AS y FROM (SELECT i, a, xor(x1, x1 >> 17) AS x2 FROM (
+      SELECT i, a, xor(x, (x << 13) & 4294967295) AS x1 FROM s WHERE i > 0))))
+)
+SELECT unnest(a) AS c_custkey, CAST(unnest(range(len(a))) AS BIGINT) AS place FROM s WHERE i = 0""")
+def seeded_shuffle(spark, sf_dir):
+    """The customers in the generator's order, worked out in parallel."""
+    return order.seeded_order(table(spark, sf_dir, "customer").select("c_custkey"), ["c_custkey"], 20240914, written)
+
+
 @_query(rf"""
 WITH c AS (SELECT doc_id, regexp_replace(regexp_replace(coalesce(nullif(text, ''), source), '{_W}+', ' ', 'g'), '^{_W}+|{_W}+$', '', 'g') AS t FROM documents)
 SELECT doc_id, CASE WHEN length(t) > 1000 THEN substr(t, 1, 1000) || '...' ELSE t END AS content FROM c WHERE length(t) >= 10""")
