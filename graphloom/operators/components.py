@@ -49,5 +49,27 @@ def connected_components(edges: DataFrame, cut: Callable[[DataFrame], DataFrame]
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
+def extended_components(labels: DataFrame, pairs: DataFrame, cut: Callable[[DataFrame], DataFrame], a: str = "a", b: str = "b") -> tuple[DataFrame, DataFrame]:
+    """``labels`` ``(node, component)``, as ``connected_components`` gives them,
+    after further pairs; and the components that are new or have grown,
+    ``(component)``.
+
+    Only the graph of labels that the pairs join is solved, which is no larger
+    than the pairs; other labels are passed through. A label is its component's
+    smallest node, and so is the smallest of joined labels."""
+    ends = pairs.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).alias("a"), F.col(b).alias("b"))
+    known = labels.select("node", "component")
+    at = lambda end: known.select(F.col("node").alias(end), F.col("component").alias("c" + end))
+    joined = cut(ends.join(at("a"), "a", "left").join(at("b"), "b", "left").select("a", "b", F.coalesce("ca", "a").alias("src"), F.coalesce("cb", "b").alias("dst")))
+    moved = cut(connected_components(joined.filter("src != dst"), cut).select(F.col("node").alias("old"), "component"))
+    named = joined.select(F.col("a").alias("node"), F.col("src").alias("old")).union(joined.select("b", "dst")).distinct()
+    fresh = named.join(known.select("node"), "node", "left_anti")
+    every = known.select("node", F.col("component").alias("old")).unionByName(fresh)
+    out = cut(every.join(moved, "old", "left").select("node", F.coalesce("component", "old").alias("component")))
+    touched = cut(moved.select("component").union(fresh.join(moved, "old", "left").select(F.coalesce("component", "old"))).distinct())
+    dropped(joined, moved)
+    return out, touched
+
+
 def _empty(df: DataFrame) -> bool:
     return df.isEmpty()

@@ -154,3 +154,23 @@ def merged_graph(nodes: DataFrame, edges: DataFrame, names: DataFrame, add_weigh
     )
     out_edges = kept.select(F.col("x").alias("source"), F.col("y").alias("target"), "e.description", (F.col("total") if add_weights else F.col("e.weight")).alias("weight"), "e.keywords", "e.source_ids")
     return out_nodes, out_edges if keep_loops else out_edges.filter("source != target")
+
+
+def remerged(nodes: DataFrame, edges: DataFrame, names: DataFrame, touched: DataFrame, add_weights: bool = False, keep_loops: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What a resolved graph changes when some groups have: its nodes and edges of
+    the ``touched`` groups ``(target)``, merged from the graph as it was extracted
+    by all ``names`` ``(member, target)``; and the names ``(id)`` whose nodes and
+    edges they stand for, to be taken out first. Other groups aren't read."""
+    members = names.join(touched, "target", "left_semi").select(F.col("member").alias("id"))
+    merged, _ = merged_graph(nodes.join(members, "id", "left_semi"), edges.limit(0), names)
+    near = edges.join(members.select(F.col("id").alias("source")), "source", "left_semi").select(*edges.columns)
+    near = near.union(edges.join(members.select(F.col("id").alias("target")), "target", "left_semi").select(*edges.columns)).dropDuplicates(["source", "target"])
+    _, moved = merged_graph(nodes.limit(0), near, names, add_weights, keep_loops)
+    return merged, moved, members
+
+
+def replaced(nodes: DataFrame, edges: DataFrame, new_nodes: DataFrame, new_edges: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A resolved graph with what ``remerged`` found in place of what it was."""
+    out = gone.select("id")
+    kept = edges.join(out.withColumnRenamed("id", "source"), "source", "left_anti").join(out.withColumnRenamed("id", "target"), "target", "left_anti")
+    return nodes.join(out, "id", "left_anti").select(*new_nodes.columns).unionByName(new_nodes), kept.select(*new_edges.columns).unionByName(new_edges)

@@ -136,6 +136,6 @@ def built(chunks: DataFrame, provider: Provider, model: str, cut: Cut, types: tu
         communities = chosen = louvain(ids, plain, cut)
     contexts = rag.community_contexts(merged_nodes, merged_edges, chosen, ranks)
     return {
-        "replies": told, "nodes": nodes, "edges": edges, "resolved_nodes": merged_nodes, "resolved_edges": merged_edges,
+        "replies": told, "nodes": nodes, "edges": edges, "resolved_nodes": merged_nodes, "resolved_edges": merged_edges, "names": names,
         "pagerank": ranks, "communities": communities, "reports": cut(community_reports(contexts, **ask)),
     }

@@ -9,6 +9,7 @@ from graphloom.functions import text as T
 from graphloom.operators import extract, report, search
 from graphloom.operators.graph import Cut
 from graphloom.plans.chat_model import Provider
+from graphloom.sources.search_index import SearchIndex
 from graphloom.sources.store import linked_edges
 
 EMPTY_GRAPH = "The graph is empty."
@@ -47,13 +48,16 @@ def context_lines(hits: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFr
 
 def answer(question: str, nodes: DataFrame, edges: DataFrame, provider: Provider, sequential: bool = False, most: int = 20, idx: DataFrame | None = None, **options) -> dict:
     """``{answer, context, entities}``. The driver sees at most ``most`` hits.
-    ``idx`` is a stored index (``search.write_index``) of these nodes and edges;
-    other options are the search's: ``threshold``, ``use_bigram``,
+    ``idx`` is a stored index of these nodes and edges, as ``search.write_index``
+    makes it or a ``SearchIndex``, which reads no texts but those of hits; other
+    options are the search's: ``threshold``, ``use_bigram``,
     ``use_keywords``, ``use_fuzzy``."""
     if nodes.isEmpty():
         raise ValueError(EMPTY_GRAPH)
-    found = search.items(nodes, edges)
-    hits = (search.sequential_search if sequential else search.combined_search)(found, question, most, idx=idx, **options)
+    if isinstance(idx, SearchIndex):
+        hits = (idx.sequential if sequential else idx.search)(question, most, **options)
+    else:
+        hits = (search.sequential_search if sequential else search.combined_search)(search.items(nodes, edges), question, most, idx=idx, **options)
     lines = list(dict.fromkeys(r["line"] for r in context_lines(hits, nodes, edges).orderBy(F.desc("total_score"), "type", "id").collect()))
     if not lines:
         return {"answer": NOTHING_FOUND, "context": "", "entities": []}

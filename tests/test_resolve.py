@@ -47,7 +47,7 @@ def test_pairs_equal_a_comparison_of_all(spark):
     assert found(spark, []) == []
 
 
-@settings(max_examples=6, deadline=None)
+@settings(max_examples=3, deadline=None)
 @given(st.lists(st.text("abcxyz", min_size=1, max_size=9), min_size=2, max_size=40))
 def test_pairs_of_drawn_names(spark, names):
     assert found(spark, [("t", n) for n in names]) == wanted([("t", n) for n in names])
