@@ -126,3 +126,51 @@ def pagerank(nodes: DataFrame, edges: DataFrame, cut: Cut | None = None, alpha:
             if (ranks.agg(F.sum(F.abs(F.col("r") - F.col("old")))).first()[0] or 0.0) < n * tolerance:
                 break
     return ranks.select("node", F.col("r").alias("pagerank"))
+
+
+def updated_pagerank(nodes: DataFrame, edges: DataFrame, ranks: DataFrame, cut: Cut, alpha: float = 0.85, error: float = 1e-6, rounds: int = 200, told: list[int] | None = None) -> DataFrame:
+    """``(node, pagerank)`` of a graph that has changed since ``ranks`` were worked
+    out: all ranks together are off by at most ``error``.
+
+    One pass gives each node's residual, by how much its rank doesn't follow from
+    its neighbours'. Then only nodes whose residual is more than their share of
+    the error push it along their edges; what is left of all residuals, over
+    1 - alpha, bounds the error. What nodes without a way out push goes to all
+    alike, and is kept as one number until it is too much. ``told`` gets how many
+    nodes pushed in each round.
+    """
+    w = F.coalesce(F.col("weight"), F.lit(1.0))
+    out = edges.groupBy(F.col("src").alias("node")).agg(F.sum(w).alias("out"))
+    share = cut(edges.join(out.withColumnRenamed("node", "src"), "src").select("src", "dst", (w / F.col("out")).alias("share")))
+    base = nodes.select("node").distinct().join(out, "node", "left").join(ranks.select("node", F.col("pagerank").alias("x")), "node", "left")
+    base = cut(base.select("node", F.col("out").isNull().alias("stuck"), "x"))
+    n, known = base.agg(F.count(F.lit(1)), F.sum("x")).first()
+    if not n:
+        return base.select("node", F.lit(0.0).alias("pagerank"))
+    # Ranks of nodes that have gone are spread again, new nodes begin with a mean rank.
+    base = base.select("node", "stuck", (F.coalesce(F.col("x") / F.lit(known or 1.0), F.lit(1.0 / n))).alias("x"))
+    given = lambda rows, value: share.join(rows.select(F.col("node").alias("src"), F.col(value).alias("v")), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("v") * F.col("share")).alias("in"))
+    lost = base.agg(F.sum(F.when(F.col("stuck"), F.col("x")))).first()[0] or 0.0
+    start = (1 - alpha + alpha * lost) / n
+    state = cut(base.join(given(base, "x"), "node", "left").select("node", "stuck", "x", (start + alpha * F.coalesce("in", F.lit(0.0)) - F.col("x")).alias("r")))
+    even = 0.0  # a residual that all nodes have besides their own
+    for _ in range(rounds):
+        left, stuck = state.agg(F.sum(F.abs(F.col("r") + even)), F.count_if("stuck")).first()
+        if left <= error * (1 - alpha):
+            break
+        least = error * (1 - alpha) / (2 * n)
+        push = F.abs(F.col("r") + even) > least
+        active = cut(state.filter(push).select("node", "stuck", (F.col("r") + even).alias("v")))
+        pushed, spread_ = active.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.when(F.col("stuck"), F.col("v"))), F.lit(0.0))).first()
+        if told is not None:
+            told.append(pushed)
+        moved = state.join(given(active, "v"), "node", "left").select(
+            "node", "stuck", (F.col("x") + F.when(push, F.col("r") + even).otherwise(0.0)).alias("x"),
+            (F.when(push, F.lit(-even)).otherwise(F.col("r")) + alpha * F.coalesce("in", F.lit(0.0))).alias("r"),
+        )
+        before, state = state, cut(moved)
+        even += alpha * spread_ / n
+        dropped(before, active)
+    else:
+        raise RuntimeError(f"residuals did not settle in {rounds} rounds")
+    return state.select("node", F.col("x").alias("pagerank"))
