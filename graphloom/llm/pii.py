@@ -6,7 +6,11 @@ non-overlapping per kind. A text is split by a pattern and its matches are
 extracted by the same pattern; the running lengths of gaps and matches give
 each match's place in code points, whatever characters the text holds. The
 patterns are written with possessive repeats and start guards, which find the
-same matches as the plain forms in time linear in the text.
+same matches as the plain forms. A text is worked on in parts of some thousand
+characters, cut where no match and no word crosses, so that time is linear in
+the text however many spans it has; only within a longer run without such a
+place (one line of nothing but the patterns' own characters, without a space
+beside a letter) it grows with the square of the run's matches.
 
 **Added spans.** The values found are the protected entities. Each also belongs
 to a pool (a mail's domain, an address's first three numbers, a card's first six
@@ -38,6 +42,8 @@ are read, so extra columns cannot clash.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -65,10 +71,40 @@ MAY_HOLD = {
     "phone": lambda t: F.contains(t, F.lit("+")),
 }
 
+#: Characters after which a text is cut into parts.
+PART = 2048
+#: Places that no match and no word crosses: after a character that none of
+#: them holds, and after a space that doesn't stand between two characters of a
+#: number (only numbers hold spaces).
+CUT = r"(?<=[^\p{L}\p{N}._%+@\x20()'-])|(?<=[^0-9\x20().-]\x20)|(?<=\x20)(?=[^0-9\x20().-])"
+
 #: A term: a word of three letters or more.
 TERM = r"[\p{L}][\p{L}\p{N}_'-]{2,}"
 
-_KEY, _ROW, _TEXT, _TERMS, _SPANS, _SALT = (PRIVATE + x for x in ("key", "row", "text", "terms", "spans", "salt"))
+_KEY, _ROW, _TEXT, _TERMS, _PARTS, _SALT = (PRIVATE + x for x in ("key", "row", "text", "terms", "parts", "salt"))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def running(sizes: Column, levels: int = 1, block: int = 64) -> Column:
+    """For each number of an array the sum of those before it. Appending to an
+    array copies it, so sums run within blocks, and over the blocks' totals in
+    the same way, for so many levels."""
+
+    def along(some: Column, first: Column) -> Column:
+        start = F.struct(first.alias("at"), F.array().cast("array<int>").alias("found"))
+        step = lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["found"], F.array(acc["at"])).alias("found"))
+        return F.aggregate(some, start, step, lambda acc: acc["found"])
+
+    if levels == 0:
+        return along(sizes, F.lit(0))
+    last = lambda n: F.greatest(F.floor((F.size(n) - 1) / block).cast("int"), F.lit(0))
+    blocks = let(sizes, lambda n: F.transform(F.sequence(F.lit(0), last(n)), lambda i: F.slice(n, i * block + 1, block)))
+    total = lambda some: F.aggregate(some, F.lit(0), lambda acc, n: acc + n)
+    return let(blocks, lambda some: F.flatten(F.zip_with(some, running(F.transform(some, total), levels - 1, block), along)))
 
 
 def placed(text: Column, pattern: str) -> Column:
@@ -76,20 +112,20 @@ def placed(text: Column, pattern: str) -> Column:
     points from 0."""
     # gaps[i] stands before match i: a match's start is the length of the gaps
     # up to it and of the matches before it.
-    pairs = F.arrays_zip(
-        F.split(text, pattern, -1).alias("gap"),
-        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("value"),
-    )
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<at:int,value:string>>").alias("found"))
+    gaps = F.transform(F.split(text, pattern, -1), lambda gap: F.length(gap))
 
-    def step(acc, pair):
-        at = acc["at"] + F.length(pair["gap"])
-        return F.struct(
-            (at + F.coalesce(F.length(pair["value"]), F.lit(0))).alias("at"),
-            F.when(pair["value"].isNull(), acc["found"]).otherwise(F.concat(acc["found"], F.array(F.struct(at.alias("at"), pair["value"].alias("value"))))).alias("found"),
-        )
+    def of(values: Column, gap: Column) -> Column:
+        ends = F.zip_with(gap, values, lambda g, value: g + F.coalesce(F.length(value), F.lit(0)))
+        return let(running(ends), lambda at: F.transform(values, lambda value, i: F.struct((F.get(at, i) + F.get(gap, i)).alias("at"), value.alias("value"))))
+
+    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda values: let(gaps, lambda gap: of(values, gap)))
 
-    return F.aggregate(pairs, start, step, lambda acc: acc["found"])
+
+def parts(text: Column, size: int = PART) -> Column:
+    """A text cut where no match and no word is cut, at the first such place
+    after ``size`` characters each, as ``array<struct<at, text>>``."""
+    found = F.regexp_extract_all(text, F.lit(rf"(?s).{{{size}}}.*?(?:{CUT}|\z)|.+"), F.lit(0))
+    return let(found, lambda some: F.zip_with(running(F.transform(some, lambda t: F.length(t)), levels=2), some, lambda at, t: F.struct(at.alias("at"), t.alias("text"))))
 
 
 def luhn(digits: Column) -> Column:
@@ -118,8 +154,8 @@ def holds(kind: str, value: Column) -> Column:
 SPANS = "array<struct<start:int,rank:int,stop:int,value:string>>"
 
 
-def base_spans(text: Column) -> Column:
-    """The base spans of a text in order, as ``SPANS``; ``rank`` indexes KINDS."""
+def part_spans(text: Column) -> Column:
+    """The base spans of a part in order, as ``SPANS``; ``rank`` indexes KINDS."""
 
     def of_kind(rank: int, kind: str) -> Column:
         found = F.filter(placed(text, PATTERNS[kind]), lambda m: holds(kind, m["value"]))
@@ -129,6 +165,21 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*(of_kind(rank, kind) for rank, kind in enumerate(KINDS[:4]))))
 
 
+def may_hold(text: Column) -> Column:
+    """Whether a text may hold base spans at all."""
+    return reduce(lambda a, b: a | b, (test(text) for test in MAY_HOLD.values()))
+
+
+def moved(spans: Column, by: Column) -> Column:
+    return F.transform(spans, lambda s: F.struct((s["start"] + by).alias("start"), s["rank"].alias("rank"), (s["stop"] + by).alias("stop"), s["value"].alias("value")))
+
+
+def base_spans(text: Column, size: int = PART) -> Column:
+    """The base spans of a text in order, as ``SPANS``."""
+    spans = F.flatten(F.transform(parts(text, size), lambda p: moved(part_spans(p["text"]), p["at"])))
+    return F.when(may_hold(text), spans).otherwise(F.array().cast(SPANS))
+
+
 def listed(spans: Column) -> Column:
     """``kind:start:end`` of spans in order, joined by commas."""
     name = F.array(*map(F.lit, KINDS))
@@ -147,16 +198,34 @@ def nearby(text: Column, span: Column, window: int) -> Column:
     line_at, rest_at = span["start"] - F.length(line), span["stop"]
     left = F.filter(placed(line, TERM), lambda m: (line_at + m["at"] > low) | (low == 0))
     right = F.filter(placed(rest, TERM), lambda m: m["at"] + F.length(m["value"]) <= window)
-    moved = lambda found, by: F.transform(found, lambda m: F.struct((m["at"] + by).alias("at"), m["value"].alias("value")))
-    return F.concat(moved(left, line_at), moved(right, rest_at))
+    by = lambda found, n: F.transform(found, lambda m: F.struct((m["at"] + n).alias("at"), m["value"].alias("value")))
+    return F.concat(by(left, line_at), by(right, rest_at))
 
 
-def found_spans(docs: DataFrame, text_col: str = "text", window: int = 64) -> DataFrame:
+def found_spans(docs: DataFrame, text_col: str = "text", window: int = 64, size: int = PART) -> DataFrame:
     """Per row: a number of its own, the base spans and, for each base span, the
     terms near it. Numbers hold once the rows are written."""
-    rows = docs.select(filled(text_col).alias(_TEXT)).withColumn("spans", base_spans(F.col(_TEXT)))
-    near = F.transform("spans", lambda s: nearby(F.col(_TEXT), s, window))
-    return rows.select(F.monotonically_increasing_id().alias(_ROW), "spans", F.when(F.size("spans") > 0, near).alias("near"))
+    edge = window + 2
+
+    def of(some: Column) -> Column:
+        """A part's spans in the text and, from the part and the ends of those
+        beside it, the terms near them."""
+
+        def part(p: Column, i: Column) -> Column:
+            # One place more than looked at: a part's edge isn't taken for the text's.
+            before = F.coalesce(F.right(F.get(some, i - 1)["text"], F.lit(edge)), F.lit(""))
+            after = F.coalesce(F.left(F.get(some, i + 1)["text"], F.lit(edge)), F.lit(""))
+            place = lambda s, by: F.struct((s["start"] + by).alias("start"), (s["stop"] + by).alias("stop"))
+            near = lambda spans: let(F.concat(before, p["text"], after), lambda wide: let(F.length(before), lambda by: F.transform(spans, lambda s: nearby(wide, place(s, by), window))))
+            none = F.array().cast("array<array<struct<at:int,value:string>>>")
+            return let(part_spans(p["text"]), lambda spans: F.struct(moved(spans, p["at"]).alias("spans"), F.when(F.size(spans) > 0, near(spans)).otherwise(none).alias("near")))
+
+        return F.transform(some, part)
+
+    text = F.col(_TEXT)
+    found = docs.select(filled(text_col).alias(_TEXT)).select(F.monotonically_increasing_id().alias(_ROW), F.when(may_hold(text), let(parts(text, max(size, edge)), of)).alias("parts"))
+    spans = F.flatten(F.transform("parts", lambda p: p["spans"]))
+    return found.select(_ROW, F.coalesce(spans, F.array().cast(SPANS)).alias("spans"), F.when(F.size(spans) > 0, F.flatten(F.transform("parts", lambda p: p["near"]))).alias("near"))
 
 
 def pool(rank: Column, value: Column) -> Column:
@@ -189,6 +258,11 @@ def of_these(words: DataFrame, terms: DataFrame, bits: int = 24) -> DataFrame:
     return words.filter(F.get(table.scalar(), at.cast("int")).bitwiseAND(bit) != 0)
 
 
+def power(n: Column | str) -> Column:
+    """The power of two that a number reaches."""
+    return F.length(F.bin(n)) - 1
+
+
 def disclosing(docs: DataFrame, found: DataFrame, text_col: str = "text", disclosure: float = 0.8, chance: float = 0.01) -> DataFrame:
     """The pairs (entity, term) in which the term discloses the entity or pool."""
     s = F.col("s.spans")
@@ -207,26 +281,27 @@ def disclosing(docs: DataFrame, found: DataFrame, text_col: str = "text", disclo
         return n.join(c, by).withColumn(contexts, F.least(texts, contexts))
 
     pairs = written(counted(near.select("entity", _ROW, "context", F.explode("terms").alias("term")), ["entity", "term"], "df_te", "x"), "pii-pairs")
-    entities = counted(near, ["entity"], "df_e", "c").join(pairs.groupBy("entity").agg(F.count(F.lit(1)).alias("tried")), "entity")
-    total = found.agg(F.count(F.lit(1)).alias("total"))
-    asked = written(pairs.select("term").distinct(), "pii-asked")
-    # An inner join, which stays above the counting: its rows are the terms asked for.
-    words = of_these(docs.select(F.explode(words_of(filled(text_col))).alias("term")), asked)
-    term_df = words.groupBy("term").agg(F.count(F.lit(1)).alias("df_t")).join(asked, "term")
+    entities = counted(near, ["entity"], "df_e", "c")
+    term_df = written(docs.select(F.explode(words_of(filled(text_col))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df_t")), "pii-terms-of-all")
+    # How many terms there are by powers of two of their texts: at most 64 numbers.
+    sizes = term_df.groupBy(power("df_t").alias("power")).agg(F.count(F.lit(1)).alias("terms")).agg(F.collect_list(F.struct("power", "terms")).alias("sizes"))
+    total = found.agg(F.count(F.lit(1)).alias("total")).crossJoin(F.broadcast(sizes))
     c, x = F.col("c"), F.col("x")
     texts = F.col("total") - (F.col("df_e") - c)
     n = F.col("df_t") - (F.col("df_te") - x)
-    scored = pairs.join(entities, "entity").join(term_df, "term").crossJoin(F.broadcast(total)).select("entity", "term", "tried", c, x, n.alias("n"), texts.alias("texts"), (c / texts).alias("p"))
+    scored = pairs.join(entities, "entity").join(term_df, "term").crossJoin(F.broadcast(total)).select("entity", "term", "sizes", c, x, n.alias("n"), texts.alias("texts"), (c / texts).alias("p"))
     n, p = F.col("n"), F.col("p")
+    alike = F.filter("sizes", lambda s: s["power"].between(power(x), power(n)))
+    tried = F.aggregate(alike, F.lit(0).cast("long"), lambda acc, s: acc + s["terms"])
     ic, pmi = -F.log(p), F.log(x / ((n + 1) * p))
     missed = F.when(n > x, (n - x) * F.log((1 - p) * n / (n - x))).otherwise(0.0)
-    bound = x * F.log(p * n / x) + missed + F.log("tried")
+    bound = x * F.log(p * n / x) + missed + F.log(F.greatest(tried, F.lit(1)))
     return scored.filter((p < 1) & (x > n * p)).filter((pmi >= disclosure * ic) & (bound <= math.log(chance))).select("entity", "term")
 
 
 def marks(text: Column, terms: Column) -> Column:
-    """All places of some terms in a text, as ``SPANS``, in time linear in the
-    text: a string of its length has ``xyy..`` where they stand."""
+    """All places of some terms in a part, as ``SPANS``: a string of its length
+    has ``xyy..`` where they stand."""
     dots = lambda t: F.regexp_replace(t, r"(?s).", ".")
     parts = F.zip_with(
         F.split(text, TERM, -1),
@@ -238,8 +313,9 @@ def marks(text: Column, terms: Column) -> Column:
 
 
 def spanned(docs: DataFrame, text_col: str = "text", window: int = 64, disclosure: float = 0.8, chance: float = 0.01, salts: int = 32) -> DataFrame:
-    """``docs`` with a key of the text and the spans, base and added."""
-    text, spans = filled(text_col), base_spans(filled(text_col))
+    """``docs`` with a key of the text and its parts, each with its place, text
+    and spans, base and added, placed in the part."""
+    text = filled(text_col)
     found = written(found_spans(docs, text_col, window), "pii-found")
     terms = written(disclosing(docs, found, text_col, disclosure, chance).select("term").distinct(), "pii-terms")
     # Texts that share a key share their terms: only those that a text holds are
@@ -248,20 +324,31 @@ def spanned(docs: DataFrame, text_col: str = "text", window: int = 64, disclosur
     hits = of_these(words, terms).join(terms, "term", "left_semi").groupBy(_KEY).agg(F.collect_set("term").alias(_TERMS))
     # A text with many copies goes to as many tasks as there are salts.
     hits = hits.select(_KEY, _TERMS, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias(_SALT))
-    # Words inside a base span are that span's already.
-    inside = lambda t: F.exists(_SPANS, lambda s: (t["start"] < s["stop"]) & (s["start"] < t["stop"]))
-    rows = docs.withColumn(_KEY, F.xxhash64(text)).withColumn(_SALT, F.spark_partition_id() % salts).join(hits, [_KEY, _SALT], "left").withColumn(_SPANS, spans)
-    both = F.array_sort(F.concat(_SPANS, F.filter(marks(text, F.col(_TERMS)), lambda t: ~inside(t))))
-    return rows.withColumn(_SPANS, F.when(F.col(_TERMS).isNull(), F.col(_SPANS)).otherwise(both)).select(*docs.columns, _KEY, _SPANS)
+    rows = docs.withColumn(_KEY, F.xxhash64(text)).withColumn(_SALT, F.spark_partition_id() % salts).join(hits, [_KEY, _SALT], "left")
+
+    def with_terms(part: Column, spans: Column) -> Column:
+        # Words inside a base span are that span's already.
+        inside = lambda t: F.exists(spans, lambda s: (t["start"] < s["stop"]) & (s["start"] < t["stop"]))
+        added = lambda some: F.array_sort(F.concat(spans, F.filter(marks(part, some), lambda t: ~inside(t))))
+        return let(F.array_intersect(_TERMS, words_of(part)), lambda some: F.when(F.size(some) > 0, added(some)).otherwise(spans))
+
+    def part(p: Column) -> Column:
+        spans = let(part_spans(p["text"]), lambda base: F.when(F.col(_TERMS).isNull(), base).otherwise(with_terms(p["text"], base)))
+        return F.struct(p["at"].alias("at"), p["text"].alias("text"), spans.alias("spans"))
+
+    whole = F.array(F.struct(F.lit(0).alias("at"), text.alias("text"), F.array().cast(SPANS).alias("spans")))
+    some = F.when(may_hold(text) | F.col(_TERMS).isNotNull(), F.transform(parts(text), part)).otherwise(whole)
+    return rows.withColumn(_PARTS, some).select(*docs.columns, _KEY, _PARTS)
 
 
 def pii_spans(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None, **options) -> DataFrame:
     """Per row: its kept columns, a key of its text and ``spans``, base and added."""
-    return spanned(docs, text_col, **options).select(*(keep or []), _KEY, F.col(_SPANS).alias("spans"))
+    spans = F.flatten(F.transform(_PARTS, lambda p: moved(p["spans"], p["at"])))
+    return spanned(docs, text_col, **options).select(*(keep or []), _KEY, spans.alias("spans"))
 
 
 def redacted(text: Column, spans: Column) -> Column:
-    """The text with each span replaced by its kind in brackets; of overlapping
+    """A part with each span replaced by its kind in brackets; of overlapping
     spans the first stands for all it reaches into."""
     mark = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
@@ -281,4 +368,5 @@ def sanitised(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """``docs`` with personal data and disclosing terms removed from the text.
     Only texts with spans are rewritten."""
     rows = spanned(docs, text_col, **options)
-    return rows.withColumn(text_col, F.when(F.size(_SPANS) == 0, F.col(text_col)).otherwise(redacted(filled(text_col), F.col(_SPANS)))).select(*docs.columns)
+    clean = F.array_join(F.transform(_PARTS, lambda p: F.when(F.size(p["spans"]) == 0, p["text"]).otherwise(redacted(p["text"], p["spans"]))), "")
+    return rows.withColumn(text_col, F.when(F.exists(_PARTS, lambda p: F.size(p["spans"]) > 0), clean).otherwise(F.col(text_col))).select(*docs.columns)

@@ -121,7 +121,7 @@ def disclosing(texts, window=64, disclosure=0.8, chance=0.01):
                 for term in near:
                     p_rows[entity, term].add(row)
                     p_contexts[entity, term].add(tuple(near))
-    tried = Counter(entity for entity, _ in p_rows)
+    sizes = Counter(len(rows).bit_length() for rows in df.values())
     found = set()
     for (entity, term), rows in p_rows.items():
         c, x = min(len(e_contexts[entity]), len(e_rows[entity])), min(len(p_contexts[entity, term]), len(rows))
@@ -131,7 +131,8 @@ def disclosing(texts, window=64, disclosure=0.8, chance=0.01):
         if p >= 1 or x <= n * p:
             continue
         ic, pmi = -math.log(p), math.log(x / ((n + 1) * p))
+        tried = max(1, sum(sizes[k] for k in range(x.bit_length(), n.bit_length() + 1)))
         missed = (n - x) * math.log((1 - p) * n / (n - x)) if n > x else 0
-        if pmi >= disclosure * ic and x * math.log(p * n / x) + missed + math.log(tried[entity]) <= math.log(chance):
+        if pmi >= disclosure * ic and x * math.log(p * n / x) + missed + math.log(tried) <= math.log(chance):
             found.add((entity, term))
     return found

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -139,6 +140,56 @@ def test_base_spans_equal_the_plain_patterns(spark, documents):
     df = spark.createDataFrame([(t,) for t in texts], "text string").union(documents.select("text"))
     got = df.select("text", pii.listed(pii.base_spans(F.coalesce("text", F.lit("")))).alias("s")).collect()
     assert [(r.text, r.s) for r in got if r.s != ",".join(plain.base_spans(r.text))] == []
+    # The same where a text is cut into parts of a few characters.
+    got = df.select("text", pii.listed(pii.base_spans(F.coalesce("text", F.lit("")), size=3)).alias("s")).filter("length(text) < 6000").collect()
+    assert len(got) > 400 and [(r.text, r.s) for r in got if r.s != ",".join(plain.base_spans(r.text))] == []
+
+
+def test_parts_cut_no_word_and_give_the_text(spark, documents):
+    draw = random.Random(5)
+    texts = ["".join(draw.choice("aé中1.@+ -()'_,\n") for _ in range(draw.randrange(90))) for _ in range(200)] + ["", "x" * 7000]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").union(documents.select("text").filter("text is not null"))
+    for row in df.select("text", pii.parts(F.col("text"), 5).alias("p")).collect():
+        assert "".join(p.text for p in row.p) == row.text and [p.at for p in row.p] == [sum(len(q.text) for q in row.p[:i]) for i in range(len(row.p))]
+        assert sorted(m[0] for p in row.p for m in plain.TERM.finditer(p.text)) == sorted(m[0] for m in plain.TERM.finditer(row.text))
+
+
+def test_running_sums(spark):
+    rows = [(list(range(n)),) for n in (0, 1, 63, 64, 65, 300)]
+    for levels in (0, 1, 2):
+        for r in spark.createDataFrame(rows, "n array<int>").select("n", pii.running(F.col("n"), levels, 4).alias("s")).collect():
+            assert r.s == [sum(r.n[:i]) for i in range(len(r.n))]
+
+
+def many_spans(n, gap):
+    """A text of so many addresses, in order mails, numbers and cards."""
+    return gap.join(f"name{i}@host{i % 977}.example.com call +49 30 {1000000 + i} or 10.{i % 256}.0.{i // 256 % 256}" for i in range(n // 3))
+
+
+def test_many_spans_in_one_text_take_linear_time(spark):
+    def took(n, gap):
+        docs = spark.createDataFrame([(1, many_spans(n, gap)), (2, "no address here")], "doc_id long, text string").coalesce(1)
+        start = time.time()
+        found = {r.doc_id: r.n for r in pii.pii_spans(docs, keep=["doc_id"]).select("doc_id", F.size("spans").alias("n")).collect()}
+        assert found == {1: n // 3 * 3, 2: 0}
+        clean = {r.doc_id: r.text for r in pii.sanitised(docs).collect()}
+        assert "@" not in clean[1] and clean[1].count("[EMAIL]") == n // 3 and clean[2] == "no address here"
+        return time.time() - start
+
+    took(300, "\n")
+    assert took(12_000, "; ") < 4 * took(6_000, "\n") + 5
+
+
+def test_entities_at_random_places_disclose_nothing(documents):
+    texts = [r.text or "" for r in documents.orderBy("doc_id").collect()]
+    draw, moved = random.Random(9), list(texts)
+    for t in texts:
+        for kind, a, b in (s.split(":") for s in plain.base_spans(t)):
+            i = draw.randrange(len(moved))
+            at = draw.randrange(len(moved[i]) + 1)
+            at += len(moved[i][at:]) - len(moved[i][at:].lstrip("".join(c for c in set(moved[i]) if not c.isspace())))
+            moved[i] = f"{moved[i][:at]} {t[int(a):int(b)]} {moved[i][at:]}"
+    assert plain.disclosing(moved) == set()
 
 
 def test_terms_that_disclose_are_found_and_others_left(spark):
@@ -184,8 +235,12 @@ def test_a_disclosing_term_is_marked_wherever_it_stands(spark):
 
 
 def test_disclosing_pairs_equal_the_plain_count(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    got = pii.disclosing(docs, pii.written(pii.found_spans(docs), "found"))
+    # The table's words are invented: what discloses an entity in it is added.
+    said = ["reach {} of wolfgang", "the wolfgang desk is {}", "ask wolfgang via {}", "call wolfgang with {} at the desk", "{} trillian"]
+    held = {"wolfgang": "w@corp.example.com", "zaphod": "+49 30 12345678", "marvin": "10.1.2.3"}
+    added = spark.createDataFrame([(s.format(e).replace("wolfgang", w),) for s in said for w, e in held.items()], "text string")
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").union(added)
+    got = pii.disclosing(docs, pii.written(pii.found_spans(docs, size=70), "found"))
     expected = plain.disclosing([r.text or "" for r in docs.select("text").collect()])
     assert {tuple(r) for r in got.collect()} == expected and expected
 
