@@ -11,8 +11,10 @@ probability. A filter's weights are a number per place and byte value, so
 running it is adding up table rows.
 
 The model is fitted by gradient descent on the driver on at most
-``sample_rows`` labelled rows (the bound is a parameter; rows are chosen by a
-hash of their id) and then scores every document in its partition. Only the
+``sample_rows`` labelled rows and ``sample_bytes`` of text, of texts of at most
+``longest`` bytes each (the bounds are parameters; rows are chosen by a hash of
+their id). Texts are run in windows there as well, and gradients go through the
+best chunks only. The model scores every document in its partition. Only the
 text enters a score.
 
 Defined results: null and empty texts are scored as one step over padding;
@@ -28,7 +30,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm.shared import PRIVATE, filled
@@ -80,16 +82,24 @@ class ByteNet:
         sums = np.concatenate([np.zeros((1, held.shape[1])), np.cumsum(held, axis=0, dtype=np.float64)])
         return (sums[starts + size] - sums[starts]) / size
 
-    def features(self, text: str) -> np.ndarray:
-        """Each unit's largest value over the chunks."""
-        data = self.padded(text)
+    def tops(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each unit's largest value over the chunks of a padded text, before it
+        is rectified, and the first step of the chunk that has it, worked out in
+        windows of chunks."""
         starts = self.starts((len(data) - len(self.table)) // self.stride + 1)
-        best = np.zeros(len(self.out))
+        best, first, units = np.full(len(self.out), -np.inf), np.zeros(len(self.out), np.int64), np.arange(len(self.out))
         for at in range(0, len(starts), self.window):
             some = starts[at : at + self.window]
             low, high = some[0] * self.stride, (some[-1] + self.chunk - 1) * self.stride + len(self.table)
-            np.maximum(best, (self.means(self.steps(data[low:high]), some - some[0]) @ self.mix + self.mix_bias).max(axis=0), out=best)
-        return best
+            mixed = self.means(self.steps(data[low:high]), some - some[0]) @ self.mix + self.mix_bias
+            top = mixed.argmax(axis=0)
+            more = mixed[top, units] > best
+            best, first = np.where(more, mixed[top, units], best), np.where(more, some[top], first)
+        return best, first
+
+    def features(self, text: str) -> np.ndarray:
+        """Each unit's largest value over the chunks."""
+        return np.maximum(self.tops(self.padded(text))[0], 0)
 
     def score(self, text: str) -> float:
         z = float(self.features(text) @ self.out) + self.out_bias
@@ -108,12 +118,10 @@ def gradients(net: ByteNet, data: list[np.ndarray], labels: np.ndarray) -> tuple
     found = {name: np.zeros(np.shape(getattr(net, name))) for name in LEARNED}
     table = found["table"].reshape(width, -1)
     for bytes_, label in zip(data, labels):
-        held = net.steps(bytes_)
-        starts, size = net.starts(len(held)), min(net.chunk, len(held))
-        means = net.means(held, starts)
-        mixed = means @ net.mix + net.mix_bias
-        top = mixed.argmax(axis=0)
-        best = np.maximum(mixed[top, units], 0)
+        # Forward in windows; back through the best chunks only.
+        most, first = net.tops(bytes_)
+        best = np.maximum(most, 0)
+        size = min(net.chunk, (len(bytes_) - width) // net.stride + 1)
         z = np.clip(best @ net.out + net.out_bias, -60, 60)
         total += np.logaddexp(0, -z if label else z)
         error = (1 / (1 + np.exp(-z)) - label) / len(data)
@@ -121,10 +129,11 @@ def gradients(net: ByteNet, data: list[np.ndarray], labels: np.ndarray) -> tuple
         found["out_bias"] += error
         d_mixed = np.where(best > 0, error * net.out, 0.0)
         found["mix_bias"] += d_mixed
-        found["mix"] += means[top].T * d_mixed
         # The steps of each unit's best chunk, where the filter is active.
-        rows = (starts[top][:, None] + np.arange(size)).ravel()
-        grad = np.repeat((net.mix * d_mixed).T / size, size, axis=0) * (held[rows] > 0)
+        rows = (first[:, None] + np.arange(size)).ravel()
+        held = np.concatenate([net.steps(bytes_[at * net.stride : (at + size - 1) * net.stride + width]) for at in first])
+        found["mix"] += held.reshape(len(units), size, filters).mean(axis=1, dtype=np.float64).T * d_mixed
+        grad = np.repeat((net.mix * d_mixed).T / size, size, axis=0) * (held > 0)
         found["bias"] += grad.sum(axis=0)
         for place in range(width):
             spot = bytes_[rows * net.stride + place].astype(np.int64)[:, None] * filters + columns
@@ -174,14 +183,19 @@ def held_out(id_col: str = "doc_id", folds: int = 5) -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(folds)) == 0, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = 4000, **options) -> ByteNet:
-    """Fit on at most ``sample_rows`` labelled rows that aren't held out."""
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = 4000, sample_bytes: int = 48 << 20, longest: int = 1 << 20, **options) -> ByteNet:
+    """Fit on at most ``sample_rows`` labelled rows that aren't held out, none
+    of more than ``longest`` bytes, with at most ``sample_bytes`` in all."""
+    label, size, text, rank = (PRIVATE + x for x in ("label", "size", "text", "rank"))
     known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
-    known = known.groupBy(id_col).agg(F.avg(label_col).alias(PRIVATE + "label"))
-    chosen = known.orderBy(F.xxhash64(id_col), id_col).limit(sample_rows)
-    # At most ``sample_rows`` rows of two numbers.
-    rows = docs.select(id_col, filled(text_col).alias(PRIVATE + "text")).join(F.broadcast(chosen), id_col)
-    rows = rows.groupBy(id_col).agg(F.min(PRIVATE + "text"), F.first(PRIVATE + "label")).orderBy(id_col).collect()
+    known = known.groupBy(id_col).agg(F.avg(label_col).alias(label))
+    sizes = docs.select(id_col, F.octet_length(filled(text_col)).alias(size)).join(known, id_col).groupBy(id_col, label).agg(F.max(size).alias(size))
+    first = sizes.filter(F.col(size) <= longest).withColumn(rank, F.xxhash64(id_col)).orderBy(rank, id_col).limit(sample_rows)
+    # At most ``sample_rows`` rows of a few numbers, here and in the broadcast.
+    in_all = F.sum(size).over(Window.orderBy(rank, id_col).rowsBetween(Window.unboundedPreceding, 0))
+    chosen = first.withColumn(size, in_all).filter(F.col(size) <= sample_bytes).select(id_col, label)
+    rows = docs.select(id_col, filled(text_col).alias(text)).join(F.broadcast(chosen), id_col)
+    rows = rows.groupBy(id_col).agg(F.min(text), F.first(label)).orderBy(id_col).collect()
     return fit([r[1] for r in rows], np.array([float(r[2] >= 0.5) for r in rows]), **options)
 
 

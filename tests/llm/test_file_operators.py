@@ -6,6 +6,7 @@ import io
 import math
 import re
 import tarfile
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -368,6 +369,34 @@ def test_gradients_equal_differences():
             assert found[name][at] == pytest.approx((ends[0] - ends[1]) / (2 * step), abs=1e-6)
 
 
+def test_gradients_of_a_long_text_need_little_memory():
+    net = small_net()
+    data = [net.padded("good text, and more of it. " * 200_000), net.padded("BAD!! " * 9)]
+    tracemalloc.start()
+    whole = quality.gradients(net, data, np.array([1.0, 0.0]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40 << 20
+    small = quality.gradients(dataclasses.replace(net, window=50), data, np.array([1.0, 0.0]))
+    assert whole[0] == pytest.approx(small[0]) and all(np.allclose(whole[1][k], small[1][k], atol=1e-9) for k in quality.LEARNED)
+
+
+def test_training_takes_rows_within_its_bounds(spark):
+    rows = [(i, "some text " * 5) for i in range(30)] + [(100, "x" * 3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[0] % 2) for r in rows], "doc_id long, quality int")
+    seen = []
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(quality, "fit", lambda texts, labels: seen.append(texts))
+        quality.train(docs, labels)
+        quality.train(docs, labels, longest=2999)
+        quality.train(docs, labels, longest=2999, sample_bytes=525)
+        quality.train(docs, labels, sample_rows=3)
+    free = sum(zlib.crc32(str(r[0]).encode()) % 5 != 0 for r in rows)
+    held = zlib.crc32(b"100") % 5 == 0
+    assert [len(t) for t in seen] == [free, free - (not held), 10, 3]
+
+
 def test_repeated_ids_give_one_model(spark):
     rows = [(i, f"{w} text {i} " * 20) for i in range(20) for w in ("some", "other")]
     labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, quality int")
