@@ -10,7 +10,9 @@ element is more than one half.
 Weights are trained by the gradient of the conditional likelihood (what labels
 say minus what the marginals expect) on labelled pages: those whose markup
 names its main part by ``article`` or ``main``. In that part, elements outside
-navigation, forms, comments and the like are content, everything else isn't.
+navigation, forms, comments and the like are content, everything else isn't;
+an element whose class only may mean such a thing is judged by whether it holds
+text that runs.
 Half of the time a training page is shown with such names taken away, so that
 the model also learns from text, links and place; and each is also shown with
 comments, a form or the like put into its main part, with that part cut short,
@@ -40,20 +42,24 @@ from pyspark.sql import functions as F
 from graphloom.llm.shared import PRIVATE, filled
 
 #: Elements of HTML by how they are read.
-INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 #: Their content is no text of the page.
-SILENT = set("script style noscript template svg math iframe object textarea select option button title head canvas audio video".split())
+SILENT = set("script style noscript template svg math iframe object textarea select option button label title head canvas audio video".split())
 #: What an open head can hold; any other start tag, or text, ends it.
 HEAD = set("base basefont bgsound head html link meta noframes noscript script style template title".split())
 RAW = set("script style textarea title noscript iframe".split())
 NAMED = "article main section header footer nav aside form ul ol li dl table tr td th p h1 h2 h3 h4 h5 h6 blockquote pre figure figcaption div body html".split()
 #: An open element on the left ends where one on the right begins.
-ENDS = {"p": set("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split()), "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}}
+ENDS = {"p": set("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split()), "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "label": set("div h1 h2 h3 h4 h5 h6 hr li ol p pre section table ul".split())}
 #: Where an implied end looks no further outwards.
 WALLS = set("ul ol dl table article section div nav aside footer header main form body html".split())
 AWAY = set("nav header footer aside form menu dialog fieldset".split())
-HINT = re.compile(r"(?i)(?:^|[\s_-])(?:ad|ads|advert\w*|banner|breadcrumb\w*|comment\w*|cookie\w*|footer|header|masthead|menu|modal|nav\w*|newsletter|notice|popup|promo\w*|related|share|sharing|sidebar|social|sponsor\w*|subscribe|toolbar|widget)(?:$|[\s_-])")
+#: Words of classes and ids. The first name what isn't content; the others also stand for subjects
+#: ("related work"), so that what such an element holds has to say the same.
+STRONG = "ad ads advert\\w* breadcrumb\\w* comment\\w* cookie\\w* footer masthead nav\\w* newsletter popup promo\\w* sidebar sponsor\\w* subscribe toolbar"
+WEAK = "banner header menu modal notice related share sharing social widget"
+HINT, MAYBE = (re.compile(rf"(?i)(?:^|[\s_-])(?:{words.replace(' ', '|')})(?:$|[\s_-])") for words in (STRONG, WEAK))
 
 _HINTED = re.compile(r"(?i)\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
 
@@ -98,12 +104,27 @@ def tags(source: str) -> Iterator[tuple[int, int, bool, str, str]]:
         at = source.find("<", following)
 
 
+def hint(tag: str, attributes: str) -> int:
+    """What an element's class, id and role say: 2 no content, 1 perhaps none,
+    0 nothing. Those of a page's body or main part say nothing of it (they tell
+    of what stands beside it), headings aren't doubted for a word."""
+    if tag in ("body", "main"):
+        return 0
+    said = [next(filter(None, h.groups()), "") for h in _HINTED.finditer(attributes)]
+    if any(map(HINT.search, said)):
+        return 2
+    return int(tag not in _HEADINGS and any(map(MAYBE.search, said)))
+
+
+_HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+
+
 class Element:
     """A block element: what the model sees of it, and its text."""
 
     __slots__ = ("tag", "parent", "hinted", "chars", "linked", "stops", "before", "children", "depth")
 
-    def __init__(self, tag: str, parent: int, hinted: bool, depth: int, before: int):
+    def __init__(self, tag: str, parent: int, hinted: int, depth: int, before: int):
         self.tag, self.parent, self.hinted, self.depth, self.before = tag, parent, hinted, depth, before
         self.chars = self.linked = self.stops = self.children = 0
 
@@ -111,7 +132,7 @@ class Element:
 def read_page(source: str) -> tuple[list[Element], list[tuple[int, str]]]:
     """Block elements in page order (parents first) and blocks of text, each
     with the number of its element."""
-    elements = [Element("html", -1, False, 0, 0)]
+    elements = [Element("html", -1, 0, 0, 0)]
     blocks: list[tuple[int, str]] = []
     stack: list[tuple[str, int]] = [("html", 0)]  # open elements: tag, number of the block element
     pieces: list[str] = []
@@ -212,7 +233,7 @@ def read_page(source: str) -> tuple[list[Element], list[tuple[int, str]]]:
         parent = stack[-1][1]
         if tag == "html":
             continue
-        hinted = bool(attributes) and any(HINT.search(next(filter(None, h.groups()), "")) for h in _HINTED.finditer(attributes))
+        hinted = hint(tag, attributes) if attributes else 0
         elements[parent].children += 1
         elements.append(Element(tag, parent, hinted, elements[parent].depth + 1, seen))
         begun.add(tag)
@@ -226,23 +247,40 @@ def read_page(source: str) -> tuple[list[Element], list[tuple[int, str]]]:
 _STOPS = re.compile(r"[.!?,;:]")
 
 
-def features(elements: list[Element], nameless: bool = False) -> list[tuple]:
-    """Each element's active features; ``nameless`` as if names said nothing."""
+def totals(elements: list[Element]) -> list[list[int]]:
+    """Characters, those in links, and stops of each element with all below it."""
     total = [[e.chars, e.linked, e.stops] for e in elements]
     for i in range(len(elements) - 1, 0, -1):
         for k in range(3):
             total[elements[i].parent][k] += total[i][k]
+    return total
+
+
+#: From how many characters on a text runs.
+RUNNING = 200
+
+
+def runs(chars: int, linked: int, stops: int) -> bool:
+    """Whether it is text that runs: long, in sentences, with few links."""
+    return chars >= RUNNING and 5 * linked < chars and 200 * stops >= chars
+
+
+def features(elements: list[Element], nameless: bool = False) -> list[tuple]:
+    """Each element's active features; ``nameless`` as if names said nothing."""
+    total = totals(elements)
+    share = [min(4, 5 * linked // max(chars, 1)) if chars else -1 for chars, linked, _ in total]
     whole = max(total[0][0], 1)
     found = []
-    for e, (chars, linked, stops) in zip(elements, total):
+    for i, (e, (chars, linked, stops)) in enumerate(zip(elements, total)):
         tag = e.tag if e.tag in _NAMED else "other"
         if nameless and tag in _SECTIONS:
             tag = "div"
         found.append((
             ("tag", tag),
-            ("hint", e.hinted and not nameless),
+            ("hint", 0 if nameless else e.hinted if e.hinted != 1 or not runs(chars, linked, stops) else 0),
             ("chars", min(9, int(math.log2(chars + 1)))),
-            ("links", min(4, 5 * linked // max(chars, 1)) if chars else -1),
+            ("links", share[i]),
+            ("links around", share[i], share[max(e.parent, 0)]),
             ("stops", min(5, 100 * stops // max(chars, 1)) if chars else -1),
             ("share", 4 * chars // whole),
             ("place", 4 * e.before // whole),
@@ -254,7 +292,7 @@ def features(elements: list[Element], nameless: bool = False) -> list[tuple]:
 _NAMED, _SECTIONS = set(NAMED), set("article main section header footer nav aside".split())
 
 #: The weights before any training: what the names themselves say.
-START = {("tag", "article"): 2.0, ("tag", "main"): 2.0, ("tag", "p"): 1.0, ("hint", True): -3.0, ("links", 4): -1.0} | {("tag", t): -3.0 for t in ("nav", "header", "footer", "aside", "form")}
+START = {("tag", "article"): 2.0, ("tag", "main"): 2.0, ("tag", "p"): 1.0, ("hint", 2): -3.0, ("hint", 1): -2.0, ("links", 4): -1.0} | {("tag", t): -3.0 for t in ("nav", "header", "footer", "aside", "form")}
 
 
 class TreeModel:
@@ -338,28 +376,35 @@ def page_labels(elements: list[Element]) -> list[int] | None:
     """Labels from a page's own names; None if no element is named main."""
     if not any(e.tag in ("article", "main") for e in elements):
         return None
-    main, away = [False] * len(elements), [False] * len(elements)
+    main, away, total = [False] * len(elements), [False] * len(elements), totals(elements)
     for i, e in enumerate(elements):
         main[i] = e.tag in ("article", "main") or e.parent >= 0 and main[e.parent]
-        away[i] = e.tag in AWAY or e.hinted or e.parent >= 0 and away[e.parent]
+        doubted = e.hinted == 2 or e.hinted == 1 and not runs(*total[i])
+        # A class of what stands around the main part ("with-sidebar") says nothing of it.
+        away[i] = e.tag in AWAY or main[i] and doubted or e.parent >= 0 and away[e.parent]
     return [int(m and not a) for m, a in zip(main, away)]
 
 
 #: What training pages may lack: containers inside the main part that aren't content.
-INTRUDERS = ("div class='comments'", "form", "aside", "div class='share'", "section id='related'", "nav", "div class='newsletter'", "footer", "div class='sidebar'", "header", "div class='cookie notice'", "section class='comment-list'")
+#: Those that end in a space hold links.
+INTRUDERS = ("div class='comments'", "form", "aside", "div class='share' ", "section id='related' ", "nav ", "div class='newsletter'", "footer", "div class='sidebar'", "header", "div class='cookie notice'", "section class='comment-list'", "div class='nav' ")
 _MAIN = re.compile(r"(?i)<(?:article|main)\b[^>]*>")
 _MAIN_END = re.compile(r"(?i)</(?:article|main)\s*>")
 
 
 def intruded(page: str, number: int, texts: list[str]) -> str:
-    """The page with a container of other pages' text put at the start or the
-    end of its main part."""
+    """The page with a container of other pages' text put before its main part
+    or at that part's start or end."""
     opening = INTRUDERS[number % len(INTRUDERS)]
     some = [texts[(7 * number + k) % len(texts)] for k in range(1 + number % 3)] if texts else ["text"]
-    block = f"<{opening}>" + "".join(f"<p>{entities.escape(t)}</p>" for t in some) + f"</{opening.split()[0]}>"
+    shape = "<p>{}</p>"
+    if opening.endswith(" "):
+        shape = ("<a href='#'>{}</a> ", "<p><a href='#'>{}</a></p>", "<li><a href='#'>{}</a></li>")[number // 2 % 3]
+        some = [" ".join(t.split()[: 1 + (number + k) % 4]) for k, t in enumerate(some)]
+    block = f"<{opening}>" + "".join(shape.format(entities.escape(t)) for t in some) + f"</{opening.split()[0]}>"
     ends = [m.start() for m in _MAIN_END.finditer(page)]
     first = _MAIN.search(page)
-    at = ends[-1] if ends and number % 2 else first.end()
+    at = ends[-1] if ends and number % 2 else first.start() if number % 4 else first.end()
     return page[:at] + block + page[at:]
 
 
@@ -380,6 +425,8 @@ SHAPES = (
     "<p>{0}</p>", "<h2>{1}</h2><p>{0}</p>", "<ul><li>{0}</li><li>{1}</li></ul>", "<table><tr><th>{1}</th><td>{2}</td></tr><tr><td>{2}</td><td>{0}</td></tr></table>",
     "<pre>{0}</pre>", "<blockquote><p>{0}</p></blockquote>", "<section id='{2}'><h3>{1}</h3><p>{0}</p></section>", "<div>{0}</div>", "<p>{0}</p>",
     "<dl><dt>{1}</dt><dd>{0}</dd></dl>", "<figure><figcaption>{1}</figcaption></figure><p>{0}</p>", "<ol><li><p>{0}</p></li></ol>", "<div><div><p>{0}</p></div></div>",
+    "<p><a href='#'>{1}</a></p><p>{0}</p>", "<p>{0}</p><ul><li><a href='#'>{1}</a></li></ul>", "<p>{0} <a href='#'>{1}</a></p>",
+    "<p>{0}</p><h2>{1}</h2><ol><li><a href='#'>{1}, {2}</a></li><li><a href='#'>{2} {1}</a></li></ol>", "<section class='related {2}'><h2>{1}</h2><p>{0}</p></section>",
 )
 
 
@@ -389,6 +436,8 @@ def reshaped(number: int, blocks: list[str]) -> str:
     for k, text in enumerate(blocks):
         words = text.split()
         shape = SHAPES[(number + k * (1 + number % 5)) % len(SHAPES)]
+        if "related" in shape and not runs(len(text), 0, len(_STOPS.findall(text))):
+            shape = SHAPES[0]
         out.append(shape.format(*map(entities.escape, (text, " ".join(words[: 1 + (number + k) % 7]), words[-1].strip("'\"") if words else "x"))))
     return "".join(out)
 

@@ -287,6 +287,12 @@ def test_page_details(spark, data, page, text):
 
 WORDS = " ".join(f"lorem{i % 37} ipsum," if i % 9 == 0 else f"dolor{i % 53}" for i in range(200)) + "."
 NAV = "<nav><a href=/>Home</a> <a href=/b>Blog</a></nav>"
+
+
+def article(inside):
+    return f"{NAV}<article><h1>T</h1><p>{WORDS}</p>{inside}</article><footer>c 2020</footer>"
+
+
 PROBES = {
     f"<body><p>{WORDS}</p></body>": [WORDS],
     f"<div id=nav><a href=/>Home</a> <a href=/b>Blog</a></div><div id=content><h1>Title here</h1><p>{WORDS}</p><ul><li>first item</li><li>second item</li></ul><pre>x = 1\ny = 2</pre></div>": ["Title here", WORDS, "first item", "second item", "x = 1 y = 2"],
@@ -294,6 +300,24 @@ PROBES = {
     f"{NAV}<article><h1>T</h1><p>{WORDS}</p><section id='shared-memory'><h2>Shared memory</h2><p>{WORDS}</p></section></article><footer>c 2020</footer>": ["T", WORDS, "Shared memory", WORDS],
     f"{NAV}<article><h1>T</h1><p>{WORDS}</p><div class='comments'><p>nice post!</p></div></article>": ["T", WORDS],
     "<p>Hello there.</p>": ["Hello there."],
+    # A paragraph that is one link, and sections whose names only may mean no content.
+    article(f"<p><a href=x>See this link only</a></p><p>{WORDS}</p>"): ["T", WORDS, "See this link only", WORDS],
+    article(f'<section class="related work"><h2>Related work</h2><p>{WORDS}</p></section>'): ["T", WORDS, "Related work", WORDS],
+    article(f'<section id="social-impact"><h2>Social impact</h2><p>{WORDS}</p><p>{WORDS}</p></section>'): ["T", WORDS, "Social impact", WORDS, WORDS],
+    article(f'<div class="menu design"><p>{WORDS}</p></div>'): ["T", WORDS, WORDS],
+    article('<div class="related"><ul><li><a href=1>Other page</a></li><li><a href=2>More of it</a></li></ul></div>'): ["T", WORDS],
+    article('<div class="social"><a href=1>Tweet</a> <a href=2>Like</a></div>'): ["T", WORDS],
+    article(f'<div class="comments"><p>{WORDS}</p><p>{WORDS}</p></div>'): ["T", WORDS],
+    article(f"<p><label>lab</label></p><p>{WORDS}</p>"): ["T", WORDS, WORDS],
+    article(f"<label>lab<p>{WORDS}</p>"): ["T", WORDS, WORDS],
+    # Shapes that training doesn't make.
+    article(f"<details><summary>In short</summary><p>{WORDS}</p></details>"): ["T", WORDS, "In short", WORDS],
+    article("<h2>References</h2><ol><li><a href=1>First source of it, 2001</a></li><li><a href=2>Second source, 2002</a></li></ol>"): ["T", WORDS, "References", "First source of it, 2001", "Second source, 2002"],
+    article(f"<address>Written in Rome.</address><p>{WORDS}</p>"): ["T", WORDS, "Written in Rome.", WORDS],
+    article(f"<p>Short.</p><p>{WORDS}</p><hr><p>End.</p>"): ["T", WORDS, "Short.", WORDS, "End."],
+    f'<body class="has-sidebar no-banner">{NAV}<main class="with-nav"><h1>T</h1><p>{WORDS}</p></main><div class="sidebar"><p>other things</p></div></body>': ["T", WORDS],
+    f'<div class="page with-sidebar">{NAV}<article><h1>T</h1><p>{WORDS}</p></article><div class="sidebar"><p>other things</p></div></div>': ["T", WORDS],
+    f'<div class="nav"><a href=1>a</a> <a href=2>b</a></div><div id="post"><h1 class="header">Title</h1><p>{WORDS}</p><p><a href=3>go on</a></p><p>{WORDS}</p></div><div class="footer">c 2020</div>': ["Title", WORDS, "go on", WORDS],
     "just text": ["just text"],
 }
 
