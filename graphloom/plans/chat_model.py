@@ -2,10 +2,13 @@
 bounded retries with a time limit, and statuses in place of error texts.
 
 A step's prompts are rows; each distinct one is asked once, and only if the
-cache has no valid reply. Prompts are put into a queue, a table in batches of
-bounded size; each batch's replies are written, and stored in the cache, before
-the next is asked. So a run that is stopped goes on from there, no later action
-asks again, and a lost task repeats its calls of one batch only.
+cache has no valid reply. Prompts are put into a queue, a table in the order of
+their places, which batches of bounded size are read from; each batch's replies
+are written, and stored in the cache, before the next is asked. So a run that is
+stopped goes on from there, no later action asks again, and a lost task repeats
+its calls of one batch only. Without a cache nothing is left of a stopped run, and
+without a rate nothing is learnt from a batch: then all are asked in one go, by
+tasks of about a batch.
 
 The rate of calls is one for the whole job. Tasks begin calls at their share of
 it, and wait for replies in threads. What a provider refuses during a batch
@@ -206,16 +209,19 @@ def replies(
     if cache is not None:
         known, asked = (cache if isinstance(cache, ReplyCache) else ReplyCache.of(cache)).hits(asked)
         known = written(known.select("key", F.lit("cached").alias("status"), "response"), "replies")
-    queue = written(asked.withColumn("at", F.pmod(F.xxhash64("key"), F.lit(1 << 20))), "queue")
+    placed = asked.withColumn("at", F.pmod(F.xxhash64("key"), F.lit(1 << 20)))
+    whole = not isinstance(cache, ReplyCache) and not pace and not per_second
+    # In order, so that a batch reads its own files and row groups and no others.
+    queue = written(placed if whole else placed.repartitionByRange("at").sortWithinPartitions("at"), "queue")
     spark, left, out, begin = prompts.sparkSession, queue.count(), fresh_path(prompts.sparkSession, "replies"), 0
     total = left
     while left > 0:
         rate = pace.rate if pace else per_second
-        number = max(tasks, int(3 * rate)) if pace else batch
+        number = max(tasks, int(3 * rate)) if pace else left if whole else batch
         # Places are hashes, so a share of them holds about that share of the prompts.
         end = (1 << 20) if number >= left else min(1 << 20, begin + max(1, (1 << 20) * number // total))
         part = queue.filter((F.col("at") >= begin) & (F.col("at") < end)).drop("at")
-        part = part.repartition(tasks) if rate else part
+        part = part.repartition(tasks) if rate else part.repartition(-(-left // batch)) if whole and left > batch else part
         seen = Observation()
         answers = part.mapInPandas(asking(provider, column, rate / tasks if rate else None, seconds), "key string, status string, response string, refused long")
         answers = answers.observe(seen, F.count(F.lit(1)).alias("n"), F.sum("refused").alias("refused"))

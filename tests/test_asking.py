@@ -119,3 +119,11 @@ def test_replies_stored_while_the_cache_is_cleaned_stay(spark):
     assert len(cache.parts._numbers()) <= Versions.KEPT + 1
     cache.clear()
     assert cache.entries().count() == 0
+
+
+def test_without_cache_or_rate_all_are_asked_in_one_go(spark, tmp_path):
+    prompts = spark.createDataFrame([(f"prompt {i}",) for i in range(100)], "prompt string")
+    found = replies(prompts, counting(str(tmp_path)), "m", batch=10)
+    assert found.filter("status = 'ok'").count() == len(os.listdir(tmp_path)) == 100
+    files = {name.rsplit("at=", 1)[1].split("/")[0] for name in found.inputFiles()}
+    assert files == {"0"} and len(found.inputFiles()) > 1
