@@ -47,3 +47,21 @@ def test_grams_and_trimming_are_as_by_character(spark):
     for r in rows.collect():
         assert r["g"] == [a + b for a, b in zip(r["t"], r["t"][1:]) if a != " " and b != " "]
         assert r["s"] == r["p"]
+
+
+def test_components_go_through_fewer_edges_each_time(spark):
+    from graphloom.operators.components import connected_components
+    from graphloom.sources.shared import written
+
+    counts = []
+
+    def cut(df):
+        out = written(df)
+        if out.columns == ["a", "b"]:
+            counts.append(out.count())
+        return out
+
+    edges = [(i, i + 1) for i in range(60)] + [(200, i) for i in range(100, 160)] + [(7, 7), (300, 301)]
+    found = connected_components(spark.createDataFrame(edges, "src long, dst long"), cut)
+    assert {r["node"]: r["component"] for r in found.collect()} == {i: 0 for i in range(61)} | {i: 100 for i in [*range(100, 160), 200]} | {300: 300, 301: 300}
+    assert counts == [121, 59, 0]
