@@ -119,7 +119,8 @@ class SearchIndex:
         held = self.spark.read.schema(ITEM).parquet(f"{at}/items")
         text = T.normalized("text")
         every = F.array(*(F.struct(F.lit(n).alias("index"), g.alias("terms")) for n, g in (("bigram", T.grams(text, 2)), ("trigram", T.grams(text, 3)), ("keyword", T.keywords(text)))))
-        rows = held.select(*KEY, "length", "grams", F.explode(every).alias("e")).select(*KEY, "length", "grams", "e.index", F.explode("e.terms").alias("term"))
+        # Dealt out by key before they are many: terms are counted where they are made.
+        rows = held.repartition(*KEY).select(*KEY, "length", "grams", F.explode(every).alias("e")).select(*KEY, "length", "grams", "e.index", F.explode("e.terms").alias("term"))
         postings = rows.groupBy("index", "term", *KEY, "length", "grams").agg(F.count(F.lit(1)).alias("tf"))
         order = ["index", "term", F.desc("tf"), "length", *KEY]
         # Within a range the row numbers go up in this order.
