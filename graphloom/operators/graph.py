@@ -5,7 +5,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from graphloom.operators.components import connected_components
@@ -92,39 +93,62 @@ def largest_component(nodes: DataFrame, edges: DataFrame, cut: Cut) -> tuple[Dat
     return nodes.join(inside, "node", "left_semi"), edges.join(inside, edges["src"] == inside["node"], "left_semi")
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, cut: Cut | None = None, alpha: float = 0.85, rounds: int = 100, tolerance: float | None = 1e-6, every: int = 5) -> DataFrame:
+#: Most edges out of a node that lie in one piece.
+PIECE = 100_000
+
+
+def pagerank(nodes: DataFrame, edges: DataFrame, cut: Cut | None = None, alpha: float = 0.85, rounds: int = 100, tolerance: float | None = 1e-6) -> DataFrame:
     """``(node, pagerank)`` along edges from src to dst by weight; the rank of
     nodes without a way out is spread over all. Stops when the changes add up to
     less than the number of nodes times ``tolerance`` (None: after ``rounds``).
 
-    Sums are taken before the shuffle, so a hub's incoming rank is never
-    gathered row by row; lineage is cut every few rounds.
+    Edges are dealt out and sorted by src once, a hub's in several pieces, and kept
+    so on the executors' disks; a round deals out ranks and sums, which are taken
+    before the shuffle, so a hub's incoming rank is never gathered row by row. Each
+    round's ranks are written, and what is asked of them is summed on the way.
     """
     w = F.coalesce(F.col("weight"), F.lit(1.0))
-    out = edges.groupBy(F.col("src").alias("node")).agg(F.sum(w).alias("out"))
-    share = edges.join(out.withColumnRenamed("node", "src"), "src").select("src", "dst", (w / F.col("out")).alias("share"))
-    base = nodes.select("node").join(out, "node", "left").select("node", F.col("out").isNull().alias("stuck"))
+    edges = edges.select("src", "dst", w.alias("w"))
     if cut:
-        share, base = cut(share), cut(base)
-    n = base.count()
+        edges = cut(edges)
+    out = edges.groupBy(F.col("src").alias("node")).agg(F.sum("w").alias("out"), F.ceil(F.count(F.lit(1)) / PIECE).cast("int").alias("pieces"))
+    base = nodes.select("node").join(out, "node", "left").select("node", F.col("out").isNull().alias("stuck"), "out", "pieces")
+    if cut:
+        base = cut(base)
+    n, stuck = base.agg(F.count(F.lit(1)), F.count_if("stuck")).first()
     if not n:
         return base.select("node", F.lit(0.0).alias("pagerank"))
-    ranks = base.select("node", "stuck", F.lit(1.0 / n).alias("r"))
-    held = None
-    for i in range(rounds):
-        given = share.join(ranks.select(F.col("node").alias("src"), "r"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("r") * F.col("share")).alias("in"))
-        stuck = ranks.agg(F.coalesce(F.sum(F.when(F.col("stuck"), F.col("r"))), F.lit(0.0)).alias("lost"))
-        step = ranks.join(given, "node", "left").crossJoin(F.broadcast(stuck))
-        new = (1 - alpha) / n + alpha * (F.coalesce("in", F.lit(0.0)) + F.col("lost") / n)
-        ranks = step.select("node", "stuck", new.alias("r"), F.col("r").alias("old"))
-        if cut and (tolerance is not None or i % every == every - 1):
-            before, held = held, cut(ranks)
-            ranks = held
-            if before is not None:
-                dropped(before)
-        if tolerance is not None and cut:
-            if (ranks.agg(F.sum(F.abs(F.col("r") - F.col("old")))).first()[0] or 0.0) < n * tolerance:
-                break
+    # Hubs are no more than one for so many edges.
+    hubs = base.filter("pieces > 1").select(F.col("node").alias("src"), "pieces").distinct()
+    if cut:
+        hubs = cut(hubs)
+    dealt = edges.join(hubs, "src", "left").select("src", F.coalesce(F.pmod(F.xxhash64("dst"), "pieces").cast("int"), F.lit(0)).alias("piece"), "dst", "w")
+    if cut:
+        number = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        dealt = dealt.repartition(number, "src", "piece").sortWithinPartitions("src", "piece").persist(StorageLevel.DISK_ONLY)
+    ranks = base.withColumn("r", F.lit(1.0 / n))
+    lost = stuck / n
+    told = [F.coalesce(F.sum(F.when(F.col("stuck"), F.col("r"))), F.lit(0.0)).alias("lost"), F.coalesce(F.sum(F.abs(F.col("r") - F.col("old"))), F.lit(0.0)).alias("moved")]
+    for _ in range(rounds):
+        sent = ranks.filter("NOT stuck").select(F.col("node").alias("src"), (F.col("r") / F.col("out")).alias("r"), F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"))
+        given = dealt.join(sent, ["src", "piece"]).groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("r") * F.col("w")).alias("in"))
+        new = (1 - alpha) / n + alpha * (F.coalesce("in", F.lit(0.0)) + F.lit(lost) / n)
+        step = ranks.join(given, "node", "left").select("node", "stuck", "out", "pieces", new.alias("r"), F.col("r").alias("old"))
+        before = ranks
+        if cut:
+            seen = Observation()
+            ranks = cut(step.observe(seen, *told))
+            row = seen.get
+            dropped(before)
+        else:
+            ranks = step
+            row = step.agg(*told).first().asDict()
+        lost = row["lost"]
+        if tolerance is not None and row["moved"] < n * tolerance:
+            break
+    if cut:
+        dealt.unpersist()
+        dropped(edges, hubs, *([base] if rounds else []))
     return ranks.select("node", F.col("r").alias("pagerank"))
 
 

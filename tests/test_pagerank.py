@@ -43,3 +43,36 @@ def test_ranks_after_changes_equal_a_converged_run(spark):
         assert set(got) == set(want) and sum(abs(got[n] - want[n]) for n in want) <= error and min(pushed) < len(more)
     assert graph.updated_pagerank(listed(["a"]).limit(0), frame(edges).limit(0), ranks, written).count() == 0
     assert graph.updated_pagerank(listed(["a", "b"]), frame([("a", "b", 1.0)]), ranks.limit(0), written).agg(F.sum("pagerank")).first()[0] == pytest.approx(1, abs=1e-5)
+
+
+def test_edges_are_dealt_out_once_and_hubs_in_pieces(spark, monkeypatch):
+    """Rounds neither write nor deal out edges again, and all are written."""
+    draw = random.Random(11)
+    names = [f"n{i:02}" for i in range(40)]
+    edges = [("n00", n, 1.0) for n in names[1:]] + [(draw.choice(names[:30]), draw.choice(names), draw.choice([1.0, 2.0, None])) for _ in range(80)]
+    frame = spark.createDataFrame(edges, "src string, dst string, weight double")
+    nodes = spark.createDataFrame([(n,) for n in names], "node string")
+    monkeypatch.setattr(graph, "PIECE", 10)
+    tables = []
+
+    def cut(df):
+        tables.append(df.columns)
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return written(df)
+
+    plans: list[str] = []
+    found = {r.node: r.pagerank for r in graph.pagerank(nodes, frame, cut, rounds=4, tolerance=None).collect()}
+    want = dict.fromkeys(names, 1 / 40)
+    out: dict = {}
+    for s, _, w in edges:
+        out[s] = out.get(s, 0) + (1.0 if w is None else w)
+    for _ in range(4):
+        lost = sum(v for k, v in want.items() if k not in out)
+        new = dict.fromkeys(names, 0.15 / 40 + 0.85 * lost / 40)
+        for s, d, w in edges:
+            new[d] += 0.85 * want[s] * (1.0 if w is None else w) / out[s]
+        want = new
+    assert found == pytest.approx(want, abs=1e-12)
+    assert sum("dst" in c for c in tables) == 1
+    rounds = [p for c, p in zip(tables, plans) if "old" in c]
+    assert len(rounds) == 4 and all("InMemoryTableScan" in p for p in rounds)
