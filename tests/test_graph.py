@@ -229,3 +229,37 @@ def test_local_moving_ends_where_no_node_wants_to_move(spark, monkeypatch, few):
     best = graph.gains(edges, found).groupBy("node").agg(F.max(F.when(F.col("community") != F.col("own"), F.col("gain"))).alias("to"), F.max(F.when(F.col("community") == F.col("own"), F.col("gain"))).alias("stay"))
     assert best.filter("to > stay + 1e-8 AND to > 0").count() == 0
     assert moving.told and (few or all(moved <= wanted for wanted, moved in moving.told))
+
+
+def test_later_rounds_weigh_only_what_was_woken(spark, monkeypatch):
+    """After few moves neighbours of what moved and what was put off are weighed;
+    those want what they want when all are weighed."""
+    draw = random.Random(4)
+    rows = [(f"{g:02}{i}", f"{g:02}{j}", draw.choice([1.0, 2.0])) for g in range(24) for i in range(5) for j in range(i) if draw.random() < 0.8] + [(f"{g:02}0", f"{g + 1:02}1", 1.0) for g in range(23)]
+    edges = graph.undirected(edges_of(spark, rows))
+    names = sorted({x for r in rows for x in r[:2]})
+    moving = community.Moving(edges, written)
+    nodes, totals, _ = moving.state(nodes_of(spark, names).withColumn("community", F.col("node")))
+    every, _ = moving.wanting(nodes, totals, 3)
+    some = nodes_of(spark, names[:30])
+    part, _ = moving.wanting(nodes, totals, 3, some)
+    fields = ["node", "to", "from", "k"]
+    assert sorted(map(tuple, part.select(fields).collect())) == sorted(tuple(r) for r in every.select(fields).collect() if r["node"] in names[:30])
+    moved = moving.moves(every, False).limit(3).localCheckpoint()
+    gone = {r["node"] for r in moved.collect()}
+    near = {b for r in rows for a, b in (r[:2], r[1::-1]) if a in gone}
+    assert {r["node"] for r in moving.woken(every, moved).collect()} == near | {r["node"] for r in every.collect()} - gone
+
+    asked = []
+    weighed = community.Moving.wanting
+
+    def wanting(self, nodes, totals, seed, active=None):
+        found = weighed(self, nodes, totals, seed, active)
+        asked.append((active is None, found[1]))
+        return found
+
+    monkeypatch.setattr(community.Moving, "wanting", wanting)
+    monkeypatch.setattr(community, "FEW", 0)
+    monkeypatch.setattr(community, "WAKES", 1)
+    _, q = community.settled(community.Moving(edges, written), nodes_of(spark, names).withColumn("community", F.col("node")), 200, 7)
+    assert any(not all_ for all_, _ in asked) and asked[-1] == (True, 0) and q > 0.6
