@@ -263,3 +263,39 @@ def test_later_rounds_weigh_only_what_was_woken(spark, monkeypatch):
     monkeypatch.setattr(community, "WAKES", 1)
     _, q = community.settled(community.Moving(edges, written), nodes_of(spark, names).withColumn("community", F.col("node")), 200, 7)
     assert any(not all_ for all_, _ in asked) and asked[-1] == (True, 0) and q > 0.6
+
+
+def test_neighbours_where_a_node_went_are_not_woken(spark):
+    edges = written(graph.undirected(edges_of(spark, sparse())))
+    names = sorted({x for r in sparse() for x in r[:2]})
+    moving = community.Moving(edges, written)
+    groups = {n: f"g{int(n[1:]) // 9}" for n in names}
+    nodes, totals, _ = moving.state(spark.createDataFrame(list(groups.items()), "node string, community string"))
+    want, _ = moving.wanting(nodes, totals, 3)
+    moved = written(moving.moves(want, False))
+    gone = {r["node"]: r["to"] for r in moved.collect()}
+    after = groups | gone
+    beside = {b for r in sparse() for a, b in (r[:2], r[1::-1]) if a in gone and after[b] != gone[a]}
+    put_off = {r["node"] for r in want.collect()} - set(gone)
+    assert gone and {r["node"] for r in moving.woken(want, moved, nodes).collect()} == beside | put_off
+    # What moves change is known from what they were weighed with and the edges between them.
+    q = lambda c: graph.modularity(edges, spark.createDataFrame(list(c.items()), "node string, community string")).first()["q"]
+    assert moving.change(totals, moved) == pytest.approx(q(after) - q(groups), abs=1e-12)
+    moving.close()
+
+
+def test_a_small_graph_is_settled_in_few_jobs(spark):
+    """It is read once, and gone through until no node wants to move."""
+    made = []
+
+    def cut(df):
+        made.append(df.columns)
+        return written(df)
+
+    edges = written(edges_of(spark, sparse()))
+    moving = community.Moving(edges, cut)
+    start = nodes_of(spark, sorted({x for r in sparse() for x in r[:2]})).select("node", F.col("node").alias("community"))
+    found, q = community.settled(moving, start, 200, 7)
+    assert len(made) <= 6 and len(moving.told) == 1, (made, moving.told)
+    assert q == pytest.approx(graph.modularity(edges, found).first()["q"], abs=1e-9)
+    moving.close()
