@@ -136,8 +136,10 @@ def bag_masks(c: Column | str) -> tuple[Column, Column]:
     """A text's characters with their counts as bits of two numbers: a bit for a
     character's first occurrence, one for its second, and so on. Letters that
     stand together in an alphabet get bits of their own for the first three."""
-    every = F.filter(F.split(F.lower(_col(c)), "", -1), lambda x: x != "")
-    nth = lambda x: F.transform(F.sequence(F.lit(1), F.size(F.filter(every, lambda y: y == x))), lambda n: F.pmod(F.ascii(x) - 97 + 37 * (n - 1), F.lit(128)).cast("int"))
+    low = F.lower(_col(c))
+    every = F.filter(F.split(low, "", -1), lambda x: x != "")
+    often = lambda x: F.length(low) - F.length(F.replace(low, x, F.lit("")))
+    nth = lambda x: F.transform(F.sequence(F.lit(1), often(x)), lambda n: F.pmod(F.ascii(x) - 97 + 37 * (n - 1), F.lit(128)).cast("int"))
     places = F.flatten(F.transform(F.array_distinct(every), nth))
     bit = lambda p: F.call_function("shiftleft", F.lit(1).cast("long"), p)
     word = lambda low: F.aggregate(places, F.lit(0).cast("long"), lambda mask, p: F.when((p >= low) & (p < low + 64), mask.bitwiseOR(bit(p - low))).otherwise(mask))

@@ -7,10 +7,11 @@ writes grows with the upsert, not with the index. When several segments of about
 one size have gathered, they are written as one. A manifest names the segments
 and the state of the graph that they stand for; readers keep to a manifest.
 
-*Blocks.* Postings of a term with one frequency are cut into blocks of bounded
-size, by ranges of (index, term, frequency, length), so a term that every item
-holds is spread over many tasks and files. A small table has the number of
-postings for each term and frequency.
+*Blocks.* Items are dealt out by key, and each task counts the terms of its own and
+cuts the postings of a term with one frequency into blocks of bounded size, in the
+order of (index, term, frequency, length); so no posting is shuffled, and a term
+that every item holds is spread over all tasks and files. A small table has the
+number of postings for each term and frequency.
 
 *Ranked lookup.* A score is a sum of weight times frequency over the question's
 terms. The rarest terms give a first bound of the k-th best score; from it follows
@@ -30,6 +31,9 @@ import math
 import uuid
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,6 +87,32 @@ def depths(terms: list[Term], least: float) -> list[int]:
     return value
 
 
+def cut_into(block: int):
+    """Sorted postings ``(term, tf, length, grams, type, id, index)``, batch by
+    batch, as blocks of at most so many of one term and frequency."""
+
+    def cut(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = np.zeros(batch.num_rows, bool)
+            new[0] = True
+            for name in ("index", "term", "tf"):
+                values = batch.column(name)
+                new[1:] |= pc.not_equal(values[1:], values[:-1]).to_numpy(zero_copy_only=False)
+            at = np.arange(batch.num_rows)
+            starts = np.flatnonzero((at - np.maximum.accumulate(np.where(new, at, 0))) % block == 0)
+            ends = np.append(starts[1:], batch.num_rows)
+            items = pa.StructArray.from_arrays([batch.column(c) for c in (*KEY, "length", "grams")], names=[*KEY, "length", "grams"])
+            first, last = batch.take(pa.array(starts)), batch.take(pa.array(ends - 1))
+            yield pa.RecordBatch.from_arrays(
+                [first.column("term"), first.column("tf"), first.column("length"), last.column("length"), pa.array(ends - starts), pa.ListArray.from_arrays(pa.array(np.append(starts, batch.num_rows), pa.int32()), items), first.column("index")],
+                names=["term", "tf", "short", "long", "n", "items", "index"],
+            )
+
+    return cut
+
+
 class SearchIndex:
     """The index under a folder. ``block``: postings in a block; ``buckets``: into
     how many folders a segment's items are dealt by key; ``fan``: so many segments
@@ -105,31 +135,31 @@ class SearchIndex:
         return F.pmod(F.xxhash64(*KEY), F.lit(self.buckets)).cast("int")
 
     def _described(self, items: DataFrame) -> DataFrame:
-        text = T.normalized("text")
-        bag_a, bag_b = T.bag_masks(text)
-        return items.select(
-            *KEY, F.length(text).alias("length"), F.size(T.grams(text, 2)).alias("grams"), bag_a.alias("bag_a"), bag_b.alias("bag_b"), "text", self._bucket().alias("bucket")
+        # Normalised once: what is asked of each character mustn't do it again.
+        bag_a, bag_b = T.bag_masks("__text")
+        return items.select(*KEY, "text", T.normalized("text").alias("__text")).select(
+            *KEY, F.length("__text").alias("length"), F.size(T.grams("__text", 2)).alias("grams"), bag_a.alias("bag_a"), bag_b.alias("bag_b"), "text", self._bucket().alias("bucket")
         )
 
     def _segment(self, items: DataFrame, gone: DataFrame) -> tuple[str, int]:
         """Write a segment from described items; its name and number of items."""
         name = uuid.uuid4().hex
         at = f"{self.path}/segments/{name}"
-        items.repartition("bucket").sortWithinPartitions("bucket", *KEY).write.partitionBy("bucket").parquet(f"{at}/items")
+        number = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        # A bucket is written by as many tasks as there are for it.
+        pieces = max(1, number // self.buckets)
+        piece = (F.col("bucket") * pieces + F.pmod(F.xxhash64(F.lit(1), *KEY), F.lit(pieces))).cast("int")
+        items.repartitionById(self.buckets * pieces, piece).sortWithinPartitions("bucket", *KEY).write.partitionBy("bucket").parquet(f"{at}/items")
         held = self.spark.read.schema(ITEM).parquet(f"{at}/items")
         text = T.normalized("text")
         every = F.array(*(F.struct(F.lit(n).alias("index"), g.alias("terms")) for n, g in (("bigram", T.grams(text, 2)), ("trigram", T.grams(text, 3)), ("keyword", T.keywords(text)))))
-        # Dealt out by key before they are many: terms are counted where they are made.
-        rows = held.repartition(*KEY).select(*KEY, "length", "grams", F.explode(every).alias("e")).select(*KEY, "length", "grams", "e.index", F.explode("e.terms").alias("term"))
-        postings = rows.groupBy("index", "term", *KEY, "length", "grams").agg(F.count(F.lit(1)).alias("tf"))
-        order = ["index", "term", F.desc("tf"), "length", *KEY]
-        # Within a range the row numbers go up in this order.
-        placed = postings.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("block", F.floor(F.monotonically_increasing_id() / self.block))
-        blocks = placed.groupBy("index", "term", "tf", "block").agg(
-            F.min("length").alias("short"), F.max("length").alias("long"), F.count(F.lit(1)).alias("n"), F.collect_list(F.struct(*KEY, "length", "grams")).alias("items")
-        )
-        sort = ["index", "term", F.desc("tf"), "short"]
-        blocks.drop("block").repartitionByRange(*sort).sortWithinPartitions(*sort).write.partitionBy("index").parquet(f"{at}/blocks")
+        # Dealt out by key before they are many: terms are counted, sorted and cut into blocks where they are made.
+        dealt = held.select(*KEY, "length", "grams", "text", F.pmod(F.xxhash64(F.lit(2), *KEY), F.lit(number)).cast("int").alias("part")).repartitionById(number, "part")
+        rows = dealt.select("part", *KEY, "length", "grams", F.explode(every).alias("e")).select("part", *KEY, "length", "grams", "e.index", F.explode("e.terms").alias("term"))
+        postings = rows.groupBy("part", "index", "term", *KEY, "length", "grams").agg(F.count(F.lit(1)).alias("tf"))
+        placed = postings.select("term", "tf", "length", "grams", *KEY, "index").sortWithinPartitions("index", "term", F.desc("tf"), "length", *KEY)
+        blocks = placed.mapInArrow(cut_into(self.block), BLOCKS)
+        blocks.sortWithinPartitions("index", "term", F.desc("tf"), "short").write.partitionBy("index").parquet(f"{at}/blocks")
         levels = self.spark.read.schema(BLOCKS).parquet(f"{at}/blocks").groupBy("index", "term", "tf").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("blocks"))
         levels.repartitionByRange("index", "term").sortWithinPartitions("index", "term").write.parquet(f"{at}/levels")
         gone.select(*KEY).distinct().write.parquet(f"{at}/gone")

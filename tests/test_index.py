@@ -164,3 +164,12 @@ def test_an_items_postings_are_written_where_they_are_counted(spark):
     for file in held.select("file").distinct().collect()[:3]:
         terms = [r["term"] for r in spark.read.parquet(file["file"]).coalesce(1).collect()]
         assert terms == sorted(terms, key=lambda t: t.encode())
+
+
+def test_blocks_are_cut_where_postings_are_counted(spark, items, idx):
+    """No posting of a segment is shuffled: an item's lie in one file of each index, in blocks of one term and frequency."""
+    blocks = spark.read.parquet(f"{idx.path}/segments/*/blocks")
+    held = blocks.withColumn("file", F.input_file_name()).select("file", "index", "term", "tf", "short", "long", "n", F.explode("items").alias("e"))
+    assert held.groupBy("index", "e.type", "e.id").agg(F.countDistinct("file").alias("f")).filter("f > 1").isEmpty()
+    assert held.filter("e.length NOT BETWEEN short AND long").isEmpty() and blocks.filter("n != size(items) OR n > 32").isEmpty()
+    assert sorted(map(tuple, held.select("index", "term", "e.type", "e.id", "tf").collect())) == sorted(map(tuple, search.index(items).select("index", "term", "type", "id", "tf").collect()))
